@@ -2,17 +2,22 @@
 
 from __future__ import annotations
 
-#: CRC-32 (reflected polynomial 0xEDB88320) of a text's UTF-8 bytes; the 256-entry table follows from the rule.
-_CRC = """
-WITH crc_table AS (
-  SELECT list(c ORDER BY i) AS t FROM (
-    SELECT i, list_reduce(list_prepend(i::BIGINT, range(8)), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(3988292384, c >> 1) ELSE c >> 1 END) AS c FROM range(256) r(i))),
-hexed AS (SELECT doc_id, coalesce(text, '') AS body, hex(encode(coalesce(text, ''))) AS h FROM documents),
+
+
+def _crc_entry(c: int) -> int:
+    """One entry of the table of CRC-32 (reflected polynomial 0xEDB88320)."""
+    for _ in range(8):
+        c = (c >> 1) ^ (0xEDB88320 if c & 1 else 0)
+    return c
+
+
+_CRC = f"""
+WITH hexed AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
 sized AS (
   SELECT doc_id, length(h) // 2 + 16 AS size,
-    xor(4294967295, list_reduce(list_prepend(4294967295::BIGINT, list_transform(range(length(h) // 2), lambda k: ('0x' || substr(h, 2 * k + 1, 2))::BIGINT)),
-      lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1]))) AS text_crc32
-  FROM hexed, crc_table)
+    xor(4294967295, list_reduce(list_prepend(4294967295::BIGINT, list_transform(regexp_extract_all(h, '..'), lambda k: ('0x' || k)::BIGINT)),
+      lambda c, b: xor(c >> 8, list_extract({[_crc_entry(i) for i in range(256)]}, (xor(c, b) & 255) + 1)))) AS text_crc32
+  FROM hexed)
 """
 
 OP1 = (
@@ -58,7 +63,8 @@ SELECT doc_id, n_words::BIGINT AS n_words, word_chars, n_symbols::BIGINT AS n_sy
 
 OP6 = f"""
 WITH RECURSIVE d AS (SELECT doc_id, CASE WHEN source IS NULL THEN 1 ELSE 0 END AS no_source, coalesce(source, '') AS source_name, len({_WORDS}) AS size FROM documents),
-s AS (SELECT no_source, source_name, sum(size)::BIGINT AS source_size, [5, 2, 1][(row_number() OVER (ORDER BY no_source, source_name) - 1) % 3 + 1] AS weight FROM d GROUP BY ALL),
+s0 AS (SELECT no_source, source_name, sum(size)::BIGINT AS source_size FROM d GROUP BY no_source, source_name),
+s AS (SELECT *, [5, 2, 1][(row_number() OVER (ORDER BY no_source, source_name) - 1) % 3 + 1] AS weight FROM s0),
 ranked AS (SELECT *, row_number() OVER (ORDER BY 3 * source_size / weight, no_source, source_name) AS k FROM s),
 step AS (
   SELECT a.k, ((SELECT sum(source_size) FROM s) - coalesce(sum(3 * b.source_size) FILTER (b.k < a.k), 0)) / sum(b.weight) FILTER (b.k >= a.k) AS level, a.weight, a.source_size
@@ -78,8 +84,8 @@ WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text,
 g AS (
   SELECT DISTINCT doc_id, md5(array_to_string(list_slice(w, i + 1, i + 5), ' ')) AS s FROM (SELECT doc_id, w, unnest(range(CASE WHEN len(w) = 0 THEN 0 ELSE greatest(len(w) - 4, 1) END)) AS i FROM d)),
 n AS (SELECT doc_id, count(*) AS n FROM g GROUP BY doc_id),
-shared AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS both FROM g a JOIN g b ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY ALL),
-links AS (SELECT a, b FROM shared JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * both >= 85 * (x.n + y.n - both)),
+shared AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS common FROM g a JOIN g b ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY ALL),
+links AS (SELECT a, b FROM shared JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * common >= 85 * (x.n + y.n - common)),
 edges AS (SELECT a AS u, b AS v FROM links UNION ALL SELECT b, a FROM links),
 reach AS (SELECT doc_id AS u, doc_id AS v FROM d UNION SELECT reach.u, edges.v FROM reach JOIN edges ON reach.v = edges.u),
 least AS (SELECT u, min(v) AS component_id FROM reach GROUP BY u)
