@@ -3,17 +3,18 @@
 1. A pass over whole texts gives the set of distinct five-word shingles (64-bit hashes), its size, a 128-bit hash of
    the set, and a signature of ``HASHES`` one-byte MinHash values. Documents with equal sets form a class.
 2. Each of ``TREES`` trees sorts the classes by the signature, read from another place on. In the sorted order a class
-   meets the ``REACH`` next ones in its region: the rows that share its prefix, at the least depth at which no more than
-   ``REACH`` rows share it. Depth so grows where signatures crowd and is small where they don't; regions that are still
-   larger at full depth are walked in order, and every row meets its next ``REACH``. Ranges of the order are handled
-   apart, and what lies at their ends meets in a second small pass.
+   meets its region: the rows that share its prefix, at the least depth at which no more than ``REACH`` rows share it.
+   Depth so grows where signatures crowd and is small where they don't. A row whose prefix soon is its own amid a crowd
+   also meets its longest-common-prefix neighbours, the ``REACH`` rows to either side, of which the ``BEST`` likeliest
+   become candidates. Ranges of the order are handled apart, and what lies at their ends meets in a second small pass.
 3. Pairs whose signatures agree in fewer than ``AGREE`` places are dropped (a pair at the threshold falls below with a
    chance of about 1e-6). Of the others, each class first confirms its likeliest link; pairs that these links already join
-   are settled, and all the rest are confirmed too. To confirm is to build both full sets again from whole texts.
+   are settled, and all the rest are confirmed too. A class that met a crowd without joining it is then compared with the
+   crowd's ``CENTRES``, the members that agree most with the others. To confirm is to build both full sets again from whole texts.
 4. Connected components by alternating stars.
 
-No pair within a crowd is emitted beyond ``TREES * REACH`` for each class, and no bucket is capped: crowding only makes
-prefixes longer. Measured recall is in the README.
+So a crowd of m near copies gives at most ``TREES * (REACH + 2 * BEST)`` pairs for each, not m * m, and what joins it does so
+through any of its likeliest links. Measured recall is in the README.
 
 Defined cases: a null text, or one without words, has no shingles and is linked with nothing; fewer than five words
 count as one shingle; a null doc_id counts as no smallest id (a component of null ids only has a null id); rows that
@@ -26,7 +27,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -37,9 +38,11 @@ from .components import components
 SHINGLE = 5
 PERCENT = 85
 HASHES = 64
-TREES = 12
-REACH = 24
+TREES = 16
+REACH = 32
+BEST = 4
 AGREE = 39
+CENTRES = 64
 
 _A = (_splitmix(HASHES, 101) >> np.uint64(32)).astype(np.uint32) | np.uint32(1)
 _B = (_splitmix(HASHES, 202) >> np.uint64(32)).astype(np.uint32)
@@ -110,11 +113,12 @@ def digests(df: DataFrame, text: str = "text", keep: list[str] = ()) -> DataFram
     return map_text(df.select(*keep, F.col(text).alias("text")), _digest, _DIGEST, drop=["text"])
 
 
-def _pairs(keys: np.ndarray, ids: np.ndarray, heads: int | None = None, reach: int = REACH, agree: int = AGREE) -> pd.DataFrame:
+def _pairs(keys: np.ndarray, ids: np.ndarray, heads: int | None = None, reach: int = REACH, agree: int = AGREE, best: int = BEST) -> pd.DataFrame:
     """Candidate links among sorted rows of one tree. heads: only pairs that cross from before that row to it or later."""
     n = len(ids)
+    none = pd.DataFrame({"a": [], "b": [], "agree": []})
     if n < 2:
-        return pd.DataFrame({"a": [], "b": [], "agree": []})
+        return none
     lcp = np.full(n, 0, np.int64)  # with the row before
     differ = keys[1:] != keys[:-1]
     lcp[1:] = np.where(differ.any(1), differ.argmax(1), HASHES)
@@ -129,28 +133,44 @@ def _pairs(keys: np.ndarray, ids: np.ndarray, heads: int | None = None, reach: i
         open_ &= ~now
         if not open_.any():
             break
-    out_a, out_b, out_n = [], [], []
+    reach = min(reach, n - 1)
+    like = np.zeros((n, 2 * reach), np.uint8)  # agreement with the s-th row after, and before
+    whole = np.zeros((n, reach), bool)  # both in one region
     shared = np.full(n, HASHES, np.int64)
-    for s in range(1, min(reach, n - 1) + 1):
+    for s in range(1, reach + 1):
         shared = np.minimum(shared[: n - s], lcp[s:])
-        near = shared >= np.minimum(depth[: n - s], depth[s:])
+        i = np.flatnonzero(shared >= 1)
+        if not len(i):
+            break
         if heads is not None:
-            at = np.arange(n - s)
-            near &= (at < heads) & (at + s >= heads)
-        if s > 1 and not (shared >= 1).any():
+            i = i[(i < heads) & (i + s >= heads)]
+        for k in range(0, len(i), 50_000):
+            some = i[k : k + 50_000]
+            same = (keys[some] == keys[some + s]).sum(1)
+            same[same < agree] = 0
+            like[some, s - 1] = same
+            like[some + s, reach + s - 1] = same
+            whole[some, s - 1] = (shared[some] >= np.minimum(depth[some], depth[some + s])) & (same > 0)
+    row, col = np.nonzero(whole)
+    out_a, out_b, out_n = [row], [row + col + 1], [like[row, col]]
+    for _ in range(best):
+        top = like.argmax(1)
+        row = np.flatnonzero(like[np.arange(n), top])
+        if not len(row):
             break
-        i = np.flatnonzero(near)
-        if len(i):
-            same = (keys[i] == keys[i + s]).sum(1)
-            good = same >= agree
-            out_a.append(ids[i[good]])
-            out_b.append(ids[i[good] + s])
-            out_n.append(same[good])
-    if not out_a:
-        return pd.DataFrame({"a": [], "b": [], "agree": []})
-    a, b = np.concatenate(out_a), np.concatenate(out_b)
+        col = top[row]
+        out_a.append(row)
+        out_b.append(np.where(col < reach, row + col + 1, row - (col - reach) - 1))
+        out_n.append(like[row, col])
+        like[row, col] = 0
+    a, b, m = np.concatenate(out_a), np.concatenate(out_b), np.concatenate(out_n)
+    if not len(a):
+        return none
+    a, b, m = np.minimum(a, b), np.maximum(a, b), m
+    _, once = np.unique(a.astype(np.int64) * n + b, return_index=True)
+    a, b, m = ids[a[once]], ids[b[once]], m[once]
     swap = a > b
-    return pd.DataFrame({"a": np.where(swap, b, a), "b": np.where(swap, a, b), "agree": np.concatenate(out_n)})
+    return pd.DataFrame({"a": np.where(swap, b, a), "b": np.where(swap, a, b), "agree": m})
 
 
 _CHUNK = 100_000
@@ -220,8 +240,6 @@ def candidates(classes: DataFrame) -> DataFrame:
 
 
 def _by_part():
-    from pyspark.sql import Window
-
     return Window.orderBy("part")
 
 
@@ -287,7 +305,26 @@ def links(df: DataFrame, text: str = "text", percent: int = PERCENT, digest: Dat
     label = components(sure)
     left = found.join(best, ["a", "b"], "left_anti").join(label.select(F.col("node").alias("a"), F.col("label").alias("la")), "a", "left").join(label.select(F.col("node").alias("b"), F.col("label").alias("lb")), "b", "left")
     rest = left.where("la is null or lb is null or la <> lb").select("a", "b")
-    return checkpointed(sure.union(confirmed(rest, texts, percent)))
+    linked = checkpointed(sure.union(confirmed(rest, texts, percent)))
+    return linked.union(checkpointed(confirmed(_to_centres(found, linked), texts, percent)))
+
+
+def _to_centres(found: DataFrame, linked: DataFrame) -> DataFrame:
+    """Pairs of a class that met a crowd without joining it, and the crowd's centres.
+
+    A crowd is a component of more than REACH classes, so a class at its fringe has not met all of it. Its links are to the
+    members least changed, which are also the likeliest for most others: the CENTRES with the most agreement in all."""
+    label = components(linked)
+    crowds = label.groupBy("label").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > REACH).select("label")
+    members = label.join(crowds, "label")
+    ends = found.select(F.col("a").alias("node"), F.col("b").alias("other"), "agree").union(found.select(F.col("b").alias("node"), F.col("a").alias("other"), "agree"))
+    pull = ends.groupBy("node").agg(F.sum("agree").alias("pull")).join(members, "node").withColumn("salt", F.pmod(F.xxhash64("node"), F.lit(64)))
+    top = lambda *by: F.row_number().over(Window.partitionBy(*by).orderBy(F.col("pull").desc(), "node"))
+    centres = pull.withColumn("r", top("label", "salt")).where(F.col("r") <= CENTRES).withColumn("r", top("label")).where(F.col("r") <= CENTRES).select("label", F.col("node").alias("centre"))
+    met = ends.join(members.select(F.col("node").alias("other"), "label"), "other").select("node", "label").distinct()
+    fringe = met.join(members.select("node", F.col("label").alias("own")), "node", "left").where("own is null or own <> label").select("node", "label")
+    pairs = fringe.join(centres, "label").where("node <> centre").select(F.least("node", "centre").alias("a"), F.greatest("node", "centre").alias("b")).distinct()
+    return pairs.join(found.select("a", "b"), ["a", "b"], "left_anti")
 
 
 def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", percent: int = PERCENT) -> DataFrame:
