@@ -75,6 +75,9 @@ class Normalize(Step):
     stats: dict[str, dict] = field(default_factory=dict)
     inverse: bool = False
 
+    def _cell(self, mode, names):
+        return lambda z: X.normalize(z["x"], mode, {k: z[k] for k in names}, self.inverse)
+
     def __call__(self, df):
         out = {}
         for name, mode in self.modes.items():
@@ -84,7 +87,7 @@ class Normalize(Step):
             if any(isinstance(v, list) for v in own.values()):
                 fields = [F.array(*[F.lit(float(x)) for x in v]).alias(k) for k, v in own.items() if k != "count"]
                 zipped = F.arrays_zip(F.col(name).alias("x"), *fields)
-                out[name] = F.transform(zipped, lambda z, own=own, mode=mode: X.normalize(z["x"], mode, {k: z[k] for k in own if k != "count"}, self.inverse))
+                out[name] = F.transform(zipped, self._cell(mode, [k for k in own if k != "count"]))
             else:
                 out[name] = X.normalize(F.col(name), mode, {k: F.lit(float(v)) for k, v in own.items()}, self.inverse)
         return df.withColumns(out) if out else df
