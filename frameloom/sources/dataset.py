@@ -51,7 +51,7 @@ class Feature:
             return own
         if len(self.shape) > 5:
             raise ValueError("more than five dimensions")
-        return reduce(lambda t, _: T.ArrayType(t, False), self.shape, own)
+        return reduce(lambda t, _: T.ArrayType(t), self.shape, own)
 
     def kind(self, name: str) -> str | None:
         """VISUAL, ENV, STATE or ACTION by name, as policies see it."""
@@ -261,6 +261,11 @@ def feature_statistics(frames: DataFrame, features: dict[str, Feature], by: Sequ
     return out
 
 
+def _in_order(stat: str):
+    """The values of all dimensions as one array."""
+    return F.transform(F.array_sort(F.collect_list(F.struct("dim", stat))), lambda x: x[stat])
+
+
 def write(frames: DataFrame, root: str, info: Info, mb_per_frame: float = 0.001) -> EpisodeDataset:
     """Write recorded frames (episode_index, frame_index, task, features) as a dataset: files by size, episodes with
     their ranges and statistics, tasks, info and pooled statistics."""
@@ -276,7 +281,7 @@ def write(frames: DataFrame, root: str, info: Info, mb_per_frame: float = 0.001)
     placed.drop("task").repartition("_chunk", "_file").sortWithinPartitions("_chunk", "_file", "index").write.mode("overwrite").partitionBy("_chunk", "_file").parquet(f"{root}/_data")
     _settle(spark, f"{root}/_data", f"{root}/data")
     per_stats = feature_statistics(rows, {k: f for k, f in features.items() if k not in ("index", "task_index")})
-    wide = per_stats.groupBy(EPISODE, "feature").agg(*[F.transform(F.array_sort(F.collect_list(F.struct("dim", s))), lambda x, s=s: x[s]).alias(s) for s in ("min", "max", "mean", "std", "q01", "q10", "q50", "q90", "q99")], F.array(F.max("count")).alias("count"))
+    wide = per_stats.groupBy(EPISODE, "feature").agg(*[_in_order(s).alias(s) for s in ("min", "max", "mean", "std", "q01", "q10", "q50", "q90", "q99")], F.array(F.max("count")).alias("count"))
     stat_columns = ("min", "max", "mean", "std", "count", "q01", "q10", "q50", "q90", "q99")
     numeric = [k for k in features if k not in ("index", "task_index") and features[k].dtype not in ("string", "image", "video", "bool") and len(features[k].shape) == 1]
     flat = wide.groupBy(EPISODE).agg(*[F.max(F.when(F.col("feature") == k, F.col(s))).alias(f"stats/{k}/{s}") for k in numeric for s in stat_columns])
