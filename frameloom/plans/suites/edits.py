@@ -91,7 +91,7 @@ def _weights(ratio):
 _add(
     "sampler_weights",
     _weights(0.8),
-    f"WITH {EVENT_FRAMES}, s AS (SELECT *, CASE WHEN episode_index < 50 THEN 0 ELSE 1 END AS source, count(*) OVER (PARTITION BY episode_index) AS n FROM f), k AS (SELECT *, frame_index < n - CASE source WHEN 0 THEN 2 ELSE 1 END AS inside FROM s), c AS (SELECT source, count(*) FILTER (inside) AS k FROM k GROUP BY 1) SELECT source, episode_index, frame_index, CASE WHEN inside THEN CASE source WHEN 0 THEN 1 - 0.8::DOUBLE ELSE 0.8::DOUBLE END / k ELSE 0 END AS weight FROM k JOIN c USING (source)",
+    f"WITH {EVENT_FRAMES}, s AS (SELECT *, CASE WHEN episode_index < 50 THEN 0 ELSE 1 END AS source, count(*) OVER (PARTITION BY episode_index) AS n FROM f), k AS (SELECT *, frame_index < n - CASE source WHEN 0 THEN 2 ELSE 1 END AS inside FROM s), c AS (SELECT source, count(*) FILTER (inside) AS k FROM k GROUP BY 1) SELECT source, episode_index, frame_index, CASE WHEN inside THEN CASE source WHEN 0 THEN 1 - 0.8::DOUBLE ELSE 0.8::DOUBLE END / k ELSE 0 END / (SELECT sum(CASE source WHEN 0 THEN 1 - 0.8::DOUBLE ELSE 0.8::DOUBLE END) FROM c WHERE k > 0) AS weight FROM k JOIN c USING (source)",
 )
 _add("sampler_weights_offline_only", _weights(None), f"WITH {EVENT_FRAMES} SELECT 0 AS source, episode_index, frame_index, 1.0::DOUBLE / count(*) OVER () AS weight FROM f WHERE episode_index < 50")
 _add(
