@@ -299,7 +299,7 @@ def layout(counts: dict[int, int], room: int = LENGTH) -> dict[int, tuple[np.nda
 
 def pack(df: DataFrame, key: str = "doc_id", text: str = "text", path: str | None = None, length: int = LENGTH, end: int = END) -> DataFrame:
     """One row a piece: key, start, length, ids_crc32, doc_tokens, sequence_id, offset."""
-    cut = pieces(df, key, text, path, length, end)
+    cut = checkpointed(pieces(df, key, text, path, length, end))  # the range sampling would tokenise again
     ranked, totals = global_prefix(cut, ["length"], ["row_key", "start", "ids_crc32", "doc_tokens"])
     counts = {int(r["length"]): int(r["n"]) for r in totals.groupBy("length").agg(F.sum("rows").alias("n")).collect()}  # at most ``length`` rows
     plan = layout(counts, length)
