@@ -44,11 +44,14 @@ SSN = r"(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-])"
 IBAN = r"(?<!\w)[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?!\w)"
 CLOUD = r"(?<!\w)(?:AKIA|ASIA)[0-9A-Z]{16}(?!\w)"
 HEX = r"(?<!\w)(?=[0-9a-f]{0,63}[0-9])[0-9a-f]{32,64}(?!\w)"
-SECRET = r"(?<=(?:password|passwd|pwd|secret|token|api_key|apikey)(?: {0,2}[=:] {0,2})[\"']?)[A-Za-z0-9_+/-]{6,128}"
+SECRET = r"(?<=[=:] {0,2}[\"']?)(?<=(?:password|passwd|pwd|secret|token|api_key|apikey) {0,2}[=:] {0,2}[\"']?)[A-Za-z0-9_+/-]{6,128}"
 PERSON = rf"(?<!\p{{L}})(?:(?:{'|'.join(TITLES)})\.? (?:(?:{_NAMES}) )?{_FAMILY}|(?:{_NAMES}) {_FAMILY})(?!\p{{L}})"
-ENTITY = "|".join([EMAIL, SECRET, IP, CARD, PHONE, SSN, IBAN, CLOUD, HEX, PERSON])
-#: Any text with an entity has one of these marks; a cheap test before the full expression.
-MARK = rf"[0-9@]|(?i:password|passwd|pwd|secret|token|api_?key)|(?:{_NAMES}|{'|'.join(TITLES)})\.? "
+#: Alternatives behind the class of their first character, so that most places fail at once.
+ENTITY = "|".join([EMAIL, SECRET, f"(?=[0-9(+])(?:{'|'.join([IP, CARD, PHONE, SSN])})", f"(?=\\p{{Lu}})(?:{'|'.join([IBAN, CLOUD, PERSON])})", HEX])
+#: Any text with an entity has a digit, an at sign, one of these words, or a name or title; cheap tests before the full expression.
+MARK = r"[0-9@]"
+MARK_WORDS = ("password", "passwd", "pwd", "secret", "token", "api_key", "apikey")
+MARK_NAME = rf"(?=\p{{Lu}})(?<!\p{{L}})(?:{_NAMES}|{'|'.join(TITLES)})\.? "
 
 
 def _kind(e: Column) -> Column:
@@ -174,7 +177,10 @@ def _placed(kind: Column, e: Column, surrogate: Column, key: str) -> Column:
 
 
 def has_entity(text: Column) -> Column:
-    return F.coalesce(text.rlike(MARK) & text.rlike(ENTITY), F.lit(False))
+    mark = text.rlike(MARK)
+    for word in MARK_WORDS:
+        mark = mark | text.contains(word)
+    return F.coalesce((mark | text.rlike(MARK_NAME)) & text.rlike(ENTITY), F.lit(False))
 
 
 def rewritten(texts: DataFrame, key: str = KEY) -> DataFrame:
