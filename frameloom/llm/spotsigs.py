@@ -18,12 +18,13 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._frames import checkpointed, shuffle_partitions
+from ._frames import checkpointed, map_text, shuffle_partitions
 from ._text import LOWER, WORD_BYTE, Words, mix64, span_hashes
 
 CHAIN = 2
@@ -135,7 +136,18 @@ def edited(text: str, following: str) -> str:
     return text[: len(text) - n] + following[:n]
 
 
-_FIELDS = "doc_id {0}, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, part int, side string, text string"
+#: Fingerprints stay raw bytes, and texts compressed ones, until the last step: what is shuffled and checkpointed is small.
+_FIELDS = "doc_id {0}, n_chars long, edited_sha256 string, fingerprint binary, edited_fingerprint binary, near_edited double, near_next double, part int, side string, body binary"
+
+
+def _packed(column: pa.Array) -> list[pa.Array]:
+    press = zstandard.ZstdCompressor(level=3)
+    return [pa.array([press.compress((t or "").encode("utf-8", "surrogatepass")) for t in column.to_pylist()], pa.binary())]
+
+
+def _unpacked(bodies: list[bytes]) -> list[str]:
+    press = zstandard.ZstdDecompressor()
+    return [press.decompress(b).decode("utf-8", "surrogatepass") for b in bodies]
 
 
 def _rows(keys, texts, followers) -> list[list]:
@@ -146,7 +158,7 @@ def _rows(keys, texts, followers) -> list[list]:
     own, last, other = prints[:n], prints[n : n + 1], prints[n + 1 :]
     nxt = own[1:] + last
     return [
-        keys, [len(t) for t in texts], [hashlib.sha256(c.encode("utf-8", "surrogatepass")).hexdigest() for c in changed], [encode(p) for p in own], [encode(p) for p in other],
+        keys, [len(t) for t in texts], [hashlib.sha256(c.encode("utf-8", "surrogatepass")).hexdigest() for c in changed], [p.astype("<u4").tobytes() for p in own], [p.astype("<u4").tobytes() for p in other],
         [likeness(a, b) for a, b in zip(own, other)], [likeness(a, b) for a, b in zip(own, nxt)],
     ]
 
@@ -158,57 +170,56 @@ def fingerprint_with_next(df: DataFrame, key: str = "doc_id", text: str = "text"
     kind = df.schema[key].dataType.simpleString()
     own = df.select(F.col(key).alias("doc_id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text")).withColumn("tie", F.crc32("text"))
     order = [F.col("doc_id").desc_nulls_last(), F.col("tie").asc()]
-    ranged = own.repartitionByRange(shuffle_partitions(df.sparkSession), *order).sortWithinPartitions(*order, "text").select("doc_id", "text")
+    packed = map_text(own, _packed, [T.StructField("body", T.BinaryType())], drop=["text"])
+    ranged = packed.repartitionByRange(shuffle_partitions(df.sparkSession), *order).sortWithinPartitions(*order, "body").select("doc_id", "body")
     schema = T.StructType.fromDDL(_FIELDS.format(kind))
     names = schema.names
+    types = [None, pa.int64(), pa.string(), pa.binary(), pa.binary(), pa.float64(), pa.float64(), pa.int32(), pa.string(), pa.binary()]
+
+    def batch_of(key_type, columns):
+        return pa.RecordBatch.from_arrays([pa.array(c, t or key_type) for c, t in zip(columns, types)], names=names[: len(columns)])
 
     def run(batches):
         part = TaskContext.get().partitionId()
         last = None
-        started = False
-
-        def emit(columns, side, texts):
-            n = len(columns[0])
-            return pa.RecordBatch.from_arrays([pa.array(columns[0], key_type), pa.array(columns[1], pa.int64()), *[pa.array(c, pa.string()) for c in columns[2:5]], *[pa.array(c, pa.float64()) for c in columns[5:7]], pa.array([part] * n, pa.int32()), pa.array([side] * n, pa.string()), pa.array(texts, pa.string())], names=names)
-
+        edge = lambda key_type, side, row: batch_of(key_type, [[row[0]], [0], *[[None]] * 5, [part], [side], [row[1]]])
         for batch in batches:
             key_type = batch.schema.field(0).type
-            keys, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            if not texts:
+            keys, bodies = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+            if not keys:
                 continue
-            if not started:
-                yield emit([[keys[0]], [0], [None], [None], [None], [None], [None]], "head", [texts[0]])
-                started = True
+            if last is None:
+                yield edge(key_type, "head", (keys[0], bodies[0]))
             else:
-                keys, texts = [last[0], *keys], [last[1], *texts]
-            last = (keys[-1], texts[-1])
+                keys, bodies = [last[0], *keys], [last[1], *bodies]
+            last = (keys[-1], bodies[-1])
             at = 0
-            while at < len(texts) - 1:  # a few MB at a time
+            while at < len(keys) - 1:  # a few MB at a time
                 stop, size = at, 0
-                while stop < len(texts) - 1 and size < 4_000_000:
-                    size += len(texts[stop])
+                while stop < len(keys) - 1 and size < 1_000_000:
+                    size += len(bodies[stop])
                     stop += 1
-                yield emit(_rows(keys[at:stop], texts[at:stop], texts[at + 1 : stop + 1]), None, [None] * (stop - at))
+                texts = _unpacked(bodies[at : stop + 1])
+                yield batch_of(key_type, [*_rows(keys[at:stop], texts[:-1], texts[1:]), [part] * (stop - at), [None] * (stop - at), [None] * (stop - at)])
                 at = stop
         if last is not None:
-            yield emit([[last[0]], [0], [None], [None], [None], [None], [None]], "tail", [last[1]])
+            yield edge(key_type, "tail", last)
 
     done = checkpointed(ranged.mapInArrow(run, schema))
-    heads = done.where("side = 'head'").select("part", F.col("text").alias("head"))
+    heads = done.where("side = 'head'").select("part", F.col("body").alias("head"))
     #: One row for each range that has rows: its follower's first text, or the first of all.
     chain = Window.orderBy("part")
     following = heads.select("part", F.coalesce(F.lead("head").over(chain), F.first("head").over(chain.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))).alias("following"))
-    tails = done.where("side = 'tail'").join(following, "part").select("doc_id", "text", "following")
+    tails = done.where("side = 'tail'").join(following, "part").select("doc_id", "body", "following")
 
     def finish(batches):
         for batch in batches:
-            key_type = batch.schema.field(0).type
             for k, t, f in zip(*[c.to_pylist() for c in batch.columns]):
-                c = _rows([k], [t], [f])
-                yield pa.RecordBatch.from_arrays([pa.array(c[0], key_type), pa.array(c[1], pa.int64()), *[pa.array(x, pa.string()) for x in c[2:5]], *[pa.array(x, pa.float64()) for x in c[5:7]]], names=names[:7])
+                yield batch_of(batch.schema.field(0).type, _rows([k], _unpacked([t]), _unpacked([f])))
 
     ends = tails.mapInArrow(finish, T.StructType(schema.fields[:7]))
-    return done.where("side is null").select(*names[:7]).unionByName(ends).withColumnRenamed("doc_id", key)
+    both = done.where("side is null").select(*names[:7]).unionByName(ends)
+    return both.withColumns({c: F.base64(c) for c in ("fingerprint", "edited_fingerprint")}).withColumnRenamed("doc_id", key)
 
 
 def similar_pairs(prints: DataFrame, threshold: float = 0.8, key: str = "doc_id", fingerprint: str = "fingerprint") -> DataFrame:
