@@ -9,12 +9,13 @@
    become candidates. Ranges of the order are handled apart, and what lies at their ends meets in a second small pass.
 3. Pairs whose signatures agree in fewer than ``AGREE`` places are dropped (a pair at the threshold falls below with a
    chance of about 1e-6). Of the others, each class first confirms its likeliest link; pairs that these links already join
-   are settled, and all the rest are confirmed too. A class that met a crowd without joining it is then compared with the
-   crowd's ``CENTRES``, the members that agree most with the others. To confirm is to build both full sets again from whole texts.
-4. Connected components by alternating stars.
+   are settled, and all the rest are confirmed too. To confirm is to build both full sets again from whole texts.
+4. Where a region is crowded, so that 2 leaves pairs out, the links between the components so far are found without a cap
+   (``across``): an index on the prefixes of the sets, in which any pair at the threshold must meet.
+5. Connected components by alternating stars.
 
-So a crowd of m near copies gives at most ``TREES * (REACH + 2 * BEST)`` pairs for each, not m * m, and what joins it does so
-through any of its likeliest links. Measured recall is in the README.
+So a crowd of m near copies gives at most ``TREES * (REACH + 2 * BEST)`` pairs for each in 2, not m * m; 4 has no pair inside
+a component, and of those across only the ones that share a shingle of both prefixes.
 
 Defined cases: a null text, or one without words, has no shingles and is linked with nothing; fewer than five words
 count as one shingle; a null doc_id counts as no smallest id (a component of null ids only has a null id); rows that
@@ -42,7 +43,7 @@ TREES = 16
 REACH = 32
 BEST = 4
 AGREE = 39
-CENTRES = 64
+CROWD = 3
 
 _A = (_splitmix(HASHES, 101) >> np.uint64(32)).astype(np.uint32) | np.uint32(1)
 _B = (_splitmix(HASHES, 202) >> np.uint64(32)).astype(np.uint32)
@@ -173,11 +174,19 @@ def _pairs(keys: np.ndarray, ids: np.ndarray, heads: int | None = None, reach: i
     return pd.DataFrame({"a": np.where(swap, b, a), "b": np.where(swap, a, b), "agree": m})
 
 
+def _crowded(keys: np.ndarray) -> np.ndarray:
+    """Flags of sorted rows whose first CROWD values more rows share than a region surely holds (half of REACH: a run may lie across two ranges)."""
+    new = np.ones(len(keys), bool)
+    new[1:] = (keys[1:, :CROWD] != keys[:-1, :CROWD]).any(1)
+    run = np.cumsum(new)
+    return np.bincount(run)[run] > REACH // 2
+
+
 _CHUNK = 100_000
 
 
 def _walk(batches):
-    """Candidates inside one sorted range, and the rows at its ends."""
+    """Candidates inside one sorted range, its rows in crowded regions, and the rows at its ends."""
     part = TaskContext.get().partitionId()
     held: pd.DataFrame | None = None
     first: dict[int, pd.DataFrame] = {}
@@ -188,6 +197,9 @@ def _walk(batches):
             found = _pairs(keys, own["cls"].to_numpy(), None)
             if len(found):
                 yield found.drop_duplicates(["a", "b"]).assign(part=None, tree=None, key=None, side=None)
+            crowd = own["cls"][_crowded(keys)]
+            if len(crowd):
+                yield pd.DataFrame({"a": crowd, "b": None, "agree": 0, "part": part, "tree": tree, "key": None, "side": "crowd"})
 
     def ends(pdf, side):
         return pd.DataFrame({"a": pdf["cls"], "b": None, "agree": 0, "part": part, "tree": pdf["tree"], "key": pdf["key"], "side": side})
@@ -224,6 +236,11 @@ def _seams(key, pdf):
 
 def candidates(classes: DataFrame) -> DataFrame:
     """classes: cls, mark. Returns a < b, agree: pairs of classes that meet in a tree."""
+    return _met(classes)[0]
+
+
+def _met(classes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The candidates, and cls of the classes that lie in a crowded region of any tree."""
     spark = classes.sparkSession
     step = HASHES // TREES
     turned = F.transform(F.array(*[F.lit(t) for t in range(TREES)]), lambda t: F.struct(t.alias("tree"), F.concat(F.expr("mark").substr(t * step + 1, F.lit(HASHES)), F.expr("mark").substr(F.lit(1), t * step)).alias("key")))
@@ -231,12 +248,12 @@ def candidates(classes: DataFrame) -> DataFrame:
     n = shuffle_partitions(spark)
     walked = checkpointed(rows.repartitionByRange(n, "tree", "key", "cls").sortWithinPartitions("tree", "key", "cls").mapInPandas(_walk, _WALK))
     inner = walked.where("side is null").select("a", "b", "agree")
-    ends = walked.where("side is not null")
+    ends = walked.where("side in ('head', 'tail')")
     #: The range that follows in the order, among those that have rows; one row for each range.
     parts = ends.select("part").distinct().select(F.col("part").alias("head_of"), F.lag("part").over(_by_part()).alias("seam"))
     seams = ends.where("side = 'tail'").withColumn("seam", F.col("part")).unionByName(ends.where("side = 'head'").join(parts, F.col("part") == F.col("head_of")).drop("head_of").where("seam is not null"))
     across = seams.groupBy("seam").applyInPandas(_seams, "a binary, b binary, agree int")
-    return inner.union(across).groupBy("a", "b").agg(F.max("agree").alias("agree"))
+    return inner.union(across).groupBy("a", "b").agg(F.max("agree").alias("agree")), walked.where("side = 'crowd'").select(F.col("a").alias("cls")).distinct()
 
 
 def _by_part():
@@ -291,9 +308,10 @@ def links(df: DataFrame, text: str = "text", percent: int = PERCENT, digest: Dat
     """Confirmed links between classes of equal sets (a, b), enough of them to have every component, not each pair of a crowd."""
     digest = digest if digest is not None else checkpointed(digests(df, text, [key]))
     classes = digest.where("cls is not null").groupBy("cls").agg(F.first("mark").alias("mark"), F.min("n_shingles").alias("n"), F.min_by(F.struct(key), F.struct(key)).alias("of"))
-    found = checkpointed(candidates(classes.select("cls", "mark")))
-    #: A text for each class that has a candidate: that of its least row.
-    busy = found.select(F.col("a").alias("cls")).union(found.select(F.col("b").alias("cls"))).distinct()
+    found, crowd = _met(classes.select("cls", "mark"))
+    found, crowd = checkpointed(found), checkpointed(crowd)
+    #: A text for each class that has a candidate or lies in a crowd: that of its least row.
+    busy = found.select(F.col("a").alias("cls")).union(found.select(F.col("b").alias("cls"))).union(crowd).distinct()
     want = classes.select("cls", F.col(f"of.{key}").alias("of_key")).join(busy, "cls", "left_semi")
     own = df.select(F.col(key).alias("of_key2"), F.col(text).alias("text"))
     texts = map_text(own.join(want, F.col("of_key").eqNullSafe(F.col("of_key2"))).select("cls", "text"), _digest, [T.StructField("n_shingles", T.LongType()), T.StructField("own_cls", T.BinaryType()), T.StructField("mark", T.BinaryType())]).where("cls = own_cls").groupBy("cls").agg(F.first("text").alias("text"))
@@ -306,25 +324,50 @@ def links(df: DataFrame, text: str = "text", percent: int = PERCENT, digest: Dat
     left = found.join(best, ["a", "b"], "left_anti").join(label.select(F.col("node").alias("a"), F.col("label").alias("la")), "a", "left").join(label.select(F.col("node").alias("b"), F.col("label").alias("lb")), "b", "left")
     rest = left.where("la is null or lb is null or la <> lb").select("a", "b")
     linked = checkpointed(sure.union(confirmed(rest, texts, percent)))
-    return linked.union(checkpointed(confirmed(_to_centres(found, linked), texts, percent)))
-
-
-def _to_centres(found: DataFrame, linked: DataFrame) -> DataFrame:
-    """Pairs of a class that met a crowd without joining it, and the crowd's centres.
-
-    A crowd is a component of more than REACH classes, so a class at its fringe has not met all of it. Its links are to the
-    members least changed, which are also the likeliest for most others: the CENTRES with the most agreement in all."""
-    label = components(linked)
-    crowds = label.groupBy("label").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > REACH).select("label")
-    members = label.join(crowds, "label")
-    ends = found.select(F.col("a").alias("node"), F.col("b").alias("other"), "agree").union(found.select(F.col("b").alias("node"), F.col("a").alias("other"), "agree"))
-    pull = ends.groupBy("node").agg(F.sum("agree").alias("pull")).join(members, "node").withColumn("salt", F.pmod(F.xxhash64("node"), F.lit(64)))
-    top = lambda *by: F.row_number().over(Window.partitionBy(*by).orderBy(F.col("pull").desc(), "node"))
-    centres = pull.withColumn("r", top("label", "salt")).where(F.col("r") <= CENTRES).withColumn("r", top("label")).where(F.col("r") <= CENTRES).select("label", F.col("node").alias("centre"))
-    met = ends.join(members.select(F.col("node").alias("other"), "label"), "other").select("node", "label").distinct()
-    fringe = met.join(members.select("node", F.col("label").alias("own")), "node", "left").where("own is null or own <> label").select("node", "label")
-    pairs = fringe.join(centres, "label").where("node <> centre").select(F.least("node", "centre").alias("a"), F.greatest("node", "centre").alias("b")).distinct()
-    return pairs.join(found.select("a", "b"), ["a", "b"], "left_anti")
+    if crowd.isEmpty():
+        return linked
+    more = across(texts.join(crowd, "cls", "left_semi"), components(linked), percent).join(found.select("a", "b"), ["a", "b"], "left_anti")
+    alike = more.join(classes.select(F.col("cls").alias("a"), F.col("mark").alias("mark_a")), "a").join(classes.select(F.col("cls").alias("b"), F.col("mark").alias("mark_b")), "b").mapInPandas(_agreeing, "a binary, b binary")
+    return linked.union(checkpointed(confirmed(alike, texts, percent)))
+
+
+def _agreeing(batches):
+    """Pairs whose signatures agree as the trees' candidates must."""
+    for pdf in batches:
+        if len(pdf):
+            a, b = (np.frombuffer(b"".join(pdf[c]), np.uint8).reshape(-1, HASHES) for c in ("mark_a", "mark_b"))
+            yield pdf.loc[(a == b).sum(1) >= AGREE, ["a", "b"]]
+
+
+def _whole(column: pa.Array) -> list[pa.Array]:
+    raw, off = text_buffers(column)
+    parts = [shingle_sets(raw[off[i] : off[j]], off[i : j + 1] - off[i]) for i, j in slices(off)]
+    sizes = np.concatenate([[0], *[np.diff(first) for _, first in parts]])
+    values = np.concatenate([v for v, _ in parts]) if parts else np.zeros(0, np.uint64)
+    return [pa.array(sizes[1:], pa.int64()), pa.LargeListArray.from_arrays(pa.array(np.cumsum(sizes), pa.int64()), pa.array(values.view(np.int64))).cast(pa.list_(pa.int64()))]
+
+
+def across(texts: DataFrame, label: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """texts: cls, text, distinct; label: node, label. Pairs (a, b) of classes in two components among which every pair at the threshold is.
+
+    Sets of n and more shingles that are alike share one of the first n - ceil(percent * n / 100) + 1 of each, in any order
+    that is the same for all. The order here: shingles of one component only, then the others from rare to common. So shingles
+    that tell a component from the rest fill the prefixes, and they make no pair."""
+    fields = [T.StructField("n", T.LongType()), T.StructField("all", T.ArrayType(T.LongType()))]
+    named = texts.select("cls", "text").join(label.select(F.col("node").alias("cls"), "label"), "cls", "left").select(F.xxhash64("cls").alias("id"), F.xxhash64(F.coalesce("label", "cls")).alias("l"), "text")
+    rows = checkpointed(map_text(named, _whole, fields, drop=["text"])).select("id", "l", "n", F.explode("all").alias("s"))
+    several = rows.groupBy("s").agg(F.count(F.lit(1)).alias("held"), F.min("l").alias("l0"), F.max("l").alias("l1")).where("l0 <> l1").select("s", "held")
+    of_class = Window.partitionBy("id")
+    ranked = rows.join(several, "s").withColumn("place", F.row_number().over(of_class.orderBy("held", "s")) + F.col("n") - F.count(F.lit(1)).over(of_class))
+    first = checkpointed(ranked.where(f"place <= n - (n * {percent} + 99) div 100 + 1").select("id", "l", "n", "s", "place"))
+    x, y = (first.select("s", *[F.col(c).alias(f"{c}_{side}") for c in ("id", "l", "n", "place")]) for side in "xy")
+    #: The first shingle that both have leaves room for the common ones that the pair needs.
+    need = f"{percent} * (n_x + n_y)"
+    met = x.join(y, "s").where("l_x < l_y").where(f"{100 + percent} * (n_x - place_x + 1) >= {need} and {100 + percent} * (n_y - place_y + 1) >= {need}")
+    pairs = met.select("id_x", "id_y").distinct()
+    ids = texts.select(F.xxhash64("cls").alias("id"), "cls")
+    both = pairs.join(ids.select(F.col("id").alias("id_x"), F.col("cls").alias("x")), "id_x").join(ids.select(F.col("id").alias("id_y"), F.col("cls").alias("y")), "id_y")
+    return both.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
 
 
 def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", percent: int = PERCENT) -> DataFrame:

@@ -149,6 +149,21 @@ def test_crowd_of_near_copies_stays_linear(spark):
     assert 0 <= got - len(set(roots)) <= 3
 
 
+def test_every_link_across_components_is_met(spark):
+    rng = random.Random(5)
+    vocab = [f"w{i}" for i in range(2000)]
+    base = [rng.choice(vocab) for _ in range(300)]
+    texts = []
+    for _ in range(600):  # the crowd of test_crowd_of_near_copies_stays_linear, in which the forest alone misses two links
+        w = list(base)
+        for _ in range(rng.randint(1, 6)):
+            w[rng.randrange(300)] = rng.choice(vocab)
+        texts.append(" ".join(w))
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    _, roots = _links(texts)
+    assert len({r["component_id"] for r in lsh_forest.near_duplicates(df).collect()}) == len(set(roots))
+
+
 def test_components(spark):
     rng = random.Random(1)
     edges = [(i, i + 1) for i in range(300) if i % 50] + [(1000, 1000 + i) for i in range(1, 80)] + [(rng.randrange(2000, 2100), rng.randrange(2000, 2100)) for _ in range(60)]
