@@ -23,10 +23,17 @@ from pyspark.sql import types as T
 from ._frames import fresh, map_text
 from ._text import WORD_BYTE, Words, ngram_hashes, ngram_starts, segment_sum, slices, span_hashes, text_buffers
 
-MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_upper", "n_letters", "n_exclaims", "n_alpha_words", "n_abuse")
+MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_upper", "n_letters", "n_exclaims", "n_alpha_words", "n_abuse", "n_insults")
 
 #: Abusive words that the rule ``abusive`` counts (lower case, whole words without edge punctuation).
 ABUSE = ("scum", "idiot", "worthless", "pathetic")
+#: The same for the rule ``toxic``: insults in the four languages of the corpus.
+INSULTS = tuple(
+    "scum idiot idiots idiotic worthless pathetic moron morons moronic stupid trash clown clowns loser losers disgusting dumb dumbass imbecile imbeciles "
+    "cretin jerk bastard bastards bitch asshole assholes fuck fucking shit bullshit scumbag dirtbag lowlife vermin filth retard retarded slut whore "
+    "idioten dummkopf vollidiot arschloch scheiße abschaum versager drecksau wichser hurensohn connard connasse salaud salope imbécile abruti ordure "
+    "crétin débile merde idiota idiotas imbécil estúpido estúpida gilipollas cabrón mierda puta escoria basura".split()
+)
 
 
 @dataclass(frozen=True)
@@ -48,6 +55,7 @@ RULES = (
     Rule("few_letters", "100 * n_alpha_words < 50 * n_words"),
     Rule("long_words", "word_chars > 25 * n_words"),
     Rule("abusive", "100 * n_abuse > 1 * n_words"),
+    Rule("toxic", "n_insults >= 2"),
 )
 BIT = {r.name: 1 << i for i, r in enumerate(RULES)}
 BASE = BIT["few_words"] | BIT["repeated_windows"]
@@ -55,9 +63,10 @@ POLICIES = {
     "base": BASE,
     "web-1": BASE | BIT["symbols"] | BIT["duplicate_lines"],
     "web-2": BASE | BIT["symbols"] | BIT["duplicate_lines"] | BIT["shouting"] | BIT["exclamations"] | BIT["few_letters"] | BIT["long_words"],
+    "web-3": BASE | BIT["symbols"] | BIT["duplicate_lines"] | BIT["shouting"] | BIT["exclamations"] | BIT["few_letters"] | BIT["long_words"] | BIT["toxic"],
     "mild-1": BASE | BIT["symbols"] | BIT["abusive"],
 }
-POLICY = "web-2"
+POLICY = "web-3"
 
 _CONT = (np.arange(256) & 0xC0) == 0x80
 _SYMBOL = np.zeros(256, bool)
@@ -75,10 +84,11 @@ def _per_text(flags: np.ndarray, off: np.ndarray) -> np.ndarray:
     return segment_sum(flags, off)
 
 
-def _abuse_hashes() -> np.ndarray:
-    raw = np.frombuffer("".join(ABUSE).encode(), np.uint8)
-    ends = np.cumsum([len(w) for w in ABUSE])
-    return np.sort(span_hashes(raw, ends - [len(w) for w in ABUSE], ends, True))
+def _word_hashes(words: tuple[str, ...]) -> np.ndarray:
+    sizes = np.array([len(w.encode()) for w in words])
+    raw = np.frombuffer("".join(words).encode(), np.uint8)
+    ends = np.cumsum(sizes)
+    return np.sort(span_hashes(raw, ends - sizes, ends, True))
 
 
 def _dup_within(values: np.ndarray, doc: np.ndarray, n_docs: int, all_of_them: bool) -> np.ndarray:
@@ -123,9 +133,9 @@ def measure(raw: np.ndarray, off: np.ndarray) -> dict[str, np.ndarray]:
     out["n_alpha_words"] = segment_sum(letters[words.ends] > letters[words.starts], words.first)
     #: Words without edge punctuation: the ASCII letters of a word, if they stand together.
     core = Words(raw, off, _LETTER | (np.arange(256) >= 0x80))
-    known = _abuse_hashes()
     h = core.hashes(fold=True)
-    out["n_abuse"] = segment_sum(np.isin(h, known), core.first)
+    out["n_abuse"] = segment_sum(np.isin(h, _word_hashes(ABUSE)), core.first)
+    out["n_insults"] = segment_sum(np.isin(h, _word_hashes(INSULTS)), core.first)
     return out
 
 
