@@ -43,8 +43,8 @@ PHONE = r"(?<![\w+])\+\d{1,3}[ .-]?\(?\d{2,4}\)?(?:[ .-]?\d{2,4}){2,3}(?!\d)|(?<
 SSN = r"(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-])"
 IBAN = r"(?<!\w)[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?!\w)"
 CLOUD = r"(?<!\w)(?:AKIA|ASIA)[0-9A-Z]{16}(?!\w)"
-HEX = r"(?<!\w)(?=[0-9a-f]{0,63}[0-9])[0-9a-f]{32,64}(?!\w)"
-SECRET = r"(?<=[=:] {0,2}[\"']?)(?<=(?:password|passwd|pwd|secret|token|api_key|apikey) {0,2}[=:] {0,2}[\"']?)[A-Za-z0-9_+/-]{6,128}"
+HEX = r"(?<!\w)(?=[a-f]*+[0-9])[0-9a-f]{32,}+(?!\w)"
+SECRET = r"(?<=[=:] {0,2}[\"']?)(?<=(?i:password|passwd|pwd|secret|token|api_key|apikey) {0,2}[=:] {0,2}[\"']?)[A-Za-z0-9_+/-]{6,}+"
 PERSON = rf"(?<!\p{{L}})(?:(?:{'|'.join(TITLES)})\.? (?:(?:{_NAMES}) )?{_FAMILY}|(?:{_NAMES}) {_FAMILY})(?!\p{{L}})"
 #: Alternatives behind the class of their first character, so that most places fail at once.
 ENTITY = "|".join([EMAIL, SECRET, f"(?=[0-9(+])(?:{'|'.join([IP, CARD, PHONE, SSN])})", f"(?=\\p{{Lu}})(?:{'|'.join([IBAN, CLOUD, PERSON])})", HEX])
@@ -178,8 +178,9 @@ def _placed(kind: Column, e: Column, surrogate: Column, key: str) -> Column:
 
 def has_entity(text: Column) -> Column:
     mark = text.rlike(MARK)
+    lower = F.lower(text)
     for word in MARK_WORDS:
-        mark = mark | text.contains(word)
+        mark = mark | lower.contains(word)
     return F.coalesce((mark | text.rlike(MARK_NAME)) & text.rlike(ENTITY), F.lit(False))
 
 

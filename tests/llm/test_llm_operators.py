@@ -477,6 +477,20 @@ def test_pii(spark, docs, empty):
     assert pii_surrogates.replace(docs).count() == docs.count() and pii_surrogates.replace(empty).count() == 0
 
 
+def test_pii_whole_secrets(spark):
+    rng = random.Random(4)
+    token = "".join(rng.choice("ghjkmnpqrstuvwxyzGHJKMNPQRSTUVWXYZ") for _ in range(200))
+    key = "".join(rng.choice("0123456789abcdef") for _ in range(128))
+    texts = [f"token={token} end", f"key {key} end", "Password: hunterhunter end", "API_KEY=abcdefghij end", f"Secret = '{token}' end"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: r for r in pii_surrogates.replace(df, count="found").collect()}
+    assert [got[i]["found"] for i in range(5)] == [1] * 5
+    for i, (start, value) in enumerate([("token=", token), ("key ", key), ("Password: ", "hunterhunter"), ("API_KEY=", "abcdefghij"), ("Secret = '", token)]):
+        new = got[i]["text"]
+        assert new.startswith(start) and len(new) == len(texts[i]) and " end" in new
+        assert not any(value[k : k + 8] in new for k in range(len(value) - 7))
+
+
 def test_surrogates_are_distinct_and_none_is_an_entity(spark):
     rows = [("ip", f"{a}.{b}.1.1") for a in range(1, 10) for b in range(0, 10)] + [("secret", f"{i:06d}") for i in range(200)]
     got = pii_surrogates.surrogates(spark.createDataFrame(rows, "kind string, normal string")).collect()
