@@ -10,9 +10,10 @@ so the failure weight of h is log10(mu / (c(h) + mu)), and the probabilities of
 
 Nothing of the model is broadcast or capped. Documents are dealt into chunks of about ``CHUNK_BYTES``; a chunk sends its
 distinct n-grams (hash keys and training counts, packed) to key buckets; a bucket sums the counts of all chunks and answers
-each chunk for its own keys; a chunk then has exactly the part of the automaton that its texts can visit, and one
-left-to-right traversal of each text carries the state and adds log-probabilities. Only distinct n-grams of a chunk move, so
-a frequent word costs no more than a rare one.
+each chunk for its own keys; a chunk then has exactly the counts of the automaton's part that its texts can visit. ``score``
+builds no states or arcs from them: it evaluates the recursion above for all places at once and adds log-probabilities, which
+gives the sums that a traversal with failure arcs would give. ``Automaton`` is that traversal, for tests and small corpora.
+Only distinct n-grams of a chunk move, so a frequent word costs no more than a rare one.
 
 Defined cases: a null text is empty and has the end token alone; a null key counts as the empty string in the hold-out
 rule; a corpus without training rows gives every token 1 / (0 + 0 + 1); repeated rows are scored and counted each; an empty
