@@ -11,14 +11,21 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
+from ._text import release
+
 WORD = r"[^\x20\x09-\x0D]+"
 
 
 def checkpoint_folder(spark: SparkSession) -> str:
-    """The shared folder of spark.checkpoint.dir; a folder of our own only where that is unset."""
+    """The shared folder of spark.checkpoint.dir; a folder of our own only where that is unset and the session is local, as in tests."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="frameloom-checkpoint-"))
+        folder = sc.getConf().get("spark.checkpoint.dir")
+        if not folder:
+            if not sc.master.startswith("local"):
+                raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
+            folder = tempfile.mkdtemp(prefix="frameloom-checkpoint-")
+        sc.setCheckpointDir(folder)
     return sc.getCheckpointDir()
 
 
@@ -90,5 +97,6 @@ def map_text(df: DataFrame, kernel: Callable[[pa.Array], list[pa.Array]], fields
             new = kernel(batch.column(batch.schema.get_field_index(text)))
             columns = [batch.column(batch.schema.get_field_index(c)) for c in names] + list(new)
             yield pa.RecordBatch.from_arrays([c if c.type == f.type else c.cast(f.type) for c, f in zip(columns, arrow)], schema=arrow)
+        release()
 
     return df.mapInArrow(run, schema)

@@ -6,6 +6,8 @@ runs of whole texts of about ``SLICE_BYTES`` so that memory stays bounded by tha
 
 from __future__ import annotations
 
+import ctypes
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -39,21 +41,31 @@ _CODE = _splitmix(256, 7)
 _CODE_LOWER = _CODE[LOWER]
 _BASE = 0x5851F42D4C957F2D
 _INV = pow(_BASE, -1, 1 << 64)
-_powers: dict[int, np.ndarray] = {}
+#: Spans are hashed over blocks of this many bytes, so the tables of powers have this length whatever the texts have.
+BLOCK_BYTES = 1 << 16
 
 
 def _power_table(base: int, n: int) -> np.ndarray:
-    table = _powers.get(base)
-    if table is None or len(table) < n:
-        size = 1 << max(16, int(n - 1).bit_length())
-        table = np.ones(size, _U)
-        have, step = 1, base
-        with np.errstate(over="ignore"):
-            while have < size:
-                table[have : 2 * have] = table[:have] * _U(step)
-                have, step = 2 * have, step * step % (1 << 64)
-        _powers[base] = table
-    return table[:n]
+    table = np.ones(n, _U)
+    have, step = 1, base
+    with np.errstate(over="ignore"):
+        while have < n:
+            table[have : 2 * have] = table[: min(have, n - have)] * _U(step)
+            have, step = 2 * have, step * step % (1 << 64)
+    return table
+
+
+_POWER = _power_table(_BASE, BLOCK_BYTES + 1)
+_INVERSE = _power_table(_INV, BLOCK_BYTES + 1)
+
+
+def release() -> None:
+    """Give back what a task's buffers held; workers are used again by later tasks and stages."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # not glibc
+        pass
 
 
 def text_buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -106,14 +118,31 @@ class Words:
 
 
 def span_hashes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray, fold: bool = False) -> np.ndarray:
-    """64-bit hashes of byte spans; with ``fold``, A-Z count as a-z."""
-    n = len(raw)
-    total = np.zeros(n + 1, _U)
+    """64-bit hashes of byte spans, which must rise and not overlap; with ``fold``, A-Z count as a-z.
+
+    A block of spans shares one run of prefix sums; a span that is longer than a block is summed piece by piece."""
+    code = _CODE_LOWER if fold else _CODE
+    out = np.empty(len(starts), _U)
+    total = np.zeros(BLOCK_BYTES + 1, _U)
+    i = 0
     with np.errstate(over="ignore"):
-        np.cumsum((_CODE_LOWER if fold else _CODE)[raw] * _power_table(_BASE, n), out=total[1:])
-        out = total[ends]
-        out -= total[starts]
-        out *= _power_table(_INV, n + 1)[starts]
+        while i < len(starts):
+            base = int(starts[i])
+            j = int(np.searchsorted(ends, base + BLOCK_BYTES, "right"))
+            if j <= i:
+                value, power = 0, 1
+                for at in range(base, int(ends[i]), BLOCK_BYTES):
+                    part = raw[at : min(at + BLOCK_BYTES, int(ends[i]))]
+                    value += int((code[part] * _POWER[: len(part)]).sum(dtype=_U)) * power
+                    power = power * pow(_BASE, BLOCK_BYTES, 1 << 64) % (1 << 64)
+                out[i] = _U(value % (1 << 64))
+                i += 1
+                continue
+            part = raw[base : int(ends[j - 1])]
+            np.cumsum(code[part] * _POWER[: len(part)], out=total[1 : len(part) + 1])
+            s, e = starts[i:j] - base, ends[i:j] - base
+            out[i:j] = (total[e] - total[s]) * _INVERSE[s]
+            i = j
         return mix64(out ^ ((ends - starts).astype(_U) << _U(48)))
 
 

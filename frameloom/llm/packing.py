@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ._frames import checkpointed, global_prefix
-from ._text import WORD_BYTE, slices, span_hashes, text_buffers
+from ._text import WORD_BYTE, release, slices, span_hashes, text_buffers
 
 LENGTH = 1024
 END = 0
@@ -44,7 +44,7 @@ def tokenizer_path() -> str:
 class Ids:
     """Token ids of stretches of text; remembers the stretches it has seen, up to ``most`` ids."""
 
-    def __init__(self, path: str, most: int = 6_000_000):
+    def __init__(self, path: str, most: int = 2_000_000):
         from tokenizers import Tokenizer
 
         self.tokenizer, self.most = Tokenizer.from_file(path), most
@@ -113,7 +113,7 @@ def pieces(df: DataFrame, key: str = "doc_id", text: str = "text", path: str | N
         ids_of = _ids(path)
         for batch in batches:
             raw, off = text_buffers(batch.column(1))
-            for i, j in slices(off, 1 << 23):
+            for i, j in slices(off):
                 ids, first = ids_of.texts(raw[off[i] : off[j]], off[i : j + 1] - off[i])
                 row, start, size, crc, total = [], [], [], [], []
                 for k in range(j - i):
@@ -126,6 +126,8 @@ def pieces(df: DataFrame, key: str = "doc_id", text: str = "text", path: str | N
                         crc.append(zlib.crc32(part.tobytes()))
                         total.append(len(own_ids))
                 yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row, pa.int64())), *[pa.array(x, pa.int64()) for x in (start, size, crc, total)]], names=schema.names)
+        ids_of.forget()
+        release()
 
     return own.mapInArrow(run, schema)
 
