@@ -37,9 +37,35 @@ def _stars(parent: dict, root) -> pd.DataFrame:
     return pd.DataFrame(rows, columns=["a", "b"])
 
 
-def components(edges: DataFrame, limit: int = 64) -> DataFrame:
-    """edges: a, b (binary). Returns node, label: the least node of its component; only nodes that have edges."""
-    now = checkpointed(edges.select("a", "b").where("a <> b").mapInPandas(_forest, "a binary, b binary").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
+def _closed(batches):
+    """All edges at once: every node with its component's least node."""
+    parent: dict = {}
+
+    def root(x):
+        while parent.setdefault(x, x) != x:
+            parent[x] = parent[parent[x]]
+            x = parent[x]
+        return x
+
+    for pdf in batches:
+        for a, b in zip(pdf["a"], pdf["b"]):
+            ra, rb = root(bytes(a)), root(bytes(b))
+            if ra != rb:
+                parent[max(ra, rb)] = min(ra, rb)
+    if parent:
+        yield pd.DataFrame({"node": list(parent), "label": [root(x) for x in list(parent)]})
+
+
+#: So many edges (about 50 MB of nodes) are closed in one task; more by rounds of stars over all.
+FEW = 150_000
+
+
+def components(edges: DataFrame, limit: int = 64, few: int = FEW) -> DataFrame:
+    """edges: a, b (binary). Returns node, label: the least node of its component; only nodes that have edges. Checkpointed."""
+    now = checkpointed(edges.select("a", "b").where("a <> b").mapInPandas(_forest, "a binary, b binary").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")))
+    if now.count() <= few:
+        return checkpointed(now.coalesce(1).mapInPandas(_closed, "node binary, label binary"))
+    now = checkpointed(now.distinct())
     for _ in range(limit):
         #: Large star: a node's larger neighbours move to the least of it and its neighbours.
         both = now.select(F.col("a").alias("u"), F.col("b").alias("v")).union(now.select(F.col("b").alias("u"), F.col("a").alias("v")))
@@ -53,5 +79,5 @@ def components(edges: DataFrame, limit: int = 64) -> DataFrame:
         moving = after.groupBy("a").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("a").union(after.select(F.col("b").alias("a")).join(after.select("a"), "a", "left_semi").select("a"))
         now = after
         if moving.isEmpty():
-            return now.select(F.col("a").alias("node"), F.col("b").alias("label")).union(now.select(F.col("b").alias("node"), F.col("b").alias("label")).distinct())
+            return checkpointed(now.select(F.col("a").alias("node"), F.col("b").alias("label")).union(now.select(F.col("b").alias("node"), F.col("b").alias("label")).distinct()))
     raise RuntimeError("components did not settle")

@@ -10,16 +10,19 @@
 3. Pairs whose signatures agree in fewer than ``AGREE`` places are dropped (a pair at the threshold falls below with a
    chance of about 1e-6). Of the others, each class first confirms its likeliest link; pairs that these links already join
    are settled, and all the rest are confirmed too. To confirm is to build both full sets again from whole texts.
-4. Where a region is crowded, so that 2 leaves pairs out, the links between the components so far are found without a cap
-   (``across``): an index on the prefixes of the sets, in which any pair at the threshold must meet.
-5. Connected components by alternating stars.
+4. A region is crowded if more rows than it may hold share as many first values as tell that number of classes apart
+   (``crowd_depth``). For the classes of crowded regions the links between the components so far are found without a cap
+   (``across``): an index on the prefixes of the sets, in which any pair at the threshold must meet. Signatures are compared
+   where the pair meets, before it is written anywhere.
+5. Connected components by alternating stars, over what the components so far leave open.
 
 So a crowd of m near copies gives at most ``TREES * (REACH + 2 * BEST)`` pairs for each in 2, not m * m; 4 has no pair inside
 a component, and of those across only the ones that share a shingle of both prefixes.
 
 Defined cases: a null text, or one without words, has no shingles and is linked with nothing; fewer than five words
 count as one shingle; a null doc_id counts as no smallest id (a component of null ids only has a null id); rows that
-are repeated have one class; an empty table gives no rows; other columns are not read.
+are repeated, or have one key and different texts, are joined to their texts by key and text, so they stay in proportion; an
+empty table gives no rows; other columns are not read.
 """
 
 from __future__ import annotations
@@ -28,7 +31,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -43,7 +46,8 @@ TREES = 16
 REACH = 32
 BEST = 4
 AGREE = 39
-CROWD = 3
+LOOKUP = 300_000
+BLOCK = 512
 
 _A = (_splitmix(HASHES, 101) >> np.uint64(32)).astype(np.uint32) | np.uint32(1)
 _B = (_splitmix(HASHES, 202) >> np.uint64(32)).astype(np.uint32)
@@ -114,6 +118,11 @@ def digests(df: DataFrame, text: str = "text", keep: list[str] = ()) -> DataFram
     return map_text(df.select(*keep, F.col(text).alias("text")), _digest, _DIGEST, drop=["text"])
 
 
+def crowd_depth(classes: int) -> int:
+    """How many one-byte values tell so many classes apart, 3 at least."""
+    return max(3, -(-max(classes, 1).bit_length() // 8))
+
+
 def _pairs(keys: np.ndarray, ids: np.ndarray, heads: int | None = None, reach: int = REACH, agree: int = AGREE, best: int = BEST) -> pd.DataFrame:
     """Candidate links among sorted rows of one tree. heads: only pairs that cross from before that row to it or later."""
     n = len(ids)
@@ -174,10 +183,10 @@ def _pairs(keys: np.ndarray, ids: np.ndarray, heads: int | None = None, reach: i
     return pd.DataFrame({"a": np.where(swap, b, a), "b": np.where(swap, a, b), "agree": m})
 
 
-def _crowded(keys: np.ndarray) -> np.ndarray:
-    """Flags of sorted rows whose first CROWD values more rows share than a region surely holds (half of REACH: a run may lie across two ranges)."""
+def _crowded(keys: np.ndarray, depth: int) -> np.ndarray:
+    """Flags of sorted rows whose first ``depth`` values more rows share than a region surely holds (half of REACH: a run may lie across two ranges)."""
     new = np.ones(len(keys), bool)
-    new[1:] = (keys[1:, :CROWD] != keys[:-1, :CROWD]).any(1)
+    new[1:] = (keys[1:, :depth] != keys[:-1, :depth]).any(1)
     run = np.cumsum(new)
     return np.bincount(run)[run] > REACH // 2
 
@@ -185,19 +194,18 @@ def _crowded(keys: np.ndarray) -> np.ndarray:
 _CHUNK = 100_000
 
 
-def _walk(batches):
+def _walk(batches, depth: int):
     """Candidates inside one sorted range, its rows in crowded regions, and the rows at its ends."""
     part = TaskContext.get().partitionId()
     held: pd.DataFrame | None = None
-    first: dict[int, pd.DataFrame] = {}
 
-    def links(pdf, fresh_from):
+    def links(pdf):
         for tree, own in pdf.groupby("tree", sort=False):
             keys = np.frombuffer(b"".join(own["key"]), np.uint8).reshape(-1, HASHES)
             found = _pairs(keys, own["cls"].to_numpy(), None)
             if len(found):
                 yield found.drop_duplicates(["a", "b"]).assign(part=None, tree=None, key=None, side=None)
-            crowd = own["cls"][_crowded(keys)]
+            crowd = own["cls"][_crowded(keys, depth)]
             if len(crowd):
                 yield pd.DataFrame({"a": crowd, "b": None, "agree": 0, "part": part, "tree": tree, "key": None, "side": "crowd"})
 
@@ -214,7 +222,7 @@ def _walk(batches):
                 yield ends(piece.head(missing), "head")
                 missing -= len(piece)
             joined = piece if held is None else pd.concat([held, piece], ignore_index=True)
-            yield from links(joined, 0)
+            yield from links(joined)
             held = joined.tail(2 * REACH)
     if held is not None:
         yield ends(held.tail(REACH), "tail")
@@ -242,11 +250,12 @@ def candidates(classes: DataFrame) -> DataFrame:
 def _met(classes: DataFrame) -> tuple[DataFrame, DataFrame]:
     """The candidates, and cls of the classes that lie in a crowded region of any tree."""
     spark = classes.sparkSession
+    depth = crowd_depth(classes.count())
     step = HASHES // TREES
     turned = F.transform(F.array(*[F.lit(t) for t in range(TREES)]), lambda t: F.struct(t.alias("tree"), F.concat(F.expr("mark").substr(t * step + 1, F.lit(HASHES)), F.expr("mark").substr(F.lit(1), t * step)).alias("key")))
     rows = classes.select("cls", F.inline(turned))
     n = shuffle_partitions(spark)
-    walked = checkpointed(rows.repartitionByRange(n, "tree", "key", "cls").sortWithinPartitions("tree", "key", "cls").mapInPandas(_walk, _WALK))
+    walked = checkpointed(rows.repartitionByRange(n, "tree", "key", "cls").sortWithinPartitions("tree", "key", "cls").mapInPandas(lambda batches: _walk(batches, depth), _WALK))
     inner = walked.where("side is null").select("a", "b", "agree")
     ends = walked.where("side in ('head', 'tail')")
     #: The range that follows in the order, among those that have rows; one row for each range.
@@ -304,42 +313,55 @@ def confirmed(pairs: DataFrame, texts: DataFrame, percent: int = PERCENT) -> Dat
     return with_both.mapInPandas(_confirm(percent), "a binary, b binary")
 
 
-def links(df: DataFrame, text: str = "text", percent: int = PERCENT, digest: DataFrame | None = None, key: str = "doc_id") -> DataFrame:
-    """Confirmed links between classes of equal sets (a, b), enough of them to have every component, not each pair of a crowd."""
-    digest = digest if digest is not None else checkpointed(digests(df, text, [key]))
-    classes = digest.where("cls is not null").groupBy("cls").agg(F.first("mark").alias("mark"), F.min("n_shingles").alias("n"), F.min_by(F.struct(key), F.struct(key)).alias("of"))
+def _own(df: DataFrame, key: str, text: str, *more: str) -> DataFrame:
+    """doc_id, text, a hash of the text, and more of df's columns."""
+    body = F.col(f"`{text}`").cast("string")
+    return df.select(F.col(f"`{key}`").alias("doc_id"), body.alias("text"), F.xxhash64(body).alias("text_hash"), *more)
+
+
+def _joined(label: DataFrame | None, links: DataFrame) -> DataFrame:
+    """The components (node, label) after more links; those so far are stars already."""
+    if label is None:
+        return components(links)
+    if links.isEmpty():
+        return label
+    return components(label.select(F.col("node").alias("a"), F.col("label").alias("b")).where("a <> b").union(links.select("a", "b")))
+
+
+def _by_label(label: DataFrame) -> DataFrame:
+    """The labels for a lookup: broadcast up to LOOKUP nodes (about 20 MB), else joined by shuffle."""
+    return F.broadcast(label) if label.count() <= LOOKUP else label
+
+
+def labels(own: DataFrame, digest: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """node, label: the component of each class of equal sets that is linked with another. own: doc_id, text, text_hash;
+    digest: those keys, cls, mark and n_shingles, a row for each of own's."""
+    classes = digest.where("cls is not null").groupBy("cls").agg(F.first("mark").alias("mark"), F.min(F.struct("doc_id", "text_hash")).alias("of"))
+    classes = checkpointed(classes)
     found, crowd = _met(classes.select("cls", "mark"))
     found, crowd = checkpointed(found), checkpointed(crowd)
     #: A text for each class that has a candidate or lies in a crowd: that of its least row.
     busy = found.select(F.col("a").alias("cls")).union(found.select(F.col("b").alias("cls"))).union(crowd).distinct()
-    want = classes.select("cls", F.col(f"of.{key}").alias("of_key")).join(busy, "cls", "left_semi")
-    own = df.select(F.col(key).alias("of_key2"), F.col(text).alias("text"))
-    texts = map_text(own.join(want, F.col("of_key").eqNullSafe(F.col("of_key2"))).select("cls", "text"), _digest, [T.StructField("n_shingles", T.LongType()), T.StructField("own_cls", T.BinaryType()), T.StructField("mark", T.BinaryType())]).where("cls = own_cls").groupBy("cls").agg(F.first("text").alias("text"))
+    want = classes.select("cls", "mark", F.col("of.doc_id").alias("of_key"), F.col("of.text_hash").alias("text_hash")).join(busy, "cls", "left_semi")
+    texts = own.join(want, (F.col("of_key").eqNullSafe(F.col("doc_id"))) & (own["text_hash"] == want["text_hash"])).groupBy("cls").agg(F.first("text").alias("text"), F.first("mark").alias("mark"))
     texts = checkpointed(texts)
+    bodies = texts.select("cls", "text")
     #: First each class with its likeliest partner, then every pair that isn't joined yet.
     ends = found.select(F.col("a").alias("x"), F.col("b").alias("y"), "agree").union(found.select(F.col("b").alias("x"), F.col("a").alias("y"), "agree"))
     best = ends.groupBy("x").agg(F.max(F.struct("agree", "y")).alias("m")).select(F.least("x", "m.y").alias("a"), F.greatest("x", "m.y").alias("b")).distinct()
-    sure = checkpointed(confirmed(best, texts, percent))
-    label = components(sure)
-    left = found.join(best, ["a", "b"], "left_anti").join(label.select(F.col("node").alias("a"), F.col("label").alias("la")), "a", "left").join(label.select(F.col("node").alias("b"), F.col("label").alias("lb")), "b", "left")
-    rest = left.where("la is null or lb is null or la <> lb").select("a", "b")
-    linked = checkpointed(sure.union(confirmed(rest, texts, percent)))
+    label = _joined(None, confirmed(best, bodies, percent))
+    named = _by_label(label)
+    left = found.join(named.select(F.col("node").alias("a"), F.col("label").alias("la")), "a", "left").join(named.select(F.col("node").alias("b"), F.col("label").alias("lb")), "b", "left")
+    rest = left.where("la is null or lb is null or la <> lb").select("a", "b").join(best, ["a", "b"], "left_anti")
+    label = _joined(label, checkpointed(confirmed(rest, bodies, percent)))
     if crowd.isEmpty():
-        return linked
-    more = across(texts.join(crowd, "cls", "left_semi"), components(linked), percent).join(found.select("a", "b"), ["a", "b"], "left_anti")
-    alike = more.join(classes.select(F.col("cls").alias("a"), F.col("mark").alias("mark_a")), "a").join(classes.select(F.col("cls").alias("b"), F.col("mark").alias("mark_b")), "b").mapInPandas(_agreeing, "a binary, b binary")
-    return linked.union(checkpointed(confirmed(alike, texts, percent)))
-
-
-def _agreeing(batches):
-    """Pairs whose signatures agree as the trees' candidates must."""
-    for pdf in batches:
-        if len(pdf):
-            a, b = (np.frombuffer(b"".join(pdf[c]), np.uint8).reshape(-1, HASHES) for c in ("mark_a", "mark_b"))
-            yield pdf.loc[(a == b).sum(1) >= AGREE, ["a", "b"]]
+        return label
+    more = across(texts.join(crowd, "cls", "left_semi"), label, percent).join(found.select("a", "b"), ["a", "b"], "left_anti")
+    return _joined(label, checkpointed(confirmed(more, bodies, percent)))
 
 
 def _whole(column: pa.Array) -> list[pa.Array]:
+    """The size and the shingles of each text's set."""
     raw, off = text_buffers(column)
     parts = [shingle_sets(raw[off[i] : off[j]], off[i : j + 1] - off[i]) for i, j in slices(off)]
     sizes = np.concatenate([[0], *[np.diff(first) for _, first in parts]])
@@ -347,23 +369,45 @@ def _whole(column: pa.Array) -> list[pa.Array]:
     return [pa.array(sizes[1:], pa.int64()), pa.LargeListArray.from_arrays(pa.array(np.cumsum(sizes), pa.int64()), pa.array(values.view(np.int64))).cast(pa.list_(pa.int64()))]
 
 
+def _lanes(mark: str) -> Column:
+    """A signature as longs of eight values each."""
+    return F.array(*[F.conv(F.hex(F.expr(f"substring({mark}, {8 * k + 1}, 7)")), 16, 10).cast("long").bitwiseXOR(F.shiftleft(F.conv(F.hex(F.expr(f"substring({mark}, {8 * k + 8}, 1)")), 16, 10).cast("long"), 56)) for k in range(HASHES // 8)])
+
+
+def _alike(x: str, y: str) -> Column:
+    """Whether two signatures, as longs, agree in ``AGREE`` values: of their difference, the bytes that are not 0 are counted."""
+    differ = F.lit(0)
+    for k in range(HASHES // 8):
+        d = F.col(x)[k].bitwiseXOR(F.col(y)[k])
+        for shift in (4, 2, 1):
+            d = d.bitwiseOR(F.shiftrightunsigned(d, shift))
+        differ = differ + F.bit_count(d.bitwiseAND(F.lit(0x0101010101010101)))
+    return F.lit(HASHES) - differ >= AGREE
+
+
 def across(texts: DataFrame, label: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """texts: cls, text, distinct; label: node, label. Pairs (a, b) of classes in two components among which every pair at the threshold is.
+    """texts: cls, text, mark, distinct; label: node, label. Pairs (a, b) of classes in two components among which every pair at the threshold is.
 
     Sets of n and more shingles that are alike share one of the first n - ceil(percent * n / 100) + 1 of each, in any order
     that is the same for all. The order here: shingles of one component only, then the others from rare to common. So shingles
     that tell a component from the rest fill the prefixes, and they make no pair."""
     fields = [T.StructField("n", T.LongType()), T.StructField("all", T.ArrayType(T.LongType()))]
-    named = texts.select("cls", "text").join(label.select(F.col("node").alias("cls"), "label"), "cls", "left").select(F.xxhash64("cls").alias("id"), F.xxhash64(F.coalesce("label", "cls")).alias("l"), "text")
-    rows = checkpointed(map_text(named, _whole, fields, drop=["text"])).select("id", "l", "n", F.explode("all").alias("s"))
+    named = texts.select("cls", "text", _lanes("mark").alias("lanes")).join(_by_label(label).select(F.col("node").alias("cls"), "label"), "cls", "left").select(F.xxhash64("cls").alias("id"), F.xxhash64(F.coalesce("label", "cls")).alias("l"), "lanes", "text")
+    sets = checkpointed(map_text(named, _whole, fields, drop=["text"]))
+    rows = sets.select("id", "l", "n", F.explode("all").alias("s"))
     several = rows.groupBy("s").agg(F.count(F.lit(1)).alias("held"), F.min("l").alias("l0"), F.max("l").alias("l1")).where("l0 <> l1").select("s", "held")
     of_class = Window.partitionBy("id")
     ranked = rows.join(several, "s").withColumn("place", F.row_number().over(of_class.orderBy("held", "s")) + F.col("n") - F.count(F.lit(1)).over(of_class))
-    first = checkpointed(ranked.where(f"place <= n - (n * {percent} + 99) div 100 + 1").select("id", "l", "n", "s", "place"))
-    x, y = (first.select("s", *[F.col(c).alias(f"{c}_{side}") for c in ("id", "l", "n", "place")]) for side in "xy")
+    first = ranked.where(f"place <= n - (n * {percent} + 99) div 100 + 1").select("id", "l", "n", "s", "place")
+    #: A shingle that many prefixes hold is met by blocks: one side is cut in blocks of about BLOCK rows, the other is in all of them.
+    blocks = F.ceil(F.count(F.lit(1)).over(Window.partitionBy("s")) / BLOCK).cast("int")
+    first = checkpointed(first.join(sets.select("id", "lanes"), "id").withColumn("blocks", blocks))
+    cells = [F.col(c) for c in ("id", "l", "n", "place", "lanes")]
+    x = first.select("s", F.pmod(F.col("id"), F.col("blocks")).cast("int").alias("block"), *[c.alias(f"{n}_x") for c, n in zip(cells, ("id", "l", "n", "place", "lanes"))])
+    y = first.select("s", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), *[c.alias(f"{n}_y") for c, n in zip(cells, ("id", "l", "n", "place", "lanes"))])
     #: The first shingle that both have leaves room for the common ones that the pair needs.
     need = f"{percent} * (n_x + n_y)"
-    met = x.join(y, "s").where("l_x < l_y").where(f"{100 + percent} * (n_x - place_x + 1) >= {need} and {100 + percent} * (n_y - place_y + 1) >= {need}")
+    met = x.join(y, ["s", "block"]).where("l_x < l_y").where(f"{100 + percent} * (n_x - place_x + 1) >= {need} and {100 + percent} * (n_y - place_y + 1) >= {need}").where(_alike("lanes_x", "lanes_y"))
     pairs = met.select("id_x", "id_y").distinct()
     ids = texts.select(F.xxhash64("cls").alias("id"), "cls")
     both = pairs.join(ids.select(F.col("id").alias("id_x"), F.col("cls").alias("x")), "id_x").join(ids.select(F.col("id").alias("id_y"), F.col("cls").alias("y")), "id_y")
@@ -372,23 +416,24 @@ def across(texts: DataFrame, label: DataFrame, percent: int = PERCENT) -> DataFr
 
 def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", percent: int = PERCENT) -> DataFrame:
     """One row for each of df's: key, n_shingles, component_id, kept, and cls."""
-    digest = checkpointed(digests(df, text, [key]))
-    label = components(links(df, text, percent, digest, key))
-    classes = digest.where("cls is not null").groupBy("cls").agg(F.min(key).alias("least"))
+    own = _own(df, key, text)
+    digest = checkpointed(digests(own, "text", ["doc_id", "text_hash"]))
+    label = labels(own, digest, percent)
+    classes = digest.where("cls is not null").groupBy("cls").agg(F.min("doc_id").alias("least"))
     named = classes.join(label.select(F.col("node").alias("cls"), "label"), "cls", "left").select("cls", "least", F.coalesce("label", "cls").alias("label"))
     of_label = named.groupBy("label").agg(F.min("least").alias("component_id"))
     of_class = named.join(of_label, "label").select("cls", "component_id")
     joined = digest.drop("mark").join(of_class, "cls", "left")
-    component = F.when(F.col("cls").isNull(), F.col(key)).otherwise(F.col("component_id"))
-    return joined.select(key, "n_shingles", component.alias("component_id"), F.col(key).eqNullSafe(component).alias("kept"), "cls")
+    component = F.when(F.col("cls").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
+    return joined.select(F.col("doc_id").alias(key), "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"), "cls")
 
 
 def deduplicate(df: DataFrame, key: str = "doc_id", text: str = "text", percent: int = PERCENT) -> DataFrame:
     """df without near copies: of each component one row, that of the least key; rows without words all stay."""
-    cls, n, mark, h1, h2 = fresh(df, "cls", "n_shingles", "mark", "h1", "h2")
-    keyed = df.select(F.col(f"`{key}`").alias("doc_id"), F.col(f"`{text}`").alias("text"), row_key(df, 1).alias("h1"), row_key(df, 2).alias("h2"))
-    digest = checkpointed(digests(keyed, "text", ["doc_id", "h1", "h2"]))
-    label = components(links(keyed, "text", percent, digest, "doc_id"))
+    h1, h2, n = fresh(df, "h1", "h2", "n_shingles")
+    own = _own(df, key, text, row_key(df, 1).alias("h1"), row_key(df, 2).alias("h2"))
+    digest = checkpointed(digests(own, "text", ["doc_id", "text_hash", "h1", "h2"]))
+    label = labels(own, digest, percent)
     marked = digest.where("cls is not null").join(label.select(F.col("node").alias("cls"), "label"), "cls", "left").withColumn("label", F.coalesce("label", "cls"))
     best = marked.groupBy("label").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "h1", "h2")).alias("m")).select(F.col("m.h1").alias(h1), F.col("m.h2").alias(h2), F.lit(True).alias(n))
     bare = digest.where("cls is null").select(F.col("h1").alias(h1), F.col("h2").alias(h2), F.lit(False).alias(n)).distinct()
