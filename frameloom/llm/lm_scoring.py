@@ -8,12 +8,17 @@ shorter context, whose weight is the context's backoff. With c(h, w) counts and
 
 so the failure weight of h is log10(mu / (c(h) + mu)), and the probabilities of all known tokens and one unknown sum to 1.
 
-Nothing of the model is broadcast or capped. Documents are dealt into chunks of about ``CHUNK_BYTES``; a chunk sends its
-distinct n-grams (hash keys and training counts, packed) to key buckets; a bucket sums the counts of all chunks and answers
-each chunk for its own keys; a chunk then has exactly the counts of the automaton's part that its texts can visit. ``score``
-builds no states or arcs from them: it evaluates the recursion above for all places at once and adds log-probabilities, which
-gives the sums that a traversal with failure arcs would give. ``Automaton`` is that traversal, for tests and small corpora.
-Only distinct n-grams of a chunk move, so a frequent word costs no more than a rare one.
+Nothing of the model is broadcast, capped or shortened; keys have 64 bits at every size. Documents are dealt into chunks of
+about ``CHUNK_BYTES``. A chunk sends its distinct n-grams (hash keys and training counts, packed) to holders of key ranges,
+which add up the counts of all chunks and answer for the keys that each chunk asked. With many chunks the messages go by
+levels: a holder of level l has the keys of ``FAN`` ** l chunks in one of as many ranges, splits them in ``FAN`` finer ranges
+for the next level, and routes the answers back, so a holder's keys stay about a chunk's in number and messages grow with
+the input, not with its square. Only distinct n-grams of a chunk move, so a frequent word costs no more than a rare one.
+
+A chunk then has the counts of the automaton's part that its texts can visit. It builds that part (``_Part``): for each seen
+n-gram an arc weight and the state that the arc leads to, for each state its failure weight and its failure state. Texts are
+traversed from left to right, ``STRETCH`` tokens at a time in lockstep; a stretch enters in the state that its last
+``order - 1`` tokens before it determine, so cutting a long text changes nothing.
 
 Defined cases: a null text is empty and has the end token alone; a null key counts as the empty string in the hold-out
 rule; a corpus without training rows gives every token 1 / (0 + 0 + 1); repeated rows are scored and counted each; an empty
@@ -36,6 +41,9 @@ from ._text import Words, mix64, slices, text_buffers, _splitmix
 ORDER = 2
 MU = 8.0
 CHUNK_BYTES = 8 << 20
+HOLDER_BYTES = 16 << 20
+FAN = 512
+STRETCH = 256
 END, START = _splitmix(2, 303)
 
 
@@ -159,86 +167,193 @@ def _whole(column) -> pa.Array:
     return pa.concat_arrays(column.chunks) if column.num_chunks else pa.array([], column.type)
 
 
-def _grams(table: pa.Table, order: int, bits: int):
-    tok, first = tokens(_whole(table.column("text")))
-    shift = np.uint64(64 - bits)
-    out = []
-    for where, keys in ngram_keys(tok, first, order):
-        uniq, back = np.unique(keys >> shift, return_inverse=True)
-        out.append((where, uniq, back))
-    return tok, first, out
+class _Grams:
+    """The n-grams of a chunk's texts: for k = 1..order the distinct keys, and at each place the k-gram that ends there (-1: none)."""
 
+    def __init__(self, column, order: int):
+        self.tok, self.first = tokens(_whole(column))
+        self.order, self.keys, self.at, self.sample = order, [], [], []
+        for where, keys in ngram_keys(self.tok, self.first, order):
+            uniq, sample, back = np.unique(keys, return_index=True, return_inverse=True)
+            at = np.full(len(self.tok), -1, np.int64)
+            at[where] = back
+            self.keys.append(uniq)
+            self.at.append(at)
+            self.sample.append(where[sample])
 
-def score(df: DataFrame, train: Column, key: str = "doc_id", text: str = "text", order: int = ORDER, mu: float = MU) -> DataFrame:
+    def counts(self, teaches: np.ndarray) -> list[np.ndarray]:
+        return [np.bincount(at[teaches & (at >= 0)], minlength=len(uniq)).astype(np.uint64) for uniq, at in zip(self.keys, self.at)]
+
+
+class _Part:
+    """The automaton's states and arcs that the n-grams of a chunk can visit.
+
+    A state is a seen context, named by its length and number (0: the root, and 1-grams, 2-grams, ...; at a text's first
+    place the state of length 1 is the start). The arc of a seen k-gram leaves the state of its first k - 1 tokens."""
+
+    def __init__(self, grams: _Grams, totals: list[np.ndarray], n: int, v: int, mu: float):
+        self.grams, self.totals, order = grams, totals, grams.order
+        opening = np.zeros(len(grams.tok), bool)
+        opening[grams.first[:-1]] = True
+        ends = totals[0][grams.at[0][grams.first[1:] - 1]].max(initial=0.0)  # trained texts, the mass of the start
+        p = (totals[0] + 1) / (n + v + 1)
+        self.arcs, self.fail = [np.log10(p)], [np.zeros(len(totals[0]))]
+        for k in range(1, order):
+            #: Each distinct gram by the place of one sample: its context ends there one token earlier, its suffix ends there too.
+            at = grams.sample[k]
+            before = grams.at[k - 1][at - 1]
+            first = opening[at]
+            mass = np.where(first, ends if k == 1 else 0.0, totals[k - 1][before] if len(totals[k - 1]) else 0.0)
+            p = (totals[k] + mu * p[grams.at[k - 1][at]]) / (mass + mu)
+            self.arcs.append(np.log10(p))
+            self.fail.append(np.log10(mu / (mass + mu)))
+
+    def traverse(self) -> np.ndarray:
+        """The log-probability of each text: from left to right, ``STRETCH`` tokens of every text at a time."""
+        grams, order = self.grams, self.grams.order
+        sizes = np.diff(grams.first)
+        if not len(sizes):
+            return np.zeros(0)
+        runs = -(-sizes // STRETCH)
+        text = np.repeat(np.arange(len(sizes)), runs)
+        start = grams.first[:-1][text] + (np.arange(len(text)) - np.repeat(np.cumsum(runs) - runs, runs)) * STRETCH
+        size = np.minimum(start + STRETCH, grams.first[1:][text]) - start
+        by_size = np.argsort(-size, kind="stable")
+        text, start, size = text[by_size], start[by_size], size[by_size]
+        total, state = np.zeros(len(text)), np.empty(len(text), np.int64)
+        live = np.searchsorted(-size, -np.arange(1, STRETCH + 1), "right")
+        state[:] = self._entered(start)
+        for t in range(int(size[0])):
+            m = int(live[t])
+            place = start[:m] + t
+            depth = state[:m]  # the length of the state's context; its tokens are those before the place
+            for k in range(order - 1, 0, -1):
+                gram = grams.at[k][place]
+                able = (depth == k) & (gram >= 0)
+                arc = np.flatnonzero(able)
+                missed = arc[self.totals[k][gram[arc]] == 0]
+                total[missed] += self.fail[k][gram[missed]]  # the failure arc, to the state of one token less
+                depth[missed] = k - 1
+                hit = arc[self.totals[k][gram[arc]] > 0]
+                total[hit] += self.arcs[k][gram[hit]]
+                depth[hit] = -(k + 1)
+            root = np.flatnonzero(depth == 0)
+            gram = grams.at[0][place[root]]
+            total[root] += self.arcs[0][gram]
+            depth[root] = np.where(self.totals[0][gram] > 0, -1, 0)
+            #: The arc of a k-gram leads to the state of its last order - 1 tokens, or of all of them.
+            state[:m] = np.minimum(-depth, order - 1)
+        return np.bincount(text, total, minlength=len(sizes))
+
+    def _entered(self, start: np.ndarray) -> np.ndarray:
+        """The state in which each place is entered: the longest seen context among the order - 1 tokens before it."""
+        grams, order = self.grams, self.grams.order
+        out = np.zeros(len(start), np.int64)
+        inside = ~np.isin(start, grams.first[:-1])
+        for k in range(1, order):
+            before = np.where(inside, grams.at[k - 1][start - 1], -1)
+            seen = np.flatnonzero(before >= 0)
+            out[seen[self.totals[k - 1][before[seen]] > 0]] = k
+        if order > 1:
+            out[~inside] = 1  # the start
+        return out
+
+
+def _levels(size: int, fan: int, holder_bytes: int) -> list[int]:
+    """Bits of the key that each level splits; their sum gives holders of about ``holder_bytes`` of text."""
+    bits, most = max(6, int(size // holder_bytes).bit_length()), max(1, fan.bit_length() - 1)
+    levels = -(-bits // most)
+    return [bits * (i + 1) // levels - bits * i // levels for i in range(levels)]
+
+
+def score(df: DataFrame, train: Column, key: str = "doc_id", text: str = "text", order: int = ORDER, mu: float = MU, chunk_bytes: int = CHUNK_BYTES, holder_bytes: int = HOLDER_BYTES, fan: int = FAN) -> DataFrame:
     """One row for each of df's: key, trained, n_tokens, n_known, train_tokens, base_score, score. Rows where ``train`` holds teach the model."""
     body = F.coalesce(F.col(text).cast("string"), F.lit(""))
     size = df.agg(F.coalesce(F.sum(F.octet_length(body)), F.lit(0)).alias("n")).first()[0]
-    chunks = max(48, size // CHUNK_BYTES + 1)
-    log_buckets = max(6, (size // (16 << 20)).bit_length())
-    bits = min(64, max(40, int(size).bit_length() + 18))
-    buckets = 1 << log_buckets
-    docs = df.select(F.col(key).alias("doc_id"), body.alias("text"), F.coalesce(train, F.lit(False)).alias("trained")).withColumn("chunk", F.pmod(F.xxhash64("doc_id", F.crc32("text")), F.lit(chunks)).cast("int"))
-
-    def edges(uniq):
-        bound = [np.uint64(b) << np.uint64(bits - log_buckets) for b in range(1, buckets)]
-        return np.concatenate([[0], np.searchsorted(uniq, np.array(bound, np.uint64)), [len(uniq)]])
+    chunks = max(48, size // chunk_bytes + 1)
+    levels = _levels(size, fan, holder_bytes)
+    docs = df.select(F.col(key).alias("doc_id"), body.alias("text"), F.coalesce(train, F.lit(False)).alias("trained")).withColumn("chunk", F.pmod(F.xxhash64("doc_id", F.crc32("text")), F.lit(chunks)).cast("long"))
+    #: A message goes from a holder (chunk at level 0) to the one that has its keys' range at the next level, and back.
+    ask_schema, back_schema = "k int, range long, pack long, sender long, keys binary, counts binary", "k int, range long, pack long, totals binary, mass long, types long"
+
+    def messages(k: int, group: int, prefix: int, keys: np.ndarray, counts: np.ndarray, level: int) -> list[tuple]:
+        """The sorted keys of a range, split by the level's bits. Every range gets a message for 1-grams, since all must
+        tell their tokens and types; for longer n-grams only those that have keys."""
+        done, bits = sum(levels[: level + 1]), levels[level]
+        names = [(prefix << bits) + i for i in range(1 << bits)]
+        at = np.concatenate([[0], np.searchsorted(keys, np.array([n << (64 - done) for n in names[1:]], np.uint64)), [len(keys)]])
+        pack = group >> bits if level + 1 < len(levels) else 0
+        return [(k, r, pack, group, pack_sorted(keys[i:j] - np.uint64(r << (64 - done))), pack_numbers(counts[i:j])) for r, i, j in zip(names, at, at[1:]) if k == 0 or i < j]
+
+    def asked(rows: list[tuple]) -> pa.Table:
+        kinds = [pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary()]
+        return pa.table({n: pa.array([r[i] for r in rows], t) for i, (n, t) in enumerate(zip(("k", "range", "pack", "sender", "keys", "counts"), kinds))})
 
     def ask(key, table):
-        chunk = key[0].as_py()
-        trained = table.column("trained").to_numpy()
-        tok, first, grams = _grams(table, order, bits)
-        teaches = np.repeat(trained, np.diff(first)).astype(bool)
-        rows = []
-        for k, (where, uniq, back) in enumerate(grams):
-            counts = np.bincount(back[teaches[where]], minlength=len(uniq)).astype(np.uint64)
-            at = edges(uniq)
-            for b in range(buckets):
-                own = uniq[at[b] : at[b + 1]]
-                base = np.uint64(b) << np.uint64(bits - log_buckets)
-                rows.append((chunk, k * buckets + b, pack_sorted(own - base), pack_numbers(counts[at[b] : at[b + 1]])))
-        return pa.table({"chunk": pa.array([r[0] for r in rows], pa.int32()), "bucket": pa.array([r[1] for r in rows], pa.int32()), "keys": pa.array([r[2] for r in rows], pa.binary()), "counts": pa.array([r[3] for r in rows], pa.binary())})
-
-    def answer(key, table):
-        asked = [unpack_sorted(b) for b in table.column("keys").to_pylist()]
+        grams = _Grams(table.column("text"), order)
+        teaches = np.repeat(table.column("trained").to_numpy(), np.diff(grams.first)).astype(bool)
+        return asked([m for k, (keys, counts) in enumerate(zip(grams.keys, grams.counts(teaches))) for m in messages(k, key[0].as_py(), 0, keys, counts, 0)])
+
+    def held(table, level: int) -> tuple[list[np.ndarray], np.ndarray, np.ndarray, np.ndarray]:
+        """What each message asked, all keys, where each asked key is among them, and their counts so far."""
+        base = np.uint64(table.column("range")[0].as_py() << (64 - sum(levels[: level + 1])))
+        each = [unpack_sorted(b) + base for b in table.column("keys").to_pylist()]
         counts = [unpack_numbers(b) for b in table.column("counts").to_pylist()]
-        uniq, back = np.unique(np.concatenate(asked), return_inverse=True)
-        total = np.bincount(back, weights=np.concatenate(counts).astype(np.float64), minlength=len(uniq)).astype(np.uint64)
-        ends = np.cumsum([len(a) for a in asked])
-        n, v = int(total.sum()), int((total > 0).sum())
+        keys, back = np.unique(np.concatenate(each), return_inverse=True)
+        total = np.zeros(len(keys), np.uint64)
+        np.add.at(total, back, np.concatenate(counts))
+        return each, keys, back, total
+
+    def replies(k: int, to_range: list[int], table, each, back, total, n: int, v: int) -> pa.Table:
+        ends = np.cumsum([len(a) for a in each])
         m = table.num_rows
-        return pa.table({"chunk": table.column("chunk"), "bucket": table.column("bucket"), "totals": pa.array([pack_numbers(total[back[e - len(a) : e]]) for e, a in zip(ends, asked)], pa.binary()), "mass": pa.array([n] * m, pa.int64()), "types": pa.array([v] * m, pa.int64())})
+        blobs = [pack_numbers(total[back[e - len(a) : e]]) for e, a in zip(ends, each)]
+        return pa.table({"k": pa.array([k] * m, pa.int32()), "range": pa.array(to_range, pa.int64()), "pack": table.column("sender").cast(pa.int64()), "totals": pa.array(blobs, pa.binary()), "mass": pa.array([n] * m, pa.int64()), "types": pa.array([v] * m, pa.int64())})
 
-    asked = docs.groupBy("chunk").applyInArrow(ask, "chunk int, bucket int, keys binary, counts binary")
-    answers = asked.groupBy("bucket").applyInArrow(answer, "chunk int, bucket int, totals binary, mass long, types long")
+    def answer(key, table):
+        each, _, back, total = held(table, len(levels) - 1)
+        return replies(key[0].as_py(), [key[1].as_py()] * table.num_rows, table, each, back, total, int(total.sum()), int((total > 0).sum()))
+
+    def pass_on(level):
+        def run(key, table):
+            _, keys, _, total = held(table, level - 1)
+            return asked(messages(key[0].as_py(), key[2].as_py(), key[1].as_py(), keys, total, level))
+
+        return run
+
+    def in_order(table) -> np.ndarray:
+        """The totals of all replies, which come by ranges, in the order of the keys."""
+        order_of = np.argsort(table.column("range").to_numpy())
+        blobs = table.column("totals").to_pylist()
+        return np.concatenate([np.zeros(0, np.uint64), *[unpack_numbers(blobs[i]) for i in order_of]])
+
+    def route_at(level):
+        def run(key, table, answers):
+            each, _, back, _ = held(table, level - 1)
+            n, v = (int(answers.column(c).to_numpy().sum()) for c in ("mass", "types"))
+            return replies(key[0].as_py(), [key[1].as_py()] * table.num_rows, table, each, back, in_order(answers), n, v)
+
+        return run
+
+    sent = [docs.groupBy("chunk").applyInArrow(ask, ask_schema)]
+    for level in range(1, len(levels)):
+        sent.append(sent[-1].groupBy("k", "range", "pack").applyInArrow(pass_on(level), ask_schema))
+    got = sent[-1].groupBy("k", "range").applyInArrow(answer, back_schema)
+    for level in range(len(levels) - 1, 0, -1):
+        own = sent[level - 1].withColumn("name", F.col("range")).groupBy("k", "name", "pack")
+        got = own.cogroup(got.withColumn("name", F.shiftright("range", levels[level])).groupBy("k", "name", "pack")).applyInArrow(route_at(level), back_schema)
     schema = T.StructType([docs.schema["doc_id"], T.StructField("trained", T.BooleanType()), *[T.StructField(c, T.LongType()) for c in ("n_tokens", "n_known", "train_tokens")], *[T.StructField(c, T.DoubleType()) for c in ("base_score", "score")]])
 
-    def read(key, own, replies):
-        order_of = np.argsort(replies.column("bucket").to_numpy())
-        blobs = replies.column("totals").to_pylist()
-        totals = np.concatenate([unpack_numbers(blobs[i]) for i in order_of]).astype(np.float64)
-        small = replies.column("bucket").to_numpy() < buckets
-        n, v = int(replies.column("mass").to_numpy()[small].sum()), int(replies.column("types").to_numpy()[small].sum())
-        tok, first, grams = _grams(own, order, bits)
-        at, per_place = 0, []
-        for where, uniq, back in grams:
-            c = np.zeros(len(tok))
-            c[where] = totals[at : at + len(uniq)][back]
-            at += len(uniq)
-            per_place.append(c)
-        # The mass of each context: how often the k-gram that ends just before this place was seen (the start: texts).
-        texts = per_place[0][first[1:] - 1].max(initial=0.0)  # trained end tokens
-        p = (per_place[0] + 1) / (n + v + 1)
-        base = np.log10(p)
-        for k in range(1, order):
-            context = np.zeros(len(tok))
-            context[1:] = per_place[k - 1][:-1]
-            if k == 1:
-                context[first[:-1]] = texts
-            else:
-                context[first[:-1]] = 0
-            p = (per_place[k] + mu * p) / (context + mu)
-        total = np.log10(p)
-        sums = lambda x: np.add.reduceat(x, first[:-1]) if len(x) else np.zeros(0)
-        return pa.table({"doc_id": own.column("doc_id"), "trained": own.column("trained"), "n_tokens": pa.array(np.diff(first), pa.int64()), "n_known": pa.array(sums((per_place[0] > 0).astype(np.int64)), pa.int64()), "train_tokens": pa.array([n] * own.num_rows, pa.int64()), "base_score": pa.array(sums(base), pa.float64()), "score": pa.array(sums(total), pa.float64())})
-
-    return docs.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(read, schema).withColumnRenamed("doc_id", key)
+    def read(key, own, answers):
+        grams = _Grams(own.column("text"), order)
+        level = answers.column("k").to_numpy()
+        parts = [answers.filter(pa.array(level == k)) for k in range(order)]
+        totals = [in_order(p).astype(np.float64) for p in parts]
+        n, v = (int(parts[0].column(c).to_numpy().sum()) for c in ("mass", "types"))
+        total = _Part(grams, totals, n, v, mu).traverse()
+        seen = totals[0][grams.at[0]]
+        base = np.log10((seen + 1) / (n + v + 1))
+        sums = lambda x: np.add.reduceat(x, grams.first[:-1]) if len(x) else np.zeros(0)
+        return pa.table({"doc_id": own.column("doc_id"), "trained": own.column("trained"), "n_tokens": pa.array(np.diff(grams.first), pa.int64()), "n_known": pa.array(sums((seen > 0).astype(np.int64)), pa.int64()), "train_tokens": pa.array([n] * own.num_rows, pa.int64()), "base_score": pa.array(sums(base), pa.float64()), "score": pa.array(total, pa.float64())})
+
+    return docs.groupBy("chunk").cogroup(got.groupBy("pack")).applyInArrow(read, schema).withColumnRenamed("doc_id", key)
