@@ -3,8 +3,7 @@
 The network reads the bytes of a stretch (a word, at most ``STRETCH`` bytes; A-Z as a-z) in both directions, labels every
 position with a distribution over the learned languages, and a document's probability is the mean over all its
 positions. It is trained here, in numpy, by backpropagation through time, on at most ``SAMPLE`` labelled rows of each
-language (chosen by hash) and the first ``TRAIN_CHARS`` characters of each; these bounds are parameters. Prediction
-reads whole texts. Equal stretches of a batch, and of earlier batches of the same worker, are run through the network once.
+language (chosen by hash; the bound is a parameter), whose texts are read whole, as they are in prediction. Equal stretches of a batch, and of earlier batches of the same worker, are run through the network once.
 
 Defined cases: a null text, or one without a letter, is ``und`` with score 0; rows with a null language never teach; no
 labelled rows at all make every prediction ``und``; stretches longer than ``STRETCH`` bytes are read piece by piece;
@@ -21,12 +20,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._text import LOWER, Words, slices, span_hashes, text_buffers
+from ._text import LOWER, Words, release, slices, span_hashes, text_buffers
 
 STRETCH = 16
 HIDDEN = 8
 SAMPLE = 300
-TRAIN_CHARS = 3000
 STEPS = 300
 BATCH = 256
 
@@ -242,15 +240,15 @@ def _has_letter(raw: np.ndarray, off: np.ndarray, column: list) -> np.ndarray:
     return out
 
 
-def sample(df: DataFrame, teach: Column, key: str, text: str, lang: str, per_lang: int = SAMPLE, chars: int = TRAIN_CHARS) -> tuple[list[str], list[str]]:
-    """At most about ``per_lang`` rows of each language, chosen by a hash of the row, cut to ``chars`` characters: a bounded sample for the driver."""
+def sample(df: DataFrame, teach: Column, key: str, text: str, lang: str, per_lang: int = SAMPLE) -> tuple[list[str], list[str]]:
+    """At most about ``per_lang`` rows of each language, chosen by a hash of the row, with their whole texts: a bounded sample for the driver."""
     rows = df.where(teach & F.col(lang).isNotNull() & F.col(text).isNotNull())
     counts = {r[0]: r[1] for r in rows.groupBy(lang).agg(F.count(F.lit(1))).collect()}
     if not counts:
         return [], []
     draw = F.pmod(F.xxhash64(F.lit(5), key, F.crc32(text)), F.lit(1 << 30))
     share = F.create_map(*[F.lit(x) for k, n in counts.items() for x in (k, min(1 << 30, int((1 << 30) * per_lang / n)))])
-    got = rows.withColumn("draw", draw).where(F.col("draw") < share[F.col(lang)]).select("draw", F.col(lang).alias("lang"), F.substring(text, 1, chars).alias("text")).orderBy("draw", "lang", "text").limit(2 * per_lang * len(counts)).collect()
+    got = rows.withColumn("draw", draw).where(F.col("draw") < share[F.col(lang)]).select("draw", F.col(lang).alias("lang"), F.col(text).alias("text")).orderBy("draw", "lang", "text").limit(2 * per_lang * len(counts)).collect()
     return [r["text"] for r in got], [r["lang"] for r in got]
 
 
@@ -271,7 +269,7 @@ def predict(df: DataFrame, model: Model | None, key: str = "doc_id", text: str =
         for batch in batches:
             raw, off = text_buffers(batch.column(1))
             langs, scores = [], []
-            for i, j in slices(off, 1 << 23):
+            for i, j in slices(off):
                 part, at = raw[off[i] : off[j]], off[i : j + 1] - off[i]
                 starts, ends, doc = stretches(Words(part, at))
                 sums = np.zeros((j - i, len(model.langs)))
@@ -285,5 +283,7 @@ def predict(df: DataFrame, model: Model | None, key: str = "doc_id", text: str =
                 langs += [model.langs[b] if r else "und" for b, r in zip(best, real)]
                 scores += np.where(real, sums.max(1) / np.where(total > 0, total, 1), 0.0).clip(0, 1).tolist()
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(langs, pa.string()), pa.array(scores, pa.float64())], names=schema.names)
+        _memos.clear()
+        release()
 
     return own.mapInArrow(run, schema).withColumnRenamed("doc_id", key)
