@@ -3,8 +3,8 @@
 Every anchor (a common word) followed by content words gives one signature: the anchor and the next ``CHAIN`` content
 words. A fingerprint is the set of a text's signatures (32-bit hashes), written as base64 of the sorted values, so equal
 texts have equal fingerprints and likeness is computed from fingerprints alone. A text without a full chain has one
-signature: all its words. Likeness is Jaccard; with a threshold, pairs whose set lengths alone rule it out are never
-compared, and a comparison stops when the rest can't reach the threshold.
+signature: all its words. Likeness is Jaccard. ``fingerprint_with_next`` compares each document with two others that are given;
+``similar_pairs`` finds all pairs over a threshold: sets are partitioned by length, and what length or prefix rule out is never compared.
 
 Defined cases: a null text is empty; a text without words has the empty fingerprint, whose likeness to another empty one
 is 1 and to any other 0; equal keys are ordered by the text's checksum; a null key is the last; a single document is
@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import math
 
 import numpy as np
 import pyarrow as pa
@@ -225,8 +226,9 @@ def fingerprint_with_next(df: DataFrame, key: str = "doc_id", text: str = "text"
 def similar_pairs(prints: DataFrame, threshold: float = 0.8, key: str = "doc_id", fingerprint: str = "fingerprint") -> DataFrame:
     """Pairs of distinct fingerprints with Jaccard >= threshold: a < b (fingerprints' least keys), likeness.
 
-    Equal fingerprints are one row first. Sets are partitioned by length: a set meets only lengths in [threshold * n, n],
-    through the least frequent of its signatures, enough of them that a pair over the threshold must share one.
+    Equal fingerprints are one row first. Sets are partitioned by length, in parts whose bounds rise by 1 / threshold: a set meets
+    those of its own part and of the next, in [n, n / threshold], through the least frequent of its signatures, enough of them
+    that a pair over the threshold must share one.
     """
 
     def parts(batches):
@@ -239,9 +241,12 @@ def similar_pairs(prints: DataFrame, threshold: float = 0.8, key: str = "doc_id"
     sets = checkpointed(once.mapInArrow(parts, f"id {kind}, n long, sigs array<long>"))
     use = sets.select(F.explode("sigs").alias("sig")).groupBy("sig").agg(F.count(F.lit(1)).alias("use"))
     ranked = sets.select("id", "n", F.explode("sigs").alias("sig")).join(use, "sig").withColumn("r", F.row_number().over(Window.partitionBy("id").orderBy("use", "sig")))
-    prefix = ranked.where(F.col("r") <= F.col("n") - F.ceil(F.col("n") * threshold) + 1).select("id", "n", "sig")
-    left, right = prefix.select(F.col("id").alias("a"), F.col("n").alias("na"), "sig"), prefix.select(F.col("id").alias("b"), F.col("n").alias("nb"), "sig")
-    met = left.join(right, "sig").where((F.col("a") < F.col("b")) & (F.least("na", "nb") >= F.greatest("na", "nb") * threshold)).select("a", "b").distinct()
+    #: Lengths within a factor of the threshold are in one part or in two that follow each other.
+    part = F.floor(F.log(F.col("n")) / F.lit(-math.log(threshold)))
+    prefix = ranked.where(F.col("r") <= F.col("n") - F.ceil(F.col("n") * threshold) + 1).select("id", "n", "sig", part.alias("part"))
+    short = prefix.select(F.col("id").alias("a"), F.col("n").alias("na"), "sig", F.explode(F.array("part", F.col("part") + 1)).alias("part"))
+    long = prefix.select(F.col("id").alias("b"), F.col("n").alias("nb"), "sig", "part")
+    met = short.join(long, ["part", "sig"]).where((F.col("na") < F.col("nb")) | (F.col("na") == F.col("nb")) & (F.col("a") < F.col("b"))).where(F.col("na") >= F.col("nb") * threshold).select("a", "b").distinct()
     full = met.join(sets.select(F.col("id").alias("a"), F.col("sigs").alias("sa")), "a").join(sets.select(F.col("id").alias("b"), F.col("sigs").alias("sb")), "b")
     like = F.size(F.array_intersect("sa", "sb")) / F.size(F.array_union("sa", "sb"))
-    return full.select("a", "b", like.alias("likeness")).where(F.col("likeness") >= threshold)
+    return full.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), like.alias("likeness")).where(F.col("likeness") >= threshold)
