@@ -40,13 +40,18 @@ def nearest(queries: DataFrame, series: DataFrame, by: str, query_time: str, tim
     return rows.select(*queries.columns, F.col(f"_m.{time}").alias(f"matched_{time}"), *[F.col(f"_m.{v}").alias(v) for v in values], distance.alias("distance"), flag.alias("is_pad"))
 
 
-def first_interval(points: DataFrame, intervals: DataFrame, by: str, point: str, start: str, end: str, values: Sequence[str], order: str) -> DataFrame:
+def first_interval(points: DataFrame, intervals: DataFrame, by: str, point: str, start: str, end: str, values: Sequence[str], order: str, width: float = 1024) -> DataFrame:
     """For each point the first interval (by ``order``) of its group with start <= point <= end; null if there is none.
 
-    The intervals of a group travel as one array (a group has few), so a point is looked up without a range join."""
-    lists = intervals.groupBy(by).agg(F.array_sort(F.collect_list(F.struct(*dict.fromkeys([order, start, end, *values])))).alias("_i"))
-    hit = F.filter("_i", lambda i: (i[start] <= F.col(point)) & (F.col(point) <= i[end]))
-    return points.join(lists, by, "left").withColumn("_h", F.try_element_at(hit, F.lit(1))).select(*points.columns, *[F.col(f"_h.{v}").alias(v) for v in values])
+    Time is cut in stretches of ``width``. An interval is in each stretch that it touches, and a point is looked up among the
+    intervals of its own stretch: an equi join on (group, stretch), so no group's intervals come together in one row, and
+    there is no range join. Take a width near an interval's usual length."""
+    stretch = lambda c: F.floor(F.col(c) / F.lit(float(width)))
+    cut = intervals.select(by, F.struct(*dict.fromkeys([order, start, end, *values])).alias("_i"), F.explode(F.sequence(stretch(start), F.greatest(stretch(start), stretch(end)))).alias("_stretch"))
+    lists = cut.groupBy(by, "_stretch").agg(F.array_sort(F.collect_list("_i")).alias("_is"))
+    hit = F.filter("_is", lambda i: (i[start] <= F.col(point)) & (F.col(point) <= i[end]))
+    rows = points.withColumn("_stretch", stretch(point)).join(lists, [by, "_stretch"], "left").withColumn("_h", F.try_element_at(hit, F.lit(1)))
+    return rows.select(*points.columns, *[F.col(f"_h.{v}").alias(v) for v in values])
 
 
 def prefer_left(left: DataFrame, right: DataFrame, on: str) -> DataFrame:

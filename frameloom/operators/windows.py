@@ -171,11 +171,28 @@ def rewind(frames: DataFrame, name: str, steps: int) -> DataFrame:
     return delta_arrays(frames, name, [-k for k in range(1, steps + 1)])
 
 
+#: Prefix sums over an integer key are made by buckets of so many key values, so a task has no more rows of a table with one row a key.
+SPAN = 1 << 16
+
+
+def prefix_sums(table: DataFrame, key: str, sums: dict[str, Column]) -> DataFrame:
+    """Exclusive prefix sums (name: expression to sum) in the order of an integer key.
+
+    Buckets of the key are summed apart; only their totals, a row for ``SPAN`` values, go through one window. A null key is first."""
+    bucket = F.coalesce(F.floor(F.col(key) / SPAN), F.lit(-(1 << 62)))
+    rows = table.withColumn("_bucket", bucket)
+    totals = rows.groupBy("_bucket").agg(*[F.sum(c).alias(f"_t_{n}") for n, c in sums.items()])
+    earlier = Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    heads = totals.select("_bucket", *[F.coalesce(F.sum(f"_t_{n}").over(earlier), F.lit(0)).alias(f"_h_{n}") for n in sums])
+    within = Window.partitionBy("_bucket").orderBy(key).rowsBetween(Window.unboundedPreceding, -1)
+    local = rows.withColumns({n: F.coalesce(F.sum(c).over(within), F.lit(0)) for n, c in sums.items()})
+    return local.join(heads, "_bucket").withColumns({n: F.col(n) + F.col(f"_h_{n}") for n in sums}).drop("_bucket", *[f"_h_{n}" for n in sums])
+
+
 def prefix_bounds(episodes: DataFrame, length: str = "length", episode: str = EPISODE) -> DataFrame:
     """dataset_from_index and dataset_to_index by prefix sum over the episode table (one row an episode)."""
-    before = Window.orderBy(episode).rowsBetween(Window.unboundedPreceding, -1)
-    start = F.coalesce(F.sum(length).over(before), F.lit(0))
-    return episodes.withColumn("dataset_from_index", start).withColumn("dataset_to_index", start + F.col(length))
+    out = prefix_sums(episodes, episode, {"dataset_from_index": F.col(length)})
+    return out.withColumn("dataset_to_index", F.col("dataset_from_index") + F.col(length)).select(*episodes.columns, "dataset_from_index", "dataset_to_index")
 
 
 def ensemble(predictions: DataFrame, coefficient: float, target: str = "target_frame", made: str = FRAME, value: str = "prediction") -> DataFrame:
@@ -185,6 +202,25 @@ def ensemble(predictions: DataFrame, coefficient: float, target: str = "target_f
     return predictions.withColumn("_w", weight).groupBy(EPISODE, target).agg((F.sum(F.col("_w") * F.col(value)) / F.sum("_w")).alias(value), F.count(F.lit(1)).alias("n_predictions"))
 
 
+def target_frames(frames: DataFrame, half: int, gap: int, rewinds: Column, most: int) -> DataFrame:
+    """For each sample the frames that its targets are made for: (slot, at). Slots 0 .. 2 * half are the observations around it,
+    clamped to the episode; the next ones go back from the earliest observation by ``gap``, as many as ``rewinds`` asks and the
+    history before that observation allows, ``most`` at most."""
+    n = F.count(F.lit(1)).over(whole())
+    first = F.col(FRAME) - half * gap
+    back = F.greatest(F.lit(0), F.least(rewinds, F.lit(most), F.floor(first / gap))).cast("int")
+    around = F.transform(F.array(*[F.lit(k) for k in strided(half, gap)]), lambda k, i: F.struct(i.cast("int").alias("slot"), F.greatest(F.lit(0), F.least(F.col("_n") - 1, F.col(FRAME) + k)).cast("long").alias("at")))
+    behind = F.transform(F.sequence(F.lit(1), F.lit(most)), lambda j: F.struct((j + 2 * half).cast("int").alias("slot"), F.greatest(F.lit(0), first - j * gap).cast("long").alias("at")))
+    behind = F.slice(behind, F.lit(1), F.when(first > 0, back).otherwise(F.lit(0)))
+    return frames.withColumn("_n", n).select(*frames.columns, F.inline(F.concat(around, behind)))
+
+
+def padded_row(slots: int, slot: str, value: str) -> Column:
+    """An aggregate: values by slot as one array, 0 where a slot has none."""
+    cells = F.map_from_entries(F.collect_list(F.struct(slot, value)))
+    return F.transform(F.sequence(F.lit(0), F.lit(slots - 1)), lambda i: F.coalesce(F.try_element_at(cells, i), F.lit(0.0)))
+
+
 def prefix_weights(schedule: str, start: int, end: int, total: int) -> list[float]:
     """How firmly each step of a new chunk holds to the old one: 1 before start, 0 from end on, between them by schedule."""
     start = min(start, end)
