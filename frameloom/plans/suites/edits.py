@@ -75,15 +75,15 @@ _add("episode_batches", lambda spark, sf: E.episode_batches(_episodes(spark, sf)
 
 _add(
     "sampler_drop_first_last",
-    lambda spark, sf: P.kept_frames(event_frames(spark, sf), 3, 5, list(range(0, 150, 2))).select(EPISODE, "frame_index"),
-    f"WITH {EVENT_FRAMES} SELECT episode_index, frame_index FROM (SELECT *, count(*) OVER (PARTITION BY episode_index) AS n FROM f) WHERE frame_index >= 3 AND frame_index < n - 5 AND episode_index < 150 AND episode_index % 2 = 0",
+    lambda spark, sf: P.kept_frames(event_frames(spark, sf), 3, 5).select(EPISODE, "frame_index"),
+    f"WITH {EVENT_FRAMES} SELECT episode_index, frame_index FROM (SELECT *, count(*) OVER (PARTITION BY episode_index) AS n FROM f) WHERE frame_index >= 3 AND frame_index < n - 5",
 )
 
 
 def _weights(ratio):
     def query(spark, sf):
         f = event_frames(spark, sf).select(EPISODE, "frame_index")
-        return P.sampler_weights(f.where(F.col(EPISODE) < 50), f.where(F.col(EPISODE) >= 50) if ratio is not None else None, ratio, 2, 1)
+        return P.sampler_weights(f if ratio is None else f.where(F.col(EPISODE) < 50), f.where(F.col(EPISODE) >= 50) if ratio is not None else None, ratio, 2, 1)
 
     return query
 
@@ -93,17 +93,22 @@ _add(
     _weights(0.8),
     f"WITH {EVENT_FRAMES}, s AS (SELECT *, CASE WHEN episode_index < 50 THEN 0 ELSE 1 END AS source, count(*) OVER (PARTITION BY episode_index) AS n FROM f), k AS (SELECT *, frame_index < n - CASE source WHEN 0 THEN 2 ELSE 1 END AS inside FROM s), c AS (SELECT source, count(*) FILTER (inside) AS k FROM k GROUP BY 1) SELECT source, episode_index, frame_index, CASE WHEN inside THEN CASE source WHEN 0 THEN 1 - 0.8::DOUBLE ELSE 0.8::DOUBLE END / k ELSE 0 END / (SELECT sum(CASE source WHEN 0 THEN 1 - 0.8::DOUBLE ELSE 0.8::DOUBLE END) FROM c WHERE k > 0) AS weight FROM k JOIN c USING (source)",
 )
-_add("sampler_weights_offline_only", _weights(None), f"WITH {EVENT_FRAMES} SELECT 0 AS source, episode_index, frame_index, 1.0::DOUBLE / count(*) OVER () AS weight FROM f WHERE episode_index < 50")
+_add("sampler_weights_offline_only", _weights(None), f"WITH {EVENT_FRAMES} SELECT 0 AS source, episode_index, frame_index, 1.0::DOUBLE / count(*) OVER () AS weight FROM f")
 _add(
     "sample_positions",
     lambda spark, sf: table(spark, sf, "documents").select("doc_id", F.posexplode(P.sample_positions(F.col("n_chars"))).alias("k", "place")).groupBy("doc_id").agg(F.count(F.lit(1)).alias("k"), F.sum("place").alias("total"), F.max("place").alias("last")),
     "WITH d AS (SELECT doc_id, n_chars AS n, greatest(least(100, n_chars), least(floor(n_chars ** 0.75)::BIGINT, 10000)) AS k FROM documents), p AS (SELECT doc_id, k, round_even(i * coalesce((n - 1)::DOUBLE / nullif(k - 1, 0), 0), 0)::BIGINT AS place FROM (SELECT *, unnest(range(k)) AS i FROM d)) SELECT doc_id, count(*) AS k, sum(place)::BIGINT AS total, max(place) AS last FROM p GROUP BY 1",
 )
 _add("hashed_shuffle", lambda spark, sf: P.shuffled(table(spark, sf, "events").select("event_id"), "event_id", 17), "SELECT event_id, ((event_id + 17) * 2654435761) % 1000003 AS shuffle_key FROM events")
+def _replayed(spark, sf):
+    rows = E.renumbered(event_frames(spark, sf).select(EPISODE, "frame_index", "value"))
+    return P.draw_with_replacement(rows, "index", rows.count(), 500, 9).select("draw", "index", "value")
+
+
 _add(
     "replay_sample",
-    lambda spark, sf: P.draw_with_replacement(E.renumbered(event_frames(spark, sf).select(EPISODE, "frame_index", "value")), "index", 10000, 500, 9).select("draw", "index", "value"),
-    f"WITH {EVENT_FRAMES}, i AS (SELECT row_number() OVER (ORDER BY episode_index, frame_index) - 1 AS index, value FROM f) SELECT d AS draw, index, value FROM range(500) r(d) JOIN i ON index = ((d + 9) * 2654435761 + d // 7) % 10000",
+    _replayed,
+    f"WITH {EVENT_FRAMES}, i AS (SELECT row_number() OVER (ORDER BY episode_index, frame_index) - 1 AS index, value FROM f), n AS (SELECT count(*) AS n FROM f) SELECT d AS draw, index, value FROM (SELECT d, ((d + 9) * 2654435761 + d // 7) % n AS place FROM range(500) r(d), n) JOIN i ON index = place",
 )
 _add(
     "episode_fraction",

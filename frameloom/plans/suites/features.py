@@ -66,7 +66,7 @@ _add(
 _add(
     "pad_vector",
     lambda spark, sf: line_frames(spark, sf).select("episode_index", "frame_index", F.size(X.pad_vector("action", 6)).cast("long").alias("padded"), F.element_at(X.pad_vector("action", 6), 6).alias("last"), F.size(X.pad_vector("action", 2, True)).cast("long").alias("cut")),
-    f"WITH {LINE_FRAMES} SELECT episode_index, frame_index, 6::BIGINT AS padded, 0.0::DOUBLE AS last, 2::BIGINT AS cut FROM g",
+    f"WITH {LINE_FRAMES} SELECT episode_index, frame_index, len(p)::BIGINT AS padded, p[6]::DOUBLE AS last, len(action[1:2])::BIGINT AS cut FROM (SELECT *, list_resize(action, greatest(len(action), 6), 0.0::DOUBLE) AS p FROM g)",
 )
 _add("discretize_state", lambda spark, sf: event_frames(spark, sf).select("event_id", X.discretize(F.col("value") / 60 - 1.1).alias("bin")), "SELECT event_id, CASE WHEN value / 60 - 1.1::DOUBLE < -1 THEN -1 ELSE least(floor((value / 60 - 1.1::DOUBLE + 1) * 128), 255) END::BIGINT AS bin FROM events")
 _add("observation_similarity", lambda spark, sf: _vectors(spark, sf).select("episode_index", "frame_index", X.distance(F.col("action"), F.col("state")).alias("distance"), X.similar(F.col("action"), F.col("state"), 1000.0).alias("similar")), f"WITH {_LV} SELECT episode_index, frame_index, list_distance(action, state) AS distance, list_distance(action, state) < 1000 AS similar FROM v")
@@ -77,8 +77,8 @@ _add(
 )
 _add(
     "task_text",
-    lambda spark, sf: table(spark, sf, "conversations").select("conv_id", "turn", X.formal(F.substring("text", 1, 40)).alias("formal"), X.with_newline(F.col("role")).alias("line"), X.with_stop(F.col("role")).alias("stop")),
-    "SELECT conv_id, turn, CASE WHEN coalesce(substr(text, 1, 40), '') = '' THEN 'Perform the task.' ELSE regexp_replace(lower(substr(text, 1, 40)), '[^\\p{L}\\p{N}_\\s]', '', 'g') END AS formal, role || chr(10) AS line, role || '.' AS stop FROM conversations",
+    lambda spark, sf: table(spark, sf, "conversations").select("conv_id", "turn", X.formal(F.col("text")).alias("formal"), X.with_newline(F.col("role")).alias("line"), X.with_stop(F.col("role")).alias("stop")),
+    "SELECT conv_id, turn, CASE WHEN coalesce(text, '') = '' THEN 'Perform the task.' ELSE regexp_replace(lower(text), '[^\\p{L}\\p{N}_\\s]', '', 'g') END AS formal, role || chr(10) AS line, role || '.' AS stop FROM conversations",
 )
 _add(
     "clock_frames",

@@ -59,13 +59,13 @@ _add(
 )
 _add(
     "episode_remap",
-    lambda spark, sf: event_frames(spark, sf).where(F.col(EPISODE) % 3 != 0).join(event_frames(spark, sf).select(EPISODE).distinct().where(F.col(EPISODE) % 3 != 0).withColumn("new_episode", F.col(EPISODE) * 10), EPISODE).select("new_episode", "frame_index", "value"),
-    f"WITH {EVENT_FRAMES} SELECT episode_index * 10 AS new_episode, frame_index, value FROM f WHERE episode_index % 3 <> 0",
+    lambda spark, sf: event_frames(spark, sf).join(event_frames(spark, sf).select(EPISODE).distinct().withColumn("new_episode", F.col(EPISODE) * 10), EPISODE).select("new_episode", "frame_index", "value"),
+    f"WITH {EVENT_FRAMES} SELECT episode_index * 10 AS new_episode, frame_index, value FROM f",
 )
 _add(
-    "late_metadata",
-    lambda spark, sf: J.prefer_left(table(spark, sf, "customer").where("c_custkey % 2 = 0").select(F.col("c_custkey").alias("k"), F.expr("case when c_custkey % 4 = 0 then c_acctbal end").alias("v")), table(spark, sf, "customer").where("c_custkey % 3 = 0").select(F.col("c_custkey").alias("k"), (F.col("c_acctbal") + 1).alias("v"), F.col("c_mktsegment").alias("w")), "k"),
-    "SELECT coalesce(a.k, b.k) AS k, coalesce(a.v, b.v) AS v, b.w FROM (SELECT c_custkey AS k, CASE WHEN c_custkey % 4 = 0 THEN c_acctbal END AS v FROM customer WHERE c_custkey % 2 = 0) a FULL JOIN (SELECT c_custkey AS k, c_acctbal + 1 AS v, c_mktsegment AS w FROM customer WHERE c_custkey % 3 = 0) b ON a.k = b.k",
+    "late_metadata",  # customers and orders: keys that only one side has, and null cells on the left
+    lambda spark, sf: J.prefer_left(table(spark, sf, "customer").select(F.col("c_custkey").alias("k"), F.expr("case when c_custkey % 4 = 0 then c_acctbal end").alias("v")), table(spark, sf, "orders").groupBy(F.col("o_orderkey").alias("k")).agg(F.max("o_totalprice").alias("v"), F.max("o_orderpriority").alias("w")), "k"),
+    "SELECT coalesce(a.k, b.k) AS k, coalesce(a.v, b.v) AS v, b.w FROM (SELECT c_custkey AS k, CASE WHEN c_custkey % 4 = 0 THEN c_acctbal END AS v FROM customer) a FULL JOIN (SELECT o_orderkey AS k, max(o_totalprice) AS v, max(o_orderpriority) AS w FROM orders GROUP BY 1) b ON a.k = b.k",
 )
 _add("missing_episodes", lambda spark, sf: J.missing(table(spark, sf, "customer").select(F.col("c_custkey").alias(EPISODE)), event_frames(spark, sf).select(EPISODE).distinct()), "SELECT c_custkey AS episode_index FROM customer WHERE c_custkey NOT IN (SELECT user_id FROM events)")
 _add("present_episodes", lambda spark, sf: table(spark, sf, "customer").select(F.col("c_custkey").alias(EPISODE)).join(event_frames(spark, sf), EPISODE, "left_semi"), "SELECT c_custkey AS episode_index FROM customer WHERE c_custkey IN (SELECT user_id FROM events)")
@@ -93,8 +93,14 @@ def _merge(blend):
 
 for _name, (_o, _n) in J.BLENDS.items():
     _add(f"action_merge_{_name}", _merge(_name), f"WITH {EVENT_FRAMES} SELECT episode_index, frame_index AS timestep, CASE WHEN frame_index < 30 THEN {_o}::DOUBLE * value + {_n}::DOUBLE * (value * 2) ELSE value * 2 END AS action FROM f WHERE frame_index > 24")
-_SIZES = (4000, 2500, 3500)
-_add("dataset_of_index", lambda spark, sf: table(spark, sf, "events").select("event_id", J.source_of(F.col("event_id") % 10000, _SIZES).alias("dataset_index")), "SELECT event_id, CASE WHEN event_id % 10000 < 4000 THEN 0 WHEN event_id % 10000 < 6500 THEN 1 WHEN event_id % 10000 < 10000 THEN 2 END AS dataset_index FROM events")
+def _sources(spark, sf):
+    """Event numbers as global indices of three datasets, of which the last two have a quarter and a third of the rows."""
+    events = table(spark, sf, "events").select("event_id")
+    n = (events.agg(F.max("event_id")).first()[0] or 0) + 1
+    return events.select("event_id", J.source_of(F.col("event_id"), (n - n // 4 - n // 3, n // 4, n // 3)).alias("dataset_index"))
+
+
+_add("dataset_of_index", _sources, "SELECT event_id, CASE WHEN event_id < n - n // 4 - n // 3 THEN 0 WHEN event_id < n - n // 3 THEN 1 WHEN event_id < n THEN 2 END AS dataset_index FROM events, (SELECT max(event_id) + 1 AS n FROM events)")
 _add(
     "line_order_join",
     lambda spark, sf: line_frames(spark, sf).join(table(spark, sf, "orders").select(F.col("o_orderkey").alias(EPISODE), "o_orderpriority"), EPISODE).groupBy("o_orderpriority").agg(F.count(F.lit(1)).alias("frames"), F.sum(F.col("action")[0]).alias("quantity")),
