@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -63,21 +63,37 @@ def appended_queue(left: Column, used: int, actions: Column) -> Column:
     return F.concat(F.slice(left, used + 1, F.greatest(F.size(left) - used, F.lit(0))), actions)
 
 
+def without_nan(rows: DataFrame, vectors: Sequence[str]) -> DataFrame:
+    """Transitions without a NaN in any of the vectors; a null vector has none."""
+    clean = F.lit(True)
+    for v in vectors:
+        clean = clean & ~F.coalesce(F.exists(F.col(f"`{v}`"), lambda x: F.isnan(x)), F.lit(False))
+    return rows.where(clean)
+
+
 def admit(rows: DataFrame, by: str, timestep: str, vector: str, tolerance: float, must_go: str | None = None, order: str | None = None) -> DataFrame:
     """Observations that would be processed: the first, forced ones, and those whose timestep is unseen and whose state
-    is not within the tolerance of the last admitted one. A fold over each key's rows in order."""
-    order = order or timestep
+    is not within the tolerance of the last admitted one.
+
+    A fold over rows sorted by (key, order), which streams: it holds one key's last admitted state, not its rows. In the
+    order of timesteps a seen one can only be the last admitted; in another order the key's admitted timesteps are held."""
+    own = order or timestep
     schema = T.StructType([*rows.schema.fields, T.StructField("admitted", T.BooleanType())])
 
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values([order, timestep], kind="stable")
-        seen, last, out = set(), None, []
-        for step, v, force in zip(pdf[timestep], pdf[vector], pdf[must_go] if must_go else [False] * len(pdf)):
-            ok = bool(force) or last is None or (step not in seen and sum((a - b) ** 2 for a, b in zip(v, last)) ** 0.5 >= tolerance)
-            if ok:
-                seen.add(step)
-                last = v
-            out.append(ok)
-        return pdf.assign(admitted=out)
-
-    return rows.groupBy(by).applyInPandas(fold, schema)
+    def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        key, seen, last = None, set(), None
+        for pdf in batches:
+            out = []
+            for k, step, v, force in zip(pdf[by], pdf[timestep], pdf[vector], pdf[must_go] if must_go else [False] * len(pdf)):
+                if last is None or k != key:
+                    key, seen, last = k, set(), None
+                ok = bool(force) or last is None or (step not in seen and sum((a - b) ** 2 for a, b in zip(v, last)) ** 0.5 >= tolerance)
+                if ok:
+                    last = v
+                    if own == timestep:
+                        seen.clear()
+                    seen.add(step)
+                out.append(ok)
+            yield pdf.assign(admitted=out)
+
+    return rows.repartition(by).sortWithinPartitions(by, own, timestep).mapInPandas(fold, schema)

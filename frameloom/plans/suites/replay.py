@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -37,7 +35,10 @@ _add(
 )
 _add("latest_observation", lambda spark, sf: R.latest(event_frames(spark, sf).select(EPISODE, "frame_index", "value", "event_id"), [EPISODE], "frame_index"), f"WITH {EVENT_FRAMES} SELECT episode_index, frame_index, value, event_id FROM f QUALIFY row_number() OVER (PARTITION BY episode_index ORDER BY frame_index DESC) = 1")
 _add("trimmed_queue", lambda spark, sf: line_frames(spark, sf).select(EPISODE, "frame_index", F.size(R.trimmed_queue(F.col("action"), 1)).cast("long").alias("left"), R.trimmed_queue(F.col("action"), 1)[0].alias("head"), F.size(R.appended_queue(F.col("action"), 2, F.col("action"))).cast("long").alias("both")), f"WITH {LINE_FRAMES} SELECT episode_index, frame_index, 3::BIGINT AS left, action[2] AS head, 6::BIGINT AS both FROM g")
-_add("observation_admission", lambda spark, sf: R.admit(event_frames(spark, sf).select(EPISODE, "frame_index", F.array("value").alias("state")), EPISODE, "frame_index", "state", 15.0).select(EPISODE, "frame_index", "admitted"))
+#: The fold, a step for each frame: what passes becomes the state that the next is compared with.
+_ADMITTED = """a AS (SELECT episode_index, frame_index, event_id, value, value AS last, true AS ok FROM f WHERE frame_index = 0
+    UNION ALL SELECT f.episode_index, f.frame_index, f.event_id, f.value, CASE WHEN abs(f.value - a.last) >= 15 THEN f.value ELSE a.last END, abs(f.value - a.last) >= 15 FROM a JOIN f ON f.episode_index = a.episode_index AND f.frame_index = a.frame_index + 1)"""
+_add("observation_admission", lambda spark, sf: R.admit(event_frames(spark, sf).select(EPISODE, "frame_index", F.array("value").alias("state")), EPISODE, "frame_index", "state", 15.0).select(EPISODE, "frame_index", "admitted"), f"WITH RECURSIVE {EVENT_FRAMES}, {_ADMITTED} SELECT episode_index, frame_index, ok AS admitted FROM a")
 
 
 def _transitions(spark, sf):
@@ -55,20 +56,16 @@ def _stream(spark, sf, columns):
     return T.frame_stream(spark, f"{sf}/events.parque[t]", table(spark, sf, "events").schema).select(*columns)
 
 
-def _named(prefix):
-    return f"{prefix}_{uuid.uuid4().hex[:8]}"
-
-
 def _windowed_stream(spark, sf):
     spark.conf.set("spark.sql.session.timeZone", "UTC")
     out = T.windowed(_stream(spark, sf, ["ts", "event_type", "value"]), "ts", "1 day", ["event_type"], "value", "30 days")
-    return T.run_to_table(out, _named("windows"), "complete").select(F.unix_timestamp("start").alias("start"), "event_type", "n", "total", "low", "high")
+    return T.run_to_table(out, "complete").select(F.unix_timestamp("start").alias("start"), "event_type", "n", "total", "low", "high")
 
 
 _add("stream_windows", _windowed_stream, "SELECT epoch(date_trunc('day', ts))::BIGINT AS start, event_type, count(*) AS n, sum(value) AS total, min(value) AS low, max(value) AS high FROM events GROUP BY 1, 2")
-_add("stream_online_stats", lambda spark, sf: T.run_to_table(T.online_stats(_stream(spark, sf, ["event_type", "value"]), "event_type", "value"), _named("stats"), "update"), "SELECT event_type, count(*) AS n, avg(value) AS mean, stddev_pop(value) AS std, min(value) AS min, max(value) AS max FROM events GROUP BY 1")
-_add("stream_ring", lambda spark, sf: T.run_to_table(T.ring(_stream(spark, sf, ["user_id", "event_id", "value"]), "user_id", "event_id", "value", 5), _named("ring"), "update").select("user_id", F.explode("sequences").alias("event_id")), "SELECT user_id, event_id FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) <= 5")
-_add("stream_admission", lambda spark, sf: T.run_to_table(T.admitted(_stream(spark, sf, ["user_id", "event_id", "value"]), "user_id", "event_id", "value", 15.0), _named("admitted"), "append"))
+_add("stream_online_stats", lambda spark, sf: T.run_to_table(T.online_stats(_stream(spark, sf, ["event_type", "value"]), "event_type", "value"), "update", ["event_type"]), "SELECT event_type, count(*) AS n, avg(value) AS mean, stddev_pop(value) AS std, min(value) AS min, max(value) AS max FROM events GROUP BY 1")
+_add("stream_ring", lambda spark, sf: T.run_to_table(T.ring(_stream(spark, sf, ["user_id", "event_id", "value"]), "user_id", "event_id", "value", 5), "update", ["user_id"]).select("user_id", F.explode("sequences").alias("event_id")), "SELECT user_id, event_id FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) <= 5")
+_add("stream_admission", lambda spark, sf: T.run_to_table(T.admitted(_stream(spark, sf, ["user_id", "event_id", "value"]), "user_id", "event_id", "value", 15.0), "append"), f"WITH RECURSIVE f AS (SELECT user_id AS episode_index, row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS frame_index, value, event_id FROM events), {_ADMITTED} SELECT episode_index AS user_id, event_id, value FROM a WHERE ok")
 
 # Spark's own surface
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import shutil
 import tempfile
+import uuid
 from pathlib import Path
 
 from pyspark.sql import SparkSession
@@ -25,6 +26,18 @@ def ensure_importable(spark: SparkSession) -> None:
     sc._frameloom_shipped = True
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """A new folder's path below spark.checkpoint.dir, which driver and executors share; a local session may do without the setting."""
+    sc = spark.sparkContext
+    root = sc.getCheckpointDir() or sc.getConf().get("spark.checkpoint.dir")
+    if not root:
+        if not sc.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
+        root = tempfile.mkdtemp(prefix="frameloom-shared-")
+        sc.setCheckpointDir(root)
+    return f"{root}/frameloom-{uuid.uuid4().hex}"
+
+
 def local_session(cores: str = "*", **conf) -> SparkSession:
     """A local session with the settings that tests and the bench use."""
     builder = SparkSession.builder.master(f"local[{cores}]").appName("frameloom")

@@ -7,8 +7,11 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from ..session import shared_folder
+
 
 def frame_stream(spark: SparkSession, folder: str, schema, files_per_trigger: int = 1) -> DataFrame:
     """A folder of Parquet files, or a glob (a single file must be given as one)."""
@@ -60,25 +63,108 @@ def ring(stream: DataFrame, by: str, sequence: str, value: str, capacity: int) -
     return stream.select(by, sequence, value).groupBy(by).applyInPandasWithState(update, f"{by} {kind}, sequences array<long>, held array<double>", "sequences array<long>, held array<double>", "update", GroupStateTimeout.NoTimeout)
 
 
-def admitted(stream: DataFrame, by: str, timestep: str, value: str, tolerance: float) -> DataFrame:
-    """Observations that pass: the first of a key, and those with an unseen timestep whose value moved by the tolerance."""
+def admitted(stream: DataFrame, by: str, timestep: str, value: str, tolerance: float, horizon: int = 100_000) -> DataFrame:
+    """Observations that pass: the first of a key, and those with an unseen timestep whose value moved by the tolerance.
+
+    The state holds the admitted timesteps of the last ``horizon``; an observation that is older than that is late and doesn't pass."""
 
     def update(key, batches, state: GroupState):
         seen, last = (set(state.get[0]), state.get[1]) if state.exists else (set(), None)
+        newest = max(seen, default=None)
         rows = pd.concat(list(batches)).sort_values(timestep)
         out = []
         for step, v in zip(rows[timestep], rows[value]):
-            if last is None or (step not in seen and abs(v - last) >= tolerance):
+            if last is None or (step > newest - horizon and step not in seen and abs(v - last) >= tolerance):
                 seen.add(int(step))
+                newest = int(step) if newest is None else max(newest, int(step))
                 last = float(v)
                 out.append((key[0], int(step), float(v)))
-        state.update((sorted(seen), last))
+        state.update((sorted(s for s in seen if s > newest - horizon), last))
         yield pd.DataFrame(out, columns=[by, timestep, value])
 
     kind = stream.schema[by].dataType.simpleString()
     return stream.select(by, timestep, value).groupBy(by).applyInPandasWithState(update, f"{by} {kind}, {timestep} long, {value} double", "seen array<long>, last double", "append", GroupStateTimeout.NoTimeout)
 
 
+def _emitted(by: str, columns: list[str], rows: list[tuple]) -> pd.DataFrame:
+    return pd.DataFrame(rows, columns=[by, *columns])
+
+
+def looked_around(stream: DataFrame, by: str, frame: str, value: str, offsets: list[int], idle: str = "1 hour", clock: str = "ts") -> DataFrame:
+    """Bounded look-back and look-ahead: for each frame the values ``offsets`` frames away, clamped to the episode's ends, with
+    pad flags. A frame goes out when the frame furthest ahead of it has come; an episode's last ones when the watermark has
+    passed its last row by ``idle``. The state holds no more frames than the offsets span. Frames must come in order in an episode."""
+    back, ahead = -min(0, *offsets), max(0, *offsets)
+
+    def update(key, batches, state: GroupState):
+        frames, values, done = (list(x) for x in state.get) if state.exists else ([], [], [])
+        for pdf in batches:
+            rows = pdf.sort_values(frame)
+            frames += rows[frame].tolist()
+            values += rows[value].tolist()
+        given = done[0] if done else -1  # the last frame that went out
+        out = []
+        over = state.hasTimedOut
+        last = frames[-1] if frames else -1
+        at = {f: v for f, v in zip(frames, values)}
+        for f in frames:
+            if f > given and (over or f + ahead <= last):
+                cells = [at[min(max(f + k, 0), last)] for k in offsets]
+                out.append((key[0], int(f), cells, [f + k < 0 or f + k > last for k in offsets]))
+                given = int(f)
+        if over:
+            state.remove()
+        else:
+            keep = [i for i, f in enumerate(frames) if f > given - back]
+            state.update(([frames[i] for i in keep], [values[i] for i in keep], [given]))
+            if frames:
+                state.setTimeoutTimestamp(max(state.getCurrentWatermarkMs(), 0) + 1, idle)
+        yield _emitted(by, [frame, "window", "is_pad"], out)
+
+    kind = stream.schema[by].dataType.simpleString()
+    timed = stream.withColumn("_t", F.col(clock).cast("timestamp")).withWatermark("_t", idle).select(by, frame, value, "_t")
+    return timed.groupBy(by).applyInPandasWithState(update, f"{by} {kind}, {frame} long, window array<double>, is_pad array<boolean>", "frames array<long>, kept array<double>, given array<long>", "append", GroupStateTimeout.EventTimeTimeout)
+
+
+def running_steps(stream: DataFrame, by: str, frame: str, value: str, flag: str, dt: float, limit: int) -> DataFrame:
+    """Velocity, time limit and latch of each key, row by row in the order of arrival; the state is one row a key: its last
+    value and flag, and the latched value. A frame number that starts again resets it."""
+
+    def update(key, batches, state: GroupState):
+        before, raised, latched = state.get if state.exists else (None, False, None)
+        out = []
+        for pdf in batches:
+            for f, v, up in pdf.sort_values(frame)[[frame, value, flag]].itertuples(index=False):
+                if f == 0:
+                    before, raised, latched = None, False, None
+                up = bool(up)
+                if up and not raised:
+                    latched = float(v)
+                out.append((key[0], int(f), 0.0 if before is None else (float(v) - before) / dt, f + 1 >= limit, latched))
+                before, raised = float(v), up
+        state.update((before, raised, latched))
+        yield _emitted(by, [frame, "velocity", "truncated", "latched"], out).astype({"latched": "float64"})
+
+    kind = stream.schema[by].dataType.simpleString()
+    return stream.select(by, frame, value, flag).groupBy(by).applyInPandasWithState(update, f"{by} {kind}, {frame} long, velocity double, truncated boolean, latched double", "before double, raised boolean, latched double", "append", GroupStateTimeout.NoTimeout)
+
+
+def joined_chunks(parts: DataFrame, message: str = "message", place: str = "place", state: str = "state", body: str = "body") -> DataFrame:
+    """Messages that came in pieces (state: begin, middle, end) put together; only those whose begin and end have come and
+    whose places have no gap."""
+    whole = parts.groupBy(message).agg(F.array_sort(F.collect_list(F.struct(place, body))).alias("_p"), F.max(F.when(F.col(state) == "end", F.col(place))).alias("_last"), F.min(F.when(F.col(state) == "begin", F.col(place))).alias("_first"))
+    complete = whole.where((F.size("_p") == F.col("_last") - F.col("_first") + 1))
+    return complete.select(message, F.aggregate("_p", F.unhex(F.lit("")), lambda a, x: F.concat(a, x[body])).alias(body))
+
+
+def chunked(messages: DataFrame, message: str = "message", body: str = "body", size: int = 1 << 21) -> DataFrame:
+    """Each message's bytes in pieces of ``size``: place, state (begin, middle or end; a single piece is begin and then end) and body."""
+    n = F.greatest(F.ceil(F.length(body) / F.lit(float(size))), F.lit(2)).cast("int")
+    pieces = messages.select(message, n.alias("_n"), body, F.explode(F.sequence(F.lit(0), n - 1)).alias("place"))
+    state = F.when(F.col("place") == 0, "begin").when(F.col("place") == F.col("_n") - 1, "end").otherwise("middle")
+    return pieces.select(message, "place", state.alias("state"), F.substring(F.col(body), F.col("place") * size + 1, F.lit(size)).alias(body))
+
+
 def merged_actions(stream: DataFrame, by: str, timestep: str, action: str, weights: tuple[float, float] = (0.3, 0.7)) -> DataFrame:
     """The action queue of each key: steps already run are late, overlaps are blended, the queue is the newest chunk's
     steps. ``latest`` (a column of the stream) is the last step that was run when the chunk came."""
@@ -110,11 +196,24 @@ def route(stream: DataFrame, folder: str, flag: str, checkpoint: str):
     return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def run_to_table(stream: DataFrame, name: str, mode: str, checkpoint: str | None = None) -> DataFrame:
-    """Run a stream over what is there into an in-memory table, for small results and tests."""
-    writer = stream.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True)
-    if checkpoint:
-        writer = writer.option("checkpointLocation", checkpoint)
-    query = writer.start()
-    query.awaitTermination()
-    return stream.sparkSession.table(name)
+def run_to_table(stream: DataFrame, mode: str, keys: list[str] | None = None, checkpoint: str | None = None) -> DataFrame:
+    """Run a stream over what is there, and read what it gave from Parquet in the shared folder; nothing comes to the driver.
+
+    Each trigger's rows are one folder, written anew if a trigger is run again. In complete mode the last trigger's rows are
+    the result; in update mode, with ``keys``, each key's rows of the last trigger that has it."""
+    spark = stream.sparkSession
+    folder = shared_folder(spark)
+    schema = stream.schema
+
+    def write(batch: DataFrame, epoch: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{folder}/rows/epoch={epoch}")
+
+    writer = stream.writeStream.foreachBatch(write).outputMode(mode).trigger(availableNow=True).option("checkpointLocation", checkpoint or f"{folder}/checkpoint")
+    writer.start().awaitTermination()
+    kept = T.StructType([*schema.fields, T.StructField("epoch", T.IntegerType())])
+    rows = spark.read.schema(kept).option("basePath", f"{folder}/rows").option("recursiveFileLookup", "false").parquet(f"{folder}/rows")
+    if mode == "complete":
+        rows = rows.join(rows.agg(F.max("epoch").alias("epoch")), "epoch")
+    elif mode == "update" and keys:
+        rows = rows.join(rows.groupBy(*keys).agg(F.max("epoch").alias("epoch")), [*keys, "epoch"])
+    return rows.select(*schema.names)
