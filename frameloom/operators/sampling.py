@@ -67,6 +67,21 @@ def draw_with_replacement(rows: DataFrame, index: str, total: int, draws: int, s
     return picks.join(rows, index)
 
 
+def buffer_batch(rows: DataFrame, index: str, batch: int, seed: int, capacity: int | None = None, shared_next: bool = False) -> DataFrame:
+    """A batch of a buffer (gapless index), drawn with replacement, no larger than what the buffer holds. With ``shared_next`` a
+    transition's next state is the next row's, so the newest row of a buffer that isn't full can't be drawn."""
+    held = rows.count()
+    if not held:
+        raise ValueError("the buffer is empty")
+    open_end = shared_next and (capacity is None or held < capacity)
+    return draw_with_replacement(rows, index, max(1, held - 1) if open_end else held, min(batch, held), seed)
+
+
+def mixed_batch(online: DataFrame, offline: DataFrame) -> DataFrame:
+    """Two batches as one: columns that one of them lacks are null there; ``origin`` tells them apart."""
+    return online.withColumn("origin", F.lit("online")).unionByName(offline.withColumn("origin", F.lit("offline")), allowMissingColumns=True)
+
+
 def episode_fraction(frames: DataFrame, fraction: float, seed: int) -> DataFrame:
     """max(1, int(n * fraction)) frames of each episode without replacement, those with the least hash."""
     order = Window.partitionBy(EPISODE).orderBy(spread(F.col(FRAME) * 7919 + F.col(EPISODE), seed), FRAME)

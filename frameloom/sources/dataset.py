@@ -12,7 +12,7 @@ from collections.abc import Sequence
 from dataclasses import dataclass, field, replace
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -22,6 +22,8 @@ from ..operators.windows import EPISODE, FRAME
 VERSION = "v3.0"
 FILES_PER_CHUNK = 1000
 DATA_MB, VIDEO_MB = 100, 200
+#: About 100 MB of episode rows with their statistics.
+EPISODES_PER_FILE = 20_000
 DATA_PATH = "data/chunk-{chunk_index:03d}/file-{file_index:03d}.parquet"
 VIDEO_PATH = "videos/{video_key}/chunk-{chunk_index:03d}/file-{file_index:03d}.mp4"
 
@@ -180,6 +182,22 @@ class EpisodeDataset:
     root: str
     info: Info
 
+    @property
+    def camera_keys(self) -> list[str]:
+        return [k for k, f in self.info.features.items() if f.dtype in ("image", "video")]
+
+    @property
+    def video_keys(self) -> list[str]:
+        return [k for k, f in self.info.features.items() if f.dtype == "video"]
+
+    @property
+    def names(self) -> dict[str, tuple[str, ...] | None]:
+        return {k: f.names for k, f in self.info.features.items()}
+
+    @property
+    def shapes(self) -> dict[str, tuple[int, ...]]:
+        return {k: f.shape for k, f in self.info.features.items()}
+
     @staticmethod
     def load(spark: SparkSession, root: str) -> EpisodeDataset:
         return EpisodeDataset(spark, root, Info.from_json(read_text(spark, f"{root}/meta/info.json")))
@@ -214,17 +232,44 @@ class EpisodeDataset:
         rows = rows if episodes is None else rows.where(F.col(EPISODE).isin(list(episodes)))
         return rows.select(F.format_string("data/chunk-%03d/file-%03d.parquet", F.col("`data/chunk_index`"), F.col("`data/file_index`")).alias("path")).distinct()
 
+    def video_paths(self, episodes: Sequence[int] | None = None) -> DataFrame:
+        """The video files of the episodes, each once."""
+        rows = self.episodes()
+        rows = rows if episodes is None else rows.where(F.col(EPISODE).isin(list(episodes)))
+        return rows.select(F.explode(F.array(*[F.format_string(f"videos/{k}/chunk-%03d/file-%03d.mp4", F.col(f"`videos/{k}/chunk_index`"), F.col(f"`videos/{k}/file_index`")) for k in self.video_keys])).alias("path")).distinct()
+
     def missing_episodes(self, episodes: Sequence[int]) -> DataFrame:
         return self.spark.createDataFrame([(int(e),) for e in episodes], f"{EPISODE} long").join(self.episodes(), EPISODE, "left_anti")
 
 
+def recorded(rows: DataFrame, order: str | Sequence[str], fps: float) -> DataFrame:
+    """Recorded rows (EPISODE, task, features) with frame numbers in the order of ``order`` and, where they bring none, timestamps."""
+    w = Window.partitionBy(EPISODE).orderBy(*([order] if isinstance(order, str) else order))
+    out = rows.withColumn(FRAME, F.row_number().over(w).cast("long") - 1)
+    return out if "timestamp" in rows.columns else out.withColumn("timestamp", (F.col(FRAME) / F.lit(float(fps))).cast("float"))
+
+
 def numbered(frames: DataFrame, fps: float) -> DataFrame:
-    """frame_index, timestamp, index, task_index for recorded rows that have episode_index, task and an order column."""
-    out = edits.renumbered(frames).withColumn("timestamp", (F.col(FRAME) / F.lit(float(fps))).cast("float"))
+    """index, timestamp and task_index for frames that have EPISODE, FRAME and task."""
+    out = edits.renumbered(frames)
+    if "timestamp" not in frames.columns:
+        out = out.withColumn("timestamp", (F.col(FRAME) / F.lit(float(fps))).cast("float"))
     tasks = edits.first_seen_tasks([out])
     return out.join(tasks, "task")
 
 
+def create(spark: SparkSession, root: str, info: Info) -> EpisodeDataset:
+    """An empty dataset: info.json alone. Raises if there is one, or if a feature takes a default's name."""
+    if exists(spark, f"{root}/meta/info.json"):
+        raise FileExistsError(root)
+    if taken := sorted(set(info.features) & set(DEFAULTS)):
+        raise ValueError(f"default features: {taken}")
+    schema_of(info.features)
+    done = replace(info, features=info.features | DEFAULTS, splits={})
+    write_text(spark, f"{root}/meta/info.json", done.to_json())
+    return EpisodeDataset(spark, root, done)
+
+
 def violations(frames: DataFrame, features: dict[str, Feature]) -> DataFrame:
     """One row: for each feature the number of values that are null or have another length than declared; missing or
     extra columns raise."""
@@ -285,9 +330,12 @@ def write(frames: DataFrame, root: str, info: Info, mb_per_frame: float = 0.001)
     stat_columns = ("min", "max", "mean", "std", "count", "q01", "q10", "q50", "q90", "q99")
     numeric = [k for k in features if k not in ("index", "task_index") and features[k].dtype not in ("string", "image", "video", "bool") and len(features[k].shape) == 1]
     flat = wide.groupBy(EPISODE).agg(*[F.max(F.when(F.col("feature") == k, F.col(s))).alias(f"stats/{k}/{s}") for k in numeric for s in stat_columns])
-    zero = F.lit(0).cast("long")
-    episodes = binned.join(flat, EPISODE).withColumn("meta/episodes/chunk_index", zero).withColumn("meta/episodes/file_index", zero)
-    episodes.coalesce(1).sortWithinPartitions(EPISODE).write.mode("overwrite").parquet(f"{root}/meta/_episodes/_chunk=chunk-000/_file=file-000")
+    #: Episode rows go to files of EPISODES_PER_FILE episodes, by number.
+    file = F.floor(F.col(EPISODE) / EPISODES_PER_FILE)
+    episodes = binned.join(flat, EPISODE).withColumn("meta/episodes/chunk_index", F.floor(file / info.chunks_size)).withColumn("meta/episodes/file_index", file % info.chunks_size)
+    where = F.format_string("chunk-%03d", F.col("`meta/episodes/chunk_index`")), F.format_string("file-%03d", F.col("`meta/episodes/file_index`"))
+    placed = episodes.withColumn("_chunk", where[0]).withColumn("_file", where[1])
+    placed.repartition("_chunk", "_file").sortWithinPartitions("_chunk", "_file", EPISODE).write.mode("overwrite").partitionBy("_chunk", "_file").parquet(f"{root}/meta/_episodes")
     _settle(spark, f"{root}/meta/_episodes", f"{root}/meta/episodes")
     rows.select("task", "task_index").distinct().coalesce(1).sortWithinPartitions("task_index").write.mode("overwrite").parquet(f"{root}/meta/tasks.parquet")
     pooled = stats.pooled_stats(per_stats, ["feature", "dim"]).orderBy("feature", "dim").collect()  # a row for each dimension
