@@ -19,6 +19,7 @@ from __future__ import annotations
 import zlib
 from bisect import bisect_right
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -42,9 +43,10 @@ def tokenizer_path() -> str:
 
 
 class Ids:
-    """Token ids of stretches of text; remembers the stretches it has seen, up to ``most`` ids."""
+    """Token ids of stretches of text. Remembers the stretches it has seen, up to ``most`` ids (about 30 MB); then it keeps those
+    that came in more than one run of texts since, or, if they are too many, begins anew."""
 
-    def __init__(self, path: str, most: int = 2_000_000):
+    def __init__(self, path: str, most: int = 3_000_000):
         from tokenizers import Tokenizer
 
         self.tokenizer, self.most = Tokenizer.from_file(path), most
@@ -52,9 +54,18 @@ class Ids:
         self.forget()
 
     def forget(self):
-        self.keys, self.at, self.n = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.keys, self.at, self.n, self.used = np.zeros(0, np.uint64), np.zeros(0, np.int32), np.zeros(0, np.int32), np.zeros(0, np.int32)
         self.flat = np.zeros(0, np.uint32)
 
+    def thin_out(self):
+        keep = np.flatnonzero(self.used > 1)
+        size = self.n[keep].astype(np.int64)
+        if size.sum() > self.most // 2:
+            return self.forget()
+        ends = np.cumsum(size)
+        self.flat = self.flat[np.arange(int(size.sum())) + np.repeat(self.at[keep] - (ends - size), size)]
+        self.keys, self.at, self.n, self.used = self.keys[keep], (ends - size).astype(np.int32), self.n[keep], np.zeros(len(keep), np.int32)
+
     def texts(self, raw: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the texts, and the place of each text's first, and the total."""
         n = len(raw)
@@ -70,24 +81,26 @@ class Ids:
         keys = span_hashes(raw, starts, ends)
         uniq, where, back = np.unique(keys, return_index=True, return_inverse=True)
         if len(self.flat) > self.most:
-            self.forget()
+            self.thin_out()
         place = np.searchsorted(self.keys, uniq)
         place[place == len(self.keys)] = 0
         new = np.flatnonzero(self.keys[place] != uniq) if len(self.keys) else np.arange(len(uniq))
         if len(new):
             body = raw.tobytes()
             found = []
-            for i in range(0, len(new), 20_000):
-                some = where[new[i : i + 20_000]]
+            for i in range(0, len(new), 5_000):
+                some = where[new[i : i + 5_000]]
                 found += [e.ids for e in self.tokenizer.encode_batch([body[s:e].decode("utf-8", "replace") for s, e in zip(starts[some].tolist(), ends[some].tolist())], add_special_tokens=False)]
             sizes = np.fromiter(map(len, found), np.int64, len(found))
             at = len(self.flat) + np.concatenate([[0], np.cumsum(sizes)[:-1]])
-            self.flat = np.concatenate([self.flat, np.fromiter((x for f in found for x in f), np.uint32, int(sizes.sum()))])
-            self.keys, self.at, self.n = np.concatenate([self.keys, uniq[new]]), np.concatenate([self.at, at]), np.concatenate([self.n, sizes])
-            order = np.argsort(self.keys)
-            self.keys, self.at, self.n = self.keys[order], self.at[order], self.n[order]
+            self.flat = np.concatenate([self.flat, np.fromiter(chain.from_iterable(found), np.uint32, int(sizes.sum()))])
+            keys = np.concatenate([self.keys, uniq[new]])
+            order = np.argsort(keys, kind="stable")  # two sorted runs: a merge
+            self.keys = keys[order]
+            self.at, self.n, self.used = (np.concatenate([old, own.astype(np.int32)])[order] for old, own in ((self.at, at), (self.n, sizes), (self.used, np.zeros(len(new)))))
         place = np.searchsorted(self.keys, uniq)
-        at, size = self.at[place][back], self.n[place][back]
+        self.used[place] += 1
+        at, size = self.at[place][back].astype(np.int64), self.n[place][back].astype(np.int64)
         ends_at = np.cumsum(size)
         total = int(ends_at[-1]) if len(ends_at) else 0
         ids = self.flat[np.arange(total) + np.repeat(at - (ends_at - size), size)]
@@ -126,7 +139,6 @@ def pieces(df: DataFrame, key: str = "doc_id", text: str = "text", path: str | N
                         crc.append(zlib.crc32(part.tobytes()))
                         total.append(len(own_ids))
                 yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row, pa.int64())), *[pa.array(x, pa.int64()) for x in (start, size, crc, total)]], names=schema.names)
-        ids_of.forget()
         release()
 
     return own.mapInArrow(run, schema)
