@@ -130,7 +130,9 @@ _BLOCK = 32
 def _neighbour(seed: Column, c: Column, i: Column) -> Column:
     code, start = F.ascii(c), _draw(seed, i, _BLOCK)
     near = F.transform(F.sequence(F.lit(0), F.lit(_BLOCK - 1)), lambda k: F.decode(F.unhex(F.lpad(F.hex(code - F.pmod(code, F.lit(_BLOCK)) + F.pmod(start + k, F.lit(_BLOCK))), 4, "0")), "UTF-16BE"))
-    same = lambda x: F.when(c.rlike(r"\p{Lu}"), x.rlike(r"\p{Lu}")).when(c.rlike(r"\p{Ll}"), x.rlike(r"\p{Ll}")).otherwise(x.rlike(r"\p{Lo}"))
+    #: Letters with case must have one partner in the other, or capitals could not be laid over them.
+    paired = lambda x, other: (F.length(other(x)) == 1) & (other(x) != x)
+    same = lambda x: F.when(c.rlike(r"\p{Lu}"), x.rlike(r"\p{Lu}") & paired(x, F.lower)).when(c.rlike(r"\p{Ll}"), x.rlike(r"\p{Ll}") & paired(x, F.upper)).otherwise(x.rlike(r"\p{Lo}"))
     return F.when(c.rlike(r"\p{L}") & (code < 0x10000), F.coalesce(F.try_element_at(F.filter(near, same), F.lit(1)), c)).otherwise(c)
 
 
