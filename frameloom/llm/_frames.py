@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 from collections.abc import Callable, Sequence
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -29,10 +31,36 @@ def checkpoint_folder(spark: SparkSession) -> str:
     return sc.getCheckpointDir()
 
 
+_made: ContextVar[list | None] = ContextVar("checkpoints", default=None)
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
     """Cut the lineage in the shared folder."""
     checkpoint_folder(df.sparkSession)
-    return df.checkpoint(eager=True)
+    out = df.checkpoint(eager=True)
+    if (made := _made.get()) is not None:
+        file = out._jdf.queryExecution().analyzed().rdd().getCheckpointFile()
+        if file.isDefined():
+            made.append(file.get())
+    return out
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    """Delete a file or folder in any store that Spark reaches."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
+@contextmanager
+def passing_checkpoints(spark: SparkSession):
+    """Checkpoints that are made inside are deleted at the end; what reads them must be written by then."""
+    token = _made.set([])
+    try:
+        yield
+    finally:
+        for path in _made.get():
+            delete(spark, path)
+        _made.reset(token)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -13,7 +13,7 @@ import pytest
 import regex
 from pyspark.sql import functions as F
 
-from frameloom.llm import html_consensus, language_id, lm_scoring, lsh_forest, pii_surrogates, spotsigs
+from frameloom.llm import html_consensus, language_id, lm_scoring, lsh_forest, pii_surrogates, quality_ledger, spotsigs
 from frameloom.llm import _text
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -124,9 +124,10 @@ def _pii(spark, texts, **options):
     return [r["text"] for r in sorted(pii_surrogates.replace(df, **options).collect(), key=lambda r: r["doc_id"])]
 
 
-def test_pii_scripts_stay(spark):
+@pytest.mark.parametrize("key", ["k0", "k1", "k2"])
+def test_pii_scripts_stay(spark, key):
     names = ["Dr Παπαδόπουλος", "Dr Գրիգորյան", "Dr Łukaszewiczówna", "Dr Çelik", "Иван Петров", "Mr Xi", "Mr Yu", "Mr Li"]
-    got = _pii(spark, [f"met {n} today" for n in names])
+    got = _pii(spark, [f"met {n} today" for n in names], key=key)
     for n, g in zip(names, got):
         old, new = n.split(" ")[1], g[4:-6].split(" ")[1]
         assert new != old and len(new) - len(old) in range(0, 6)
@@ -206,7 +207,7 @@ def test_empty_and_null_tables(spark):
 
 def test_long_text_through_the_kernels(spark):
     """A text of 20 MB: every kernel's tables stay small, and its parts are found again."""
-    from frameloom.llm import packing, quality_ledger
+    from frameloom.llm import packing
 
     body = " ".join(f"the word{i % 5000} of text{i % 977}" for i in range(800_000))
     df = spark.createDataFrame([(1, body), (2, body + " end")], "doc_id long, text string")
@@ -270,3 +271,25 @@ def test_spotsigs_brute_force_over_all_documents(spark):
         own = got[r["doc_id"]]
         assert len(spotsigs.decode(own["fingerprint"])) == len(sets[i]) and len(spotsigs.decode(own["edited_fingerprint"])) == len(changed)
         assert own["near_edited"] == pytest.approx(like(sets[i], changed)) and own["near_next"] == pytest.approx(like(sets[i], sets[j]))
+
+
+def test_toxic_terms_of_held_out_documents(spark):
+    """Labels of half the documents teach; the other half is judged."""
+    folder = "/root/testdata/sf0.1"
+    docs, labels = (spark.read.parquet(f"{folder}/{t}.parquet") for t in ("documents", "labels"))
+    half = F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(2)) == 0
+    terms = quality_ledger.learnt_terms(docs, labels.where(half))
+    rows = quality_ledger.ledger(docs.where(~half), terms=terms).join(labels.where(~half), "doc_id").collect()
+    bit = quality_ledger.BIT["toxic_terms"]
+    toxic, clean = ([bool(r["failed"] & bit) for r in rows if bool(r["toxic"]) == t] for t in (True, False))
+    assert sum(toxic) >= 0.75 * len(toxic) and sum(clean) <= 0.005 * len(clean), (sum(toxic), len(toxic), sum(clean), len(clean))
+
+
+def test_toxic_terms_by_hand(spark):
+    docs = spark.createDataFrame([(i, f"some words gräulix{i} BADword here") for i in range(6)] + [(10 + i, "some words here") for i in range(6)] + [(None, "BADword"), (30, None)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, 1) for i in range(6)] + [(10 + i, 0) for i in range(6)] + [(None, 1), (30, 1), (31, None), (0, 1)], "doc_id long, toxic int")
+    terms = quality_ledger.learnt_terms(docs, labels)
+    assert {"badword", "badw", "gräu", "gräulix"} <= set(terms) and not {"some", "words", "here"} & set(terms)
+    got = {r["doc_id"]: r["n_toxic_terms"] for r in quality_ledger.ledger(docs, terms=terms).collect()}
+    assert got == {**{i: 2 for i in range(6)}, **{10 + i: 0 for i in range(6)}, None: 1, 30: 0}
+    assert quality_ledger.learnt_terms(docs, labels.where("toxic = 0")) == [] and quality_ledger.learnt_terms(docs, labels.limit(0)) == []
