@@ -8,16 +8,21 @@ from __future__ import annotations
 
 import uuid
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from frameloom.llm import lsh_forest, mixing, packing, pii_surrogates, quality_ledger
-from frameloom.llm._frames import checkpoint_folder, table
+from frameloom.llm._frames import checkpoint_folder, delete, passing_checkpoints, table
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the policy rejects go."""
-    return quality_ledger.keep(docs)
+    """Documents that the policy rejects go. Labels, where there are any, teach the terms of toxic documents."""
+    try:
+        labels = table(spark, sf_dir, "labels")
+    except AnalysisException:
+        labels = None  # a corpus without labels
+    return quality_ledger.keep(docs, terms=quality_ledger.learnt_terms(docs, labels) if labels is not None else ())
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -48,9 +53,14 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A stage's checkpoints go when it is written, and its rows when the next stage is; the last stage's rows stay."""
     docs = table(spark, sf_dir, "documents")
     folder = f"{checkpoint_folder(spark)}/pipeline-{uuid.uuid4().hex}"
+    before = None
     for name, stage in STAGES:
-        stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")
-        docs = spark.read.parquet(f"{folder}/{name}")
+        with passing_checkpoints(spark):
+            stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")
+        if before:
+            delete(spark, f"{folder}/{before}")
+        docs, before = spark.read.parquet(f"{folder}/{name}"), name
     return docs
