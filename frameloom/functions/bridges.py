@@ -183,3 +183,21 @@ def kinds_and_modes(stats: dict[str, dict], shapes: dict[str, tuple] | None = No
         if mode and name in kinds:
             found.setdefault(kinds[name], mode)
     return kinds, {"VISUAL": "MEAN_STD", "STATE": "MIN_MAX", "ACTION": "MEAN_STD"} | found
+
+
+def check_features(given: Sequence[str], wanted: Sequence[str]) -> None:
+    """Raise unless the names are the same, and say which are missing and which too many."""
+    missing, extra = sorted(set(wanted) - set(given)), sorted(set(given) - set(wanted))
+    if missing or extra:
+        raise ValueError(f"features differ: missing {missing}, extra {extra}")
+
+
+def check_cameras(given: Sequence[str], wanted: Sequence[str]) -> None:
+    """Raise unless the cameras of one side are among those of the other."""
+    if not (set(given) <= set(wanted) or set(wanted) <= set(given)):
+        check_features(given, wanted)
+
+
+def shaped_stats(flat: dict[str, list], image: bool) -> dict[str, list]:
+    """Statistics as a dataset's file holds them: an image's channels as (3, 1, 1), a scalar's as one value, counts as they are."""
+    return {k: v if k == "count" else [[[x]] for x in v] if image else list(v) if isinstance(v, (list, tuple)) else [v] for k, v in flat.items()}

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -253,6 +253,46 @@ def six_d_to_matrix(v: Column) -> Column:
     return F.array(*[F.array(x[i], y[i], z[i]) for i in range(3)])
 
 
+def matrix_to_quaternion(m: Column) -> Column:
+    """(x, y, z, w) of a rotation matrix, from the largest of the four sums on its diagonal, so that no root is of a small number."""
+    c = lambda i, j: m[i][j]
+    sums = [c(0, 0) - c(1, 1) - c(2, 2), c(1, 1) - c(0, 0) - c(2, 2), c(2, 2) - c(0, 0) - c(1, 1), c(0, 0) + c(1, 1) + c(2, 2)]
+    #: Products of the quaternion's parts, four times each: q q' from sums and differences across the diagonal.
+    pair = {(0, 1): c(0, 1) + c(1, 0), (0, 2): c(0, 2) + c(2, 0), (1, 2): c(1, 2) + c(2, 1), (0, 3): c(2, 1) - c(1, 2), (1, 3): c(0, 2) - c(2, 0), (2, 3): c(1, 0) - c(0, 1)}
+    out, top = None, F.greatest(*sums)
+    for k in range(4):
+        s = F.sqrt(F.greatest(sums[k] + 1, F.lit(0.0))) * 2
+        own = F.array(*[s / 4 if i == k else pair[min(i, k), max(i, k)] / F.nullif(s, F.lit(0.0)) for i in range(4)])
+        out = F.when(sums[k] == top, own) if out is None else out.when(sums[k] == top, own)
+    return out
+
+
+def matrix_multiply(a: Column, b: Column) -> Column:
+    return F.array(*[F.array(*[a[i][0] * b[0][j] + a[i][1] * b[1][j] + a[i][2] * b[2][j] for j in range(3)]) for i in range(3)])
+
+
+def matrix_inverse(m: Column) -> Column:
+    """A rotation's inverse is its transpose."""
+    return F.array(*[F.array(*[m[j][i] for j in range(3)]) for i in range(3)])
+
+
+def _let(c: Column, then: Callable[[Column], Column]) -> Column:
+    """An expression over a value that is computed once."""
+    return F.transform(F.array(c), then)[0]
+
+
+def six_d_action(action: Column) -> Column:
+    """Position, rotation by two 3-vectors and gripper as position, axis times angle, and a gripper of -1 or 1."""
+    turn = _let(_let(_let(F.slice(action, 4, 6), six_d_to_matrix), matrix_to_quaternion), quaternion_to_axis_angle)
+    return F.concat(F.slice(action, 1, 3), turn, F.array(F.when(action[9] > 0.5, F.lit(1.0)).otherwise(F.lit(-1.0))))
+
+
+def delta_action(delta: Column, gripper: Column, scale: float, threshold: float) -> dict[str, Column]:
+    """A teleoperator's step as a robot's target: scaled, without rotation; enabled if it is longer than the noise."""
+    out = {"enabled": delta_enabled(delta, threshold)} | {f"target_{a}": delta[i] * F.lit(float(scale)) for i, a in enumerate("xyz")}
+    return out | {f"target_w{a}": F.lit(0.0) for a in "xyz"} | {"gripper_vel": gripper.cast("double")}
+
+
 def gripper_penalty(state: Column, action: Column, most: float, penalty: float) -> Column:
     s, a = state / most, action / most
     return F.when(((s < 0.5) & (a > 0.5)) | ((s > 0.75) & (a < 0.5)), F.lit(penalty)).otherwise(F.lit(0.0))

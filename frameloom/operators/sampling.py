@@ -15,6 +15,18 @@ def spread(key: Column, seed: int = 0, mod: int = 1_000_003) -> Column:
     return F.pmod((key.cast("long") + seed) * F.lit(2654435761), F.lit(mod))
 
 
+def rewind_steps(key: Column, most: int, seed: int = 0) -> Column:
+    """A number of steps in 1 .. most by a hash of the key."""
+    return spread(key, seed) % most + 1
+
+
+def through_buffer(rows: DataFrame, order: str, size: int, seed: int) -> DataFrame:
+    """The order in which a shuffle buffer of ``size`` rows gives a stream's rows: rows may come early by any number, late only
+    by what the buffer holds. Adds shuffle_key; rows of a stretch of ``size`` are dealt over it and the next."""
+    late = spread(F.col(order), seed, 2 * size)
+    return rows.withColumn("shuffle_key", F.col(order) + late).orderBy("shuffle_key", order)
+
+
 def kept_frames(frames: DataFrame, drop_first: int = 0, drop_last: int = 0, episodes: Sequence[int] | None = None) -> DataFrame:
     """Frames in [drop_first, length - drop_last) of the chosen episodes; too short episodes give none."""
     rows = frames if episodes is None else frames.where(F.col(EPISODE).isin(list(episodes)))

@@ -34,15 +34,97 @@ def _split_quantiles(df: DataFrame, quantiles: Sequence[float]) -> DataFrame:
     return df.drop("_q")
 
 
-def feature_stats(df: DataFrame, value: str, by: Sequence[str] = (), quantiles: Sequence[float] = QUANTILES) -> DataFrame:
-    """min, max, mean, population std, count and exact quantiles; under two rows std is 0 and quantiles are the mean."""
-    return _split_quantiles(df.groupBy(*by).agg(*_aggregates(F.col(value), quantiles)), quantiles)
-
-
-def vector_stats(df: DataFrame, vector: str, by: Sequence[str] = (), quantiles: Sequence[float] = QUANTILES) -> DataFrame:
+#: A sketch's error in rank is at most a group's size by this; brackets are four times as wide on either side.
+_SHARP = 200_000
+#: Datasets of no more values are quantiled in one pass, in which a group's distinct values are one task's.
+FEW_VALUES = 2_000_000
+
+
+def selected_quantiles(df: DataFrame, value: str, by: Sequence[str] = (), quantiles: Sequence[float] = QUANTILES) -> DataFrame:
+    """Exact quantiles (linear between ranks) of groups of any size: by, and a column for each.
+
+    A sketch, whose error in rank is bounded, brackets each quantile; a second pass counts what lies below a bracket and each
+    value inside it. So no task holds a group's values, only the distinct ones of a bracket (of a group of ``_SHARP`` values or
+    fewer, all). Nulls are left out, and NaN is the largest value."""
+    #: NaN sorts last in Spark, in the sketch as in comparisons.
+    rows = df.select(*by, F.col(value).cast("double").alias("_v")).where("_v is not null")
+    around = [min(1.0, max(0.0, q + 4 * d / _SHARP)) for q in quantiles for d in (-1, 1)]
+    sketch = rows.groupBy(*by).agg(F.count(F.lit(1)).alias("_n"), F.percentile_approx("_v", around, _SHARP).alias("_a"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi"))
+    held = _beside(rows, sketch, by)
+    few = F.col("_n") <= _SHARP
+    low, high = (lambda i: F.when(few, F.col("_lo")).otherwise(F.col("_a")[2 * i])), (lambda i: F.when(few, F.col("_hi")).otherwise(F.col("_a")[2 * i + 1]))
+    marks = F.array(*[F.struct(F.lit(i).alias("i"), low(i).alias("low"), high(i).alias("high")) for i in range(len(quantiles))])
+    below = [F.sum(F.when(F.col("_v") < low(i), 1).otherwise(0)).alias(f"_b{i}") for i in range(len(quantiles))]
+    under = held.groupBy(*by).agg(F.first("_n").alias("_n"), *below)
+    inside = held.select(*by, "_v", F.explode(F.filter(marks, lambda m: (m["low"] <= F.col("_v")) & (F.col("_v") <= m["high"]))).alias("_m"))
+    counted = inside.groupBy(*by, F.col("_m.i").alias("_i"), "_v").agg(F.count(F.lit(1)).alias("_c"))
+    upto = Window.partitionBy(*by, "_i").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
+    placed = _beside(counted.withColumn("_to", F.sum("_c").over(upto)), under, by)
+    out, start = [], F.element_at(F.array(*[F.col(f"_b{i}") for i in range(len(quantiles))]), F.col("_i") + 1)
+    for i, q in enumerate(quantiles):
+        rank = F.lit(q) * (F.col("_n") - 1)
+        hit = lambda r: F.min(F.when((F.col("_i") == i) & (start + F.col("_to") > r), F.col("_v")))  # noqa: B023, E731
+        first, last, part = hit(F.floor(rank)), hit(F.ceil(rank)), F.max(rank - F.floor(rank))
+        out.append((first + F.when(part > 0, (last - first) * part).otherwise(F.lit(0.0))).alias(quantile_name(q)))
+    return placed.groupBy(*by).agg(*out)
+
+
+def _beside(rows: DataFrame, one: DataFrame, by: Sequence[str]) -> DataFrame:
+    """rows with the columns of their group's single row; without groups that row is broadcast. A null group is a group."""
+    if not by:
+        return rows.join(F.broadcast(one.withColumn("_one", F.lit(1))), F.col("_one") == F.lit(1)).drop("_one")
+    right = one.withColumnsRenamed({c: f"_k_{c}" for c in by})
+    match = [rows[c].eqNullSafe(right[f"_k_{c}"]) for c in by]
+    return rows.join(right, match).drop(*[f"_k_{c}" for c in by])
+
+
+def feature_stats(df: DataFrame, value: str, by: Sequence[str] = (), quantiles: Sequence[float] = QUANTILES, bounded: bool | None = None) -> DataFrame:
+    """min, max, mean, population std, count and exact quantiles; under two rows std is 0 and quantiles are the mean.
+
+    bounded: quantiles by ``selected_quantiles``; by default where groups aren't episodes and there are more than
+    ``FEW_VALUES`` rows. Otherwise one pass, in which a group's distinct values are one task's. Both are exact."""
+    if bounded is None:
+        bounded = bool(quantiles) and EPISODE not in by and df.count() > FEW_VALUES
+    if not quantiles or not bounded:
+        return _split_quantiles(df.groupBy(*by).agg(*_aggregates(F.col(value), quantiles)), quantiles)
+    own = df.groupBy(*by).agg(*_aggregates(F.col(value), ()))
+    names = [quantile_name(q) for q in quantiles]
+    picked = selected_quantiles(df, value, by, quantiles)
+    if by:
+        right = picked.withColumnsRenamed({c: f"_k_{c}" for c in by})
+        both = own.join(right, [own[c].eqNullSafe(right[f"_k_{c}"]) for c in by], "left").drop(*[f"_k_{c}" for c in by])
+    else:
+        both = own.withColumn("_one", F.lit(1)).join(F.broadcast(picked.withColumn("_one", F.lit(1))), "_one", "left").drop("_one")
+    return both.withColumns({n: F.when(F.col("count") < 2, F.col("mean")).otherwise(F.col(n)) for n in names})
+
+
+def moments(df: DataFrame, value: str, by: Sequence[str] = (), low: float = 0.0, high: float = 1.0, bins: int = 5000) -> DataFrame:
+    """What statistics of parts merge by: n, sum, sum of squares, min, max, and a histogram on a fixed range (a map of bin to
+    count; values beyond the range are in its first or last bin)."""
+    bin_ = F.least(F.greatest(F.floor((F.col(value) - low) / F.lit((high - low) / bins)), F.lit(0)), F.lit(bins - 1)).cast("int")
+    cells = df.where(F.col(value).isNotNull()).groupBy(*by, bin_.alias("_bin")).agg(F.count(value).alias("_c"), F.sum(value).alias("_s"), F.sum(F.col(value) * F.col(value)).alias("_ss"), F.min(value).alias("_lo"), F.max(value).alias("_hi"))
+    return cells.groupBy(*by).agg(F.sum("_c").alias("n"), F.sum("_s").alias("total"), F.sum("_ss").alias("squares"), F.min("_lo").alias("min"), F.max("_hi").alias("max"), F.map_from_entries(F.collect_list(F.struct("_bin", "_c"))).alias("histogram"))
+
+
+def merged_moments(parts: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """The moments of several parts as those of the whole; any order of merging gives the same."""
+    sums = parts.groupBy(*by).agg(F.sum("n").alias("n"), F.sum("total").alias("total"), F.sum("squares").alias("squares"), F.min("min").alias("min"), F.max("max").alias("max"))
+    cells = parts.select(*by, F.explode("histogram").alias("_bin", "_c")).groupBy(*by, "_bin").agg(F.sum("_c").alias("_c"))
+    maps = cells.groupBy(*by).agg(F.map_from_entries(F.collect_list(F.struct("_bin", "_c"))).alias("histogram"))
+    return sums.join(maps, list(by)) if by else sums.withColumn("_one", F.lit(1)).join(maps.withColumn("_one", F.lit(1)), "_one").drop("_one")
+
+
+def moment_stats(parts: DataFrame) -> DataFrame:
+    """mean, std and count of moments; fewer than two values raise, as there is nothing to estimate from."""
+    mean = F.col("total") / F.col("n")
+    enough = F.when(F.col("n") < 2, F.raise_error(F.lit("fewer than two values"))).otherwise(F.col("n"))
+    return parts.withColumns({"mean": mean, "std": F.sqrt(F.greatest(F.col("squares") / F.col("n") - mean * mean, F.lit(0.0))), "count": enough.cast("long")})
+
+
+def vector_stats(df: DataFrame, vector: str, by: Sequence[str] = (), quantiles: Sequence[float] = QUANTILES, bounded: bool | None = None) -> DataFrame:
     """feature_stats for each dimension of an array column."""
     long = df.select(*by, F.posexplode(vector).alias("dim", "value"))
-    return feature_stats(long, "value", [*by, "dim"], quantiles)
+    return feature_stats(long, "value", [*by, "dim"], quantiles, bounded)
 
 
 def row_stats(vector: str) -> list[Column]:
@@ -63,13 +145,14 @@ def global_stats(df: DataFrame, vector: str) -> DataFrame:
 
 def pooled_stats(stats: DataFrame, by: Sequence[str] = (), quantiles: Sequence[float] = QUANTILES) -> DataFrame:
     """Statistics of parts as those of the whole: least min, greatest max, count-weighted mean, pooled variance, and
-    count-weighted averages of quantiles (which are not the quantiles of the whole; see feature_stats for those)."""
+    count-weighted averages of quantiles (which are not the quantiles of the whole; see feature_stats for those). A quantile
+    that a part lacks (null) is null in the whole; one that the table lacks as a column is left out."""
     n, total = F.col("count"), F.nullif(F.sum("count"), F.lit(0))
     mean = F.sum(F.col("mean") * n) / total
     second = F.sum((F.col("std") * F.col("std") + F.col("mean") * F.col("mean")) * n) / total
     return stats.groupBy(*by).agg(
         F.min("min").alias("min"), F.max("max").alias("max"), mean.alias("mean"), F.sqrt(F.greatest(second - mean * mean, F.lit(0.0))).alias("std"), F.sum("count").alias("count"),
-        *[(F.sum(F.col(quantile_name(q)) * n) / total).alias(quantile_name(q)) for q in quantiles],
+        *[F.when(F.count(F.lit(1)) == F.count(quantile_name(q)), F.sum(F.col(quantile_name(q)) * n) / total).alias(quantile_name(q)) for q in quantiles if quantile_name(q) in stats.columns],
     )
 
 
@@ -125,6 +208,21 @@ def running_mean(value: str, weight: str, order: Sequence[str], by: Sequence[str
     return F.sum(F.col(value) * F.col(weight)).over(w) / F.sum(weight).over(w)
 
 
+def progress_counters(steps: Column, batch: int, frames_per_episode: float, total_frames: int) -> dict[str, Column]:
+    """Samples, episodes and epochs that so many training steps have seen."""
+    samples = steps * F.lit(batch)
+    return {"samples": samples, "episodes": samples / F.lit(float(frames_per_episode)), "epochs": samples / F.lit(float(total_frames))}
+
+
+def agreement(parts: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """Metadata of several datasets (a row for each): for each column how many values there are, and whether all are one."""
+    counts = parts.agg(*[F.count_distinct(F.coalesce(F.to_json(F.struct(F.col(c))), F.lit("{}"))).alias(c) for c in columns])
+    same = F.lit(True)
+    for c in columns:
+        same = same & (F.col(c) <= 1)
+    return counts.withColumn("same", same)
+
+
 def frame_rate(seconds: Column) -> Column:
     """(n - 1) / (last - first), 0 if the span is too short."""
     span = F.max(seconds) - F.min(seconds)

@@ -33,6 +33,11 @@ def delta_indices(deltas: Sequence[float], fps: float, tolerance: float = 1e-4)
     return out
 
 
+def _named(name: str) -> Column:
+    """A column of the whole name, dots included."""
+    return F.col(f"`{name}`")
+
+
 def _shifted(c: Column, k: int, w) -> Column:
     return F.lag(c, -k).over(w) if k < 0 else F.lead(c, k).over(w) if k else c
 
@@ -41,7 +46,7 @@ def clamped(name: str, k: int, length: Column | None = None) -> Column:
     """The value k frames on, or that of the episode's first or last frame where there is none; nulls inside stay null."""
     w, all_ = in_order(), whole()
     n = length if length is not None else F.count(F.lit(1)).over(all_)
-    c = F.col(name)
+    c = _named(name)
     if k == 0:
         return c
     edge = F.first(c).over(all_) if k < 0 else F.last(c).over(all_)
@@ -102,12 +107,13 @@ def chunks(frames: DataFrame, name: str, length: int) -> DataFrame:
 
 def velocity(name: str, dt: float) -> Column:
     """(x - previous x) / dt, 0 in the first frame; for a vector, by dimension."""
-    return F.coalesce((F.col(name) - F.lag(name).over(in_order())) / F.lit(dt), F.lit(0.0))
+    c = _named(name)
+    return F.coalesce((c - F.lag(c).over(in_order())) / F.lit(dt), F.lit(0.0))
 
 
 def vector_velocity(name: str, dt: float) -> Column:
-    before = F.coalesce(F.lag(name).over(in_order()), F.col(name))
-    return F.zip_with(name, before, lambda a, b: (a - b) / F.lit(dt))
+    c = _named(name)
+    return F.zip_with(c, F.coalesce(F.lag(c).over(in_order()), c), lambda a, b: (a - b) / F.lit(dt))
 
 
 def time_limit(limit: int, truncated: Column) -> Column:
@@ -121,7 +127,7 @@ def is_last() -> Column:
 
 def next_state(name: str) -> Column:
     """The next frame's value; the last frame's is its own."""
-    return F.when(is_last(), F.col(name)).otherwise(F.lead(name).over(in_order()))
+    return F.when(is_last(), _named(name)).otherwise(F.lead(_named(name)).over(in_order()))
 
 
 def rising_edge(flag: Column) -> Column:

@@ -7,8 +7,9 @@ import json
 from collections.abc import Callable, Iterator
 from dataclasses import asdict, dataclass, field, is_dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import features as X
 from ..operators import windows as W
@@ -48,7 +49,10 @@ STEPS = Registry()
 
 @dataclass
 class Step:
-    """A transform of a DataFrame; its output schema is static, like all of Spark's."""
+    """A transform of a DataFrame; its output schema is static, like all of Spark's.
+
+    ``config`` is what a saved pipeline holds, ``state`` what was learnt (numbers, saved apart), ``reset`` forgets what a step
+    remembers between episodes."""
 
     def __call__(self, df: DataFrame) -> DataFrame:
         raise NotImplementedError
@@ -56,6 +60,111 @@ class Step:
     def config(self) -> dict:
         return asdict(self) if is_dataclass(self) else {}
 
+    def state(self) -> dict:
+        return {}
+
+    def load_state(self, state: dict) -> None:
+        if state:
+            raise ValueError(f"{type(self).__name__} has no state")
+
+    def reset(self) -> None:
+        pass
+
+    def schema(self, given: T.StructType) -> T.StructType:
+        """The schema that the step makes of a given one, from an empty DataFrame: nothing runs."""
+        spark = SparkSession.active()
+        return self(spark.createDataFrame([], given)).schema
+
+
+class ColumnStep(Step):
+    """A step on some columns; a subclass says which (``concerns``) and what becomes of each (``cell``). The rest stays."""
+
+    def concerns(self, name: str) -> bool:
+        raise NotImplementedError
+
+    def cell(self, c: Column, name: str) -> Column:
+        raise NotImplementedError
+
+    def __call__(self, df):
+        found = [c for c in df.columns if self.concerns(c)]
+        if not found and self.needed:
+            raise ValueError(f"{type(self).__name__}: no column for it in {df.columns}")
+        return df.withColumns({c: self.cell(F.col(f"`{c}`"), c) for c in found})
+
+    needed = True
+
+
+class ObservationStep(ColumnStep):
+    def concerns(self, name):
+        return name.startswith("observation")
+
+
+class ActionStep(ColumnStep):
+    def concerns(self, name):
+        return name == "action"
+
+
+class PolicyActionStep(ActionStep):
+    """An action as a policy gives it: one vector."""
+
+    def __call__(self, df):
+        if "action" in df.columns and not isinstance(df.schema["action"].dataType, T.ArrayType):
+            raise TypeError("the action is no vector")
+        return super().__call__(df)
+
+
+class RobotActionStep(ColumnStep):
+    """An action as a robot takes it: a column for each motor."""
+
+    def concerns(self, name):
+        return name.startswith("action.")
+
+
+def _one(column: str) -> type:
+    class Own(ColumnStep):
+        def concerns(self, name):
+            return name == column
+
+    return Own
+
+
+class RewardStep(_one("reward")):
+    pass
+
+
+class DoneStep(_one("done")):
+    pass
+
+
+class TruncatedStep(_one("truncated")):
+    pass
+
+
+class InfoStep(_one("info")):
+    pass
+
+
+class ComplementaryStep(ColumnStep):
+    needed = False
+
+    def concerns(self, name):
+        return is_complementary(name)
+
+
+#: Columns that accompany a transition, besides pad flags.
+COMPLEMENTARY = ("task", "subtask", "index", "task_index", "episode_index")
+
+
+def is_complementary(name: str) -> bool:
+    return "_is_pad" in name or name in COMPLEMENTARY
+
+
+@STEPS.register("identity")
+@dataclass
+class Identity(Step):
+    def __call__(self, df):
+        return df
+
 
 @STEPS.register("rename")
 @dataclass
@@ -65,6 +174,10 @@ class Rename(Step):
     def __call__(self, df):
         return df.withColumnsRenamed(self.names)
 
+    def stats(self, given: dict[str, dict]) -> dict[str, dict]:
+        """Statistics under the new names; each feature's are a copy."""
+        return {self.names.get(k, k): dict(v) for k, v in given.items()}
+
 
 @STEPS.register("normalizer")
 @dataclass
@@ -75,6 +188,18 @@ class Normalize(Step):
     stats: dict[str, dict] = field(default_factory=dict)
     inverse: bool = False
 
+    def config(self):
+        return {"modes": self.modes, "inverse": self.inverse}
+
+    def state(self):
+        return {f"{name}.{stat}": value for name, own in self.stats.items() for stat, value in own.items()}
+
+    def load_state(self, state):
+        self.stats = {}
+        for key, value in state.items():
+            name, stat = key.rsplit(".", 1)
+            self.stats.setdefault(name, {})[stat] = value
+
     def _cell(self, mode, names):
         return lambda z: X.normalize(z["x"], mode, {k: z[k] for k in names}, self.inverse)
 
@@ -151,7 +276,7 @@ class ToTransition(Step):
 
     def __call__(self, df):
         named = lambda p: [F.col(f"`{c}`").alias(c) for c in df.columns if p(c)]
-        obs, extra = named(lambda c: c.startswith("observation")), named(lambda c: "_is_pad" in c or c in ("task", "task_index", "index"))
+        obs, extra = named(lambda c: c.startswith("observation") and "_is_pad" not in c), named(is_complementary)
         pick = lambda c, d: F.coalesce(F.col(c), F.lit(d)) if c in df.columns else F.lit(d)
         fields = [F.struct(*obs).alias("observation")] if obs else []
         fields += [F.col("action")] if "action" in df.columns else []
@@ -160,6 +285,23 @@ class ToTransition(Step):
         return df.withColumn("transition", F.struct(*fields))
 
 
+@STEPS.register("from_transition")
+@dataclass
+class FromTransition(Step):
+    """A transition struct as flat columns again: observations and what accompanies them under their own names, reward as
+    next.reward, done and truncated as next.done and next.truncated. Other columns of the row stay."""
+
+    def __call__(self, df):
+        inner = df.schema["transition"].dataType
+        cells = {}
+        for group in ("observation", "complementary"):
+            if group in inner.names:
+                cells |= {c: F.col("transition")[group][c] for c in inner[group].dataType.names}
+        cells |= {"action": F.col("transition.action")} if "action" in inner.names else {}
+        cells |= {"next.reward": F.col("transition.reward"), "next.done": F.col("transition.done"), "next.truncated": F.col("transition.truncated")}
+        return df.select(*[F.col(f"`{c}`") for c in df.columns if c != "transition" and c not in cells], *[v.alias(k) for k, v in cells.items()])
+
+
 class Pipeline:
     """Steps one after another; hooks see (place, frame) before and after each."""
 
@@ -189,8 +331,25 @@ class Pipeline:
     def __getitem__(self, at):
         return Pipeline(self.steps[at], self.name) if isinstance(at, slice) else self.steps[at]
 
+    def schema(self, given: T.StructType) -> T.StructType:
+        for step in self.steps:
+            given = step.schema(given)
+        return given
+
+    def reset(self) -> None:
+        for step in self.steps:
+            step.reset()
+
+    def state(self) -> dict[str, dict]:
+        """What the steps have learnt, by their places."""
+        return {str(i): own for i, s in enumerate(self.steps) if (own := s.state())}
+
+    def load_state(self, state: dict[str, dict]) -> None:
+        for i, own in state.items():
+            self.steps[int(i)].load_state(own)
+
     def to_json(self) -> str:
-        return json.dumps({"name": self.name, "steps": [{"registry_name": s.registry_name, "config": s.config()} for s in self.steps]}, indent=2)
+        return json.dumps({"name": self.name, "steps": [{"registry_name": s.registry_name, "config": s.config()} for s in self.steps], "state": self.state()}, indent=2)
 
     @staticmethod
     def from_json(text: str, overrides: dict[str, dict] | None = None) -> Pipeline:
@@ -204,7 +363,10 @@ class Pipeline:
             steps.append(cls(**(s["config"] | own)))
         if left:
             raise KeyError(f"overrides for no step: {sorted(left)}")
-        return Pipeline(steps, raw["name"])
+        out = Pipeline(steps, raw["name"])
+        given = {i: v for i, v in raw.get("state", {}).items() if "stats" not in (overrides or {}).get(raw["steps"][int(i)]["registry_name"], {})}
+        out.load_state(given)
+        return out
 
 
 def hot_swap(pipeline: Pipeline, stats: dict[str, dict]) -> Pipeline:

@@ -21,6 +21,7 @@ from ...sources import dataset as D
 from ...sources import external as G
 from ...sources.adapters import EVENT_FRAMES, LINE_FRAMES, VECTOR_FRAMES, event_frames, line_frames, table, vector_frames
 from ...streaming import stateful as Z
+from ..pipeline import FromTransition, ToTransition
 
 QUERIES, ORACLES = {}, {}
 
@@ -325,6 +326,74 @@ def _video_times(spark, sf):
 
 _add("video_time_clamp", _video_times, f"WITH {EVENT_FRAMES}, c AS (SELECT *, count(*) OVER (PARTITION BY episode_index) AS n FROM f) SELECT event_id, round(greatest(0, least((n - 1) / 10, frame_index / 10 - 0.2)), 6)::DOUBLE AS t0, round(frame_index / 10, 6)::DOUBLE AS t1, round(greatest(0, least((n - 1) / 10, frame_index / 10 + 0.3)), 6)::DOUBLE AS t2, frame_index < 2 AS o0 FROM c")
 
+
+def _turned(spark, sf):
+    """A turn about z by the value in hundredths, as a matrix, in front of one about x by half of it."""
+    f = event_frames(spark, sf).withColumn("h", F.col("value") / 100)
+    z = X.quaternion_to_matrix(F.array(F.lit(0.0), F.lit(0.0), F.sin(F.col("h") / 2), F.cos(F.col("h") / 2)))
+    x = X.quaternion_to_matrix(F.array(F.sin(F.col("h") / 4), F.lit(0.0), F.lit(0.0), F.cos(F.col("h") / 4)))
+    both = f.withColumn("m", X.matrix_multiply(z, x)).withColumn("q", X.matrix_to_quaternion(F.col("m")))
+    same = both.withColumn("back", X.rotate(X.matrix_inverse(F.col("m")), X.rotate(F.col("m"), F.array(F.lit(1.0), F.lit(2.0), F.lit(3.0)))))
+    return same.select("event_id", *[F.round(F.abs(F.col("q")[i]), 6).alias(f"q{i}") for i in range(4)], *[F.round(F.col("back")[i], 6).alias(f"b{i}") for i in range(3)])
+
+
+_add(
+    "matrix_quaternions",
+    _turned,
+    "SELECT event_id, round(abs(cos(a) * sin(b)), 6) AS q0, round(abs(sin(a) * sin(b)), 6) AS q1, round(abs(sin(a) * cos(b)), 6) AS q2, round(abs(cos(a) * cos(b)), 6) AS q3, 1.0::DOUBLE AS b0, 2.0::DOUBLE AS b1, 3.0::DOUBLE AS b2 FROM (SELECT event_id, value / 200 AS a, value / 400 AS b FROM events)",
+)
+
+
+def _six_d(spark, sf):
+    h = F.col("value") / 100
+    action = F.array(F.col("value"), F.lit(1.0), F.lit(2.0), F.cos(h), F.sin(h), F.lit(0.0), F.lit(-3.0) * F.sin(h) + F.cos(h), F.lit(3.0) * F.cos(h) + F.sin(h), F.lit(0.0), (F.col("event_id") % 3) / 2)
+    out = event_frames(spark, sf).withColumn("a", X.six_d_action(action))
+    return out.select("event_id", F.size("a").cast("long").alias("n"), F.col("a")[0].alias("x"), *[F.round(F.col("a")[i], 3).alias(f"w{i}") for i in (3, 4, 5)], F.col("a")[6].alias("gripper"))
+
+
+#: The turn is about z, so the matrix has four entries and one on the diagonal; Gram-Schmidt's 1e-6 is in them.
+_add(
+    "six_d_actions",
+    _six_d,
+    """WITH a AS (SELECT event_id, value, cos(value / 100) / 1.000001 AS x1, sin(value / 100) / 1.000001 AS y1, cos(value / 100) - 3 * sin(value / 100) AS x2, sin(value / 100) + 3 * cos(value / 100) AS y2 FROM events),
+    o AS (SELECT *, x2 - (x1 * x2 + y1 * y2) * x1 AS ox, y2 - (x1 * x2 + y1 * y2) * y1 AS oy FROM a), n AS (SELECT *, ox / (sqrt(ox * ox + oy * oy) + 1e-6) AS u, oy / (sqrt(ox * ox + oy * oy) + 1e-6) AS v FROM o),
+    m AS (SELECT *, x1 * v - y1 * u AS k FROM n), q AS (SELECT *, x1 + v + k >= k - x1 - v AS wide, sqrt(greatest(x1 + v + k, k - x1 - v) + 1) * 2 AS r FROM m),
+    w AS (SELECT *, least(1, greatest(-1, CASE WHEN wide THEN r / 4 ELSE (y1 - u) / r END)) AS w, CASE WHEN wide THEN (y1 - u) / r ELSE r / 4 END AS z FROM q)
+    SELECT event_id, 7::BIGINT AS n, value AS x, 0.0::DOUBLE AS w3, 0.0::DOUBLE AS w4, round(CASE WHEN sqrt(1 - w * w) > 1e-10 THEN z / sqrt(1 - w * w) * 2 * acos(w) ELSE 0 END, 3) AS w5, CASE WHEN (event_id % 3) / 2 > 0.5 THEN 1.0 ELSE -1.0 END::DOUBLE AS gripper FROM w""",
+)
+_add(
+    "delta_actions",
+    lambda spark, sf: event_frames(spark, sf).select("event_id", *[c.alias(k) for k, c in X.delta_action(F.array(F.col("value") / 1000, F.lit(0.01), F.lit(0.0)), F.col("event_id") % 2, 0.5, 0.04).items()]),
+    "SELECT event_id, sqrt((value / 1000) ** 2 + 0.0001) > 0.04 AS enabled, value / 2000 AS target_x, 0.005::DOUBLE AS target_y, 0.0::DOUBLE AS target_z, 0.0::DOUBLE AS target_wx, 0.0::DOUBLE AS target_wy, 0.0::DOUBLE AS target_wz, (event_id % 2)::DOUBLE AS gripper_vel FROM events",
+)
+_add("rewind_choice", lambda spark, sf: event_frames(spark, sf).select("event_id", P.rewind_steps(F.col("event_id"), 4, 3).alias("steps")), "SELECT event_id, ((event_id + 3) * 2654435761) % 1000003 % 4 + 1 AS steps FROM events")
+_add("shuffle_buffer", lambda spark, sf: P.through_buffer(table(spark, sf, "events").select("event_id"), "event_id", 50, 7), "SELECT event_id, event_id + ((event_id + 7) * 2654435761) % 100 AS shuffle_key FROM events")
+_add(
+    "large_group_quantiles",
+    lambda spark, sf: S.feature_stats(event_frames(spark, sf), "value", ["task"], bounded=True).select("task", "count", *[F.round(F.col(S.quantile_name(q)), 9).alias(S.quantile_name(q)) for q in S.QUANTILES]),
+    "SELECT event_type AS task, count(*) AS count, round(quantile_cont(value, 0.01), 9) AS q01, round(quantile_cont(value, 0.1), 9) AS q10, round(quantile_cont(value, 0.5), 9) AS q50, round(quantile_cont(value, 0.9), 9) AS q90, round(quantile_cont(value, 0.99), 9) AS q99 FROM events GROUP BY 1",
+)
+_add(
+    "merged_moments",
+    lambda spark, sf: S.moment_stats(S.merged_moments(S.moments(event_frames(spark, sf), "value", [EPISODE, "task"], 0.0, 100.0, 10), ["task"])).select("task", "count", "min", "max", F.round("mean", 9).alias("mean"), F.round("std", 6).alias("std"), F.coalesce(F.try_element_at("histogram", F.lit(3)), F.lit(0)).alias("third")),
+    "SELECT event_type AS task, count(*) AS count, min(value) AS min, max(value) AS max, round(avg(value), 9) AS mean, round(stddev_pop(value), 6) AS std, count(*) FILTER (floor(value / 10) = 3) AS third FROM events GROUP BY 1",
+)
+_add(
+    "transition_back",
+    lambda spark, sf: FromTransition()(ToTransition()(event_frames(spark, sf).select("event_id", F.array("value").alias("observation.state"), (F.col("value") / 10).alias("action"), F.col("value").alias("next.reward"), (F.col("value") > 80).alias("done"), "task"))).select("event_id", F.col("`observation.state`")[0].alias("state"), "action", F.col("`next.reward`").alias("reward"), F.col("`next.done`").alias("done"), F.col("`next.truncated`").alias("truncated"), "task"),
+    "SELECT event_id, value AS state, value / 10 AS action, value AS reward, value > 80 AS done, false AS truncated, event_type AS task FROM events",
+)
+_add(
+    "metadata_differences",
+    lambda spark, sf: S.agreement(table(spark, sf, "nation").select("n_regionkey", F.lit(30.0).alias("fps"), F.when(F.col("n_nationkey") > 3, F.lit("arm")).alias("robot")), ["n_regionkey", "fps", "robot"]),
+    "SELECT count(DISTINCT n_regionkey) AS n_regionkey, 1::BIGINT AS fps, 2::BIGINT AS robot, false AS same FROM nation",
+)
+_add(
+    "training_counters",
+    lambda spark, sf: event_frames(spark, sf).select("event_id", *[c.alias(k) for k, c in S.progress_counters(F.col("event_id"), 8, 50.0, 1000).items()]),
+    "SELECT event_id, event_id * 8 AS samples, event_id * 8 / 50 AS episodes, event_id * 8 / 1000 AS epochs FROM events",
+)
+
 # Streams
 
 
@@ -352,3 +421,8 @@ _add(
     lambda spark, sf: Z.joined_chunks(Z.chunked(table(spark, sf, "conversations").select(F.concat_ws("-", "conv_id", "turn").alias("message"), F.encode(F.coalesce("text", F.lit("")), "UTF-8").alias("body")), size=97)).select("message", F.decode("body", "UTF-8").alias("text")),
     "SELECT concat_ws('-', conv_id, turn) AS message, coalesce(text, '') AS text FROM conversations",
 )
+_add(
+    "stream_histogram",
+    lambda spark, sf: Z.run_to_table(Z.online_histogram(_file(spark, sf, "event_type", "value"), "event_type", "value", 0.0, 200.0, 8), "update", ["event_type"]).select("event_type", "n", F.round("mean", 9).alias("mean"), F.round("std", 6).alias("std"), "min", "max", *[F.col("histogram")[i].alias(f"h{i}") for i in range(3)]),
+    "SELECT event_type, count(*) AS n, round(avg(value), 9) AS mean, round(stddev_pop(value), 6) AS std, min(value) AS min, max(value) AS max, count(*) FILTER (value < 25) AS h0, count(*) FILTER (value >= 25 AND value < 50) AS h1, count(*) FILTER (value >= 50 AND value < 75) AS h2 FROM events GROUP BY 1",
+)

@@ -66,6 +66,21 @@ class Feature:
         return "ACTION" if name.startswith("action") else None
 
 
+def policy_features(features: dict[str, Feature]) -> dict[str, tuple[str, tuple[int, ...]]]:
+    """Kind and shape of each feature as policies take them: cameras with channels first. Features of no kind are left out."""
+    out = {}
+    for name, f in features.items():
+        kind = f.kind(name)
+        if kind == "VISUAL":
+            if len(f.shape) != 3:
+                raise ValueError(f"{name} has {len(f.shape)} dimensions, not 3")
+            last = f.names and f.names[2] in ("channel", "channels")
+            out[name] = (kind, (f.shape[2], f.shape[0], f.shape[1]) if last else f.shape)
+        elif kind:
+            out[name] = (kind, f.shape)
+    return out
+
+
 DEFAULTS = {"timestamp": Feature("float32"), FRAME: Feature("int64"), EPISODE: Feature("int64"), "index": Feature("int64"), "task_index": Feature("int64")}
 
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -47,6 +48,27 @@ def online_stats(stream: DataFrame, by: str, value: str) -> DataFrame:
     return stream.select(by, value).groupBy(by).applyInPandasWithState(update, f"{by} {kind}, n long, mean double, std double, min double, max double", "n long, s double, ss double, lo double, hi double", "update", GroupStateTimeout.NoTimeout)
 
 
+def online_histogram(stream: DataFrame, by: str, value: str, low: float, high: float, bins: int = 256) -> DataFrame:
+    """online_stats with a histogram on a fixed range (values beyond it in its ends), from which quantiles come; the state is
+    ``bins`` counts and five numbers a key."""
+
+    def update(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        n, s, ss, lo, hi, counts = state.get if state.exists else (0, 0.0, 0.0, float("inf"), float("-inf"), [0] * bins)
+        counts = np.array(counts, np.int64)
+        for pdf in batches:
+            v = pdf[value].dropna().to_numpy(float)
+            if len(v):
+                n, s, ss, lo, hi = n + len(v), s + float(v.sum()), ss + float((v * v).sum()), min(lo, float(v.min())), max(hi, float(v.max()))
+                at = np.clip(((v - low) / (high - low) * bins).astype(np.int64), 0, bins - 1)
+                counts += np.bincount(at, minlength=bins)
+        held = counts.tolist()
+        state.update((n, s, ss, lo, hi, held))
+        yield pd.DataFrame({by: [key[0]], "n": [n], "mean": [s / n if n else None], "std": [max(0.0, ss / n - (s / n) ** 2) ** 0.5 if n else None], "min": [lo if n else None], "max": [hi if n else None], "histogram": [held]})
+
+    kind = stream.schema[by].dataType.simpleString()
+    return stream.select(by, value).groupBy(by).applyInPandasWithState(update, f"{by} {kind}, n long, mean double, std double, min double, max double, histogram array<long>", "n long, s double, ss double, lo double, hi double, counts array<long>", "update", GroupStateTimeout.NoTimeout)
+
+
 def ring(stream: DataFrame, by: str, sequence: str, value: str, capacity: int) -> DataFrame:
     """A ring buffer for each key: after each trigger, its newest ``capacity`` values with their sequence numbers."""
 
@@ -92,16 +114,18 @@ def _emitted(by: str, columns: list[str], rows: list[tuple]) -> pd.DataFrame:
 
 def looked_around(stream: DataFrame, by: str, frame: str, value: str, offsets: list[int], idle: str = "1 hour", clock: str = "ts") -> DataFrame:
     """Bounded look-back and look-ahead: for each frame the values ``offsets`` frames away, clamped to the episode's ends, with
-    pad flags. A frame goes out when the frame furthest ahead of it has come; an episode's last ones when the watermark has
-    passed its last row by ``idle``. The state holds no more frames than the offsets span. Frames must come in order in an episode."""
+    pad flags. A frame goes out when the frame furthest ahead of it has come; an episode's last ones when the watermark,
+    ``idle`` behind the newest row of all, has passed its last row. The state holds no more frames than the offsets span. Frames must come in order in an episode."""
     back, ahead = -min(0, *offsets), max(0, *offsets)
 
     def update(key, batches, state: GroupState):
         frames, values, done = (list(x) for x in state.get) if state.exists else ([], [], [])
+        newest = 0
         for pdf in batches:
             rows = pdf.sort_values(frame)
             frames += rows[frame].tolist()
             values += rows[value].tolist()
+            newest = max(newest, int(pdf["_t"].max().timestamp() * 1000)) if len(pdf) else newest
         given = done[0] if done else -1  # the last frame that went out
         out = []
         over = state.hasTimedOut
@@ -118,7 +142,7 @@ def looked_around(stream: DataFrame, by: str, frame: str, value: str, offsets: l
             keep = [i for i, f in enumerate(frames) if f > given - back]
             state.update(([frames[i] for i in keep], [values[i] for i in keep], [given]))
             if frames:
-                state.setTimeoutTimestamp(max(state.getCurrentWatermarkMs(), 0) + 1, idle)
+                state.setTimeoutTimestamp(max(state.getCurrentWatermarkMs(), newest) + 1)
         yield _emitted(by, [frame, "window", "is_pad"], out)
 
     kind = stream.schema[by].dataType.simpleString()
