@@ -43,10 +43,10 @@ def tokenizer_path() -> str:
 
 
 class Ids:
-    """Token ids of stretches of text. Remembers the stretches it has seen, up to ``most`` ids (about 30 MB); then it keeps those
+    """Token ids of stretches of text. Remembers the stretches it has seen, up to ``most`` ids (about 50 MB); then it keeps those
     that came in more than one run of texts since, or, if they are too many, begins anew."""
 
-    def __init__(self, path: str, most: int = 3_000_000):
+    def __init__(self, path: str, most: int = 5_000_000):
         from tokenizers import Tokenizer
 
         self.tokenizer, self.most = Tokenizer.from_file(path), most
