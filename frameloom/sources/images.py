@@ -9,7 +9,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -21,18 +21,31 @@ def _array(row) -> np.ndarray:
     return np.frombuffer(row["data"], np.uint8).reshape(row["height"], row["width"], row["nChannels"])
 
 
-def _row(a: np.ndarray) -> dict:
-    a = np.ascontiguousarray(a)
-    return {"height": a.shape[0], "width": a.shape[1], "nChannels": a.shape[2], "data": a.tobytes()}
+def _views(images: pa.StructArray) -> Iterator[np.ndarray | None]:
+    """Each image as a view of the batch's buffer; None for a null."""
+    data, *sizes = (images.field(n) for n in ("data", "height", "width", "nChannels"))
+    wide = pa.types.is_large_binary(data.type)
+    _, offsets, body = data.buffers()
+    at = np.frombuffer(offsets, np.int64 if wide else np.int32)[data.offset : data.offset + len(data) + 1]
+    raw = np.frombuffer(body, np.uint8) if body is not None else np.zeros(0, np.uint8)
+    there = images.is_valid().to_numpy(zero_copy_only=False) & data.is_valid().to_numpy(zero_copy_only=False)
+    shapes = np.stack([s.fill_null(0).to_numpy(zero_copy_only=False) for s in sizes], 1)
+    for i in range(len(images)):
+        yield raw[at[i] : at[i + 1]].reshape(shapes[i]) if there[i] else None
+
+
+def _packed(images: list[np.ndarray | None]) -> pa.StructArray:
+    shapes = np.array([a.shape if a is not None else (0, 0, 0) for a in images], np.int32).reshape(-1, 3)
+    columns = [pa.array(shapes[:, i]) for i in range(3)] + [pa.array([None if a is None else np.ascontiguousarray(a).tobytes() for a in images], pa.binary())]
+    return pa.StructArray.from_arrays(columns, PIXELS.names, mask=pa.array([a is None for a in images], pa.bool_()))
 
 
 def mapped(kernel: Callable[[np.ndarray], np.ndarray]) -> Callable[[Column], Column]:
-    """A column function that applies ``kernel`` to each image, an Arrow batch at a time."""
+    """A column function that applies ``kernel`` to each image, over an Arrow batch's buffers; a null stays null."""
 
-    @F.pandas_udf(PIXELS)
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            yield pd.DataFrame([_row(kernel(_array(r))) for r in pdf.to_dict("records")], columns=PIXELS.names)
+    @F.arrow_udf(PIXELS)
+    def run(images: pa.Array) -> pa.Array:
+        return _packed([None if a is None else kernel(a) for a in _views(images)])
 
     return run
 
@@ -66,15 +79,14 @@ def cropped(top: int, left: int, height: int, width: int, size: tuple[int, int]
 def shifted(pad: int, seed: int) -> Callable[[Column, Column], Column]:
     """Random shift by up to ``pad`` pixels with edge padding, by a hash of the key."""
 
-    @F.pandas_udf(PIXELS)
-    def run(images: pd.DataFrame, key: pd.Series) -> pd.DataFrame:
-        out = []
-        for r, k in zip(images.to_dict("records"), key):
-            a = _array(r)
-            dy, dx = np.random.default_rng([seed, int(k) & 0x7FFFFFFF]).integers(0, 2 * pad + 1, 2)
-            big = np.pad(a, ((pad, pad), (pad, pad), (0, 0)), mode="edge")
-            out.append(_row(big[dy : dy + a.shape[0], dx : dx + a.shape[1]]))
-        return pd.DataFrame(out, columns=PIXELS.names)
+    def moved(a: np.ndarray, key: int) -> np.ndarray:
+        dy, dx = np.random.default_rng([seed, key & 0x7FFFFFFF]).integers(0, 2 * pad + 1, 2)
+        big = np.pad(a, ((pad, pad), (pad, pad), (0, 0)), mode="edge")
+        return big[dy : dy + a.shape[0], dx : dx + a.shape[1]]
+
+    @F.arrow_udf(PIXELS)
+    def run(images: pa.Array, key: pa.Array) -> pa.Array:
+        return _packed([None if a is None else moved(a, int(k or 0)) for a, k in zip(_views(images), key.to_pylist())])
 
     return run
 
@@ -87,15 +99,16 @@ def stride_for(height: int, width: int, least: int = 300, target: int = 150) ->
 def vector(mean: Sequence[float] | None = None, std: Sequence[float] | None = None, channels_first: bool = True) -> Callable[[Column], Column]:
     """Pixels as floats in [0, 1], normalised by channel if mean and std are given, channels first."""
 
-    @F.pandas_udf(T.ArrayType(T.FloatType()))
-    def run(images: pd.DataFrame) -> pd.Series:
-        out = []
-        for r in images.to_dict("records"):
-            a = _array(r).astype(np.float32) / 255
-            if mean is not None:
-                a = (a - np.array(mean, np.float32)) / np.array(std, np.float32)
-            out.append((a.transpose(2, 0, 1) if channels_first else a).ravel())
-        return pd.Series(out)
+    shift = np.array(mean, np.float32) if mean is not None else np.float32(0)
+    scale = np.array(std, np.float32) if mean is not None else np.float32(1)
+
+    def floats(a: np.ndarray) -> np.ndarray:
+        out = (a.astype(np.float32) / 255 - shift) / scale
+        return (out.transpose(2, 0, 1) if channels_first else out).ravel()
+
+    @F.arrow_udf(T.ArrayType(T.FloatType()))
+    def run(images: pa.Array) -> pa.Array:
+        return pa.array([None if a is None else floats(a) for a in _views(images)], pa.list_(pa.float32()))
 
     return run
 
@@ -105,15 +118,15 @@ def channel_stats(frames: DataFrame, image: str, by: Sequence[str] = ()) -> Data
     row of moments a channel, which merge in the aggregation."""
     moments = T.ArrayType(T.StructType([T.StructField(c, T.DoubleType()) for c in ("n", "s", "ss", "lo", "hi")]))
 
-    @F.pandas_udf(moments)
-    def of(images: pd.DataFrame) -> pd.Series:
-        out = []
-        for r in images.to_dict("records"):
-            a = _array(r)
-            k = stride_for(*a.shape[:2])
-            a = a[::k, ::k].astype(np.float64) / 255
-            out.append([{"n": float(c.size), "s": c.sum(), "ss": (c * c).sum(), "lo": c.min(), "hi": c.max()} for c in a.transpose(2, 0, 1)])
-        return pd.Series(out)
+    def own(a: np.ndarray) -> list[dict]:
+        k = stride_for(*a.shape[:2])
+        pixels = a[::k, ::k].astype(np.float64) / 255
+        return [{"n": float(c.size), "s": float(c.sum()), "ss": float((c * c).sum()), "lo": float(c.min()), "hi": float(c.max())} for c in pixels.transpose(2, 0, 1)]
+
+    @F.arrow_udf(moments)
+    def of(images: pa.Array) -> pa.Array:
+        cell = pa.struct([(c, pa.float64()) for c in ("n", "s", "ss", "lo", "hi")])
+        return pa.array([None if a is None else own(a) for a in _views(images)], pa.list_(cell))
 
     long = frames.select(*by, F.posexplode(of(F.col(image))).alias("channel", "m")).select(*by, "channel", "m.*")
     mean = F.sum("s") / F.sum("n")

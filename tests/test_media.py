@@ -37,6 +37,8 @@ def test_images(spark, tmp_path, pixels):
     for c, r in enumerate(stats):
         v = pixels[:, :, c] / 255
         assert (r["min"], r["max"], r["mean"], r["std"], r["count"]) == pytest.approx((v.min(), v.max(), v.mean(), v.std(), 1))
+    nulls = df.select("image").unionByName(df.select(F.lit(None).cast(df.schema["image"].dataType).alias("image")))
+    assert nulls.where(images.flipped()("image").isNull()).count() == 1 and images.channel_stats(nulls, "image").first()["count"] == 1
     assert images.stride_for(100, 200) == 1 and images.stride_for(480, 640) == 4
 
 
