@@ -143,7 +143,9 @@ def test_pii_domains_and_unlisted_names_are_one_everywhere(spark):
     assert a == b != c and "x.de" not in got[0] and a.endswith(".de")
     people = [re.search(p, t).groups() for p, t in ((r"Dear (\w+) (\w+), write", got[2]), (r"Name: (\w+) (\w+)", got[3]), (r"ask (\w+) (\w+) <", got[4]), (r"Dr\. (\w+) (\w+)", got[5]))]
     assert len({p[0] for p in people}) == 1 and people[0] == people[2] == people[3] and people[0][1] != people[1][1] and "Zoltan" not in "".join(got) and "Kiss" not in "".join(got)
-    assert not re.search("Hassan|Kumar|Zhang|Ravi|Wei|Fatima", got[6]) and got[6].startswith("Mrs ")
+    #: A listed given name becomes another of the list, which may be one that the text has elsewhere; no one keeps their own.
+    given = got[6].split(" ")[1::3]
+    assert not re.search("Hassan|Kumar|Zhang", got[6]) and got[6].startswith("Mrs ") and not {*zip(given, ("Fatima", "Ravi", "Wei"))} & {(n, n) for n in ("Fatima", "Ravi", "Wei")}
     assert got[7].split(" ")[0] in pii_surrogates.GIVEN["latin_f"] and got[7].split(" ")[1] == re.search(r"and (\w+) (\w+) and", got[6]).group(2)
 
 
