@@ -37,26 +37,14 @@ _BLANK[[0x20, *range(0x09, 0x0E)]] = True
 WORD_BYTE = ~_BLANK
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
-_CODE = _splitmix(256, 7)
-_CODE_LOWER = _CODE[LOWER]
 _BASE = 0x5851F42D4C957F2D
-_INV = pow(_BASE, -1, 1 << 64)
-#: Spans are hashed over blocks of this many bytes, so the tables of powers have this length whatever the texts have.
-BLOCK_BYTES = 1 << 16
-
-
-def _power_table(base: int, n: int) -> np.ndarray:
-    table = np.ones(n, _U)
-    have, step = 1, base
-    with np.errstate(over="ignore"):
-        while have < n:
-            table[have : 2 * have] = table[: min(have, n - have)] * _U(step)
-            have, step = 2 * have, step * step % (1 << 64)
-    return table
-
-
-_POWER = _power_table(_BASE, BLOCK_BYTES + 1)
-_INVERSE = _power_table(_INV, BLOCK_BYTES + 1)
+#: Spans are hashed so many at a time, which bounds the arrays beside a text.
+BLOCK_SPANS = 1 << 16
+#: Spans of up to so many chunks of 8 bytes are hashed together, longer ones each for itself.
+TOGETHER = 64
+_CHUNK_KEYS = _splitmix(TOGETHER, 7)
+_SIZE_KEY = _U(0x9E3779B97F4A7C15)
+_MASKS = np.array([(1 << 8 * k) - 1 for k in range(9)], _U)
 
 
 def release() -> None:
@@ -117,33 +105,148 @@ class Words:
         return span_hashes(self.raw, self.starts, self.ends, fold)
 
 
+def _chunks(raw: np.ndarray) -> np.ndarray:
+    """The 8 bytes from each place of raw on as a number; beyond the end there are zeros."""
+    padded = np.zeros(len(raw) + 8, np.uint8)
+    padded[: len(raw)] = raw
+    return np.ndarray((len(raw) + 1,), "<u8", padded.data, 0, (1,))
+
+
+def _long_hash(span: np.ndarray) -> int:
+    """The sum of mixed chunks of a span longer than TOGETHER chunks, a piece at a time."""
+    total = 0
+    for at in range(0, len(span), 1 << 16):
+        piece = span[at : at + (1 << 16)]
+        padded = np.zeros(-(-len(piece) // 8) * 8, np.uint8)
+        padded[: len(piece)] = piece
+        total += int(mix64(padded.view("<u8") ^ _splitmix(len(padded) // 8, 7 + at // 8)).sum(dtype=_U))
+    return total % (1 << 64)
+
+
 def span_hashes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray, fold: bool = False) -> np.ndarray:
     """64-bit hashes of byte spans, which must rise and not overlap; with ``fold``, A-Z count as a-z.
 
-    A block of spans shares one run of prefix sums; a span that is longer than a block is summed piece by piece."""
-    code = _CODE_LOWER if fold else _CODE
+    A span of up to 7 bytes is mixed together with its size, a bijection: such spans never share a hash. A longer one is cut
+    in chunks of 8 bytes, each is mixed with a key of its place, and their sum is mixed with the size, so no pattern of
+    the bytes gives equal hashes (as Thue-Morse words do under a polynomial modulo 2^64)."""
     out = np.empty(len(starts), _U)
-    total = np.zeros(BLOCK_BYTES + 1, _U)
-    i = 0
-    with np.errstate(over="ignore"):
-        while i < len(starts):
-            base = int(starts[i])
-            j = int(np.searchsorted(ends, base + BLOCK_BYTES, "right"))
-            if j <= i:
-                value, power = 0, 1
-                for at in range(base, int(ends[i]), BLOCK_BYTES):
-                    part = raw[at : min(at + BLOCK_BYTES, int(ends[i]))]
-                    value += int((code[part] * _POWER[: len(part)]).sum(dtype=_U)) * power
-                    power = power * pow(_BASE, BLOCK_BYTES, 1 << 64) % (1 << 64)
-                out[i] = _U(value % (1 << 64))
-                i += 1
-                continue
-            part = raw[base : int(ends[j - 1])]
-            np.cumsum(code[part] * _POWER[: len(part)], out=total[1 : len(part) + 1])
-            s, e = starts[i:j] - base, ends[i:j] - base
-            out[i:j] = (total[e] - total[s]) * _INVERSE[s]
-            i = j
-        return mix64(out ^ ((ends - starts).astype(_U) << _U(48)))
+    for i in range(0, len(starts), BLOCK_SPANS):
+        j = min(i + BLOCK_SPANS, len(starts))
+        base = int(starts[i])
+        part = raw[base : int(ends[j - 1])]
+        if fold:
+            part = LOWER[part]
+        s, size = starts[i:j] - base, ends[i:j] - starts[i:j]
+        chunks = _chunks(part)
+        h = out[i:j]
+        h[:] = mix64((chunks[s] & _MASKS[np.minimum(size, 7)]) | (size.astype(_U) << _U(56)))
+        more = np.flatnonzero(size > 7)
+        if not len(more):
+            continue
+        at, left = s[more], size[more]
+        total, open_ = np.zeros(len(more), _U), np.arange(len(more))
+        with np.errstate(over="ignore"):
+            for k in range(TOGETHER):
+                total[open_] += mix64((chunks[at] & _MASKS[np.minimum(left, 8)]) ^ _CHUNK_KEYS[k])
+                on = left > 8
+                open_, at, left = open_[on], at[on] + 8, left[on] - 8
+                if not len(open_):
+                    break
+            for k in open_.tolist():
+                x = more[k]
+                total[k] = _long_hash(part[s[x] : s[x] + size[x]])
+            h[more] = mix64(total ^ (size[more].astype(_U) * _SIZE_KEY))
+    return out
+
+
+def same_spans(a: np.ndarray, a_starts: np.ndarray, b: np.ndarray, b_starts: np.ndarray, sizes: np.ndarray, fold: bool = False) -> np.ndarray:
+    """Whether the spans of two buffers hold the same bytes; ``fold`` folds those of a."""
+    out = np.ones(len(sizes), bool)
+    if fold:
+        a = LOWER[a]
+    x, y = _chunks(a), _chunks(b)
+    open_ = np.flatnonzero(sizes > 0)
+    for k in range(0, 8 * TOGETHER, 8):
+        if not len(open_):
+            return out
+        mask = _MASKS[np.minimum(sizes[open_] - k, 8)]
+        out[open_] = ((x[a_starts[open_] + k] ^ y[b_starts[open_] + k]) & mask) == 0
+        open_ = open_[out[open_] & (sizes[open_] > k + 8)]
+    for k in open_.tolist():
+        out[k] = np.array_equal(a[a_starts[k] : a_starts[k] + sizes[k]], b[b_starts[k] : b_starts[k] + sizes[k]])
+    return out
+
+
+class SpanMemo:
+    """Numbers distinct byte spans in the order in which a worker meets them. A hash only finds the place: the bytes of spans
+    longer than 7 are kept and compared, and a span whose hash another one has goes to a further hash."""
+
+    def __init__(self, fold: bool = False):
+        self.fold = fold
+        self.keys, self.slots = np.zeros(0, _U), np.zeros(0, np.int32)
+        self.sizes, self.at = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.body = np.zeros(0, np.uint8)
+
+    def __len__(self) -> int:
+        return len(self.sizes)
+
+    def find(self, raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The slot of each span, and one span's index for each slot that is new, in order."""
+        keys, sizes = span_hashes(raw, starts, ends, self.fold), ends - starts
+        long = sizes > 7
+        while True:
+            uniq, where, back = np.unique(keys, return_index=True, return_inverse=True)
+            place = np.searchsorted(self.keys, uniq)
+            place[place == len(self.keys)] = 0
+            hit = self.keys[place] == uniq if len(self.keys) else np.zeros(len(uniq), bool)
+            #: A span is compared with the one that has its place, or else with the first here that would get it.
+            held = hit[back]
+            kept = self.slots[place[back[held]]]
+            same = sizes == sizes[where][back]
+            same[held] = self.sizes[kept] == sizes[held]
+            own = self._own(raw)
+            some = np.flatnonzero(long & same & held)
+            same[some] = same_spans(own, starts[some], self.body, self.at[self.slots[place[back[some]]]], sizes[some])
+            some = np.flatnonzero(long & same & ~held & (where[back] != np.arange(len(keys))))
+            same[some] = same_spans(own, starts[some], own, starts[where[back[some]]], sizes[some])
+            if same.all():
+                break
+            with np.errstate(over="ignore"):
+                keys[~same] = mix64(keys[~same] + _U(1))
+        new = np.flatnonzero(~hit)
+        slots = np.empty(len(uniq), np.int32)
+        slots[hit] = self.slots[place[hit]]
+        slots[new] = len(self) + np.arange(len(new), dtype=np.int32)
+        if len(new):
+            self._add(raw, starts[where[new]], sizes[where[new]], uniq[new], slots[new])
+        return slots[back], where[new]
+
+    def _own(self, raw: np.ndarray) -> np.ndarray:
+        return LOWER[raw] if self.fold else raw
+
+    def _add(self, raw, starts, sizes, keys, slots) -> None:
+        held = np.where(sizes > 7, sizes, 0)
+        ends = np.cumsum(held)
+        total = int(ends[-1])
+        own = raw[np.arange(total) + np.repeat(starts - (ends - held), held)]
+        self.at = np.concatenate([self.at, len(self.body) + ends - held])
+        self.body = np.concatenate([self.body, self._own(own)])
+        self.sizes = np.concatenate([self.sizes, sizes])
+        keys, slots = np.concatenate([self.keys, keys]), np.concatenate([self.slots, slots])
+        order = np.argsort(keys, kind="stable")  # two sorted runs: a merge
+        self.keys, self.slots = keys[order], slots[order]
+
+    def keep(self, slots: np.ndarray) -> None:
+        """Forget all but these slots, which rise; they are numbered anew in their order."""
+        size = np.where(self.sizes[slots] > 7, self.sizes[slots], 0)
+        ends = np.cumsum(size)
+        total = int(ends[-1]) if len(ends) else 0
+        self.body = self.body[np.arange(total) + np.repeat(self.at[slots] - (ends - size), size)]
+        number = np.full(len(self), -1, np.int32)
+        number[slots] = np.arange(len(slots), dtype=np.int32)
+        self.at, self.sizes = ends - size, self.sizes[slots]
+        stay = number[self.slots] >= 0
+        self.keys, self.slots = self.keys[stay], number[self.slots[stay]]
 
 
 def ngram_hashes(words: np.ndarray, n: int) -> np.ndarray:

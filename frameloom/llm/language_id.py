@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._text import LOWER, Words, release, slices, span_hashes, text_buffers
+from ._text import LOWER, SpanMemo, Words, release, slices, text_buffers
 
 STRETCH = 16
 HIDDEN = 8
@@ -212,21 +212,15 @@ class _Memo:
 
     def __init__(self, model: Model, most: int = 1_000_000):
         self.model, self.most = model, most
-        self.keys, self.values = np.zeros(0, np.uint64), np.zeros((0, len(model.langs)), np.float32)
+        self.seen, self.values = SpanMemo(fold=True), np.zeros((0, len(model.langs)), np.float32)
 
     def of(self, raw, starts, ends) -> np.ndarray:
-        uniq, where, back = np.unique(span_hashes(raw, starts, ends, True), return_index=True, return_inverse=True)
-        if len(self.keys) > self.most:
+        if len(self.seen) > self.most:
             self.__init__(self.model, self.most)
-        place = np.searchsorted(self.keys, uniq)
-        place[place == len(self.keys)] = 0
-        new = np.flatnonzero(self.keys[place] != uniq) if len(self.keys) else np.arange(len(uniq))
+        slot, new = self.seen.find(raw, starts, ends)
         if len(new):
-            got = self.model.pooled(raw, starts[where[new]], ends[where[new]])
-            keys = np.concatenate([self.keys, uniq[new]])
-            order = np.argsort(keys, kind="stable")  # two sorted runs: a merge
-            self.keys, self.values = keys[order], np.concatenate([self.values, got])[order]
-        return self.values[np.searchsorted(self.keys, uniq)][back]
+            self.values = np.concatenate([self.values, self.model.pooled(raw, starts[new], ends[new])])
+        return self.values[slot]
 
 
 _memos: dict[str, _Memo] = {}

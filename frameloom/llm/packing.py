@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ._frames import checkpointed, global_prefix
-from ._text import WORD_BYTE, release, slices, span_hashes, text_buffers
+from ._text import WORD_BYTE, SpanMemo, release, slices, text_buffers
 
 LENGTH = 1024
 END = 0
@@ -54,7 +54,8 @@ class Ids:
         self.forget()
 
     def forget(self):
-        self.keys, self.at, self.n, self.used = np.zeros(0, np.uint64), np.zeros(0, np.int32), np.zeros(0, np.int32), np.zeros(0, np.int32)
+        self.seen = SpanMemo()
+        self.at, self.n, self.used = np.zeros(0, np.int32), np.zeros(0, np.int32), np.zeros(0, np.int32)
         self.flat = np.zeros(0, np.uint32)
 
     def thin_out(self):
@@ -64,7 +65,8 @@ class Ids:
             return self.forget()
         ends = np.cumsum(size)
         self.flat = self.flat[np.arange(int(size.sum())) + np.repeat(self.at[keep] - (ends - size), size)]
-        self.keys, self.at, self.n, self.used = self.keys[keep], (ends - size).astype(np.int32), self.n[keep], np.zeros(len(keep), np.int32)
+        self.seen.keep(keep)
+        self.at, self.n, self.used = (ends - size).astype(np.int32), self.n[keep], np.zeros(len(keep), np.int32)
 
     def texts(self, raw: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the texts, and the place of each text's first, and the total."""
@@ -78,29 +80,21 @@ class Ids:
         cut[n] = False
         starts = np.flatnonzero(cut)
         ends = np.append(starts[1:], n)
-        keys = span_hashes(raw, starts, ends)
-        uniq, where, back = np.unique(keys, return_index=True, return_inverse=True)
         if len(self.flat) > self.most:
             self.thin_out()
-        place = np.searchsorted(self.keys, uniq)
-        place[place == len(self.keys)] = 0
-        new = np.flatnonzero(self.keys[place] != uniq) if len(self.keys) else np.arange(len(uniq))
+        slot, new = self.seen.find(raw, starts, ends)
         if len(new):
             body = raw.tobytes()
             found = []
             for i in range(0, len(new), 5_000):
-                some = where[new[i : i + 5_000]]
+                some = new[i : i + 5_000]
                 found += [e.ids for e in self.tokenizer.encode_batch([body[s:e].decode("utf-8", "replace") for s, e in zip(starts[some].tolist(), ends[some].tolist())], add_special_tokens=False)]
             sizes = np.fromiter(map(len, found), np.int64, len(found))
             at = len(self.flat) + np.concatenate([[0], np.cumsum(sizes)[:-1]])
             self.flat = np.concatenate([self.flat, np.fromiter(chain.from_iterable(found), np.uint32, int(sizes.sum()))])
-            keys = np.concatenate([self.keys, uniq[new]])
-            order = np.argsort(keys, kind="stable")  # two sorted runs: a merge
-            self.keys = keys[order]
-            self.at, self.n, self.used = (np.concatenate([old, own.astype(np.int32)])[order] for old, own in ((self.at, at), (self.n, sizes), (self.used, np.zeros(len(new)))))
-        place = np.searchsorted(self.keys, uniq)
-        self.used[place] += 1
-        at, size = self.at[place][back].astype(np.int64), self.n[place][back].astype(np.int64)
+            self.at, self.n, self.used = (np.concatenate([old, own.astype(np.int32)]) for old, own in ((self.at, at), (self.n, sizes), (self.used, np.zeros(len(new)))))
+        self.used[np.unique(slot)] += 1
+        at, size = self.at[slot].astype(np.int64), self.n[slot].astype(np.int64)
         ends_at = np.cumsum(size)
         total = int(ends_at[-1]) if len(ends_at) else 0
         ids = self.flat[np.arange(total) + np.repeat(at - (ends_at - size), size)]

@@ -19,20 +19,63 @@ from frameloom.llm import _text
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
 
-def test_span_hashes_over_blocks():
+def _span_hash(span):
+    """The definition, one span at a time."""
+    if len(span) < 8:
+        return int(_text.mix64(np.array([int.from_bytes(span, "little") | len(span) << 56], np.uint64))[0])
+    parts = [int.from_bytes(span[k : k + 8], "little") for k in range(0, len(span), 8)]
+    keys = _text._splitmix(len(parts), 7)
+    total = sum(_text.mix64(np.array(parts, np.uint64) ^ keys).tolist()) % (1 << 64)
+    return int(_text.mix64(np.array([total ^ len(span) * int(_text._SIZE_KEY) % (1 << 64)], np.uint64))[0])
+
+
+def test_span_hashes_over_blocks(monkeypatch):
+    monkeypatch.setattr(_text, "BLOCK_SPANS", 97)
     rng = np.random.default_rng(2)
-    raw = rng.integers(0, 256, 5 * _text.BLOCK_BYTES + 77).astype(np.uint8)
-    cuts = np.unique(np.concatenate([[0, 3, 3 + 2 * _text.BLOCK_BYTES + 5, len(raw)], rng.integers(3 * _text.BLOCK_BYTES, len(raw), 500)]))
+    raw = rng.integers(0, 256, 700_077).astype(np.uint8)
+    cuts = np.unique(np.concatenate([[0, 3, 4, 6, 10, 17, 25, 600_005, len(raw)], rng.integers(600_005, len(raw), 500), rng.integers(690_000, len(raw), 2_000)]))
     starts, ends = cuts[:-1], cuts[1:]
-    code = _text._CODE.astype(object)
-    want = []
-    for s, e in zip(starts, ends):
-        h = 0
-        for b in raw[s:e][::-1].tolist():
-            h = (h * _text._BASE + code[b]) % (1 << 64)
-        want.append(h ^ (int(e - s) << 48) % (1 << 64))
-    assert _text.span_hashes(raw, starts, ends).tolist() == _text.mix64(np.array(want, np.uint64)).tolist()
-    assert len(_text._POWER) == _text.BLOCK_BYTES + 1  # the tables don't grow with the texts
+    assert _text.span_hashes(raw, starts, ends).tolist() == [_span_hash(raw[s:e].tobytes()) for s, e in zip(starts, ends)]
+    low = _text.LOWER[raw]
+    assert _text.span_hashes(raw, starts, ends, True).tolist() == _text.span_hashes(low, starts, ends).tolist()
+
+
+def test_same_spans():
+    rng = np.random.default_rng(3)
+    a = rng.integers(97, 99, 5_000).astype(np.uint8)
+    b = np.concatenate([np.zeros(3, np.uint8), a])
+    starts = rng.integers(0, 4_000, 300)
+    sizes = rng.integers(0, 1_000, 300)
+    b_starts = starts + 3
+    changed = b.copy()
+    changed[2_500] ^= 1
+    want = [a[s : s + n].tobytes() == changed[t : t + n].tobytes() for s, t, n in zip(starts, b_starts, sizes)]
+    assert _text.same_spans(a, starts, b, b_starts, sizes).all() and _text.same_spans(a, starts, changed, b_starts, sizes).tolist() == want and not all(want)
+
+
+def test_memo_tells_spans_of_one_hash_apart(monkeypatch):
+    real = _text.span_hashes
+
+    def weak(raw, starts, ends, fold=False):
+        h = real(raw, starts, ends, fold)
+        return np.where(ends - starts > 7, h & np.uint64(3), h)
+
+    monkeypatch.setattr(_text, "span_hashes", weak)
+    rng = random.Random(4)
+    vocab = ["".join(rng.choice("abAB") for _ in range(rng.randint(1, 30))) for _ in range(300)]
+    memo, name = _text.SpanMemo(fold=True), []
+    for turn in range(8):
+        words = [rng.choice(vocab) for _ in range(400)]
+        raw = np.frombuffer(" ".join(words).encode(), np.uint8)
+        w = _text.Words(raw, np.array([0, len(raw)]))
+        slots, new = memo.find(raw, w.starts, w.ends)
+        name += [words[k].lower() for k in new]
+        assert [name[s] for s in slots] == [x.lower() for x in words]
+        assert turn > 3 or len(set(name)) == len(name)
+        if turn == 3:
+            kept = np.arange(0, len(memo), 2)
+            memo.keep(kept)
+            name = [name[i] for i in kept]
 
 
 def _low(t):
