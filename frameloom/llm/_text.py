@@ -7,6 +7,7 @@ runs of whole texts of about ``SLICE_BYTES`` so that memory stays bounded by tha
 from __future__ import annotations
 
 import ctypes
+import zlib
 
 import numpy as np
 import pyarrow as pa
@@ -249,6 +250,30 @@ class SpanMemo:
         self.keys, self.slots = self.keys[stay], number[self.slots[stay]]
 
 
+_CRC = np.arange(256, dtype=np.uint32)
+for _ in range(8):
+    _CRC = np.where(_CRC & 1, (_CRC >> 1) ^ np.uint32(0xEDB88320), _CRC >> 1).astype(np.uint32)
+
+
+def span_crc32(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray, before: np.ndarray | None = None) -> np.ndarray:
+    """CRC-32 of byte spans; ``before``: for each span, the CRC-32 of what it continues."""
+    out = np.zeros(len(starts), np.uint32) if before is None else before.astype(np.uint32)
+    for i in range(0, len(starts), BLOCK_SPANS):
+        at, end = starts[i : i + BLOCK_SPANS], ends[i : i + BLOCK_SPANS]
+        state = ~out[i : i + BLOCK_SPANS]
+        open_ = np.flatnonzero(at < end)
+        for k in range(8 * TOGETHER):
+            if not len(open_):
+                break
+            now = state[open_]
+            state[open_] = _CRC[(now ^ raw[at[open_] + k]) & np.uint32(255)] ^ (now >> np.uint32(8))
+            open_ = open_[at[open_] + (k + 1) < end[open_]]
+        for k in open_.tolist():
+            state[k] = ~np.uint32(zlib.crc32(raw[at[k] + 8 * TOGETHER : end[k]].tobytes(), int(~state[k])))
+        out[i : i + BLOCK_SPANS] = ~state
+    return out
+
+
 def ngram_hashes(words: np.ndarray, n: int) -> np.ndarray:
     """Hashes of the n words that start at each of the first len - n + 1 words, across texts too; see ngram_starts."""
     if len(words) < n:

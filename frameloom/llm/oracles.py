@@ -93,5 +93,50 @@ SELECT d.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, component_id, d.doc_id
 """
 
 
+def _crc_of(name: str) -> str:
+    """The unsigned CRC-32 of a text's UTF-8 bytes."""
+    return f"""xor(4294967295, list_reduce(list_prepend(4294967295::BIGINT, list_transform(regexp_extract_all(hex(encode({name})), '..'), lambda k: ('0x' || k)::BIGINT)),
+      lambda c, b: xor(c >> 8, list_extract({[_crc_entry(i) for i in range(256)]}, (xor(c, b) & 255) + 1))))"""
+
+
+_LOW = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+OP11 = f"""
+WITH RECURSIVE r AS (
+  SELECT doc_id, f, count(*) AS k FROM (SELECT doc_id, unnest(regexp_extract_all({_LOW}, '{r"[A-Za-z\x{C0}-\x{FF}]+"}')) AS f FROM documents) GROUP BY ALL),
+h AS (SELECT f, k, {_crc_of("doc_id || ':' || f")} AS h FROM r),
+c AS (SELECT CASE WHEN h % 97 = 0 THEN f[:(h % length(f))] || f[(h % length(f)) + 2:] ELSE f END AS word, k FROM h),
+v AS (SELECT word, sum(k)::BIGINT AS n FROM c WHERE length(word) >= 5 GROUP BY word HAVING sum(k) >= 3),
+cut AS (SELECT word, n, i, word[:i] || word[i + 2:] AS rest FROM (SELECT word, n, unnest(range(length(word))) AS i FROM v)),
+near AS (
+  SELECT a.word AS a, b.word AS b FROM cut a JOIN cut b ON a.i = b.i AND a.rest = b.rest AND a.word <> b.word
+  UNION SELECT cut.word, v.word FROM cut JOIN v ON cut.rest = v.word
+  UNION SELECT v.word, cut.word FROM cut JOIN v ON cut.rest = v.word),
+best AS (
+  SELECT a AS word, count(*) AS n_near, arg_min(b, (-v.n, hex(encode(b)))) AS b, max(v.n) AS b_n FROM near JOIN v ON v.word = b GROUP BY a),
+w AS (
+  SELECT v.word, v.n, coalesce(n_near, 0) AS n_near, CASE WHEN b_n >= 2 * v.n THEN b END AS form, CASE WHEN b_n >= 2 * v.n THEN b_n END AS form_n FROM v LEFT JOIN best USING (word)),
+path AS (SELECT word, word AS here, 0 AS step FROM w UNION ALL SELECT path.word, w.form, step + 1 FROM path JOIN w ON w.word = path.here WHERE w.form IS NOT NULL)
+SELECT w.word, form, root, n, n_near::BIGINT AS n_near, form_n::BIGINT AS form_n FROM w JOIN (SELECT word, arg_max(here, step) AS root FROM path GROUP BY word) USING (word)
+"""
+
+OP13 = f"""
+WITH w AS (SELECT doc_id, regexp_extract_all({_LOW}, '{r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"}') AS w FROM documents),
+d AS (SELECT doc_id, unnest(w) AS f FROM w),
+b AS (SELECT unnest(regexp_extract_all({_LOW}, '{r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"}')) AS f FROM benchmark),
+v AS (SELECT f, ({_crc_of("f")} % 10000)::INT AS bucket FROM (SELECT f FROM d UNION SELECT f FROM b)),
+s AS (SELECT bucket, count(*) AS s FROM d JOIN v USING (f) GROUP BY bucket),
+t AS (SELECT bucket, count(*) AS t FROM b JOIN v USING (f) GROUP BY bucket),
+g AS (
+  SELECT bucket, floor(1000 * ln(((coalesce(t, 0) + 1)::DOUBLE * ((SELECT count(*) FROM d) + 10000)::DOUBLE) / ((s + 1)::DOUBLE * ((SELECT count(*) FROM b) + 10000)::DOUBLE)))::BIGINT AS gain FROM s LEFT JOIN t USING (bucket)),
+m AS (SELECT doc_id, count(*) AS n, floor(sum(gain)::DOUBLE / count(*))::BIGINT AS weight FROM d JOIN v USING (f) JOIN g USING (bucket) GROUP BY doc_id),
+x AS (
+  SELECT w.doc_id, len(w.w)::BIGINT AS n_features, coalesce(weight, 0) AS weight,
+    coalesce(weight, 0) + floor(-1000 * ln(-ln((('0x' || sha256('2024:' || w.doc_id)[1:8])::BIGINT::DOUBLE + 0.5) / 4294967296)))::BIGINT AS score FROM w LEFT JOIN m USING (doc_id)),
+r AS (SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS r FROM x WHERE n_features >= 20)
+SELECT doc_id, n_features, weight, score, CASE WHEN r <= (SELECT 10 * count(*) // 100 FROM r) THEN r END::BIGINT AS rank FROM x LEFT JOIN r USING (doc_id)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_sharding": OP1, "op5_quality_ledger": OP5, "op6_mixing": OP6, "op9_lsh_forest": OP9}
+    return {"op1_sharding": OP1, "op5_quality_ledger": OP5, "op6_mixing": OP6, "op9_lsh_forest": OP9, "op11_spelling": OP11, "op13_importance": OP13}
