@@ -269,7 +269,7 @@ def _by_part():
     return Window.orderBy("part")
 
 
-def _confirm(percent: int):
+def _confirm(percent: int, n: int = SHINGLE):
     def run(batches):
         cache: dict[bytes, np.ndarray] = {}
 
@@ -278,7 +278,7 @@ def _confirm(percent: int):
             for at in range(0, len(new), 200):
                 some = new[at : at + 200]
                 raw, off = text_buffers(pa.array([texts[i] for i in some], pa.large_string()))
-                values, first = shingle_sets(raw, off)
+                values, first = shingle_sets(raw, off, n)
                 for k, i in enumerate(some):
                     cache[names[i]] = values[first[k] : first[k + 1]]
 
@@ -306,14 +306,14 @@ def _confirm(percent: int):
     return run
 
 
-def confirmed(pairs: DataFrame, texts: DataFrame, percent: int = PERCENT) -> DataFrame:
+def confirmed(pairs: DataFrame, texts: DataFrame, percent: int = PERCENT, n: int = SHINGLE) -> DataFrame:
     """The pairs (a, b) whose full sets are alike; texts: cls, text, a row for each class."""
     with_a = pairs.join(texts.select(F.col("cls").alias("a"), F.col("text").alias("text_a")), "a")
     with_both = with_a.join(texts.select(F.col("cls").alias("b"), F.col("text").alias("text_b")), "b").select("a", "b", "text_a", "text_b")
-    return with_both.mapInPandas(_confirm(percent), "a binary, b binary")
+    return with_both.mapInPandas(_confirm(percent, n), "a binary, b binary")
 
 
-def _own(df: DataFrame, key: str, text: str, *more: str) -> DataFrame:
+def own_texts(df: DataFrame, key: str, text: str, *more: str) -> DataFrame:
     """doc_id, text, a hash of the text, and more of df's columns."""
     body = F.col(f"`{text}`").cast("string")
     return df.select(F.col(f"`{key}`").alias("doc_id"), body.alias("text"), F.xxhash64(body).alias("text_hash"), *more)
@@ -416,7 +416,7 @@ def across(texts: DataFrame, label: DataFrame, percent: int = PERCENT) -> DataFr
 
 def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", percent: int = PERCENT) -> DataFrame:
     """One row for each of df's: key, n_shingles, component_id, kept, and cls."""
-    own = _own(df, key, text)
+    own = own_texts(df, key, text)
     digest = checkpointed(digests(own, "text", ["doc_id", "text_hash"]))
     label = labels(own, digest, percent)
     classes = digest.where("cls is not null").groupBy("cls").agg(F.min("doc_id").alias("least"))
@@ -431,7 +431,7 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", perc
 def deduplicate(df: DataFrame, key: str = "doc_id", text: str = "text", percent: int = PERCENT) -> DataFrame:
     """df without near copies: of each component one row, that of the least key; rows without words all stay."""
     h1, h2, n = fresh(df, "h1", "h2", "n_shingles")
-    own = _own(df, key, text, row_key(df, 1).alias("h1"), row_key(df, 2).alias("h2"))
+    own = own_texts(df, key, text, row_key(df, 1).alias("h1"), row_key(df, 2).alias("h2"))
     digest = checkpointed(digests(own, "text", ["doc_id", "text_hash", "h1", "h2"]))
     label = labels(own, digest, percent)
     marked = digest.where("cls is not null").join(label.select(F.col("node").alias("cls"), "label"), "cls", "left").withColumn("label", F.coalesce("label", "cls"))

@@ -93,6 +93,20 @@ SELECT d.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, component_id, d.doc_id
 """
 
 
+OP12 = f"""
+WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{r"[^\x20\x09-\x0D]+"}') AS w FROM documents),
+g AS (
+  SELECT DISTINCT doc_id, md5(array_to_string(list_slice(w, i + 1, i + 4), ' ')) AS s FROM (SELECT doc_id, w, unnest(range(CASE WHEN len(w) = 0 THEN 0 ELSE greatest(len(w) - 3, 1) END)) AS i FROM d)),
+n AS (SELECT doc_id, count(*) AS n FROM g GROUP BY doc_id),
+shared AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS common FROM g a JOIN g b ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY ALL),
+links AS (SELECT a, b FROM shared JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * common >= 85 * (x.n + y.n - common)),
+edges AS (SELECT a AS u, b AS v FROM links UNION ALL SELECT b, a FROM links),
+reach AS (SELECT doc_id AS u, doc_id AS v FROM d UNION SELECT reach.u, edges.v FROM reach JOIN edges ON reach.v = edges.u),
+least AS (SELECT u, min(v) AS component_id FROM reach GROUP BY u)
+SELECT d.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, component_id FROM d LEFT JOIN n USING (doc_id) JOIN least ON least.u = d.doc_id
+"""
+
+
 def _crc_of(name: str) -> str:
     """The unsigned CRC-32 of a text's UTF-8 bytes."""
     return f"""xor(4294967295, list_reduce(list_prepend(4294967295::BIGINT, list_transform(regexp_extract_all(hex(encode({name})), '..'), lambda k: ('0x' || k)::BIGINT)),
@@ -139,4 +153,4 @@ SELECT doc_id, n_features, weight, score, CASE WHEN r <= (SELECT 10 * count(*) /
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_sharding": OP1, "op5_quality_ledger": OP5, "op6_mixing": OP6, "op9_lsh_forest": OP9, "op11_spelling": OP11, "op13_importance": OP13}
+    return {"op1_sharding": OP1, "op5_quality_ledger": OP5, "op6_mixing": OP6, "op9_lsh_forest": OP9, "op11_spelling": OP11, "op12_ngram_join": OP12, "op13_importance": OP13}

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import html_consensus, importance, language_id, lm_scoring, lsh_forest, mixing, packing, pii_surrogates, quality_ledger, sharding, spelling, spotsigs
+from . import html_consensus, importance, language_id, lm_scoring, lsh_forest, mixing, ngram_join, packing, pii_surrogates, quality_ledger, sharding, spelling, spotsigs
 from ._frames import table
 
 
@@ -64,9 +64,13 @@ def op11_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling.variants(table(spark, sf_dir, "documents"))
 
 
+def op12_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.similar(table(spark, sf_dir, "documents"))
+
+
 def op13_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
     return importance.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("n_words")
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_sharding, op2_lm_scoring, op3_language_id, op4_spotsigs, op5_quality_ledger, op6_mixing, op7_packing, op8_html_consensus, op9_lsh_forest, op10_pii_surrogates, op11_spelling, op13_importance)}
+    return {f.__name__: f for f in (op1_sharding, op2_lm_scoring, op3_language_id, op4_spotsigs, op5_quality_ledger, op6_mixing, op7_packing, op8_html_consensus, op9_lsh_forest, op10_pii_surrogates, op11_spelling, op12_ngram_join, op13_importance)}
