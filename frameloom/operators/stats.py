@@ -98,27 +98,45 @@ def feature_stats(df: DataFrame, value: str, by: Sequence[str] = (), quantiles:
     return both.withColumns({n: F.when(F.col("count") < 2, F.col("mean")).otherwise(F.col(n)) for n in names})
 
 
+#: Moments are (n, mean, m2), m2 the sum of squared distances from the mean: E[x^2] - mean^2 loses all digits far from 0.
+def _joined_moments(a: Column, b: Column) -> Column:
+    """Two structs (n, mean, m2) as one."""
+    n, apart = a["n"] + b["n"], b["mean"] - a["mean"]
+    share = b["n"] / n
+    return F.when(a["n"] == 0, b).otherwise(F.struct(n.alias("n"), (a["mean"] + apart * share).alias("mean"), (a["m2"] + b["m2"] + apart * apart * a["n"] * share).alias("m2")))
+
+
+def _pooled(parts: DataFrame, by: Sequence[str], n: str, mean: str) -> DataFrame:
+    """parts with _mid, the mean of their group weighted by n. Distances from it are small whatever the values are."""
+    mids = parts.groupBy(*by).agg((F.sum(F.col(mean) * F.col(n)) / F.nullif(F.sum(n), F.lit(0))).alias("_mid"))
+    return _beside(parts, mids, by)
+
+
 def moments(df: DataFrame, value: str, by: Sequence[str] = (), low: float = 0.0, high: float = 1.0, bins: int = 5000) -> DataFrame:
-    """What statistics of parts merge by: n, sum, sum of squares, min, max, and a histogram on a fixed range (a map of bin to
-    count; values beyond the range are in its first or last bin)."""
+    """What statistics of parts merge by: n, mean, m2 (the sum of squared distances from the mean), min, max, and a histogram on a
+    fixed range (a map of bin to count; values beyond the range are in its first or last bin). One pass: a bin's own
+    moments, ``bins`` of them a group at most, are merged."""
     bin_ = F.least(F.greatest(F.floor((F.col(value) - low) / F.lit((high - low) / bins)), F.lit(0)), F.lit(bins - 1)).cast("int")
-    cells = df.where(F.col(value).isNotNull()).groupBy(*by, bin_.alias("_bin")).agg(F.count(value).alias("_c"), F.sum(value).alias("_s"), F.sum(F.col(value) * F.col(value)).alias("_ss"), F.min(value).alias("_lo"), F.max(value).alias("_hi"))
-    return cells.groupBy(*by).agg(F.sum("_c").alias("n"), F.sum("_s").alias("total"), F.sum("_ss").alias("squares"), F.min("_lo").alias("min"), F.max("_hi").alias("max"), F.map_from_entries(F.collect_list(F.struct("_bin", "_c"))).alias("histogram"))
+    x = F.col(value).cast("double")
+    cells = df.where(F.col(value).isNotNull()).groupBy(*by, bin_.alias("_bin")).agg(F.count(value).alias("_c"), F.avg(x).alias("_m"), (F.var_pop(x) * F.count(value)).alias("_q"), F.min(value).alias("_lo"), F.max(value).alias("_hi"))
+    merged = F.aggregate(F.sort_array(F.collect_list(F.struct("_bin", F.struct(F.col("_c").cast("double").alias("n"), F.col("_m").alias("mean"), F.col("_q").alias("m2")).alias("of")))), F.struct(F.lit(0.0).alias("n"), F.lit(0.0).alias("mean"), F.lit(0.0).alias("m2")), lambda a, c: _joined_moments(a, c["of"]))
+    whole = cells.groupBy(*by).agg(F.sum("_c").alias("n"), merged.alias("_of"), F.min("_lo").alias("min"), F.max("_hi").alias("max"), F.map_from_entries(F.collect_list(F.struct("_bin", "_c"))).alias("histogram"))
+    return whole.select(*by, "n", "_of.mean", "_of.m2", "min", "max", "histogram")
 
 
 def merged_moments(parts: DataFrame, by: Sequence[str] = ()) -> DataFrame:
-    """The moments of several parts as those of the whole; any order of merging gives the same."""
-    sums = parts.groupBy(*by).agg(F.sum("n").alias("n"), F.sum("total").alias("total"), F.sum("squares").alias("squares"), F.min("min").alias("min"), F.max("max").alias("max"))
+    """The moments of several parts as those of the whole; any order of merging gives the same but for rounding."""
+    apart = F.col("mean") - F.col("_mid")
+    sums = _pooled(parts, by, "n", "mean").groupBy(*by).agg(F.sum("n").alias("n"), F.first("_mid").alias("mean"), F.sum(F.col("m2") + F.col("n") * apart * apart).alias("m2"), F.min("min").alias("min"), F.max("max").alias("max"))
     cells = parts.select(*by, F.explode("histogram").alias("_bin", "_c")).groupBy(*by, "_bin").agg(F.sum("_c").alias("_c"))
     maps = cells.groupBy(*by).agg(F.map_from_entries(F.collect_list(F.struct("_bin", "_c"))).alias("histogram"))
-    return sums.join(maps, list(by)) if by else sums.withColumn("_one", F.lit(1)).join(maps.withColumn("_one", F.lit(1)), "_one").drop("_one")
+    return _beside(sums, maps, by)
 
 
 def moment_stats(parts: DataFrame) -> DataFrame:
-    """mean, std and count of moments; fewer than two values raise, as there is nothing to estimate from."""
-    mean = F.col("total") / F.col("n")
+    """std and count of moments beside their mean; fewer than two values raise, as there is nothing to estimate from."""
     enough = F.when(F.col("n") < 2, F.raise_error(F.lit("fewer than two values"))).otherwise(F.col("n"))
-    return parts.withColumns({"mean": mean, "std": F.sqrt(F.greatest(F.col("squares") / F.col("n") - mean * mean, F.lit(0.0))), "count": enough.cast("long")})
+    return parts.withColumns({"std": F.sqrt(F.col("m2") / F.col("n")), "count": enough.cast("long")})
 
 
 def vector_stats(df: DataFrame, vector: str, by: Sequence[str] = (), quantiles: Sequence[float] = QUANTILES, bounded: bool | None = None) -> DataFrame:
@@ -138,9 +156,8 @@ def row_stats(vector: str) -> list[Column]:
 
 def global_stats(df: DataFrame, vector: str) -> DataFrame:
     """Over all elements of all rows; count is the number of rows."""
-    own = df.select(F.size(vector).alias("_n"), *[c.alias(f"_{k}") for k, c in zip(("min", "max"), (F.array_min(vector), F.array_max(vector)))], F.aggregate(vector, F.lit(0.0), lambda a, x: a + x).alias("_s"), F.aggregate(vector, F.lit(0.0), lambda a, x: a + x * x).alias("_ss"))
-    mean = F.sum("_s") / F.sum("_n")
-    return own.agg(F.min("_min").alias("min"), F.max("_max").alias("max"), mean.alias("mean"), F.sqrt(F.greatest(F.sum("_ss") / F.sum("_n") - mean * mean, F.lit(0.0))).alias("std"), F.count(F.lit(1)).alias("count"))
+    x = F.col("_x").cast("double")
+    return df.select(F.posexplode_outer(vector).alias("_at", "_x")).agg(F.min(x).alias("min"), F.max(x).alias("max"), F.avg(x).alias("mean"), F.stddev_pop(x).alias("std"), F.count_if(F.coalesce("_at", F.lit(0)) == 0).alias("count"))
 
 
 def pooled_stats(stats: DataFrame, by: Sequence[str] = (), quantiles: Sequence[float] = QUANTILES) -> DataFrame:
@@ -148,10 +165,9 @@ def pooled_stats(stats: DataFrame, by: Sequence[str] = (), quantiles: Sequence[f
     count-weighted averages of quantiles (which are not the quantiles of the whole; see feature_stats for those). A quantile
     that a part lacks (null) is null in the whole; one that the table lacks as a column is left out."""
     n, total = F.col("count"), F.nullif(F.sum("count"), F.lit(0))
-    mean = F.sum(F.col("mean") * n) / total
-    second = F.sum((F.col("std") * F.col("std") + F.col("mean") * F.col("mean")) * n) / total
-    return stats.groupBy(*by).agg(
-        F.min("min").alias("min"), F.max("max").alias("max"), mean.alias("mean"), F.sqrt(F.greatest(second - mean * mean, F.lit(0.0))).alias("std"), F.sum("count").alias("count"),
+    apart = F.col("mean") - F.col("_mid")
+    return _pooled(stats, by, "count", "mean").groupBy(*by).agg(
+        F.min("min").alias("min"), F.max("max").alias("max"), F.first("_mid").alias("mean"), F.sqrt(F.sum((F.col("std") * F.col("std") + apart * apart) * n) / total).alias("std"), F.sum("count").alias("count"),
         *[F.when(F.count(F.lit(1)) == F.count(quantile_name(q)), F.sum(F.col(quantile_name(q)) * n) / total).alias(quantile_name(q)) for q in quantiles if quantile_name(q) in stats.columns],
     )
 

@@ -25,6 +25,18 @@ def _event_stats(spark, sf):
 _add("episode_stats", _event_stats, f"SELECT user_id AS episode_index, {_STATS} FROM (SELECT user_id, value AS v FROM events) GROUP BY 1")
 _POOL = "min(min) AS min, max(max) AS max, sum(mean * count) / sum(count) AS mean, sqrt(greatest(sum((std * std + mean * mean) * count) / sum(count) - (sum(mean * count) / sum(count)) ** 2, 0)) AS std, sum(count)::BIGINT AS count, " + ", ".join(f"sum({S.quantile_name(q)} * count) / sum(count) AS {S.quantile_name(q)}" for q in _Q)
 _add("pooled_stats", lambda spark, sf: S.pooled_stats(_event_stats(spark, sf)), f"SELECT {_POOL} FROM (SELECT user_id, {_STATS} FROM (SELECT user_id, value AS v FROM events) GROUP BY 1)")
+#: Values like unix times: far from 0 beside their spread.
+_FAR = "1.7e9 + value / 100"
+_add(
+    "pooled_far_stats",
+    lambda spark, sf: S.pooled_stats(S.feature_stats(event_frames(spark, sf).withColumn("value", F.expr("1.7e9D + value / 100")), "value", ["episode_index"], ()), (), ()).select("min", "max", F.round(F.col("mean") - 1.7e9, 5).alias("mean"), F.round("std", 5).alias("std"), "count"),
+    f"SELECT min(v) AS min, max(v) AS max, round(avg(v - 1.7e9), 5) AS mean, round(stddev_pop(v - 1.7e9), 5) AS std, count(*) AS count FROM (SELECT {_FAR} AS v FROM events)",
+)
+_add(
+    "merged_far_moments",
+    lambda spark, sf: S.moment_stats(S.merged_moments(S.moments(event_frames(spark, sf).withColumn("value", F.expr("1.7e9D + value / 100")), "value", ["episode_index", "task"], 1.7e9, 1.7e9 + 1, 10), ["task"])).select("task", "count", F.round(F.col("mean") - 1.7e9, 5).alias("mean"), F.round("std", 5).alias("std")),
+    f"SELECT event_type AS task, count(*) AS count, round(avg(v - 1.7e9), 5) AS mean, round(stddev_pop(v - 1.7e9), 5) AS std FROM (SELECT event_type, {_FAR} AS v FROM events) GROUP BY 1",
+)
 _add("exact_quantiles", lambda spark, sf: S.feature_stats(event_frames(spark, sf), "value", ["task"]), f"SELECT event_type AS task, {_STATS} FROM (SELECT event_type, value AS v FROM events) GROUP BY 1")
 _add("vector_dim_stats", lambda spark, sf: S.vector_stats(vector_frames(spark, sf), "state").withColumn("dim", F.col("dim").cast("long")), f"SELECT dim, {_STATS} FROM (SELECT unnest(embedding)::DOUBLE AS v, generate_subscripts(embedding, 1) - 1 AS dim FROM embeddings) GROUP BY 1")
 _add(

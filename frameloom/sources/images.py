@@ -14,6 +14,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..operators.stats import pooled_stats
+
 PIXELS = T.StructType([T.StructField("height", T.IntegerType()), T.StructField("width", T.IntegerType()), T.StructField("nChannels", T.IntegerType()), T.StructField("data", T.BinaryType())])
 
 
@@ -115,19 +117,22 @@ def vector(mean: Sequence[float] | None = None, std: Sequence[float] | None = No
 
 def channel_stats(frames: DataFrame, image: str, by: Sequence[str] = ()) -> DataFrame:
     """min, max, mean, std of each channel over all pixels in [0, 1]; count is the number of images. Each image gives one
-    row of moments a channel, which merge in the aggregation."""
-    moments = T.ArrayType(T.StructType([T.StructField(c, T.DoubleType()) for c in ("n", "s", "ss", "lo", "hi")]))
+    row of statistics a channel, which are pooled by their numbers of pixels."""
+    names = ("n", "mean", "std", "min", "max")
+    moments = T.ArrayType(T.StructType([T.StructField(c, T.DoubleType()) for c in names]))
 
     def own(a: np.ndarray) -> list[dict]:
         k = stride_for(*a.shape[:2])
         pixels = a[::k, ::k].astype(np.float64) / 255
-        return [{"n": float(c.size), "s": float(c.sum()), "ss": float((c * c).sum()), "lo": float(c.min()), "hi": float(c.max())} for c in pixels.transpose(2, 0, 1)]
+        return [dict(zip(names, (float(c.size), float(c.mean()), float(c.std()), float(c.min()), float(c.max())))) for c in pixels.transpose(2, 0, 1)]
 
     @F.arrow_udf(moments)
     def of(images: pa.Array) -> pa.Array:
-        cell = pa.struct([(c, pa.float64()) for c in ("n", "s", "ss", "lo", "hi")])
+        cell = pa.struct([(c, pa.float64()) for c in names])
         return pa.array([None if a is None else own(a) for a in _views(images)], pa.list_(cell))
 
-    long = frames.select(*by, F.posexplode(of(F.col(image))).alias("channel", "m")).select(*by, "channel", "m.*")
-    mean = F.sum("s") / F.sum("n")
-    return long.groupBy(*by, "channel").agg(F.min("lo").alias("min"), F.max("hi").alias("max"), mean.alias("mean"), F.sqrt(F.greatest(F.sum("ss") / F.sum("n") - mean * mean, F.lit(0.0))).alias("std"), F.count(F.lit(1)).alias("count"))
+    long = frames.select(*by, F.posexplode(of(F.col(image))).alias("channel", "m")).select(*by, "channel", F.col("m.n").alias("count"), "m.mean", "m.std", "m.min", "m.max")
+    counts = long.groupBy(*by, "channel").agg(F.count(F.lit(1)).alias("count"))
+    pooled = pooled_stats(long, [*by, "channel"], ()).drop("count").withColumnsRenamed({c: f"_{c}" for c in [*by, "channel"]})
+    same = [counts[c].eqNullSafe(pooled[f"_{c}"]) for c in [*by, "channel"]]
+    return counts.join(pooled, same).select(*by, "channel", "min", "max", "mean", "std", "count")

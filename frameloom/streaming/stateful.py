@@ -31,21 +31,29 @@ def sessions(stream: DataFrame, time: str, gap: str, by: list[str], late: str =
     return rows.groupBy(F.session_window("_t", gap).alias("w"), *by).agg(F.count(F.lit(1)).alias("n")).select(F.col("w.start").alias("start"), F.col("w.end").alias("end"), *by, "n")
 
 
+def _added(n: int, mean: float, m2: float, v: np.ndarray) -> tuple[int, float, float]:
+    """The moments (n, mean, sum of squared distances from it) after more values."""
+    k = len(v)
+    own = float(v.mean())
+    apart, both = own - mean, n + k
+    return both, mean + apart * k / both, m2 + float(((v - own) ** 2).sum()) + apart * apart * n * k / both
+
+
 def online_stats(stream: DataFrame, by: str, value: str) -> DataFrame:
     """Running n, mean, population std, min and max of each key, emitted at each trigger: moments merge, nothing else is kept."""
 
     def update(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        n, s, ss, lo, hi = state.get if state.exists else (0, 0.0, 0.0, float("inf"), float("-inf"))
+        n, mean, m2, lo, hi = state.get if state.exists else (0, 0.0, 0.0, float("inf"), float("-inf"))
         for pdf in batches:
-            v = pdf[value].dropna()
+            v = pdf[value].dropna().to_numpy(float)
             if len(v):
-                n, s, ss, lo, hi = n + len(v), s + float(v.sum()), ss + float((v * v).sum()), min(lo, float(v.min())), max(hi, float(v.max()))
-        state.update((n, s, ss, lo, hi))
-        mean = s / n if n else None
-        yield pd.DataFrame({by: [key[0]], "n": [n], "mean": [mean], "std": [max(0.0, ss / n - mean * mean) ** 0.5 if n else None], "min": [lo if n else None], "max": [hi if n else None]})
+                n, mean, m2 = _added(n, mean, m2, v)
+                lo, hi = min(lo, float(v.min())), max(hi, float(v.max()))
+        state.update((n, mean, m2, lo, hi))
+        yield pd.DataFrame({by: [key[0]], "n": [n], "mean": [mean if n else None], "std": [(m2 / n) ** 0.5 if n else None], "min": [lo if n else None], "max": [hi if n else None]})
 
     kind = stream.schema[by].dataType.simpleString()
-    return stream.select(by, value).groupBy(by).applyInPandasWithState(update, f"{by} {kind}, n long, mean double, std double, min double, max double", "n long, s double, ss double, lo double, hi double", "update", GroupStateTimeout.NoTimeout)
+    return stream.select(by, value).groupBy(by).applyInPandasWithState(update, f"{by} {kind}, n long, mean double, std double, min double, max double", "n long, mean double, m2 double, lo double, hi double", "update", GroupStateTimeout.NoTimeout)
 
 
 def online_histogram(stream: DataFrame, by: str, value: str, low: float, high: float, bins: int = 256) -> DataFrame:
@@ -53,20 +61,21 @@ def online_histogram(stream: DataFrame, by: str, value: str, low: float, high: f
     ``bins`` counts and five numbers a key."""
 
     def update(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        n, s, ss, lo, hi, counts = state.get if state.exists else (0, 0.0, 0.0, float("inf"), float("-inf"), [0] * bins)
+        n, mean, m2, lo, hi, counts = state.get if state.exists else (0, 0.0, 0.0, float("inf"), float("-inf"), [0] * bins)
         counts = np.array(counts, np.int64)
         for pdf in batches:
             v = pdf[value].dropna().to_numpy(float)
             if len(v):
-                n, s, ss, lo, hi = n + len(v), s + float(v.sum()), ss + float((v * v).sum()), min(lo, float(v.min())), max(hi, float(v.max()))
+                n, mean, m2 = _added(n, mean, m2, v)
+                lo, hi = min(lo, float(v.min())), max(hi, float(v.max()))
                 at = np.clip(((v - low) / (high - low) * bins).astype(np.int64), 0, bins - 1)
                 counts += np.bincount(at, minlength=bins)
         held = counts.tolist()
-        state.update((n, s, ss, lo, hi, held))
-        yield pd.DataFrame({by: [key[0]], "n": [n], "mean": [s / n if n else None], "std": [max(0.0, ss / n - (s / n) ** 2) ** 0.5 if n else None], "min": [lo if n else None], "max": [hi if n else None], "histogram": [held]})
+        state.update((n, mean, m2, lo, hi, held))
+        yield pd.DataFrame({by: [key[0]], "n": [n], "mean": [mean if n else None], "std": [(m2 / n) ** 0.5 if n else None], "min": [lo if n else None], "max": [hi if n else None], "histogram": [held]})
 
     kind = stream.schema[by].dataType.simpleString()
-    return stream.select(by, value).groupBy(by).applyInPandasWithState(update, f"{by} {kind}, n long, mean double, std double, min double, max double, histogram array<long>", "n long, s double, ss double, lo double, hi double, counts array<long>", "update", GroupStateTimeout.NoTimeout)
+    return stream.select(by, value).groupBy(by).applyInPandasWithState(update, f"{by} {kind}, n long, mean double, std double, min double, max double, histogram array<long>", "n long, mean double, m2 double, lo double, hi double, counts array<long>", "update", GroupStateTimeout.NoTimeout)
 
 
 def ring(stream: DataFrame, by: str, sequence: str, value: str, capacity: int) -> DataFrame:
