@@ -401,18 +401,48 @@ def _file(spark, sf, *columns):
     return Z.frame_stream(spark, f"{sf}/events.parque[t]", table(spark, sf, "events").schema).select(*columns)
 
 
-def _files(spark, sf):
-    """The events with frame numbers as a folder of files, one for each stretch of 20 frames, read a file at a time."""
+#: Rows of a part come this share of the whole time early or late.
+_PARTS = 5
+
+
+def _shuffled(spark, sf):
+    """The events with frame numbers as a stream of six triggers and a closing one. A key's rows are shuffled over neighbouring
+    triggers and in each; the closing row lets the watermark pass all. Returns the stream, and the delay and the
+    idle time (ms) that suit its disorder and its pauses."""
     folder = shared_folder(spark)
-    f = event_frames(spark, sf).select(EPISODE, "frame_index", "value", "ts", (F.col("task") == "click").alias("flag"))
-    stretch = f.withColumn("part", F.floor(F.col("frame_index") / 20))
-    stretch.repartition("part").sortWithinPartitions("part").write.partitionBy("part").parquet(folder)
-    return Z.frame_stream(spark, f"{folder}/*", f.schema, 1000)
+    f = event_frames(spark, sf).select(EPISODE, "frame_index", "value", F.col("ts").cast("timestamp").alias("ts"), (F.col("task") == "click").alias("flag"), "event_id")
+    low, high = f.agg(F.unix_seconds(F.min("ts")), F.unix_seconds(F.max("ts"))).first()
+    span = max(high - low, 1)
+    jitter = F.pmod(F.xxhash64(F.lit(7), "event_id"), F.lit(1000)) / 1000
+    part = F.floor((F.unix_seconds("ts") - low) / F.lit(float(span)) * _PARTS + jitter)
+    for k in range(_PARTS + 2):  # a trigger each, so a write each
+        rows = f.where(part == k).drop("event_id").repartition(2, "value")
+        rows.sortWithinPartitions(F.xxhash64("frame_index", EPISODE)).write.parquet(f"{folder}/{k}")
+    last = spark.range(1).select(F.lit(-1).cast("long").alias(EPISODE), F.lit(0).cast("long").alias("frame_index"), F.lit(0.0).alias("value"), F.timestamp_seconds(F.lit(high + 4 * span)).alias("ts"), F.lit(False).alias("flag"))
+    last.write.parquet(f"{folder}/{_PARTS + 2}")
+    return Z.frame_stream(spark, f"{folder}/*", f.drop("event_id").schema, 2), f"{span // 4 + 1} seconds", 2000 * span
+
+
+def _running(spark, sf):
+    stream, late, idle = _shuffled(spark, sf)
+    return Z.run_to_table(Z.running_steps(stream, EPISODE, "frame_index", "value", "flag", 0.5, 30, late, "ts", idle), "append").where(F.col(EPISODE) >= 0)
 
 
+def _look_around(spark, sf):
+    stream, late, idle = _shuffled(spark, sf)
+    out = Z.run_to_table(Z.looked_around(stream, EPISODE, "frame_index", "value", [-3, 0, 2], late, "ts", idle), "append").where(F.col(EPISODE) >= 0)
+    return out.select(EPISODE, "frame_index", *[F.col("window")[i].alias(f"v{i}") for i in range(3)], *[F.col("is_pad")[i].alias(f"p{i}") for i in (0, 2)])
+
+
+_add(
+    "stream_look_around",
+    _look_around,
+    f"""WITH {EVENT_FRAMES} SELECT episode_index, frame_index, coalesce(lag(value, 3) OVER w, first_value(value) OVER w) AS v0, value AS v1, coalesce(lead(value, 2) OVER w, last_value(value) OVER (PARTITION BY episode_index ORDER BY frame_index ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)) AS v2,
+    lag(value, 3) OVER w IS NULL AS p0, lead(value, 2) OVER w IS NULL AS p2 FROM f WINDOW w AS (PARTITION BY episode_index ORDER BY frame_index)""",
+)
 _add(
     "stream_running_steps",
-    lambda spark, sf: Z.run_to_table(Z.running_steps(_files(spark, sf), EPISODE, "frame_index", "value", "flag", 0.5, 30), "append"),
+    _running,
     f"""WITH {EVENT_FRAMES}, e AS (SELECT *, task = 'click' AND coalesce(lag(task) OVER w <> 'click', true) AS edge, coalesce((value - lag(value) OVER w) / 0.5, 0) AS v FROM f WINDOW w AS (PARTITION BY episode_index ORDER BY frame_index))
     SELECT episode_index, frame_index, v AS velocity, frame_index + 1 >= 30 AS truncated, last_value(CASE WHEN edge THEN value END IGNORE NULLS) OVER (PARTITION BY episode_index ORDER BY frame_index ROWS UNBOUNDED PRECEDING) AS latched FROM e""",
 )

@@ -12,6 +12,7 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..session import shared_folder
+from .ordered import STORE, looked_around, running_steps  # noqa: F401
 
 
 def frame_stream(spark: SparkSession, folder: str, schema, files_per_trigger: int = 1) -> DataFrame:
@@ -117,71 +118,6 @@ def admitted(stream: DataFrame, by: str, timestep: str, value: str, tolerance: f
     return stream.select(by, timestep, value).groupBy(by).applyInPandasWithState(update, f"{by} {kind}, {timestep} long, {value} double", "seen array<long>, last double", "append", GroupStateTimeout.NoTimeout)
 
 
-def _emitted(by: str, columns: list[str], rows: list[tuple]) -> pd.DataFrame:
-    return pd.DataFrame(rows, columns=[by, *columns])
-
-
-def looked_around(stream: DataFrame, by: str, frame: str, value: str, offsets: list[int], idle: str = "1 hour", clock: str = "ts") -> DataFrame:
-    """Bounded look-back and look-ahead: for each frame the values ``offsets`` frames away, clamped to the episode's ends, with
-    pad flags. A frame goes out when the frame furthest ahead of it has come; an episode's last ones when the watermark,
-    ``idle`` behind the newest row of all, has passed its last row. The state holds no more frames than the offsets span. Frames must come in order in an episode."""
-    back, ahead = -min(0, *offsets), max(0, *offsets)
-
-    def update(key, batches, state: GroupState):
-        frames, values, done = (list(x) for x in state.get) if state.exists else ([], [], [])
-        newest = 0
-        for pdf in batches:
-            rows = pdf.sort_values(frame)
-            frames += rows[frame].tolist()
-            values += rows[value].tolist()
-            newest = max(newest, int(pdf["_t"].max().timestamp() * 1000)) if len(pdf) else newest
-        given = done[0] if done else -1  # the last frame that went out
-        out = []
-        over = state.hasTimedOut
-        last = frames[-1] if frames else -1
-        at = {f: v for f, v in zip(frames, values)}
-        for f in frames:
-            if f > given and (over or f + ahead <= last):
-                cells = [at[min(max(f + k, 0), last)] for k in offsets]
-                out.append((key[0], int(f), cells, [f + k < 0 or f + k > last for k in offsets]))
-                given = int(f)
-        if over:
-            state.remove()
-        else:
-            keep = [i for i, f in enumerate(frames) if f > given - back]
-            state.update(([frames[i] for i in keep], [values[i] for i in keep], [given]))
-            if frames:
-                state.setTimeoutTimestamp(max(state.getCurrentWatermarkMs(), newest) + 1)
-        yield _emitted(by, [frame, "window", "is_pad"], out)
-
-    kind = stream.schema[by].dataType.simpleString()
-    timed = stream.withColumn("_t", F.col(clock).cast("timestamp")).withWatermark("_t", idle).select(by, frame, value, "_t")
-    return timed.groupBy(by).applyInPandasWithState(update, f"{by} {kind}, {frame} long, window array<double>, is_pad array<boolean>", "frames array<long>, kept array<double>, given array<long>", "append", GroupStateTimeout.EventTimeTimeout)
-
-
-def running_steps(stream: DataFrame, by: str, frame: str, value: str, flag: str, dt: float, limit: int) -> DataFrame:
-    """Velocity, time limit and latch of each key, row by row in the order of arrival; the state is one row a key: its last
-    value and flag, and the latched value. A frame number that starts again resets it."""
-
-    def update(key, batches, state: GroupState):
-        before, raised, latched = state.get if state.exists else (None, False, None)
-        out = []
-        for pdf in batches:
-            for f, v, up in pdf.sort_values(frame)[[frame, value, flag]].itertuples(index=False):
-                if f == 0:
-                    before, raised, latched = None, False, None
-                up = bool(up)
-                if up and not raised:
-                    latched = float(v)
-                out.append((key[0], int(f), 0.0 if before is None else (float(v) - before) / dt, f + 1 >= limit, latched))
-                before, raised = float(v), up
-        state.update((before, raised, latched))
-        yield _emitted(by, [frame, "velocity", "truncated", "latched"], out).astype({"latched": "float64"})
-
-    kind = stream.schema[by].dataType.simpleString()
-    return stream.select(by, frame, value, flag).groupBy(by).applyInPandasWithState(update, f"{by} {kind}, {frame} long, velocity double, truncated boolean, latched double", "before double, raised boolean, latched double", "append", GroupStateTimeout.NoTimeout)
-
-
 def joined_chunks(parts: DataFrame, message: str = "message", place: str = "place", state: str = "state", body: str = "body") -> DataFrame:
     """Messages that came in pieces (state: begin, middle, end) put together; only those whose begin and end have come and
     whose places have no gap."""
@@ -242,7 +178,15 @@ def run_to_table(stream: DataFrame, mode: str, keys: list[str] | None = None, ch
         batch.write.mode("overwrite").parquet(f"{folder}/rows/epoch={epoch}")
 
     writer = stream.writeStream.foreachBatch(write).outputMode(mode).trigger(availableNow=True).option("checkpointLocation", checkpoint or f"{folder}/checkpoint")
-    writer.start().awaitTermination()
+    #: The store of ordered.py's state; the query keeps what the session has when it starts.
+    setting = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(setting)
+    spark.conf.set(setting, STORE)
+    try:
+        query = writer.start()
+    finally:
+        spark.conf.set(setting, before)
+    query.awaitTermination()
     kept = T.StructType([*schema.fields, T.StructField("epoch", T.IntegerType())])
     rows = spark.read.schema(kept).option("basePath", f"{folder}/rows").option("recursiveFileLookup", "false").parquet(f"{folder}/rows")
     if mode == "complete":
