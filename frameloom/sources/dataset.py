@@ -306,19 +306,23 @@ def violations(frames: DataFrame, features: dict[str, Feature]) -> DataFrame:
     return frames.agg(*bad)
 
 
+def _counted(features: dict[str, Feature]) -> list[str]:
+    """Features that have statistics."""
+    return [k for k, f in features.items() if f.dtype not in ("string", "image", "video", "bool") and len(f.shape) == 1]
+
+
+def _cells_of(name: str, scalar: bool):
+    """A feature's value as an array of (feature, dim, value)."""
+    own = F.col(f"`{name}`")
+    cell = lambda x, dim: F.struct(F.lit(name).alias("feature"), dim.cast("int").alias("dim"), x.cast("double").alias("value"))
+    return F.array(cell(own, F.lit(0))) if scalar else F.transform(F.coalesce(own, F.array()), cell)
+
+
 def feature_statistics(frames: DataFrame, features: dict[str, Feature], by: Sequence[str] = (EPISODE,)) -> DataFrame:
-    """Long statistics: by, feature, dim, and min .. q99; strings, images and videos are left out."""
-    out = None
-    for name, f in features.items():
-        if f.dtype in ("string", "image", "video", "bool") or len(f.shape) > 1:
-            continue
-        if f.shape == (1,):
-            part = stats.feature_stats(frames.select(*by, F.col(f"`{name}`").cast("double").alias("value")), "value", by).withColumn("dim", F.lit(0))
-        else:
-            part = stats.vector_stats(frames.select(*by, F.col(f"`{name}`").cast("array<double>").alias("value")), "value", by)
-        part = part.withColumn("feature", F.lit(name)).select(*by, "feature", "dim", "min", "max", "mean", "std", "count", *[stats.quantile_name(q) for q in stats.QUANTILES])
-        out = part if out is None else out.unionByName(part)
-    return out
+    """Long statistics: by, feature, dim, and min .. q99; strings, images and videos are left out. All features are read in one scan."""
+    cells = [_cells_of(name, features[name].shape == (1,)) for name in _counted(features)]
+    long = frames.select(*by, F.inline(F.concat(*cells)))
+    return stats.feature_stats(long, "value", [*by, "feature", "dim"]).select(*by, "feature", "dim", "min", "max", "mean", "std", "count", *[stats.quantile_name(q) for q in stats.QUANTILES])
 
 
 def _in_order(stat: str):
@@ -326,45 +330,70 @@ def _in_order(stat: str):
     return F.transform(F.array_sort(F.collect_list(F.struct("dim", stat))), lambda x: x[stat])
 
 
+STATS = ("min", "max", "mean", "std", "count", "q01", "q10", "q50", "q90", "q99")
+
+
+def episode_ranges(rows: DataFrame) -> DataFrame:
+    """length, dataset_from_index, dataset_to_index and task numbers of each episode."""
+    return rows.groupBy(EPISODE).agg(F.count(F.lit(1)).alias("length"), F.min("index").alias("dataset_from_index"), (F.max("index") + 1).alias("dataset_to_index"))
+
+
+def episode_tasks(rows: DataFrame, tasks: DataFrame) -> DataFrame:
+    """The task texts of each episode, sorted."""
+    return rows.select(EPISODE, "task_index").distinct().join(tasks, "task_index").groupBy(EPISODE).agg(F.sort_array(F.collect_set("task")).alias("tasks"))
+
+
+def wide_statistics(per_stats: DataFrame, features: dict[str, Feature]) -> DataFrame:
+    """feature_statistics by episode as one row an episode: stats/<feature>/<stat>, an array over the dimensions."""
+    wide = per_stats.groupBy(EPISODE, "feature").agg(*[_in_order(s).alias(s) for s in STATS if s != "count"], F.array(F.max("count")).alias("count"))
+    return wide.groupBy(EPISODE).agg(*[F.max(F.when(F.col("feature") == k, F.col(s))).alias(f"stats/{k}/{s}") for k in _counted(features) for s in STATS])
+
+
+def statistics_tree(pooled: DataFrame) -> dict:
+    """Pooled statistics (a row a dimension) as nested lists, as stats.json has them."""
+    tree: dict = {}
+    for r in pooled.orderBy("feature", "dim").collect():
+        own = tree.setdefault(r["feature"], {})
+        for s in STATS:
+            if s == "count":
+                own["count"] = [r["count"]]
+            else:
+                own.setdefault(s, []).append(r[s])
+    return tree
+
+
 def write(frames: DataFrame, root: str, info: Info, mb_per_frame: float = 0.001) -> EpisodeDataset:
     """Write recorded frames (episode_index, frame_index, task, features) as a dataset: files by size, episodes with
-    their ranges and statistics, tasks, info and pooled statistics."""
+    their ranges and statistics, tasks, info and pooled statistics. Everything after the frames is made from the written ones."""
     spark = frames.sparkSession
     features = info.features | DEFAULTS
     rows = numbered(frames, info.fps)
     schema = schema_of(features)
     rows = rows.select("task", *[F.col(f"`{f.name}`").cast(f.dataType).alias(f.name) for f in schema])
-    per = rows.groupBy(EPISODE).agg(F.count(F.lit(1)).alias("length"), F.min("index").alias("dataset_from_index"), (F.max("index") + 1).alias("dataset_to_index"), F.sort_array(F.collect_set("task")).alias("tasks"))
+    rows.select("task", "task_index").distinct().coalesce(1).sortWithinPartitions("task_index").write.mode("overwrite").parquet(f"{root}/meta/tasks.parquet")
+    tasks = spark.read.parquet(f"{root}/meta/tasks.parquet")
+    per = rows.groupBy(EPISODE).agg(F.count(F.lit(1)).alias("length"))
     binned = edits.file_bins(per.withColumn("_mb", F.col("length") * mb_per_frame), "_mb", info.data_files_size_in_mb, info.chunks_size).drop("_mb").withColumnsRenamed({"chunk_index": "data/chunk_index", "file_index": "data/file_index"})
     names = F.format_string("chunk-%03d", F.col("`data/chunk_index`")), F.format_string("file-%03d", F.col("`data/file_index`"))
     placed = rows.join(binned.select(EPISODE, names[0].alias("_chunk"), names[1].alias("_file")), EPISODE)
     placed.drop("task").repartition("_chunk", "_file").sortWithinPartitions("_chunk", "_file", "index").write.mode("overwrite").partitionBy("_chunk", "_file").parquet(f"{root}/_data")
     _settle(spark, f"{root}/_data", f"{root}/data")
-    per_stats = feature_statistics(rows, {k: f for k, f in features.items() if k not in ("index", "task_index")})
-    wide = per_stats.groupBy(EPISODE, "feature").agg(*[_in_order(s).alias(s) for s in ("min", "max", "mean", "std", "q01", "q10", "q50", "q90", "q99")], F.array(F.max("count")).alias("count"))
-    stat_columns = ("min", "max", "mean", "std", "count", "q01", "q10", "q50", "q90", "q99")
-    numeric = [k for k in features if k not in ("index", "task_index") and features[k].dtype not in ("string", "image", "video", "bool") and len(features[k].shape) == 1]
-    flat = wide.groupBy(EPISODE).agg(*[F.max(F.when(F.col("feature") == k, F.col(s))).alias(f"stats/{k}/{s}") for k in numeric for s in stat_columns])
+    back = spark.read.schema(schema).parquet(f"{root}/data/*/*.parquet")
+    counted = {k: f for k, f in features.items() if k not in ("index", "task_index")}
+    per_stats = feature_statistics(back, counted)
+    where = F.regexp_extract_all(F.input_file_name(), F.lit(r"-(\d+)"), 1)
+    files = back.select(EPISODE, "index", F.element_at(where, -2).cast("long").alias("_c"), F.element_at(where, -1).cast("long").alias("_f")).groupBy(EPISODE).agg(F.first("_c").alias("data/chunk_index"), F.first("_f").alias("data/file_index"))
     #: Episode rows go to files of EPISODES_PER_FILE episodes, by number.
     file = F.floor(F.col(EPISODE) / EPISODES_PER_FILE)
-    episodes = binned.join(flat, EPISODE).withColumn("meta/episodes/chunk_index", F.floor(file / info.chunks_size)).withColumn("meta/episodes/file_index", file % info.chunks_size)
+    episodes = episode_ranges(back).join(files, EPISODE).join(episode_tasks(back, tasks), EPISODE).join(wide_statistics(per_stats, counted), EPISODE).withColumn("meta/episodes/chunk_index", F.floor(file / info.chunks_size)).withColumn("meta/episodes/file_index", file % info.chunks_size)
     where = F.format_string("chunk-%03d", F.col("`meta/episodes/chunk_index`")), F.format_string("file-%03d", F.col("`meta/episodes/file_index`"))
     placed = episodes.withColumn("_chunk", where[0]).withColumn("_file", where[1])
     placed.repartition("_chunk", "_file").sortWithinPartitions("_chunk", "_file", EPISODE).write.mode("overwrite").partitionBy("_chunk", "_file").parquet(f"{root}/meta/_episodes")
     _settle(spark, f"{root}/meta/_episodes", f"{root}/meta/episodes")
-    rows.select("task", "task_index").distinct().coalesce(1).sortWithinPartitions("task_index").write.mode("overwrite").parquet(f"{root}/meta/tasks.parquet")
-    pooled = stats.pooled_stats(per_stats, ["feature", "dim"]).orderBy("feature", "dim").collect()  # a row for each dimension
-    tree: dict = {}
-    for r in pooled:
-        own = tree.setdefault(r["feature"], {})
-        for s in stat_columns:
-            if s == "count":
-                own["count"] = [r["count"]]
-            else:
-                own.setdefault(s, []).append(r[s])
-    write_text(spark, f"{root}/meta/stats.json", json.dumps(tree, indent=4))
-    totals = rows.agg(F.count_distinct(EPISODE).alias("e"), F.count(F.lit(1)).alias("n"), F.count_distinct("task").alias("t")).first()
-    done = replace(info, features=features, total_episodes=totals["e"], total_frames=totals["n"], total_tasks=totals["t"], splits={"train": f"0:{totals['e']}"})
+    write_text(spark, f"{root}/meta/stats.json", json.dumps(statistics_tree(stats.pooled_stats(per_stats, ["feature", "dim"])), indent=4))
+    kept = spark.read.parquet(f"{root}/meta/episodes/*/*.parquet")
+    totals = kept.agg(F.count(F.lit(1)).alias("e"), F.coalesce(F.sum("length"), F.lit(0)).alias("n")).first()
+    done = replace(info, features=features, total_episodes=totals["e"], total_frames=totals["n"], total_tasks=tasks.count(), splits={"train": f"0:{totals['e']}"})
     write_text(spark, f"{root}/meta/info.json", done.to_json())
     return EpisodeDataset(spark, root, done)
 
