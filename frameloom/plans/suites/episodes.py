@@ -17,6 +17,7 @@ from ...operators import stats as S
 from ...operators import windows as W
 from ...operators.windows import EPISODE
 from ...session import shared_folder
+from ...sources import appending as A
 from ...sources import dataset as D
 from ...sources import external as G
 from ...sources.adapters import EVENT_FRAMES, LINE_FRAMES, VECTOR_FRAMES, event_frames, line_frames, table, vector_frames
@@ -41,6 +42,41 @@ def _written(spark, sf):
     return D.write(rows.drop("event_id", "ts"), shared_folder(spark), _INFO, 0.001)
 
 
+def _recorded(spark, sf):
+    f = event_frames(spark, sf)
+    rows = f.select(EPISODE, "task", "value", F.array(F.col("value") / 2, F.lit(1.0)).alias("action"), "ts", "event_id")
+    return D.recorded(rows, ["ts", "event_id"], 10.0).drop("ts", "event_id")
+
+
+def _appended(spark, sf):
+    """The events' episodes appended in three steps of a third of them each, under a small cap."""
+    rows = _recorded(spark, sf)
+    top = rows.agg(F.max(EPISODE)).first()[0]
+    ds = A.create(spark, shared_folder(spark), _INFO)
+    for k in range(3):
+        some = (F.col(EPISODE) * 3 > top * k) & (F.col(EPISODE) * 3 <= top * (k + 1)) if k else F.col(EPISODE) * 3 <= top
+        ds = A.append(ds, rows.where(some), 0.001, 0.01)
+    return ds
+
+
+class _Lost(RuntimeError):
+    pass
+
+
+def _lost_append(spark, sf):
+    """An append that is lost after it has staged everything: the dataset is as before."""
+
+    def lose():
+        raise _Lost
+
+    ds = A.append(A.create(spark, shared_folder(spark), _INFO), _recorded(spark, sf), 0.001)
+    try:
+        A.append(ds, _recorded(spark, sf), 0.001, before_commit=lose)
+    except _Lost:
+        pass
+    return A.LoggedDataset.load(spark, ds.root)
+
+
 _NUMBERED = f"""{EVENT_FRAMES}, n AS (SELECT dense_rank() OVER (ORDER BY episode_index) - 1 AS episode_index, frame_index, value, task, row_number() OVER (ORDER BY episode_index, frame_index) - 1 AS index FROM f),
     tasks AS (SELECT task, row_number() OVER (ORDER BY min(index)) - 1 AS task_index FROM n GROUP BY 1)"""
 _ALL = "episode_index, frame_index, index, task_index, value, action[1]::DOUBLE AS a, action[2]::DOUBLE AS b, round(timestamp::DOUBLE, 4) AS t"
@@ -53,6 +89,18 @@ def _cells(df):
 
 _add("dataset_frames", lambda spark, sf: _cells(_written(spark, sf).frames()), _BACK)
 _add("dataset_some_episodes", lambda spark, sf: _cells(_written(spark, sf).frames([1, 5, 8])), f"{_BACK} WHERE episode_index IN (1, 5, 8)")
+_add("appended_frames", lambda spark, sf: _cells(_appended(spark, sf).frames()), _BACK)
+_add(
+    "appended_episodes",
+    lambda spark, sf: _appended(spark, sf).episodes(True).select(EPISODE, "length", "dataset_from_index", "dataset_to_index", F.array_join("tasks", "|").alias("tasks"), F.round(F.col("`stats/value/mean`")[0], 9).alias("mean"), F.col("`stats/value/count`")[0].alias("count")),
+    f"WITH {_NUMBERED} SELECT episode_index, count(*) AS length, min(index) AS dataset_from_index, max(index) + 1 AS dataset_to_index, string_agg(DISTINCT task, '|' ORDER BY task) AS tasks, round(avg(value), 9) AS mean, count(*) AS count FROM n GROUP BY 1",
+)
+_add(
+    "appended_state",
+    lambda spark, sf: (lambda d: d.files().agg(F.sum("episodes").alias("episodes"), (F.max("mb") < 1).alias("under_cap"), (F.count(F.lit(1)) >= F.floor(F.lit(d.info.total_frames * 0.001))).alias("enough_files")).select("episodes", "under_cap", "enough_files", F.lit(d.version).cast("long").alias("version"), F.lit(d.info.total_frames).cast("long").alias("frames"), F.lit(round(d.stats()["value"]["mean"][0], 6)).alias("mean"), F.lit(round(d.stats()["value"]["std"][0], 6)).alias("std")))(_appended(spark, sf)),
+    "SELECT count(DISTINCT user_id)::BIGINT AS episodes, true AS under_cap, true AS enough_files, 3::BIGINT AS version, count(*) AS frames, round(avg(value), 6) AS mean, round(stddev_pop(value), 6) AS std FROM events",
+)
+_add("lost_append", lambda spark, sf: _cells(_lost_append(spark, sf).frames()), _BACK)
 _add("dataset_tasks", lambda spark, sf: _written(spark, sf).tasks().select("task", "task_index"), f"WITH {_NUMBERED} SELECT * FROM tasks")
 _add("dataset_with_tasks", lambda spark, sf: (lambda d: d.with_tasks().select("index", "task"))(_written(spark, sf)), f"WITH {_NUMBERED} SELECT index, task FROM n")
 _add(
