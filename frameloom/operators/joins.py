@@ -40,18 +40,51 @@ def nearest(queries: DataFrame, series: DataFrame, by: str, query_time: str, tim
     return rows.select(*queries.columns, F.col(f"_m.{time}").alias(f"matched_{time}"), *[F.col(f"_m.{v}").alias(v) for v in values], distance.alias("distance"), flag.alias("is_pad"))
 
 
+def _level(length: Column) -> Column:
+    """The least power of two, as its exponent, that is not below the length."""
+    n = F.greatest(length.cast("double"), F.lit(1.0))
+    k = F.ceil(F.log2(n)).cast("int")  # log2 may be off by one at large powers: one step either way settles it
+    k = F.when(F.pow(F.lit(2.0), k) < n, k + 1).otherwise(k)
+    return F.greatest(F.when(F.pow(F.lit(2.0), k - 1) >= n, k - 1).otherwise(k), F.lit(0)).cast("int")
+
+
+def _cells(intervals: DataFrame, start: str, end: str) -> DataFrame:
+    """intervals [start, end] with _level and _cell: on the level of its own length an interval touches two cells at most."""
+    rows = intervals.withColumn("_level", _level(F.col(end) - F.col(start) + 1))
+    cell = lambda c: F.floor(F.col(c) / F.pow(F.lit(2.0), "_level")).cast("long")
+    return rows.withColumn("_cell", F.explode(F.array_distinct(F.array(cell(start), F.greatest(cell(start), cell(end))))))
+
+
+def _probes(points: DataFrame, cells: DataFrame, point: str) -> DataFrame:
+    """points with a _level and _cell for each level that the intervals have; there are 64 levels at most."""
+    levels = sorted(r[0] for r in cells.select("_level").distinct().collect())
+    return points.withColumn("_level", F.explode(F.array(*[F.lit(k) for k in levels]) if levels else F.array().cast("array<int>"))).withColumn("_cell", F.floor(F.col(point) / F.pow(F.lit(2.0), "_level")).cast("long"))
+
+
+def containing(points: DataFrame, intervals: DataFrame, point: str, start: str, end: str, values: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
+    """Pairs of a point and an interval with start <= point < end (of one group, if by is given): an equi join on (level, cell), so there is
+    no range join, nothing is broadcast unless the optimizer measures that it may be, and an interval makes two rows
+    however long it is. Starts and ends are whole numbers below 2^53."""
+    cells = _cells(intervals.select(*by, *dict.fromkeys([start, end, *values])).withColumn("_last", F.col(end) - 1), start, "_last").where(F.col(start) < F.col(end))
+    keys = [F.col(f"p.{c}") == F.col(f"i.{c}") for c in (*by, "_level", "_cell")]
+    met = _probes(points, cells, point).alias("p").join(cells.alias("i"), keys).where((F.col(f"i.{start}") <= F.col(f"p.{point}")) & (F.col(f"p.{point}") < F.col(f"i.{end}")))
+    return met.select(*[F.col(f"p.{c}") for c in points.columns], *[F.col(f"i.{v}") for v in values])
+
+
 def first_interval(points: DataFrame, intervals: DataFrame, by: str, point: str, start: str, end: str, values: Sequence[str], order: str, width: float = 1024) -> DataFrame:
     """For each point the first interval (by ``order``) of its group with start <= point <= end; null if there is none.
 
-    Time is cut in stretches of ``width``. An interval is in each stretch that it touches, and a point is looked up among the
-    intervals of its own stretch: an equi join on (group, stretch), so no group's intervals come together in one row, and
-    there is no range join. Take a width near an interval's usual length."""
-    stretch = lambda c: F.floor(F.col(c) / F.lit(float(width)))
-    cut = intervals.select(by, F.struct(*dict.fromkeys([order, start, end, *values])).alias("_i"), F.explode(F.sequence(stretch(start), F.greatest(stretch(start), stretch(end)))).alias("_stretch"))
-    lists = cut.groupBy(by, "_stretch").agg(F.array_sort(F.collect_list("_i")).alias("_is"))
+    An interval is in the cells that it touches on the level of its own length, two at most, and a point is looked up in
+    its cell of each level: an equi join on (group, level, cell), so no group's intervals come together in one row, and
+    there is no range join. ``width`` is the width of the cells of level 0; shorter intervals share it."""
+    unit = lambda c: F.floor(F.col(c) / F.lit(float(width)))
+    cut = _cells(intervals.select(by, F.struct(*dict.fromkeys([order, start, end, *values])).alias("_i"), unit(start).alias("_s"), F.greatest(unit(start), unit(end)).alias("_e")), "_s", "_e")
+    lists = cut.groupBy(by, "_level", "_cell").agg(F.array_sort(F.collect_list("_i")).alias("_is"))
     hit = F.filter("_is", lambda i: (i[start] <= F.col(point)) & (F.col(point) <= i[end]))
-    rows = points.withColumn("_stretch", stretch(point)).join(lists, [by, "_stretch"], "left").withColumn("_h", F.try_element_at(hit, F.lit(1)))
-    return rows.select(*points.columns, *[F.col(f"_h.{v}").alias(v) for v in values])
+    probes = _probes(points.select(by, point).distinct().withColumn("_u", unit(point)), cut, "_u").join(lists, [by, "_level", "_cell"])
+    found = probes.withColumn("_h", F.try_element_at(hit, F.lit(1))).where("_h is not null").groupBy(by, point).agg(F.min("_h").alias("_h"))
+    right = found.select(F.col(by).alias("_by"), F.col(point).alias("_point"), "_h")
+    return points.join(right, (points[by] == right["_by"]) & (points[point] == right["_point"]), "left").select(*points.columns, *[F.col(f"_h.{v}").alias(v) for v in values])
 
 
 def prefer_left(left: DataFrame, right: DataFrame, on: str) -> DataFrame:

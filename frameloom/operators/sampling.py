@@ -27,6 +27,34 @@ def through_buffer(rows: DataFrame, order: str, size: int, seed: int) -> DataFra
     return rows.withColumn("shuffle_key", F.col(order) + late).orderBy("shuffle_key", order)
 
 
+def sharded_order(rows: DataFrame, index: str, shards: int) -> DataFrame:
+    """Adds shard and place: a dense index dealt to the shards in turn, and the row's place in its shard."""
+    return rows.withColumn("shard", F.pmod(F.col(index), F.lit(shards))).withColumn("place", F.floor(F.col(index) / shards).cast("long"))
+
+
+def buffer_shuffled(rows: DataFrame, index: str, shards: int, files: int, size: int, seed: int) -> DataFrame:
+    """The order in which a streaming reader gives a dataset's rows: shards, as many as asked or as there are ``files``, are read
+    side by side, and each row goes through its shard's buffer of ``size`` rows. A full buffer puts the new row in a slot drawn
+    by the seed and gives out the row that was there; at the end the rest comes in an order drawn by the seed.
+    Adds shard, place and given, the row's place in what its shard gives. No row comes more than size places early (given >=
+    place - size + 1); how late one comes is drawn.
+
+    Which row a draw gives out is the last one that was put in the same slot, so a row goes out at the next draw of its
+    slot: a window by (shard, slot), in which no task holds a shard and no buffer is kept."""
+    placed = sharded_order(rows, index, min(shards, files))
+    drawn = spread(F.col("place") * 31 + F.col("shard"), seed)
+    slotted = placed.withColumn("_draw", drawn).withColumn("_slot", F.when(F.col("place") < size, F.col("place")).otherwise(F.col("_draw") % size))
+    out_at = slotted.withColumn("_out", F.lead("place").over(Window.partitionBy("shard", "_slot").orderBy("place")))
+    #: What is left at the end, at most ``size`` rows a shard, follows all that went out before.
+    counts = placed.groupBy("shard").agg(F.count(F.lit(1)).alias("_n"))
+    rest = Window.partitionBy("shard", F.col("_out").isNull()).orderBy("_draw", "place")
+    left = out_at.where("_out is null").withColumn("_r", F.row_number().over(rest) - 1).join(counts, "shard")
+    gone = out_at.where("_out is not null").withColumn("given", F.col("_out") - size)
+    last = left.withColumn("given", (F.greatest(F.col("_n") - size, F.lit(0)) + F.col("_r")).cast("long"))
+    columns = [*rows.columns, "shard", "place", "given"]
+    return gone.select(*columns).unionByName(last.select(*columns))
+
+
 def kept_frames(frames: DataFrame, drop_first: int = 0, drop_last: int = 0, episodes: Sequence[int] | None = None) -> DataFrame:
     """Frames in [drop_first, length - drop_last) of the chosen episodes; too short episodes give none."""
     rows = frames if episodes is None else frames.where(F.col(EPISODE).isin(list(episodes)))

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from .windows import EPISODE, FRAME, in_order
 
@@ -191,6 +195,97 @@ def histogram_quantiles(df: DataFrame, value: str, by: Sequence[str] = (), quant
     return cum.groupBy(*key).agg(*out).drop("_all")
 
 
+#: The finest bins of growing histograms are 2^-FINEST wide.
+FINEST = 40
+
+
+def _width(low: np.ndarray, high: np.ndarray, bins: int) -> np.ndarray:
+    """The least exponent k at which low and high fall in bins of width 2^k fewer than ``bins`` apart."""
+    k = np.full(low.shape, -FINEST, np.int64)
+    with np.errstate(divide="ignore"):
+        k = np.maximum(k, np.floor(np.log2(np.maximum(high - low, 2.0**-FINEST) / bins)).astype(np.int64) - 1)
+    while True:
+        wide = np.floor(np.ldexp(high, -k)) - np.floor(np.ldexp(low, -k)) >= bins
+        if not wide.any():
+            return k
+        k = k + wide
+
+
+def growing_histogram(df: DataFrame, value: str, by: Sequence[str] = (), bins: int = 1024) -> DataFrame:
+    """A histogram of each group whose range is not known before: by, k, bin, n, where a bin is [bin, bin + 1) * 2^k and k is the least
+    for which the group needs no more than ``bins`` of them (-FINEST at least).
+
+    One scan: a task keeps ``bins`` counts a group and doubles the width when a value lies beyond them, two bins becoming
+    one. Halving bin numbers twice is halving them at once, so merging is associative and the result the same however
+    the rows were dealt. Nulls, NaN and infinities are left out. A task hands its counts on after ``HELD_GROUPS`` groups."""
+    names = [f"_g{i}" for i in range(len(by))]
+    rows = df.select(*[F.col(f"`{c}`").alias(n) for c, n in zip(by, names)], F.col(value).cast("double").alias("_v")).where("_v is not null and not isnan(_v) and abs(_v) < double('inf')")
+    schema = T.StructType([*[rows.schema[n] for n in names], T.StructField("_k", T.LongType()), T.StructField("_b", T.LongType()), T.StructField("_n", T.LongType())])
+
+    kinds = to_arrow_schema(schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[tuple, tuple[int, np.ndarray, np.ndarray]] = {}
+        for batch in batches:
+            all_ = batch.column(len(names)).to_numpy(zero_copy_only=False)
+            #: Rows by their group: the groups' columns are numbered, nulls too, and the numbers joined.
+            number = np.zeros(len(all_), np.int64)
+            for i in range(len(names)):
+                codes = batch.column(i).dictionary_encode("encode")
+                number = np.unique(number * len(codes.dictionary) + codes.indices.to_numpy(), return_inverse=True)[1]
+            order = np.argsort(number, kind="stable")
+            heads = np.flatnonzero(np.diff(number[order], prepend=-1))
+            for lo, hi in zip(heads, [*heads[1:], len(order)]):
+                v = all_[order[lo:hi]]
+                key = tuple(batch.column(i)[int(order[lo])].as_py() for i in range(len(names)))
+                k = int(_width(v.min(keepdims=True), v.max(keepdims=True), bins)[0])
+                at, n = np.unique(np.floor(np.ldexp(v, -k)).astype(np.int64), return_counts=True)
+                held[key] = _merged_bins(held[key], (k, at, n), bins) if key in held else (k, at, n)
+            if len(held) > HELD_GROUPS:
+                yield from _bin_rows(held, kinds)
+                held = {}
+        yield from _bin_rows(held, kinds)
+
+    parts = rows.mapInArrow(run, schema)
+    #: Bins of the widest k so far may still be too many together: the group's range tells the final one.
+    ends = parts.groupBy(*names).agg(F.max("_k").alias("_w"), F.min(F.col("_b") * F.pow(F.lit(2.0), "_k")).alias("_lo"), F.max((F.col("_b") + 0.5) * F.pow(F.lit(2.0), "_k")).alias("_hi"))
+    apart = lambda j: F.floor(F.col("_hi") / F.pow(F.lit(2.0), F.col("_w") + j)) - F.floor(F.col("_lo") / F.pow(F.lit(2.0), F.col("_w") + j))
+    final = ends.withColumn("_f", F.col("_w") + F.coalesce(*[F.when(apart(j) < bins, F.lit(j)) for j in range(64)])).select(*names, "_f")
+    both = _beside(parts, final, names)
+    at = F.floor(F.col("_b") / F.pow(F.lit(2.0), F.col("_f") - F.col("_k")))
+    out = both.groupBy(*names, F.col("_f").alias("k"), at.cast("long").alias("bin")).agg(F.sum("_n").alias("n"))
+    return out.select(*[F.col(n).alias(c) for c, n in zip(by, names)], "k", "bin", "n")
+
+
+HELD_GROUPS = 10_000
+
+
+def _merged_bins(a: tuple, b: tuple, bins: int) -> tuple:
+    """Two histograms (k, bins, counts) as one, as wide as their range asks."""
+    k = max(a[0], b[0])
+    while True:
+        at = np.concatenate([a[1] >> min(k - a[0], 63), b[1] >> min(k - b[0], 63)])
+        if at.max() - at.min() < bins:
+            break
+        k += 1
+    uniq, back = np.unique(at, return_inverse=True)
+    return k, uniq, np.bincount(back, np.concatenate([a[2], b[2]])).astype(np.int64)
+
+
+def _bin_rows(held: dict, kinds: pa.Schema) -> Iterator[pa.RecordBatch]:
+    for key, (k, at, n) in held.items():
+        yield pa.RecordBatch.from_arrays([*[pa.array([x] * len(at), f.type) for x, f in zip(key, kinds)], pa.array([k] * len(at), pa.int64()), pa.array(at, pa.int64()), pa.array(n, pa.int64())], schema=kinds)
+
+
+def growing_quantiles(histogram: DataFrame, by: Sequence[str] = (), quantiles: Sequence[float] = QUANTILES) -> DataFrame:
+    """Quantiles from a growing histogram, linear inside the bin: off by a bin's width at most."""
+    upto = Window.partitionBy(*by).orderBy("bin").rowsBetween(Window.unboundedPreceding, 0)
+    cum = histogram.withColumn("_cum", F.sum("n").over(upto)).withColumn("_all", F.sum("n").over(Window.partitionBy(*by)))
+    width = F.pow(F.lit(2.0), "k")
+    inside = lambda q: width * (F.col("bin") + F.greatest(F.lit(q) * F.col("_all") - (F.col("_cum") - F.col("n")), F.lit(0.0)) / F.col("n"))
+    return cum.groupBy(*by).agg(*[F.min_by(inside(q), F.when(F.col("_cum") >= F.lit(q) * F.col("_all"), F.col("bin"))).alias(quantile_name(q)) for q in quantiles], F.sum("n").alias("count"))
+
+
 def episode_bounds(frames: DataFrame, index: str = "index") -> DataFrame:
     return frames.groupBy(EPISODE).agg(F.min(index).alias("from"), (F.max(index) + 1).alias("to"), F.count(F.lit(1)).alias("length"))
 

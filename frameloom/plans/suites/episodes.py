@@ -9,6 +9,7 @@ from ...functions import bridges as B
 from ...functions import features as X
 from ...operators import annotations as N
 from ...operators import edits as E
+from ...operators import joins as J
 from ...operators import replay as Q
 from ...operators import reports as R
 from ...operators import rollouts as O
@@ -416,6 +417,47 @@ _add(
 )
 _add("rewind_choice", lambda spark, sf: event_frames(spark, sf).select("event_id", P.rewind_steps(F.col("event_id"), 4, 3).alias("steps")), "SELECT event_id, ((event_id + 3) * 2654435761) % 1000003 % 4 + 1 AS steps FROM events")
 _add("shuffle_buffer", lambda spark, sf: P.through_buffer(table(spark, sf, "events").select("event_id"), "event_id", 50, 7), "SELECT event_id, event_id + ((event_id + 7) * 2654435761) % 100 AS shuffle_key FROM events")
+#: A fold with the buffer as a list: the draw's slot gives its row out and takes the new one.
+_add(
+    "buffer_shuffle",
+    lambda spark, sf: P.buffer_shuffled(E.renumbered(event_frames(spark, sf)).select("index", "event_id"), "index", 16, 7, 20, 5).withColumn("early", F.col("place") - F.col("given") < 20),
+    f"""WITH RECURSIVE {EVENT_FRAMES}, r AS (SELECT row_number() OVER (ORDER BY episode_index, frame_index) - 1 AS index, event_id FROM f),
+    s AS (SELECT index, event_id, index % 7 AS shard, index // 7 AS place, ((index // 7 * 31 + index % 7 + 5) * 2654435761) % 1000003 AS draw FROM r),
+    fold AS (
+      SELECT shard, 0::BIGINT AS step, []::BIGINT[] AS held, NULL::BIGINT AS gone FROM (SELECT DISTINCT shard FROM s)
+      UNION ALL
+      SELECT fold.shard, step + 1, CASE WHEN step < 20 THEN list_append(held, index) ELSE list_concat(list_append(held[:(draw % 20)], index), held[(draw % 20) + 2:]) END, CASE WHEN step < 20 THEN NULL ELSE held[(draw % 20) + 1] END
+      FROM fold JOIN s ON s.shard = fold.shard AND s.place = fold.step),
+    rest AS (SELECT shard, step, unnest(held) AS index FROM (SELECT shard, max(step) AS step, arg_max(held, step) AS held FROM fold GROUP BY shard)),
+    given AS (
+      SELECT gone AS index, step - 21 AS given FROM fold WHERE gone IS NOT NULL
+      UNION ALL SELECT rest.index, greatest(step - 20, 0) + row_number() OVER (PARTITION BY rest.shard ORDER BY draw, place) - 1 FROM rest JOIN s USING (index))
+    SELECT index, event_id, shard, place, given, true AS early FROM s JOIN given USING (index)""",
+)
+#: The least k is searched over all that may be, from the range alone.
+_add(
+    "growing_histogram",
+    lambda spark, sf: S.growing_histogram(event_frames(spark, sf), "value", ["task"], 64),
+    """WITH e AS (SELECT event_type AS task, min(value) AS lo, max(value) AS hi FROM events GROUP BY 1), k AS (SELECT task, min(k) AS k FROM e, range(-40, 40) r(k) WHERE floor(hi / pow(2.0, k)) - floor(lo / pow(2.0, k)) < 64 GROUP BY task)
+    SELECT task, k, floor(value / pow(2.0, k))::BIGINT AS bin, count(*) AS n FROM events JOIN k ON task = event_type GROUP BY ALL""",
+)
+
+
+def _quantile_gap(spark, sf):
+    """Whether each quantile of the growing histogram is within a bin of the exact one."""
+    f = event_frames(spark, sf)
+    h = S.growing_histogram(f, "value", ["task"], 64)
+    exact = S.feature_stats(f, "value", ["task"]).select("task", *[F.col(S.quantile_name(q)).alias(f"e_{S.quantile_name(q)}") for q in S.QUANTILES])
+    both = S.growing_quantiles(h, ["task"]).join(exact, "task").join(h.groupBy("task").agg(F.max(F.pow(F.lit(2.0), "k")).alias("w")), "task")
+    return both.select("task", "count", *[(F.abs(F.col(S.quantile_name(q)) - F.col(f"e_{S.quantile_name(q)}")) <= F.col("w")).alias(S.quantile_name(q)) for q in S.QUANTILES])
+
+
+_add("growing_quantiles", _quantile_gap, "SELECT event_type AS task, count(*) AS count, true AS q01, true AS q10, true AS q50, true AS q90, true AS q99 FROM events GROUP BY 1")
+_add(
+    "episode_of_sparse_index",
+    lambda spark, sf: (lambda f: J.containing(f.select((F.col("index") * 100 + F.col("index") % 7).alias("at")), f.groupBy(EPISODE).agg((F.min("index") * 100).alias("from"), (F.max("index") * 100 + 50).alias("to")), "at", "from", "to", [EPISODE, "from"]))(E.renumbered(event_frames(spark, sf))),
+    f"WITH {_NUMBERED} SELECT index * 100 + index % 7 AS at, episode_index, min(index) OVER (PARTITION BY episode_index) * 100 AS \"from\" FROM n",
+)
 _add(
     "large_group_quantiles",
     lambda spark, sf: S.feature_stats(event_frames(spark, sf), "value", ["task"], bounded=True).select("task", "count", *[F.round(F.col(S.quantile_name(q)), 9).alias(S.quantile_name(q)) for q in S.QUANTILES]),
