@@ -20,11 +20,11 @@ def prefix_pairs(sets: DataFrame, percent: int, alike=None) -> DataFrame:
     component from the rest fill the prefixes, and they make no pair. ``alike(x, y)``, if given, is a column over a pair's
     columns with _x and _y behind them, tested where the pair meets."""
     more = [c for c in sets.columns if c not in ("id", "l", "n", "all")]
-    rows = sets.select("id", "l", "n", F.explode("all").alias("s"))
+    rows = sets.select("id", "l", F.explode("all").alias("s"))
     shared = lambda df: df.groupBy("s").agg(F.count(F.lit(1)).alias("held"), F.min("l").alias("l0"), F.max("l").alias("l1")).where("l0 <> l1").select("s", "held")
     of_set = Window.partitionBy("id")
-    ranked = rows.join(shared(rows), "s").withColumn("place", F.row_number().over(of_set.orderBy("held", "s")) + F.col("n") - F.count(F.lit(1)).over(of_set))
-    first = checkpointed(ranked.where(f"place <= n - (n * {percent} + 99) div 100 + 1").select("id", "l", "n", "s", "place"))
+    placed = rows.select("id", "s").join(shared(rows), "s").join(sets.select("id", "l", "n"), "id").withColumn("place", F.row_number().over(of_set.orderBy("held", "s")) + F.col("n") - F.count(F.lit(1)).over(of_set))
+    first = checkpointed(placed.where(f"place <= n - (n * {percent} + 99) div 100 + 1").select("id", "l", "n", "s", "place"))
     #: One side of a long list is cut in blocks, the other is in all of them; lists are counted by aggregation.
     lists = shared(first).select("s", F.ceil(F.col("held") / BLOCK).cast("int").alias("blocks"))
     dealt = first.join(lists, "s")

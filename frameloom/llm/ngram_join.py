@@ -1,7 +1,7 @@
 """Similarity join on sets of word n-grams, size-aware: light sets by subsets of fixed size, heavy ones by inverted lists.
 
 1. A pass over whole texts gives the set of distinct n-grams (64-bit hashes), its size, a 128-bit hash of the set, its ``BOTTOM``
-   least values, and its values in the slice of the hash range below ``SLICE`` percent (a light set's all). Documents with equal sets
+   least values, and of a set that may be light all of them. Documents with equal sets
    form a class; copies cost nothing from here on.
 2. Two sets of sizes n and m link if they share c(n, m) values or more. A light set, of fewer values than the boundary, enumerates
    its subsets of each size c that it may need with a partner. Those that hold one subset are linked with the smallest of them, and
@@ -9,10 +9,11 @@
    all enumerations and of the lists of the rest are fewest, by the histogram of small sizes.
 3. Heavy sets, and light ones within reach of the boundary, go through inverted lists. First those that share a least value and
    nearly the size are compared with one pivot each, on full sets; links found make components.
-4. Lists are then read for values that sets of two components hold. In the slice, a set whose own component alone holds as many
+4. Lists are then read for values that sets of two components hold. In a slice of the hash range (below ``SLICE`` percent), a set whose own component alone holds as many
    values as its prefix has (n - ceil(percent * n / 100) + 1) can have no link outside: any partner must share a value of
    any such prefix. The sets left, with all their values, meet in lists of their prefixes (``_prefix.prefix_pairs``), rare values
-   first and no component with itself. Pairs are confirmed on full sets.
+   first and no component with itself. Where two meet, the parity maps of their sets bound how many values they differ
+   in; pairs that differ in too many go no further. The others are confirmed on full sets.
 5. Connected components of all links.
 
 So a crowd of near copies costs a pair for each member in 3 and pairs between components in 4, and no link is lost.
@@ -76,29 +77,54 @@ SLICE_END = (1 << 64) * SLICE // 100
 
 
 def _digest(n: int):
-
     def kernel(column: pa.Array) -> list[pa.Array]:
         raw, off = text_buffers(column)
-        sizes, prints, few, part = [], [], [], []
+        sizes, prints, part_n, few, all_ = [], [], [], [], []
         for i, j in slices(off):
             values, first = shingle_sets(raw[off[i] : off[j]], off[i : j + 1] - off[i], n)
-            other = mix64(values + np.uint64(0x632BE59BD9B4E019))
+            marks = set_hashes(values, first)
             for k in range(j - i):
                 own = values[first[k] : first[k + 1]]  # they rise
                 sizes.append(len(own))
-                if not len(own):
-                    prints.append(None), few.append(None), part.append(None)
-                    continue
-                with np.errstate(over="ignore"):
-                    prints.append(int(own.sum()).to_bytes(8, "big") + int(other[first[k] : first[k + 1]].sum()).to_bytes(8, "big"))
-                few.append(own[:BOTTOM].view(np.int64))
-                part.append((own if len(own) <= LIGHT else own[: np.searchsorted(own, np.uint64(SLICE_END))]).view(np.int64))
-        return [pa.array(sizes, pa.int64()), pa.array(prints, pa.binary()), pa.array(few, pa.list_(pa.int64())), pa.array(part, pa.list_(pa.int64()))]
+                prints.append(marks[k])
+                part_n.append(int(np.searchsorted(own, np.uint64(SLICE_END))))
+                few.append(own[:BOTTOM].view(np.int64) if len(own) else None)
+                all_.append(own.view(np.int64) if 0 < len(own) <= LIGHT else None)
+        return [pa.array(sizes, pa.int64()), pa.array(prints, pa.binary()), pa.array(part_n, pa.int64()), pa.array(few, pa.list_(pa.int64())), pa.array(all_, pa.list_(pa.int64()))]
+
+    return kernel
+
+
+_DIGEST = [T.StructField("n", T.LongType()), T.StructField("cls", T.BinaryType()), T.StructField("part_n", T.LongType()), T.StructField("few", T.ArrayType(T.LongType())), T.StructField("all", T.ArrayType(T.LongType()))]
+
+
+def set_hashes(values: np.ndarray, first: np.ndarray) -> list[bytes | None]:
+    """128 bits of each set, None for an empty one."""
+    other = mix64(values + np.uint64(0x632BE59BD9B4E019))
+    out = []
+    with np.errstate(over="ignore"):
+        for lo, hi in zip(first[:-1].tolist(), first[1:].tolist()):
+            out.append(int(values[lo:hi].sum()).to_bytes(8, "big") + int(other[lo:hi].sum()).to_bytes(8, "big") if hi > lo else None)
+    return out
+
+
+def _slices(n: int):
+    """The set's hash and its values in the slice."""
+
+    def kernel(column: pa.Array) -> list[pa.Array]:
+        raw, off = text_buffers(column)
+        prints, part = [], []
+        for i, j in slices(off):
+            values, first = shingle_sets(raw[off[i] : off[j]], off[i : j + 1] - off[i], n)
+            prints += set_hashes(values, first)
+            for lo, hi in zip(first[:-1].tolist(), first[1:].tolist()):
+                part.append(values[lo : lo + int(np.searchsorted(values[lo:hi], np.uint64(SLICE_END)))].view(np.int64))
+        return [pa.array(prints, pa.binary()), pa.array(part, pa.list_(pa.int64()))]
 
     return kernel
 
 
-_DIGEST = [T.StructField("n", T.LongType()), T.StructField("cls", T.BinaryType()), T.StructField("few", T.ArrayType(T.LongType())), T.StructField("part", T.ArrayType(T.LongType()))]
+_SLICES = [T.StructField("cls", T.BinaryType()), T.StructField("part", T.ArrayType(T.LongType()))]
 
 
 def _subsets(percent: int):
@@ -120,62 +146,91 @@ def _subsets(percent: int):
 
 
 def light_links(light: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """light: cls, n, part (all values). Returns a, b: links that join every two light sets that link, if only by others."""
-    held = light.select("cls", "part").mapInArrow(_subsets(percent), "cls binary, k long, subset long").join(light.select("cls", "n"), "cls")
+    """light: cls, n, all (their values). Returns a, b: links that join every two light sets that link, if only by others."""
+    held = light.select("cls", "all").mapInArrow(_subsets(percent), "cls binary, k long, subset long").join(light.select("cls", "n"), "cls")
     least = held.groupBy("k", "subset").agg(F.min(F.struct("n", "cls")).alias("least"), F.count(F.lit(1)).alias("times")).where("times > 1")
     need = lambda x, y: F.ceil(F.lit(percent) * (x + y) / F.lit(100 + percent))
     met = held.join(least, ["k", "subset"]).where((F.col("cls") != F.col("least.cls")) & (need(F.col("n"), F.col("least.n")) <= F.col("k"))).select("cls", F.col("least.cls").alias("other")).distinct()
-    both = met.join(light.select("cls", F.col("part").alias("p")), "cls").join(light.select(F.col("cls").alias("other"), F.col("part").alias("q")), "other")
+    both = met.join(light.select("cls", F.col("all").alias("p")), "cls").join(light.select(F.col("cls").alias("other"), F.col("all").alias("q")), "other")
     common = F.size(F.array_intersect("p", "q"))
     return both.where(100 * common >= percent * (F.size("p") + F.size("q") - common)).select(F.col("cls").alias("a"), F.col("other").alias("b"))
 
 
 def pivots(heavy: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """heavy: cls, n, few. Returns a, b: each set with the one, of nearly its size, that most of its least values lead to."""
+    """heavy: cls, n, few. Returns a, b: each set with the one, of nearly its size, that most of its least values lead to, if half of them do."""
     step = F.floor(F.log(F.col("n").cast("double")) / F.lit(-np.log(percent / 100.0) if percent < 100 else 1.0))
-    rows = heavy.select("cls", step.alias("step"), F.explode("few").alias("s"))
+    rows = heavy.select("cls", "n", step.alias("step"), F.explode("few").alias("s"))
     least = rows.groupBy("s", "step").agg(F.min("cls").alias("pivot"), F.count(F.lit(1)).alias("times")).where("times > 1")
-    votes = rows.join(least, ["s", "step"]).where("cls <> pivot").groupBy("cls", "pivot").agg(F.count(F.lit(1)).alias("votes"))
+    votes = rows.join(least, ["s", "step"]).where("cls <> pivot").groupBy("cls", "pivot").agg(F.count(F.lit(1)).alias("votes"), F.first("n").alias("n")).where(f"2 * votes >= least(n, {BOTTOM})")
     return votes.groupBy("cls").agg(F.min(F.struct((-F.col("votes")).alias("minus"), "pivot")).alias("best")).select(F.col("cls").alias("a"), F.col("best.pivot").alias("b"))
 
 
-def open_sets(digest: DataFrame, classes: DataFrame, label: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """cls of the classes that may have a link outside their component, by the slice. digest: cls, part of each row; classes:
-    cls, n, copies, part_n; label: node, label."""
-    named = _by_key(label, "node")
-    own = digest.join(named.select(F.col("node").alias("cls"), "label"), "cls", "left").select(F.xxhash64("cls").alias("id"), F.xxhash64(F.coalesce("label", "cls")).alias("l"), "part")
-    rows = own.select("id", "l", F.explode("part").alias("s")).where((F.col("s") >= 0) & (F.col("s") < SLICE_END))
-    several = rows.groupBy("s").agg(F.min("l").alias("l0"), F.max("l").alias("l1")).where("l0 <> l1").select("s")
-    outside = rows.select("id", "s").join(several, "s").groupBy("id").agg(F.count(F.lit(1)).alias("outside"))
-    #: A set's copies have been counted with it; sets whose ids are equal by chance stay open, and small ones, whose slice tells little.
-    ids = classes.groupBy(F.xxhash64("cls").alias("id")).agg(F.count(F.lit(1)).alias("k"), F.min("n").alias("n"), F.max(F.expr(f"copies * (part_n - (n - (n * {percent} + 99) div 100 + 1))")).alias("most"))
-    open_ = ids.join(outside, "id", "left").where(f"k > 1 or n <= {LIGHT} or coalesce(outside, 0) > most").select("id")
-    return classes.select("cls", F.xxhash64("cls").alias("id")).join(open_, "id", "left_semi").select("cls")
+def open_sets(own: DataFrame, classes: DataFrame, label: DataFrame, percent: int = PERCENT, n: int = SHINGLE) -> DataFrame:
+    """The classes that may have a link outside their component, by the slice. own: text; classes: cls, n, copies, part_n;
+    label: node, label."""
+    named = _by_key(label, "node").select(F.col("node").alias("cls"), "label")
+    part = map_text(own.select("text"), _slices(n), _SLICES, drop=["text"]).where("cls is not null").join(named, "cls", "left")
+    #: A class without a link so far is its own component: both have one hash.
+    rows = part.select(F.xxhash64(F.coalesce("label", "cls")).alias("l"), F.when(F.col("label").isNotNull(), F.xxhash64("cls")).alias("id"), F.explode("part").alias("s"))
+    holders = rows.groupBy("s").agg(F.min("l").alias("l0"), F.max("l").alias("l1"), F.max(F.col("id").isNotNull()).alias("linked"))
+    #: One reading tells both how many values each component holds alone and which values of linked classes others hold too.
+    both = holders.select(F.when(F.expr("l0 = l1"), F.col("l0")).alias("l"), F.when(F.expr("l0 <> l1 and linked"), F.col("s")).alias("s")).where("l is not null or s is not null")
+    told = checkpointed(both.groupBy("l", "s").agg(F.count(F.lit(1)).alias("alone")))
+    alone = told.where("l is not null").select("l", "alone")
+    #: What a class in a component shares with others must be told from what it shares in it.
+    outside = rows.where("id is not null").select("id", "s").join(told.where("s is not null").select("s"), "s").groupBy("id").agg(F.count(F.lit(1)).alias("outside"))
+    prefix = F.expr(f"n - (n * {percent} + 99) div 100 + 1")
+    each = classes.join(named, "cls", "left").select("cls", "n", "copies", "part_n", prefix.alias("prefix"), F.coalesce("label", "cls").alias("of"), F.col("label").isNotNull().alias("linked")).withColumns({"l": F.xxhash64("of"), "id": F.xxhash64("cls")})
+    #: Components whose hashes are equal by chance stay open, and so do classes; small sets too, whose slice tells little.
+    twins = each.groupBy("l").agg(F.min("of").alias("of0"), F.max("of").alias("of1")).where("of0 <> of1").select("l", F.lit(True).alias("twin"))
+    same = each.where("linked").groupBy("id").agg(F.count(F.lit(1)).alias("same")).where("same > 1")
+    rated = each.join(alone, "l", "left").join(outside, "id", "left").join(twins, "l", "left").join(same, "id", "left")
+    shut = F.when(F.col("linked"), F.coalesce("outside", F.lit(0)) <= F.col("copies") * (F.col("part_n") - F.col("prefix"))).otherwise(F.coalesce("alone", F.lit(0)) >= F.col("prefix"))
+    return rated.where(~shut | (F.col("n") <= LIGHT) | F.col("twin").isNotNull() | F.col("same").isNotNull()).select("cls")
 
 
 def _by_key(df: DataFrame, key: str) -> DataFrame:
     return F.broadcast(df) if df.count() <= LOOKUP else df
 
 
+#: Bits of a set's parity map.
+BITS = 512
+
+
+def parity_map(values: np.ndarray) -> np.ndarray:
+    """For each of BITS classes of the values' hashes, whether an odd number of the set's values is in it; as longs."""
+    odd = np.bincount(((values >> np.uint64(13)) & np.uint64(BITS - 1)).astype(np.int64), minlength=BITS) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view("<i8")
+
+
+def _near_enough(percent: int) -> Column:
+    """Two sets' parity maps differ in no more bits than the sets do in values; so pairs that can't link are told, and none that can."""
+    differ = F.lit(0)
+    for k in range(BITS // 64):
+        differ = differ + F.bit_count(F.col("map_x")[k].bitwiseXOR(F.col("map_y")[k]))
+    return differ <= F.expr(f"n_x + n_y - 2 * (((n_x + n_y) * {percent} + {99 + percent}) div {100 + percent})")
+
+
 def _all_values(n: int):
     def kernel(column: pa.Array) -> list[pa.Array]:
         raw, off = text_buffers(column)
         parts = [shingle_sets(raw[off[i] : off[j]], off[i : j + 1] - off[i], n) for i, j in slices(off)]
         first = np.cumsum(np.concatenate([[0], *[np.diff(f) for _, f in parts]]))
         values = np.concatenate([v for v, _ in parts]) if parts else np.zeros(0, np.uint64)
-        return [pa.LargeListArray.from_arrays(pa.array(first, pa.int64()), pa.array(values.view(np.int64))).cast(pa.list_(pa.int64()))]
+        maps = [parity_map(values[lo:hi]) for lo, hi in zip(first[:-1].tolist(), first[1:].tolist())]
+        return [pa.LargeListArray.from_arrays(pa.array(first, pa.int64()), pa.array(values.view(np.int64))).cast(pa.list_(pa.int64())), pa.array(maps, pa.list_(pa.int64()))]
 
     return kernel
 
 
 def links(own: DataFrame, digest: DataFrame, percent: int = PERCENT, n: int = SHINGLE) -> DataFrame:
-    """node, label: the component of each class that has a link. own: doc_id, text, text_hash; digest: doc_id, text_hash, n, cls, few, part."""
+    """node, label: the component of each class that has a link. own: doc_id, text, text_hash; digest: doc_id, text_hash, n, cls, part_n, few, all."""
     full = digest.where("cls is not null")
-    classes = checkpointed(full.groupBy("cls").agg(F.first("n").alias("n"), F.first(F.size("part")).alias("part_n"), F.count(F.lit(1)).alias("copies"), F.min(F.struct("doc_id", "text_hash")).alias("of")))
+    classes = checkpointed(full.groupBy("cls").agg(F.first("n").alias("n"), F.first("part_n").alias("part_n"), F.count(F.lit(1)).alias("copies"), F.min(F.struct("doc_id", "text_hash")).alias("of")))
     counts = classes.where(F.col("n") <= LIGHT).groupBy("n").agg(F.count(F.lit(1)).alias("k")).collect()
     rest = classes.where(F.col("n") > LIGHT).agg(F.sum("n")).first()[0] or 0
     x = boundary({r["n"]: r["k"] for r in counts}, rest, percent)
-    light = checkpointed(full.where(F.col("n") < x).groupBy("cls").agg(F.first("n").alias("n"), F.first("part").alias("part")))
+    light = checkpointed(full.where(F.col("n") < x).groupBy("cls").agg(F.first("n").alias("n"), F.first("all").alias("all")))
     heavy = F.col("n") >= -(-percent * x // 100)
 
     def texts(keys: DataFrame) -> DataFrame:
@@ -185,15 +240,15 @@ def links(own: DataFrame, digest: DataFrame, percent: int = PERCENT, n: int = SH
 
     first = checkpointed(pivots(full.where(heavy).groupBy("cls").agg(F.first("n").alias("n"), F.first("few").alias("few")), percent))
     bodies = texts(first.select(F.col("a").alias("cls")).union(first.select(F.col("b").alias("cls"))))
-    sure = light_links(light, percent).union(confirmed(first, bodies, percent, n))
-    label = components(sure)
-    open_ = checkpointed(open_sets(full.where(heavy).select("cls", "part"), classes.where(heavy), label, percent))
+    label = components(light_links(light, percent).union(confirmed(first, bodies, percent, n)))
+    open_ = checkpointed(open_sets(own, classes.where(heavy), label, percent, n))
     if open_.isEmpty():
         return label
     bodies = texts(open_)
-    named = bodies.join(_by_key(label, "node").select(F.col("node").alias("cls"), "label"), "cls", "left")
-    sets = map_text(named.select(F.col("cls").alias("id"), F.xxhash64(F.coalesce("label", "cls")).alias("l"), "text"), _all_values(n), [T.StructField("all", T.ArrayType(T.LongType()))], drop=["text"])
-    met = prefix_pairs(checkpointed(sets.withColumn("n", F.size("all").cast("long"))), percent).select(F.col("id_x").alias("a"), F.col("id_y").alias("b"))
+    ids = checkpointed(bodies.select("cls").join(_by_key(label, "node").select(F.col("node").alias("cls"), "label"), "cls", "left").select("cls", F.xxhash64(F.coalesce("label", "cls")).alias("l"), F.monotonically_increasing_id().alias("id")))
+    #: The sets are built anew wherever they are read: their values take more room than the texts.
+    sets = map_text(bodies.join(_by_key(ids, "cls"), "cls").select("id", "l", "text"), _all_values(n), [T.StructField("all", T.ArrayType(T.LongType())), T.StructField("map", T.ArrayType(T.LongType()))], drop=["text"]).withColumn("n", F.size("all").cast("long"))
+    met = prefix_pairs(sets, percent, lambda: _near_enough(percent)).join(ids.select(F.col("id").alias("id_x"), F.col("cls").alias("a")), "id_x").join(ids.select(F.col("id").alias("id_y"), F.col("cls").alias("b")), "id_y").select("a", "b")
     more = checkpointed(confirmed(met, bodies, percent, n))
     if more.isEmpty():
         return label

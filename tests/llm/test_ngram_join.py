@@ -4,6 +4,7 @@ import itertools
 import random
 import re
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -93,6 +94,15 @@ def test_every_link_without_the_first_round(docs, rows, monkeypatch):
     assert sorted(map(tuple, ngram_join.similar(docs).collect()), key=str) == _truth(rows, 85)
 
 
+def test_parity_maps_bound_the_difference():
+    rng = random.Random(3)
+    values = [rng.getrandbits(64) for _ in range(400)]
+    for _ in range(200):
+        x, y = (set(rng.sample(values, rng.randint(1, 400))) for _ in range(2))
+        maps = [ngram_join.parity_map(np.array(sorted(s), np.uint64)).view(np.uint64).tolist() for s in (x, y)]
+        assert sum((a ^ b).bit_count() for a, b in zip(*maps)) <= len(x ^ y)
+
+
 def test_subset_sizes():
     for n in range(1, 21):
         for m in range(1, 30):
