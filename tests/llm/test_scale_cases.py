@@ -167,6 +167,22 @@ def _pii(spark, texts, **options):
     return [r["text"] for r in sorted(pii_surrogates.replace(df, **options).collect(), key=lambda r: r["doc_id"])]
 
 
+def test_pii_account_numbers_keep_valid_check_digits(spark):
+    right = ["DE89370400440532013000", "GB82WEST12345698765432", "FR1420041010050500013M02606"]
+    rows = [(i, f"pay {x} now") for i, x in enumerate([*right, "DE00370400440532013000"])]
+    got = [r["text"].split()[1] for r in pii_surrogates.replace(spark.createDataFrame(rows, "doc_id int, text string"), key="k").orderBy("doc_id").collect()]
+    remainder = lambda x: int("".join(str(int(c, 36)) for c in x[4:] + x[:4])) % 97
+    assert [remainder(x) for x in got[:3]] == [1, 1, 1] and got[3][:4] == "DE00"
+    assert all(a[:2] == b[:2] and len(a) == len(b) and a[4:] != b[4:] for a, b in zip(got, right))
+
+
+def test_pii_no_unchecked_draw(spark):
+    """A kind with more entities than forms ends in an error, not in two entities of one surrogate."""
+    entities = spark.createDataFrame([("secret", "a")], "kind string, normal string")
+    with pytest.raises(RuntimeError, match="no surrogate"):
+        pii_surrogates.surrogates(entities, "k", rounds=0)
+
+
 @pytest.mark.parametrize("key", ["k0", "k1", "k2"])
 def test_pii_scripts_stay(spark, key):
     names = ["Dr Παπαδόπουλος", "Dr Գրիգորյան", "Dr Łukaszewiczówna", "Dr Çelik", "Иван Петров", "Mr Xi", "Mr Yu", "Mr Li"]
