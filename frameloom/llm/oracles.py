@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .quality_ledger import INSULTS
 
 
 def _crc_entry(c: int) -> int:
@@ -41,6 +42,8 @@ covered AS (SELECT doc_id, count(DISTINCT p) AS n FROM (SELECT doc_id, unnest([i
 alpha AS (SELECT doc_id, count(*) AS n FROM (SELECT doc_id, unnest(w) AS x FROM d) WHERE regexp_matches(x, '[A-Za-z\\x{{C0}}-\\x{{10FFFF}}]') GROUP BY doc_id),
 abuse AS (
   SELECT doc_id, count(*) AS n FROM (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[a-z\\x{{80}}-\\x{{10FFFF}}]+')) AS x FROM d) WHERE x IN ('scum', 'idiot', 'worthless', 'pathetic') GROUP BY doc_id),
+insults AS (
+  SELECT doc_id, count(*) AS n FROM (SELECT doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[a-z\\x{{80}}-\\x{{10FFFF}}]+')) AS x FROM d) WHERE x IN {INSULTS} GROUP BY doc_id),
 m AS (
   SELECT doc_id, len(w) AS n_words, coalesce(list_sum(list_transform(w, lambda x: length(x))), 0)::BIGINT AS word_chars,
     length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')) AS n_symbols,
@@ -50,15 +53,15 @@ m AS (
     length(text) - length(regexp_replace(text, '[A-Z]', '', 'g')) AS n_upper,
     length(text) - length(regexp_replace(text, '[A-Za-z]', '', 'g')) AS n_letters,
     length(text) - length(replace(text, '!', '')) AS n_exclaims,
-    coalesce(alpha.n, 0) AS n_alpha_words, coalesce(abuse.n, 0) AS n_abuse
-  FROM d LEFT JOIN covered USING (doc_id) LEFT JOIN alpha USING (doc_id) LEFT JOIN abuse USING (doc_id)),
+    coalesce(alpha.n, 0) AS n_alpha_words, coalesce(abuse.n, 0) AS n_abuse, coalesce(insults.n, 0) AS n_insults
+  FROM d LEFT JOIN covered USING (doc_id) LEFT JOIN alpha USING (doc_id) LEFT JOIN abuse USING (doc_id) LEFT JOIN insults USING (doc_id)),
 f AS (
   SELECT *, CASE WHEN n_words < 50 THEN 1 ELSE 0 END + CASE WHEN 100 * n_repeat_words > 50 * n_words THEN 2 ELSE 0 END + CASE WHEN 100 * n_symbols > 10 * n_words THEN 4 ELSE 0 END
     + CASE WHEN 100 * n_dup_lines > 50 * n_lines THEN 8 ELSE 0 END + CASE WHEN n_letters > 0 AND 100 * n_upper > 50 * n_letters THEN 16 ELSE 0 END
     + CASE WHEN 100 * n_exclaims > 30 * n_words THEN 32 ELSE 0 END + CASE WHEN 100 * n_alpha_words < 50 * n_words THEN 64 ELSE 0 END
-    + CASE WHEN word_chars > 25 * n_words THEN 128 ELSE 0 END + CASE WHEN 100 * n_abuse > n_words THEN 256 ELSE 0 END AS failed FROM m)
+    + CASE WHEN word_chars > 25 * n_words THEN 128 ELSE 0 END + CASE WHEN 100 * n_abuse > n_words THEN 256 ELSE 0 END + CASE WHEN n_insults >= 2 THEN 512 ELSE 0 END AS failed FROM m)
 SELECT doc_id, n_words::BIGINT AS n_words, word_chars, n_symbols::BIGINT AS n_symbols, n_dup_lines::BIGINT AS n_dup_lines, n_repeat_words::BIGINT AS n_repeat_words,
-  failed & 3 <> 0 AS base_failed, failed & 255 = 0 AS kept, failed::BIGINT AS failed FROM f
+  failed & 3 <> 0 AS base_failed, failed & 767 = 0 AS kept, failed::BIGINT AS failed FROM f
 """
 
 OP6 = f"""
