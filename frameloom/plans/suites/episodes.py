@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ...functions import bridges as B
 from ...functions import features as X
+from ...functions import tokens as K
 from ...operators import annotations as N
 from ...operators import edits as E
 from ...operators import joins as J
@@ -458,6 +461,24 @@ _add(
     lambda spark, sf: (lambda f: J.containing(f.select((F.col("index") * 100 + F.col("index") % 7).alias("at")), f.groupBy(EPISODE).agg((F.min("index") * 100).alias("from"), (F.max("index") * 100 + 50).alias("to")), "at", "from", "to", [EPISODE, "from"]))(E.renumbered(event_frames(spark, sf))),
     f"WITH {_NUMBERED} SELECT index * 100 + index % 7 AS at, episode_index, min(index) OVER (PARTITION BY episode_index) * 100 AS \"from\" FROM n",
 )
+
+
+def _action_tokens(spark, sf):
+    """Chunks of eight frames, of two dimensions, as tokens, and how far the decoded chunk is off."""
+    f = W.delta_arrays(event_frames(spark, sf), "value", list(range(8))).withColumn("chunk", F.transform("value_window", lambda x: F.array(x / 100, 1 - x / 50)))
+    out = f.withColumn("tokens", K.action_tokens(F.col("chunk"), 8, 2)).withColumn("back", K.actions_of(F.col("tokens"), 8, 2))
+    gap = F.array_max(F.flatten(F.zip_with("chunk", "back", lambda a, b: F.zip_with(a, b, lambda x, y: F.abs(x - y)))))
+    return out.select("event_id", F.array_join("tokens", " ").alias("tokens"), (gap <= math.sqrt(8) / 20).alias("near"))
+
+
+_add(
+    "action_tokens",
+    _action_tokens,
+    f"""WITH {EVENT_FRAMES}, w AS (SELECT event_id, list(value) OVER (PARTITION BY episode_index ORDER BY frame_index ROWS BETWEEN CURRENT ROW AND 7 FOLLOWING) AS v FROM f),
+    p AS (SELECT event_id, t, k, v[least(t + 1, len(v))] AS x FROM w, range(8) r(t), range(8) q(k)),
+    c AS (SELECT event_id, k, sum(x / 100 * cos(pi() * (t + 0.5) * k / 8)) * sqrt(CASE WHEN k = 0 THEN 1 ELSE 2 END / 8) AS a, sum((1 - x / 50) * cos(pi() * (t + 0.5) * k / 8)) * sqrt(CASE WHEN k = 0 THEN 1 ELSE 2 END / 8) AS b FROM p GROUP BY 1, 2)
+    SELECT event_id, string_agg(round_even(a * 10, 0)::INT || ' ' || round_even(b * 10, 0)::INT, ' ' ORDER BY k) AS tokens, true AS near FROM c GROUP BY 1""",
+)
 _add(
     "large_group_quantiles",
     lambda spark, sf: S.feature_stats(event_frames(spark, sf), "value", ["task"], bounded=True).select("task", "count", *[F.round(F.col(S.quantile_name(q)), 9).alias(S.quantile_name(q)) for q in S.QUANTILES]),
