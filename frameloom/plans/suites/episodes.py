@@ -104,6 +104,19 @@ _add(
     lambda spark, sf: (lambda d: d.files().agg(F.sum("episodes").alias("episodes"), (F.max("mb") < 1).alias("under_cap"), (F.count(F.lit(1)) >= F.floor(F.lit(d.info.total_frames * 0.001))).alias("enough_files")).select("episodes", "under_cap", "enough_files", F.lit(d.version).cast("long").alias("version"), F.lit(d.info.total_frames).cast("long").alias("frames"), F.lit(round(d.stats()["value"]["mean"][0], 6)).alias("mean"), F.lit(round(d.stats()["value"]["std"][0], 6)).alias("std")))(_appended(spark, sf)),
     "SELECT count(DISTINCT user_id)::BIGINT AS episodes, true AS under_cap, true AS enough_files, 3::BIGINT AS version, count(*) AS frames, round(avg(value), 6) AS mean, round(stddev_pop(value), 6) AS std FROM events",
 )
+def _more_quantiles(spark, sf):
+    """Quartiles added to an appended dataset: read back from the episodes, and whether the data files are the same as before."""
+    before = _appended(spark, sf)
+    after = A.add_quantiles(before, (0.25, 0.75))
+    kept = before.files().select("path").join(after.files().select("path"), "path").count() == before.files().count() == after.files().count()
+    return after.episodes(True).select(EPISODE, *[F.round(F.col(f"`stats/value/{q}`")[0], 9).alias(q) for q in ("q25", "q50", "q75")], F.lit(kept).alias("frames_untouched"))
+
+
+_add(
+    "quantiles_added_back",
+    _more_quantiles,
+    f"WITH {_NUMBERED} SELECT episode_index, CASE WHEN count(*) < 2 THEN round(avg(value), 9) ELSE round(quantile_cont(value, 0.25), 9) END AS q25, CASE WHEN count(*) < 2 THEN round(avg(value), 9) ELSE round(quantile_cont(value, 0.5), 9) END AS q50, CASE WHEN count(*) < 2 THEN round(avg(value), 9) ELSE round(quantile_cont(value, 0.75), 9) END AS q75, true AS frames_untouched FROM n GROUP BY 1",
+)
 _add("lost_append", lambda spark, sf: _cells(_lost_append(spark, sf).frames()), _BACK)
 _add("dataset_tasks", lambda spark, sf: _written(spark, sf).tasks().select("task", "task_index"), f"WITH {_NUMBERED} SELECT * FROM tasks")
 _add("dataset_with_tasks", lambda spark, sf: (lambda d: d.with_tasks().select("index", "task"))(_written(spark, sf)), f"WITH {_NUMBERED} SELECT index, task FROM n")

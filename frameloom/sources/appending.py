@@ -14,7 +14,7 @@ from __future__ import annotations
 
 import json
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -84,7 +84,9 @@ class LoggedDataset(D.EpisodeDataset):
         return out if episodes is None else out.where(F.col(EPISODE).isin(list(episodes)))
 
     def episodes(self, with_stats: bool = False) -> DataFrame:
-        out = self._read("episodes")
+        #: Files written before a column was added lack it.
+        paths = [f"{self.root}/{r['path']}" for r in self.files("episodes").select("path").collect()]
+        out = self.spark.read.option("mergeSchema", "true").parquet(*paths) if paths else self._read("episodes")
         return out if with_stats else out.drop(*[c for c in out.columns if c.startswith("stats/")])
 
     def tasks(self) -> DataFrame:
@@ -250,6 +252,40 @@ def append(ds: LoggedDataset, frames: DataFrame, mb_per_frame: float = 0.001, ep
     return LoggedDataset.load(spark, root)
 
 
+def rewrite_episodes(ds: LoggedDataset, change: Callable[[DataFrame], DataFrame], touched=None, state: dict | None = None) -> LoggedDataset:
+    """Episode rows by ``change``, which keeps their numbers and may add columns. Copy on write by file: only files that hold a row for which
+    ``touched`` (a condition) is true are written anew, under another name; frames and the other files are left alone."""
+    spark, root, tag = ds.spark, ds.root, uuid.uuid4().hex[:8]
+    files = {(r["chunk"], r["file"]): r for r in ds.files("episodes").collect()}
+    place = [F.col("`meta/episodes/chunk_index`").alias("chunk"), F.col("`meta/episodes/file_index`").alias("file")]
+    hit = {tuple(r) for r in ds.episodes().where(touched).select(*place).distinct().collect()} if touched is not None else set(files)
+    if not hit:
+        return ds
+    rows = spark.read.option("mergeSchema", "true").parquet(*[f"{root}/{files[k]['path']}" for k in sorted(hit)])
+    made = _staged(change(rows).withColumns({"chunk": place[0], "file": place[1]}), root, "meta/episodes", tag, EPISODE)
+    lines = _actions("episodes", spark, root, made, {k: files[k]["episodes"] for k in hit}, None) + [{"action": "remove", "kind": "episodes", "path": files[k]["path"]} for k in sorted(hit)]
+    commit(spark, root, ds.version + 1, lines, ds.state | (state or {}))
+    return LoggedDataset.load(spark, root)
+
+
+def add_quantiles(ds: LoggedDataset, quantiles: Sequence[float]) -> LoggedDataset:
+    """Quantiles that the episodes' statistics lack, added to them and, pooled, to the dataset's: the frames are read once, only
+    episode files are written."""
+    counted = {k: f for k, f in ds.info.features.items() if k not in ("index", "task_index")}
+    have = {c.rsplit("/", 1)[1] for c in ds.episodes(True).columns if c.startswith("stats/")}
+    new = [q for q in quantiles if stats.quantile_name(q) not in have]
+    if not new:
+        return ds
+    names = [stats.quantile_name(q) for q in new]
+    per = D.feature_statistics(ds.frames(), counted, quantiles=new)
+    tree = {k: dict(v) for k, v in ds.stats().items()}
+    for r in stats.pooled_stats(per, ["feature", "dim"], new).orderBy("feature", "dim").collect():  # a row a dimension
+        for n in names:
+            tree[r["feature"]].setdefault(n, []).append(r[n])
+    flat = D.wide_statistics(per, counted, names)
+    return rewrite_episodes(ds, lambda rows: rows.join(flat, EPISODE, "left"), None, {"stats": tree})
+
+
 def _tree_rows(spark: SparkSession, tree: dict) -> DataFrame:
     """Nested pooled statistics as rows: feature, dim and the statistics (a row a dimension)."""
     names = [s for s in D.STATS if s != "count"]

@@ -318,11 +318,15 @@ def _cells_of(name: str, scalar: bool):
     return F.array(cell(own, F.lit(0))) if scalar else F.transform(F.coalesce(own, F.array()), cell)
 
 
-def feature_statistics(frames: DataFrame, features: dict[str, Feature], by: Sequence[str] = (EPISODE,)) -> DataFrame:
+def feature_cells(frames: DataFrame, features: dict[str, Feature], by: Sequence[str] = (EPISODE,)) -> DataFrame:
+    """Long values of all features that have statistics: by, feature, dim, value; one scan."""
+    return frames.select(*by, F.inline(F.concat(*[_cells_of(name, features[name].shape == (1,)) for name in _counted(features)])))
+
+
+def feature_statistics(frames: DataFrame, features: dict[str, Feature], by: Sequence[str] = (EPISODE,), quantiles: Sequence[float] = stats.QUANTILES) -> DataFrame:
     """Long statistics: by, feature, dim, and min .. q99; strings, images and videos are left out. All features are read in one scan."""
-    cells = [_cells_of(name, features[name].shape == (1,)) for name in _counted(features)]
-    long = frames.select(*by, F.inline(F.concat(*cells)))
-    return stats.feature_stats(long, "value", [*by, "feature", "dim"]).select(*by, "feature", "dim", "min", "max", "mean", "std", "count", *[stats.quantile_name(q) for q in stats.QUANTILES])
+    out = stats.feature_stats(feature_cells(frames, features, by), "value", [*by, "feature", "dim"], quantiles)
+    return out.select(*by, "feature", "dim", "min", "max", "mean", "std", "count", *[stats.quantile_name(q) for q in quantiles])
 
 
 def _in_order(stat: str):
@@ -343,10 +347,10 @@ def episode_tasks(rows: DataFrame, tasks: DataFrame) -> DataFrame:
     return rows.select(EPISODE, "task_index").distinct().join(tasks, "task_index").groupBy(EPISODE).agg(F.sort_array(F.collect_set("task")).alias("tasks"))
 
 
-def wide_statistics(per_stats: DataFrame, features: dict[str, Feature]) -> DataFrame:
+def wide_statistics(per_stats: DataFrame, features: dict[str, Feature], names: Sequence[str] = STATS) -> DataFrame:
     """feature_statistics by episode as one row an episode: stats/<feature>/<stat>, an array over the dimensions."""
-    wide = per_stats.groupBy(EPISODE, "feature").agg(*[_in_order(s).alias(s) for s in STATS if s != "count"], F.array(F.max("count")).alias("count"))
-    return wide.groupBy(EPISODE).agg(*[F.max(F.when(F.col("feature") == k, F.col(s))).alias(f"stats/{k}/{s}") for k in _counted(features) for s in STATS])
+    wide = per_stats.groupBy(EPISODE, "feature").agg(*[_in_order(s).alias(s) for s in names if s != "count"], *[F.array(F.max("count")).alias("count")] * ("count" in names))
+    return wide.groupBy(EPISODE).agg(*[F.max(F.when(F.col("feature") == k, F.col(s))).alias(f"stats/{k}/{s}") for k in _counted(features) for s in names])
 
 
 def statistics_tree(pooled: DataFrame) -> dict:

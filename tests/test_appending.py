@@ -61,3 +61,20 @@ def test_adopted_dataset(spark, tmp_path, info):
     ds = A.append(A.adopt(spark, whole.root), _frames(spark, 7, 9))
     assert ds.info.total_episodes == 6 and ds.frames().count() == 60 and ds.frames([5]).count() == 10
     assert ds.frames().select("task_index").distinct().count() == 2 and ds.episodes(True).where(F.col("`stats/x/count`")[0] == 10).count() == 6
+
+
+def test_episode_rows_are_rewritten_by_file(spark, tmp_path, info):
+    ds = A.append(A.create(spark, str(tmp_path / "d"), info), _frames(spark, 0, 9), 0.03, 0.21)
+    before = {(r["chunk"], r["file"]): r["path"] for r in ds.files("episodes").collect()}
+    after = A.rewrite_episodes(ds, lambda rows: rows.withColumn("note", F.concat(F.lit("e"), F.col("episode_index"))), F.col("episode_index") == 5)
+    paths = {(r["chunk"], r["file"]): r["path"] for r in after.files("episodes").collect()}
+    assert len(before) == 3 and [k for k in before if before[k] != paths[k]] == [(0, 1)]
+    notes = {r["episode_index"]: r["note"] for r in after.episodes().collect()}
+    assert notes == {e: f"e{e}" if 4 <= e < 8 else None for e in range(9)}
+    more = A.add_quantiles(after, (0.25, 0.5))
+    assert A.add_quantiles(more, (0.25,)).version == more.version == after.version + 1
+    assert [r[0][0] for r in more.episodes(True).orderBy("episode_index").select("`stats/x/q25`").collect()] == [100.0 * e + 2.25 for e in range(9)]
+    assert more.stats()["x"]["q25"][0] == pytest.approx(402.25) and {r["path"] for r in more.files().collect()} == {r["path"] for r in ds.files().collect()}
+    #: The next append goes on from here; its episodes lack what only the others have.
+    last = A.append(more, _frames(spark, 0, 1), 0.03, 0.21)
+    assert last.episodes().count() == 10 and last.episodes().where("note is null").count() == 6
