@@ -115,3 +115,17 @@ def test_order_true_steps_over_small_batches_and_gaps(spark):
         assert r["velocity"] == (0.0 if f == 0 else (f * f - ahead * ahead) / 0.5) and r["truncated"] == (f + 1 >= 100)
         risen = max((g for g in range(f + 1) if g % 5 == 2 and (k, g) != ("b", 7)), default=None)
         assert r["latched"] == (None if risen is None else float(risen * risen))
+
+
+def test_action_tokens_are_the_cosine_transform(spark):
+    from frameloom.functions import tokens as K
+
+    rng = random.Random(5)
+    chunks = [[[rng.uniform(-1, 1) for _ in range(3)] for _ in range(6)] for _ in range(40)]
+    m = np.array(K.cosine_matrix(6))
+    assert np.allclose(m @ m.T, np.eye(6))
+    df = spark.createDataFrame([(i, c) for i, c in enumerate(chunks)], "i int, c array<array<double>>")
+    rows = df.select("i", K.action_tokens(F.col("c"), 6, 3, 20.0).alias("t")).withColumn("back", K.actions_of(F.col("t"), 6, 3, 20.0)).orderBy("i").collect()
+    for r, c in zip(rows, chunks):
+        assert r["t"] == np.rint(20 * (m @ np.array(c))).astype(int).ravel().tolist()
+        assert np.abs(np.array(r["back"]) - np.array(c)).max() <= math.sqrt(6) / 40
