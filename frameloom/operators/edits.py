@@ -186,7 +186,8 @@ def modify_features(frames: DataFrame, add: dict[str, Column] | None = None, rem
 
 def add_by_position(frames: DataFrame, name: str, values: DataFrame | Sequence, index: str = "index") -> DataFrame:
     """A feature whose value for each frame is the one at the frame's global index: a table (index, value), or a list that
-    the driver holds. Vectors of one element are that element. Raises if the numbers of frames and values differ."""
+    the driver holds. Vectors of one element are that element. Raises if the numbers of frames and values differ, and when it
+    is read if a frame has no value at its index."""
     if name in frames.columns:
         raise ValueError(f"already there: {name}")
     if not isinstance(values, DataFrame):
@@ -195,7 +196,8 @@ def add_by_position(frames: DataFrame, name: str, values: DataFrame | Sequence,
     have, want = values.count(), frames.count()
     if have != want:
         raise ValueError(f"{have} values for {want} frames")
-    return frames.join(values.select(F.col(index), F.col("value").alias(name)), index)
+    joined = frames.join(values.select(F.col(index), F.struct("value").alias("_v")), index, "left")
+    return joined.withColumn(name, F.when(F.col("_v").isNull(), F.raise_error(F.concat(F.lit("no value at index "), F.col(index)))).otherwise(F.col("_v.value"))).drop("_v")
 
 
 def add_by_call(frames: DataFrame, name: str, call: Callable[[dict, int, int], object], kind: str = "double") -> DataFrame:

@@ -129,3 +129,12 @@ def test_action_tokens_are_the_cosine_transform(spark):
     for r, c in zip(rows, chunks):
         assert r["t"] == np.rint(20 * (m @ np.array(c))).astype(int).ravel().tolist()
         assert np.abs(np.array(r["back"]) - np.array(c)).max() <= math.sqrt(6) / 40
+
+
+def test_values_at_other_indices_raise(spark):
+    from frameloom.operators import edits as E
+
+    frames = spark.createDataFrame([(i, float(i)) for i in range(4)], "index long, x double")
+    values = spark.createDataFrame([(i, 2.0 * i) for i in (0, 1, 2, 9)], "index long, value double")
+    with pytest.raises(Exception, match="no value at index 3"):
+        E.add_by_position(frames, "v", values).collect()
