@@ -8,7 +8,8 @@
    that is enough: what any two of them have in common, each has with the smallest. The boundary is where the rows of
    all enumerations and of the lists of the rest are fewest, by the histogram of small sizes.
 3. Heavy sets, and light ones within reach of the boundary, go through inverted lists. First those that share a least value and
-   nearly the size are compared with one pivot each, on full sets; links found make components.
+   nearly the size are compared with one pivot each, on full sets; links found make components. That is done in ``TURNS`` turns
+   with other pivots, each of another component.
 4. Lists are then read for values that sets of two components hold. In a slice of the hash range (below ``SLICE`` percent), a set whose own component alone holds as many
    values as its prefix has (n - ceil(percent * n / 100) + 1) can have no link outside: any partner must share a value of
    any such prefix. The sets left, with all their values, meet in lists of their prefixes (``_prefix.prefix_pairs``), rare values
@@ -38,7 +39,7 @@ from ._frames import checkpointed, map_text
 from ._prefix import prefix_pairs
 from ._text import mix64, slices, text_buffers
 from .components import components
-from .lsh_forest import confirmed, own_texts, shingle_sets
+from .lsh_forest import _joined, confirmed, own_texts, shingle_sets
 
 SHINGLE = 4
 PERCENT = 85
@@ -46,6 +47,8 @@ BOTTOM = 8
 SLICE = 20
 #: Sets up to this size may be light.
 LIGHT = 20
+#: So often are pivots drawn; it only makes the lists of 4 shorter.
+TURNS = 4
 #: So many classes' keys (about 20 MB) are broadcast to look texts up; more are joined by shuffle.
 LOOKUP = 300_000
 
@@ -156,13 +159,21 @@ def light_links(light: DataFrame, percent: int = PERCENT) -> DataFrame:
     return both.where(100 * common >= percent * (F.size("p") + F.size("q") - common)).select(F.col("cls").alias("a"), F.col("other").alias("b"))
 
 
-def pivots(heavy: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """heavy: cls, n, few. Returns a, b: each set with the one, of nearly its size, that most of its least values lead to, if half of them do."""
+def pivots(heavy: DataFrame, label: DataFrame | None, turn: int, percent: int = PERCENT) -> DataFrame:
+    """heavy: cls, n, few; label: node, label of the links so far. Returns a, b: each set with the one, of nearly its size and
+    not of its component, that most of its least values lead to, if half of them do. Each turn draws other pivots."""
     step = F.floor(F.log(F.col("n").cast("double")) / F.lit(-np.log(percent / 100.0) if percent < 100 else 1.0))
     rows = heavy.select("cls", "n", step.alias("step"), F.explode("few").alias("s"))
-    least = rows.groupBy("s", "step").agg(F.min("cls").alias("pivot"), F.count(F.lit(1)).alias("times")).where("times > 1")
-    votes = rows.join(least, ["s", "step"]).where("cls <> pivot").groupBy("cls", "pivot").agg(F.count(F.lit(1)).alias("votes"), F.first("n").alias("n")).where(f"2 * votes >= least(n, {BOTTOM})")
-    return votes.groupBy("cls").agg(F.min(F.struct((-F.col("votes")).alias("minus"), "pivot")).alias("best")).select(F.col("cls").alias("a"), F.col("best.pivot").alias("b"))
+    if label is not None:
+        rows = rows.join(_by_key(label, "node").select(F.col("node").alias("cls"), "label"), "cls", "left").withColumn("of", F.coalesce("label", "cls")).drop("label")
+    else:
+        rows = rows.withColumn("of", F.col("cls"))
+    #: Two pivots a list: where the first is of a set's own component, the second may not be.
+    drawn = F.struct(F.xxhash64(F.lit(turn), "cls"), F.struct("cls", "of").alias("p"))
+    ends = rows.groupBy("s", "step").agg(F.min(drawn)["p"].alias("p0"), F.max(drawn)["p"].alias("p1"), F.min("of").alias("of0"), F.max("of").alias("of1")).where("of0 <> of1").select("s", "step", "p0", "p1")
+    pivot = F.when(F.col("p0.of") != F.col("of"), F.col("p0.cls")).when(F.col("p1.of") != F.col("of"), F.col("p1.cls"))
+    votes = rows.join(ends, ["s", "step"]).withColumn("pivot", pivot).where("pivot is not null").groupBy("cls", "pivot").agg(F.count(F.lit(1)).alias("votes"), F.first("n").alias("n")).where(f"2 * votes >= least(n, {BOTTOM})")
+    return votes.groupBy("cls").agg(F.min(F.struct((-F.col("votes")).alias("minus"), F.xxhash64(F.lit(turn), "pivot").alias("drawn"), "pivot")).alias("best")).select(F.col("cls").alias("a"), F.col("best.pivot").alias("b"))
 
 
 def open_sets(own: DataFrame, classes: DataFrame, label: DataFrame, percent: int = PERCENT, n: int = SHINGLE) -> DataFrame:
@@ -238,9 +249,14 @@ def links(own: DataFrame, digest: DataFrame, percent: int = PERCENT, n: int = SH
         found = own.join(want, F.col("of_key").eqNullSafe(F.col("doc_id")) & (F.col("text_hash") == F.col("of_hash")))
         return checkpointed(found.groupBy("cls").agg(F.first("text").alias("text")))
 
-    first = checkpointed(pivots(full.where(heavy).groupBy("cls").agg(F.first("n").alias("n"), F.first("few").alias("few")), percent))
-    bodies = texts(first.select(F.col("a").alias("cls")).union(first.select(F.col("b").alias("cls"))))
-    label = components(light_links(light, percent).union(confirmed(first, bodies, percent, n)))
+    label = components(light_links(light, percent))
+    few = checkpointed(full.where(heavy).groupBy("cls").agg(F.first("n").alias("n"), F.first("few").alias("few")))
+    for turn in range(TURNS):
+        first = checkpointed(pivots(few, label, turn, percent))
+        if first.isEmpty():
+            break
+        bodies = texts(first.select(F.col("a").alias("cls")).union(first.select(F.col("b").alias("cls"))))
+        label = _joined(label, checkpointed(confirmed(first, bodies, percent, n)))
     open_ = checkpointed(open_sets(own, classes.where(heavy), label, percent, n))
     if open_.isEmpty():
         return label
@@ -250,9 +266,7 @@ def links(own: DataFrame, digest: DataFrame, percent: int = PERCENT, n: int = SH
     sets = map_text(bodies.join(_by_key(ids, "cls"), "cls").select("id", "l", "text"), _all_values(n), [T.StructField("all", T.ArrayType(T.LongType())), T.StructField("map", T.ArrayType(T.LongType()))], drop=["text"]).withColumn("n", F.size("all").cast("long"))
     met = prefix_pairs(sets, percent, lambda: _near_enough(percent)).join(ids.select(F.col("id").alias("id_x"), F.col("cls").alias("a")), "id_x").join(ids.select(F.col("id").alias("id_y"), F.col("cls").alias("b")), "id_y").select("a", "b")
     more = checkpointed(confirmed(met, bodies, percent, n))
-    if more.isEmpty():
-        return label
-    return components(label.select(F.col("node").alias("a"), F.col("label").alias("b")).where("a <> b").union(more.select("a", "b")))
+    return _joined(label, more)
 
 
 def similar(df: DataFrame, key: str = "doc_id", text: str = "text", percent: int = PERCENT, n: int = SHINGLE) -> DataFrame:

@@ -6,8 +6,6 @@ import re
 
 import numpy as np
 import pytest
-from pyspark.sql import functions as F
-
 from frameloom.llm import _prefix, lsh_forest, ngram_join
 
 SCHEMA = "doc_id long, text string, cls string, n long, part string, label int"
@@ -90,7 +88,7 @@ def test_components_at_other_boundaries(docs, rows, light, block, monkeypatch):
 
 def test_every_link_without_the_first_round(docs, rows, monkeypatch):
     """Lists alone find all: pivots only make them shorter."""
-    monkeypatch.setattr(ngram_join, "pivots", lambda heavy, percent: heavy.select(F.col("cls").alias("a"), F.col("cls").alias("b")).limit(0))
+    monkeypatch.setattr(ngram_join, "TURNS", 0)
     assert sorted(map(tuple, ngram_join.similar(docs).collect()), key=str) == _truth(rows, 85)
 
 
