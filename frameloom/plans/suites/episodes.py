@@ -539,8 +539,11 @@ def _shuffled(spark, sf):
     span = max(high - low, 1)
     jitter = F.pmod(F.xxhash64(F.lit(7), "event_id"), F.lit(1000)) / 1000
     part = F.floor((F.unix_seconds("ts") - low) / F.lit(float(span)) * _PARTS + jitter)
+    made = f"{shared_folder(spark)}/frames"  # numbered once for all triggers
+    f.withColumn("part", part).drop("event_id").write.partitionBy("part").parquet(made)
+    numbered = spark.read.schema(f.drop("event_id").schema.add("part", "long")).parquet(made)
     for k in range(_PARTS + 2):  # a trigger each, so a write each
-        rows = f.where(part == k).drop("event_id").repartition(2, "value")
+        rows = numbered.where(F.col("part") == k).drop("part").repartition(2, "value")
         rows.sortWithinPartitions(F.xxhash64("frame_index", EPISODE)).write.parquet(f"{folder}/{k}")
     last = spark.range(1).select(F.lit(-1).cast("long").alias(EPISODE), F.lit(0).cast("long").alias("frame_index"), F.lit(0.0).alias("value"), F.timestamp_seconds(F.lit(high + 4 * span)).alias("ts"), F.lit(False).alias("flag"))
     last.write.parquet(f"{folder}/{_PARTS + 2}")

@@ -1,9 +1,9 @@
 """Streams whose rows are handled in frame order, whatever batches and triggers bring them in.
 
-A key's rows go out in the order of their frame numbers, from 0. A row whose predecessors have not all come is held in list
+A key's rows go out in the order of their frame numbers, from 0. A row whose predecessors have not all come is held in the key's
 state; a gap is given up when the watermark has passed the held row, for then nothing older can come. A key is over when the
 watermark has passed its newest row by ``idle`` milliseconds: what is left goes out and its state goes. Both are event-time
-timers, one for each key at most. State so holds the rows of the disorder that the watermark's delay allows, and no more.
+timers, one for each key at most; a bucket of keys wakes at its first. State so holds the rows of the disorder that the watermark's delay allows, and no more.
 
 Rows whose frame has gone out already, and second rows of one frame, are left out. Frame numbers and event times must not be null.
 """
@@ -11,20 +11,26 @@ Rows whose frame has gone out already, and second rows of one frame, are left ou
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-#: Timers and list state need this store; streaming.stateful.run_to_table sets it for the query.
+#: State stays outside the heap in this store; streaming.stateful.run_to_table sets it for the query.
 STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+#: Keys are dealt into so many groups of state.
+BUCKETS = 512
 
 
-class InOrder(StatefulProcessor):
-    """The rows of each key in order. Subclasses say what a run of rows gives (``step``) and what they remember (``MEMORY``)."""
+class InOrder:
+    """The rows of each key in order. Subclasses say what a run of rows gives (``step``) and what they remember (``MEMORY``).
+
+    Keys are handled by buckets of their hash, for a call costs far more than a key does. A bucket's state is an array with an
+    entry for each of its keys: next frame, newest time, the key's timer, memory, and the held rows by column."""
 
     MEMORY = "unused int"
     START: tuple = (0,)
@@ -33,64 +39,77 @@ class InOrder(StatefulProcessor):
         """columns: the row's own columns and their kinds, the frame number first."""
         self.by, self.columns, self.out, self.idle = by, columns, out, idle
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
-        self.held = handle.getListState("held", ", ".join(f"`{c}` {k}" for c, k in self.columns.items()) + ", at_ms long")
-        self.memory = handle.getValueState("memory", f"_next long, _newest long, {self.MEMORY}")
+    def state_schema(self, kind: T.DataType) -> T.StructType:
+        held = ", ".join(f"held_{i} array<{k}>" for i, k in enumerate([*self.columns.values(), "long"]))
+        own = T.StructType.fromDDL(f"next long, newest long, timer long, {self.MEMORY}, {held}")
+        return T.StructType([T.StructField("keys", T.ArrayType(T.StructType([T.StructField("key", kind), *own.fields])))])
 
-    def step(self, memory: tuple, rows: pd.DataFrame, over: bool) -> tuple[tuple, list[tuple]]:
+    def step(self, memory: tuple, rows: dict[str, np.ndarray], over: bool) -> tuple[tuple, list]:
         raise NotImplementedError
 
-    #: Names must not begin with an underscore: rows come as named tuples.
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        new = pd.concat([pdf[[*self.columns, "at_ms"]] for pdf in rows])
-        yield self._go(key, new, timerValues.getCurrentWatermarkInMs())
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        yield self._go(key, None, timerValues.getCurrentWatermarkInMs())
-
-    def _go(self, key, new: pd.DataFrame | None, passed: int) -> pd.DataFrame:
-        following, newest, *memory = self.memory.get() if self.memory.exists() else (0, 0, *self.START)
-        held = [tuple(r) for r in self.held.get()] if self.held.exists() else []
-        rows = [pd.DataFrame(held, columns=[*self.columns, "at_ms"])] if held else []
-        if new is not None:
-            rows.append(new)
-        frame = next(iter(self.columns))
-        out: list[tuple] = []
-        stay = None
-        if rows:
-            all_ = pd.concat(rows).sort_values(frame, kind="stable").drop_duplicates(frame)
-            all_ = all_[all_[frame] >= following]
-            newest = max(newest, int(all_["at_ms"].max())) if len(all_) else newest
-            number, at = all_[frame].to_numpy(np.int64), all_["at_ms"].to_numpy(np.int64)
-            #: Up to the last row that the watermark has passed, and on from there as long as there is no gap.
-            due = np.flatnonzero(at <= passed)
-            n = int(due[-1]) + 1 if len(due) else 0
-            expected = int(number[n - 1]) + 1 if n else following
-            run = number[n:] - np.arange(len(number) - n) == expected
-            n += int(np.argmin(run)) if not run.all() else len(run)
-            go, stay = all_.iloc[:n], all_.iloc[n:]
-            following = int(number[n - 1]) + 1 if n else following
-        else:
-            go = pd.DataFrame(columns=[*self.columns, "at_ms"])
-        over = new is None and passed >= newest + self.idle and (stay is None or not len(stay))
-        state, out = self.step(tuple(memory), go, over)
-        for t in list(self.handle.listTimers()):
-            self.handle.deleteTimer(t)
-        if over:
-            self.memory.clear()
-            self.held.clear()
-        else:
-            if stay is not None and len(stay):
-                self.held.put([tuple(x.item() if hasattr(x, "item") else x for x in r) for r in stay.itertuples(index=False)])
-            elif held:
-                self.held.clear()
-            self.memory.update((following, newest, *state))
-            self.handle.registerTimer(max(passed + 1, int(stay["at_ms"].min()) if stay is not None and len(stay) else newest + self.idle))
-        return pd.DataFrame([(key[0], *r) for r in out], columns=[self.by, *self.out])
-
-    def close(self) -> None:
-        pass
+    def _by_key(self, bucket: int, batches: Iterator[pd.DataFrame]) -> dict:
+        """The new rows of each key, by column."""
+        names = [*self.columns, "at_ms"]
+        pdf = pd.concat([p[[self.by, *names]] for p in batches])
+        #: Null keys have a bucket of their own.
+        codes, keys = pd.factorize(pdf[self.by]) if bucket >= 0 else (np.zeros(len(pdf), np.int64), np.array([None]))
+        order = np.argsort(codes, kind="stable")
+        ends = np.searchsorted(codes[order], np.arange(len(keys) + 1))
+        columns = [pdf[c].to_numpy()[order] for c in names]
+        return {key: [c[lo:hi] for c in columns] for key, lo, hi in zip(keys.tolist(), ends[:-1], ends[1:])}
+
+    def handle(self, bucket, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        passed = state.getCurrentWatermarkMs()
+        new = {} if state.hasTimedOut else self._by_key(bucket[0], batches)
+        have = {k[0]: tuple(k[1:]) for k in state.get[0]} if state.exists else {}
+        start = (0, 0, 0, *self.START, *[[]] * (len(self.columns) + 1))
+        stay, keys, outs = [], [], []
+        for key in {**have, **new}:
+            own, rows = have.get(key, start), new.get(key)
+            if rows is None and own[2] > passed:
+                stay.append((key, *own))
+                continue
+            left, out = self._go(own, rows, passed)
+            if left is not None:
+                stay.append((key, *left))
+            if len(out):
+                keys += [key] * len(out[0])
+                outs.append(out)
+        if stay:
+            state.update((stay,))
+            #: It goes off when the watermark is beyond its time.
+            state.setTimeoutTimestamp(max(passed, min(k[3] for k in stay) - 1))
+        elif state.exists:
+            state.remove()
+        if keys:
+            joined = [np.concatenate(c) if isinstance(c[0], np.ndarray) else list(chain.from_iterable(c)) for c in zip(*outs)]
+            yield pd.DataFrame({self.by: keys, **dict(zip(self.out, joined))})
+
+    def _go(self, own: tuple, new: list[np.ndarray] | None, passed: int) -> tuple[tuple | None, list]:
+        """A key's state (None if it is over) and its rows after new ones, or after its timer."""
+        k = len(self.columns) + 1
+        following, newest, _, *memory = own[:-k]
+        parts = [[*([np.array(h)] if len(h) else []), *([new[i]] if new else [])] for i, h in enumerate(own[-k:])]
+        all_ = [np.concatenate(p) if p else np.zeros(0) for p in parts]
+        number = all_[0].astype(np.int64)
+        order = np.argsort(number, kind="stable")
+        number = number[order]
+        fresh = number >= following
+        fresh[1:] &= number[1:] != number[:-1]
+        order, number = order[fresh], number[fresh]
+        at = all_[-1][order].astype(np.int64)
+        newest = max(newest, int(at.max())) if len(at) else newest
+        #: Up to the last row that the watermark has passed, and on from there as long as there is no gap.
+        due = np.flatnonzero(at <= passed)
+        n = int(due[-1]) + 1 if len(due) else 0
+        expected = int(number[n - 1]) + 1 if n else following
+        run = number[n:] - np.arange(len(number) - n) == expected
+        n += int(np.argmin(run)) if not run.all() else len(run)
+        following = int(number[n - 1]) + 1 if n else following
+        over = new is None and passed >= newest + self.idle and n == len(number)
+        memory, out = self.step(tuple(memory), {c: v[order[:n]] for c, v in zip(self.columns, all_)}, over)
+        timer = max(passed + 1, int(at[n:].min()) if n < len(at) else newest + self.idle)
+        return None if over else (following, newest, timer, *memory, *[v[order[n:]].tolist() for v in all_[:-1]], at[n:].tolist()), out
 
 
 class _RunningSteps(InOrder):
@@ -103,18 +122,17 @@ class _RunningSteps(InOrder):
 
     def step(self, memory, rows, over):
         before, raised, latched = memory
-        if not len(rows):
+        frame, value, flag = rows.values()
+        if not len(frame):
             return memory, []
-        frame, value, flag = (rows[c] for c in self.columns)
-        v, up = value.to_numpy(float), flag.fillna(False).to_numpy(bool)
+        v, up = value.astype(float), np.where(pd.isna(flag), False, flag).astype(bool)
         ahead = np.concatenate([[np.nan if before is None else before], v[:-1]])
         velocity = np.where(np.isnan(ahead), 0.0, (v - ahead) / self.dt)
         edge = up & ~np.concatenate([[bool(raised)], up[:-1]])
-        held = pd.Series(np.where(edge, v, np.nan)).ffill()
-        if latched is not None:
-            held = held.fillna(latched)
-        out = [(int(f), float(w), bool(f + 1 >= self.limit), None if np.isnan(x) else float(x)) for f, w, x in zip(frame, velocity, held)]
-        return (float(v[-1]), bool(up[-1]), out[-1][-1]), out
+        last = np.maximum.accumulate(np.where(edge & ~np.isnan(v), np.arange(len(v)), -1))
+        held = np.where(last >= 0, v[last], np.nan if latched is None else latched)
+        out = [frame.astype(np.int64), velocity, frame + 1 >= self.limit, held]
+        return (float(v[-1]), bool(up[-1]), None if np.isnan(held[-1]) else float(held[-1])), out
 
 
 class _LookAround(InOrder):
@@ -129,23 +147,24 @@ class _LookAround(InOrder):
         """frames, kept: the last ``back`` rows that have gone out and those that wait; gone: how many of them have gone;
         first: whether they begin with the episode."""
         frames, kept, gone, first = memory
-        name, value = list(self.columns)
-        frames = list(frames) + rows[name].astype("int64").tolist()
-        kept = list(kept) + rows[value].astype("float64").tolist()
-        last, out = len(frames) - 1, []
+        number, value = rows.values()
+        frames = list(frames) + number.astype(np.int64).tolist()
+        kept = list(kept) + value.astype(float).tolist()
+        last = len(frames) - 1
         upto = len(frames) if over else max(gone, len(frames) - self.ahead)
-        for i in range(gone, upto):
-            cells = [kept[min(max(i + k, 0), last)] for k in self.offsets]
-            out.append((frames[i], cells, [(first and i + k < 0) or i + k > last for k in self.offsets]))
+        at = np.arange(gone, upto)[:, None] + np.array(self.offsets)
+        window = np.array(kept)[np.clip(at, 0, last)].tolist() if len(at) else []
+        pad = ((bool(first) & (at < 0)) | (at > last)).tolist()
         cut = max(0, upto - self.back)
-        return (frames[cut:], kept[cut:], upto - cut, first and cut == 0), out
+        return (frames[cut:], kept[cut:], upto - cut, first and cut == 0), [frames[gone:upto], window, pad]
 
 
 def _handled(stream: DataFrame, by: str, columns: list[str], make, out: list[tuple[str, str]], late: str, clock: str) -> DataFrame:
     kinds = {c: stream.schema[c].dataType.simpleString() for c in columns}
-    timed = stream.withColumn("event_time", F.col(clock).cast("timestamp")).withWatermark("event_time", late).select(by, *columns, "event_time", F.unix_millis("event_time").alias("at_ms"))
+    timed = stream.withColumn("event_time", F.col(clock).cast("timestamp")).withWatermark("event_time", late).select(by, *columns, "event_time", F.unix_millis("event_time").alias("at_ms"), F.when(F.col(by).isNull(), -1).otherwise(F.pmod(F.xxhash64(by), F.lit(BUCKETS))).alias("bucket_"))
     schema = T.StructType([stream.schema[by], *[T.StructField(c, T.DataType.fromDDL(k)) for c, k in out]])
-    return timed.groupBy(by).transformWithStateInPandas(make(kinds, [c for c, _ in out]), schema, "Append", "EventTime")
+    own = make(kinds, [c for c, _ in out])
+    return timed.groupBy("bucket_").applyInPandasWithState(own.handle, schema, own.state_schema(stream.schema[by].dataType), "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def running_steps(stream: DataFrame, by: str, frame: str, value: str, flag: str, dt: float, limit: int, late: str = "1 hour", clock: str = "ts", idle: int = 0) -> DataFrame:

@@ -138,3 +138,38 @@ def test_values_at_other_indices_raise(spark):
     values = spark.createDataFrame([(i, 2.0 * i) for i in (0, 1, 2, 9)], "index long, value double")
     with pytest.raises(Exception, match="no value at index 3"):
         E.add_by_position(frames, "v", values).collect()
+
+
+def test_a_call_steps_all_keys_of_a_bucket(spark):
+    """Many keys share one state row: a call an episode made the time of a trigger that of its episodes' calls."""
+    import pandas as pd
+
+    from frameloom.streaming import ordered as R
+
+    class State:
+        exists, hasTimedOut, get, passed = False, False, None, 0
+
+        def getCurrentWatermarkMs(self):
+            return self.passed
+
+        def update(self, value):
+            self.get, self.exists = value, True
+
+        def setTimeoutTimestamp(self, ms):
+            self.wakes = ms
+
+        def remove(self):
+            self.exists = False
+
+    state, steps = State(), R._RunningSteps("k", {"f": "bigint", "v": "double", "up": "boolean"}, ["f", "velocity", "truncated", "latched"], 0, 0.5, 10)
+    feed = lambda rows: pd.concat(list(steps.handle((7,), iter([pd.DataFrame(rows, columns=["k", "f", "v", "up", "at_ms"])]), state)) or [pd.DataFrame()])
+    first = feed([("a", 1, 3.0, False, 20), ("b", 0, 1.0, True, 15), ("a", 0, 2.0, True, 10), ("c", 1, 5.0, False, 30)])
+    assert sorted(first[["k", "f", "velocity", "latched"]].itertuples(index=False, name=None)) == [("a", 0, 0.0, 2.0), ("a", 1, 2.0, 2.0), ("b", 0, 0.0, 1.0)]
+    assert len(state.get[0]) == 3 and state.wakes == 14
+    state.passed = 16  # b is over when its timer goes off; c still waits for its first frame
+    state.hasTimedOut = True
+    assert not list(steps.handle((7,), iter([]), state)) and sorted(k[0] for k in state.get[0]) == ["a", "c"]
+    state.passed, state.hasTimedOut = 40, True
+    assert [tuple(r)[:3] for p in steps.handle((7,), iter([]), state) for r in p.itertuples(index=False)] == [("c", 1, 0.0)] and not state.exists
+    nulls = pd.concat(list(steps.handle((-1,), iter([pd.DataFrame({"k": [None, None], "f": [0, 1], "v": [1.0, 2.0], "up": [False, None], "at_ms": [50, 51]})]), State())))
+    assert nulls["k"].isna().all() and nulls["velocity"].tolist() == [0.0, 2.0]
