@@ -40,18 +40,16 @@ def _add(name, query, sql):
 _INFO = D.Info(fps=10.0, features={"value": D.Feature("float64"), "action": D.Feature("float32", (2,), ("a", "b"))}, robot_type="none", data_files_size_in_mb=1)
 
 
-def _written(spark, sf):
-    rows = event_frames(spark, sf).select(EPISODE, "task", "value", F.array(F.col("value") / 2, F.lit(1.0)).alias("action"), "event_id")
-    rows = D.recorded(rows.join(event_frames(spark, sf).select("event_id", "ts"), "event_id"), ["ts", "event_id"], 10.0)
-    return D.write(rows.drop("event_id", "ts"), shared_folder(spark), _INFO, 0.001)
-
-
 def _recorded(spark, sf):
     f = event_frames(spark, sf)
     rows = f.select(EPISODE, "task", "value", F.array(F.col("value") / 2, F.lit(1.0)).alias("action"), "ts", "event_id")
     return D.recorded(rows, ["ts", "event_id"], 10.0).drop("ts", "event_id")
 
 
+def _written(spark, sf):
+    return D.write(_recorded(spark, sf), shared_folder(spark), _INFO, 0.001)
+
+
 def _appended(spark, sf):
     """The events' episodes appended in three steps of a third of them each, under a small cap."""
     rows = _recorded(spark, sf)
@@ -142,7 +140,7 @@ def _info(spark, sf):
 _add("dataset_info", _info, "SELECT count(DISTINCT user_id) AS episodes, count(*) AS frames, count(DISTINCT event_type) AS tasks, '0:' || count(DISTINCT user_id) AS train, 10.0::DOUBLE AS fps, min(value) AS low, max(value) AS high, round(avg(value), 6) AS mean, count(*) AS n FROM events")
 _add(
     "dataset_file_rows",
-    lambda spark, sf: (lambda d: R.rows_in_files(spark, f"{d.root}/data/*/*.parquet").agg(F.sum("rows").alias("rows"), (F.sum("rows") == d.info.total_frames).alias("whole")))(_written(spark, sf)),
+    lambda spark, sf: (lambda d: R.rows_in_files(spark, f"{d.root}/data/*").agg(F.sum("rows").alias("rows"), (F.sum("rows") == d.info.total_frames).alias("whole")))(_written(spark, sf)),
     "SELECT count(*)::BIGINT AS rows, true AS whole FROM events",
 )
 

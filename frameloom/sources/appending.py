@@ -73,20 +73,20 @@ class LoggedDataset(D.EpisodeDataset):
     def files(self, kind: str = "data") -> DataFrame:
         return active(entries(self.spark, self.root, self.version)).where(F.col("kind") == kind)
 
-    def _read(self, kind: str, schema=None) -> DataFrame:
-        paths = [f"{self.root}/{r['path']}" for r in self.files(kind).select("path").collect()]  # as many as a scan lists
+    def _read(self, kind: str, schema=None, merge: bool = False) -> DataFrame:
+        log = entries(self.spark, self.root, self.version).where(F.col("kind") == kind).select("action", "path").collect()  # as many as a scan lists
+        gone = {r["path"] for r in log if r["action"] == "remove"}
+        paths = [r["path"] for r in log if r["action"] == "add" and r["path"] not in gone]
         if not paths:
             return self.spark.createDataFrame([], schema or f"{EPISODE} long")
-        return (self.spark.read.schema(schema) if schema else self.spark.read).parquet(*paths)
+        return _parquet(self.spark, self.root, paths, gone, schema, merge)
 
     def frames(self, episodes=None) -> DataFrame:
         out = self._read("data", D.schema_of(self.info.features))
         return out if episodes is None else out.where(F.col(EPISODE).isin(list(episodes)))
 
     def episodes(self, with_stats: bool = False) -> DataFrame:
-        #: Files written before a column was added lack it.
-        paths = [f"{self.root}/{r['path']}" for r in self.files("episodes").select("path").collect()]
-        out = self.spark.read.option("mergeSchema", "true").parquet(*paths) if paths else self._read("episodes")
+        out = self._read("episodes", merge=True)  # files written before a column was added lack it
         return out if with_stats else out.drop(*[c for c in out.columns if c.startswith("stats/")])
 
     def tasks(self) -> DataFrame:
@@ -96,6 +96,33 @@ class LoggedDataset(D.EpisodeDataset):
         return self.state["stats"]
 
 
+#: So many files are read by their names; more by their folders, as a reader lists each name that it is given apart.
+FEW_FILES = 100
+
+
+def _tag(path: str) -> str:
+    """What tells a file of one append from others: the end of its name; a file that was written whole has none."""
+    return name.split("-")[2] if (name := path.rsplit("/", 1)[1].removesuffix(".parquet")).count("-") > 1 else ""
+
+
+def _parquet(spark: SparkSession, root: str, paths: Sequence[str], gone: set[str], schema=None, merge: bool = False) -> DataFrame:
+    """The files ``paths``. A commit names all files of its tag, so of many the folders are read for the tags' files without those that
+    are ``gone``: a filter on the files' names, by which the scan leaves the others out."""
+    reader = spark.read.option("mergeSchema", str(merge).lower())
+    reader = reader.schema(schema) if schema else reader
+    if len(paths) <= FEW_FILES:
+        return reader.parquet(*[f"{root}/{p}" for p in paths])
+    tags = {_tag(p) for p in paths}
+    rows = reader.option("pathGlobFilter", "{" + ",".join(f"*-{t}.parquet" if t else "*.parquet" for t in sorted(tags)) + "}").parquet(*sorted({f"{root}/{p.rsplit('/', 1)[0]}" for p in paths}))
+    names = rows.columns
+    own = F.substring_index("_metadata.file_path", "/", -2)
+    if "" in tags:
+        rows = rows.where(F.regexp_extract(own, r"-\d+-([^/]+)\.parquet$", 1).isin(sorted(tags)))
+    if left := sorted({"/".join(p.split("/")[-2:]) for p in gone if _tag(p) in tags}):
+        rows = rows.where(~own.isin(left))
+    return rows.select(*[f"`{c}`" for c in names])
+
+
 def commit(spark: SparkSession, root: str, version: int, lines: list[dict], state: dict) -> None:
     """Write one commit, or raise Conflict if the version is taken."""
     body = "\n".join(json.dumps({"version": version} | x) for x in [*lines, {"action": "state", "body": json.dumps(state)}])
@@ -157,33 +184,24 @@ def _binned(sizes: DataFrame, open_: dict | None, limit: float, per_chunk: int)
     return out.select(EPISODE, "mb", F.floor(at / per_chunk).alias("chunk"), (at % per_chunk).alias("file"))
 
 
-def _staged(rows: DataFrame, root: str, folder: str, tag: str, order: str) -> dict[tuple[int, int], str]:
-    """Write rows (with chunk and file) as one file each below ``folder``; no reader sees them before a commit names them."""
+def _staged(rows: DataFrame, root: str, folder: str, tag: str, order: str) -> dict[tuple[int, int], tuple[str, float]]:
+    """Write rows (with chunk and file) as one file each below ``folder``; no reader sees them before a commit names them. Their paths and MB."""
     spark = rows.sparkSession
     made = f"{root}/_staged/{tag}/{folder}"
-    rows.repartition("chunk", "file").sortWithinPartitions("chunk", "file", order).write.partitionBy("chunk", "file").parquet(made)
-    _, fs = D._path(spark, made)
-    new = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
-    out = {}
-    for chunk in (x for x in _names(spark, made) if x.startswith("chunk=")):
-        c = int(chunk.split("=")[1])
-        for file in (x for x in _names(spark, f"{made}/{chunk}") if x.startswith("file=")):
-            f = int(file.split("=")[1])
-            (part,) = [x for x in _names(spark, f"{made}/{chunk}/{file}") if x.startswith("part-")]
-            out[c, f] = f"{folder}/chunk-{c:03d}/file-{f:03d}-{tag}.parquet"
-            fs.mkdirs(new(f"{root}/{folder}/chunk-{c:03d}"))
-            fs.rename(new(f"{made}/{chunk}/{file}/{part}"), new(f"{root}/{out[c, f]}"))
+    rows.repartition("chunk", "file").sortWithinPartitions("chunk", "file", order).write.options(**D.PLACED_BY_TASKS).partitionBy("chunk", "file").parquet(made)
+    out, pairs = {}, []
+    for path, size in D.listed(spark, made):
+        c, f = (int(x.split("=")[1]) for x in path.split("/")[-3:-1])
+        if (c, f) in out:
+            raise RuntimeError(f"more than one part of {out[c, f][0]}")
+        out[c, f] = f"{folder}/chunk-{c:03d}/file-{f:03d}-{tag}.parquet", size / 1e6
+        pairs.append((path, f"{root}/{out[c, f][0]}"))
+    D.moved(spark, pairs)
     return out
 
 
-def _kept(rows: DataFrame, path: str) -> DataFrame:
-    """Rows (one an episode) that are read several times, written once."""
-    rows.write.parquet(path)
-    return rows.sparkSession.read.schema(rows.schema).parquet(path)
-
-
-def _actions(kind: str, spark: SparkSession, root: str, made: dict, counts: dict, open_: dict | None) -> list[dict]:
-    lines = [{"action": "add", "kind": kind, "path": path, "chunk": c, "file": f, "episodes": counts[c, f], "mb": _mb(spark, f"{root}/{path}")} for (c, f), path in sorted(made.items())]
+def _actions(kind: str, made: dict, counts: dict, open_: dict | None) -> list[dict]:
+    lines = [{"action": "add", "kind": kind, "path": path, "chunk": c, "file": f, "episodes": counts[c, f], "mb": mb} for (c, f), (path, mb) in sorted(made.items())]
     if open_ and (open_["chunk"], open_["file"]) in made:
         lines += [{"action": "remove", "kind": kind, "path": p} for p in open_["paths"]]
     return lines
@@ -200,6 +218,7 @@ def append(ds: LoggedDataset, frames: DataFrame, mb_per_frame: float = 0.001, ep
     numbered = edits.renumbered(frames).withColumns({EPISODE: F.col(EPISODE) + info.total_episodes, "index": F.col("index") + info.total_frames})
     if "timestamp" not in frames.columns:
         numbered = numbered.withColumn("timestamp", (F.col(FRAME) / F.lit(float(info.fps))).cast("float"))
+    numbered = D.kept(numbered.select("task", *[F.col(f"`{f.name}`").cast(f.dataType).alias(f.name) for f in schema if f.name != "task_index"]), f"{root}/_staged/{tag}/rows")
     old_tasks = ds.tasks()
     fresh = numbered.groupBy("task").agg(F.min("index").alias("first")).join(old_tasks, "task", "left_anti")
     fresh = fresh.select("task", (F.row_number().over(Window.orderBy("first")) - 1 + info.total_tasks).cast("long").alias("task_index"))  # the append's own new tasks
@@ -210,7 +229,7 @@ def append(ds: LoggedDataset, frames: DataFrame, mb_per_frame: float = 0.001, ep
 
     open_data = _last(ds.files("data"))
     per = numbered.groupBy(EPISODE).agg((F.count(F.lit(1)) * mb_per_frame).alias("mb"))
-    binned = _kept(_binned(per, open_data, info.data_files_size_in_mb, info.chunks_size), f"{root}/_staged/{tag}/bins")
+    binned = D.kept(_binned(per, open_data, info.data_files_size_in_mb, info.chunks_size), f"{root}/_staged/{tag}/bins")
     placed = rows.join(binned.drop("mb"), EPISODE)
     #: The open file is read again only if an episode goes into it.
     goes_on = bool(open_data) and not binned.where((F.col("chunk") == open_data["chunk"]) & (F.col("file") == open_data["file"])).isEmpty()
@@ -220,15 +239,15 @@ def append(ds: LoggedDataset, frames: DataFrame, mb_per_frame: float = 0.001, ep
     made = _staged(placed, root, "data", tag, "index")
 
     new = F.col(EPISODE) >= info.total_episodes
-    back = spark.read.schema(schema).parquet(*[f"{root}/{p}" for p in made.values()]).where(new) if made else spark.createDataFrame([], schema)
+    back = _parquet(spark, root, [p for p, _ in made.values()], set(), schema).where(new) if made else spark.createDataFrame([], schema)
     counted = {k: f for k, f in info.features.items() if k not in ("index", "task_index")}
-    per_stats = D.feature_statistics(back, counted)
+    per_stats = D.kept(D.feature_statistics(back, counted), f"{root}/_staged/{tag}/stats")
     episodes = D.episode_ranges(back).join(D.episode_tasks(back, tasks), EPISODE).join(D.wide_statistics(per_stats, counted), EPISODE)
     episodes = episodes.join(binned.select(EPISODE, F.col("chunk").alias("data/chunk_index"), F.col("file").alias("data/file_index")), EPISODE)
 
     open_meta = _last(ds.files("episodes"))
     meta = _binned(episodes.select(EPISODE, F.lit(float(episode_mb)).alias("mb")), open_meta and open_meta | {"mb": open_meta["episodes"] * episode_mb}, info.data_files_size_in_mb, info.chunks_size).drop("mb")
-    meta = _kept(meta, f"{root}/_staged/{tag}/meta_bins")
+    meta = D.kept(meta, f"{root}/_staged/{tag}/meta_bins")
     where = {"meta/episodes/chunk_index": F.col("chunk"), "meta/episodes/file_index": F.col("file")}
     listed = episodes.join(meta, EPISODE).withColumns(where)
     if open_meta and not meta.where((F.col("chunk") == open_meta["chunk"]) & (F.col("file") == open_meta["file"])).isEmpty():
@@ -236,12 +255,12 @@ def append(ds: LoggedDataset, frames: DataFrame, mb_per_frame: float = 0.001, ep
         listed = listed.unionByName(old.withColumns({"chunk": F.lit(open_meta["chunk"]), "file": F.lit(open_meta["file"])}), allowMissingColumns=True)
     made_meta = _staged(listed, root, "meta/episodes", tag, EPISODE)
 
-    held = spark.read.parquet(*[f"{root}/{p}" for p in made_meta.values()]) if made_meta else None
+    held = _parquet(spark, root, [p for p, _ in made_meta.values()], set()) if made_meta else None
     of_data = {(r[0], r[1]): r[2] for r in held.groupBy("`data/chunk_index`", "`data/file_index`").agg(F.count(F.lit(1))).collect()} if held is not None else {}
     of_meta = {(r[0], r[1]): r[2] for r in held.groupBy("`meta/episodes/chunk_index`", "`meta/episodes/file_index`").agg(F.count(F.lit(1))).collect()} if held is not None else {}
     if goes_on and (key := (open_data["chunk"], open_data["file"])) in made:
         of_data[key] = open_data["episodes"] + binned.where((F.col("chunk") == key[0]) & (F.col("file") == key[1])).count()
-    lines = _actions("data", spark, root, made, of_data, open_data) + _actions("episodes", spark, root, made_meta, of_meta, open_meta)
+    lines = _actions("data", made, of_data, open_data) + _actions("episodes", made_meta, of_meta, open_meta)
     added = held.where(new).agg(F.count(F.lit(1)).alias("e"), F.coalesce(F.sum("length"), F.lit(0)).alias("n")).first() if held is not None else {"e": 0, "n": 0}
     total = info.total_episodes + added["e"]
     done = replace(info, total_episodes=total, total_frames=info.total_frames + added["n"], total_tasks=tasks.count(), splits={"train": f"0:{total}"})
@@ -261,9 +280,9 @@ def rewrite_episodes(ds: LoggedDataset, change: Callable[[DataFrame], DataFrame]
     hit = {tuple(r) for r in ds.episodes().where(touched).select(*place).distinct().collect()} if touched is not None else set(files)
     if not hit:
         return ds
-    rows = spark.read.option("mergeSchema", "true").parquet(*[f"{root}/{files[k]['path']}" for k in sorted(hit)])
+    rows = ds._read("episodes", merge=True) if len(hit) == len(files) else spark.read.option("mergeSchema", "true").parquet(*[f"{root}/{files[k]['path']}" for k in sorted(hit)])
     made = _staged(change(rows).withColumns({"chunk": place[0], "file": place[1]}), root, "meta/episodes", tag, EPISODE)
-    lines = _actions("episodes", spark, root, made, {k: files[k]["episodes"] for k in hit}, None) + [{"action": "remove", "kind": "episodes", "path": files[k]["path"]} for k in sorted(hit)]
+    lines = _actions("episodes", made, {k: files[k]["episodes"] for k in hit}, None) + [{"action": "remove", "kind": "episodes", "path": files[k]["path"]} for k in sorted(hit)]
     commit(spark, root, ds.version + 1, lines, ds.state | (state or {}))
     return LoggedDataset.load(spark, root)
 
@@ -277,7 +296,7 @@ def add_quantiles(ds: LoggedDataset, quantiles: Sequence[float]) -> LoggedDatase
     if not new:
         return ds
     names = [stats.quantile_name(q) for q in new]
-    per = D.feature_statistics(ds.frames(), counted, quantiles=new)
+    per = D.kept(D.feature_statistics(ds.frames(), counted, quantiles=new), f"{ds.root}/_staged/{uuid.uuid4().hex[:8]}/stats")
     tree = {k: dict(v) for k, v in ds.stats().items()}
     for r in stats.pooled_stats(per, ["feature", "dim"], new).orderBy("feature", "dim").collect():  # a row a dimension
         for n in names:

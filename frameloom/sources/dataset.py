@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import json
 from collections.abc import Sequence
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field, replace
 from functools import reduce
 
@@ -172,6 +173,39 @@ def exists(spark: SparkSession, path: str) -> bool:
     return fs.exists(p)
 
 
+def listed(spark: SparkSession, path: str) -> list[tuple[str, int]]:
+    """Paths and bytes of the part files two folders below, as partitioned writes by two columns leave them."""
+    p, fs = _path(spark, f"{path}/*/*/part-*")
+    return sorted((x.getPath().toString(), x.getLen()) for x in fs.globStatus(p) or [])
+
+
+#: Tasks put their files in place themselves: the driver moves none, and nothing reads the folder before it is settled.
+PLACED_BY_TASKS = {"mapreduce.fileoutputcommitter.algorithm.version": "2"}
+
+
+def moved(spark: SparkSession, pairs: Sequence[tuple[str, str]]) -> None:
+    """Rename files, several at a time; folders are made once."""
+    if not pairs:
+        return
+    new = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    _, fs = _path(spark, pairs[0][1])
+    for folder in sorted({to.rsplit("/", 1)[0] for _, to in pairs}):
+        fs.mkdirs(new(folder))
+
+    def move(pair: tuple[str, str]) -> None:
+        if not fs.rename(new(pair[0]), new(pair[1])):
+            raise OSError(f"{pair[0]} was not renamed to {pair[1]}")
+
+    with ThreadPoolExecutor(16) as pool:
+        list(pool.map(move, pairs))
+
+
+def kept(rows: DataFrame, path: str) -> DataFrame:
+    """Rows that are read several times, written once."""
+    rows.write.parquet(path)
+    return rows.sparkSession.read.schema(rows.schema).parquet(path)
+
+
 def flatten(tree: dict, sep: str = "/", head: str = "") -> dict:
     out = {}
     for k, v in tree.items():
@@ -219,11 +253,11 @@ class EpisodeDataset:
 
     def frames(self, episodes: Sequence[int] | None = None) -> DataFrame:
         """All frames, or those of some episodes; the filter reaches the Parquet scan."""
-        out = self.spark.read.schema(schema_of(self.info.features)).parquet(f"{self.root}/data/*/*.parquet")
+        out = self.spark.read.schema(schema_of(self.info.features)).parquet(f"{self.root}/data/*")
         return out if episodes is None else out.where(F.col(EPISODE).isin(list(episodes)))
 
     def episodes(self, with_stats: bool = False) -> DataFrame:
-        out = self.spark.read.parquet(f"{self.root}/meta/episodes/*/*.parquet")
+        out = self.spark.read.parquet(f"{self.root}/meta/episodes/*")
         return out if with_stats else out.drop(*[c for c in out.columns if c.startswith("stats/")])
 
     def tasks(self) -> DataFrame:
@@ -371,53 +405,56 @@ def write(frames: DataFrame, root: str, info: Info, mb_per_frame: float = 0.001)
     their ranges and statistics, tasks, info and pooled statistics. Everything after the frames is made from the written ones."""
     spark = frames.sparkSession
     features = info.features | DEFAULTS
-    rows = numbered(frames, info.fps)
     schema = schema_of(features)
-    rows = rows.select("task", *[F.col(f"`{f.name}`").cast(f.dataType).alias(f.name) for f in schema])
-    rows.select("task", "task_index").distinct().coalesce(1).sortWithinPartitions("task_index").write.mode("overwrite").parquet(f"{root}/meta/tasks.parquet")
+    made = f"{root}/_made"
+    _drop(spark, made)
+    rows = edits.renumbered(frames)
+    if "timestamp" not in frames.columns:
+        rows = rows.withColumn("timestamp", (F.col(FRAME) / F.lit(float(info.fps))).cast("float"))
+    rows = kept(rows.select("task", *[F.col(f"`{f.name}`").cast(f.dataType).alias(f.name) for f in schema if f.name != "task_index"]), f"{made}/rows")
+    edits.first_seen_tasks([rows]).select("task", F.col("task_index").cast("long").alias("task_index")).coalesce(1).sortWithinPartitions("task_index").write.mode("overwrite").parquet(f"{root}/meta/tasks.parquet")
     tasks = spark.read.parquet(f"{root}/meta/tasks.parquet")
     per = rows.groupBy(EPISODE).agg(F.count(F.lit(1)).alias("length"))
-    binned = edits.file_bins(per.withColumn("_mb", F.col("length") * mb_per_frame), "_mb", info.data_files_size_in_mb, info.chunks_size).drop("_mb").withColumnsRenamed({"chunk_index": "data/chunk_index", "file_index": "data/file_index"})
+    binned = kept(edits.file_bins(per.withColumn("_mb", F.col("length") * mb_per_frame), "_mb", info.data_files_size_in_mb, info.chunks_size).select(EPISODE, "chunk_index", "file_index"), f"{made}/bins").withColumnsRenamed({"chunk_index": "data/chunk_index", "file_index": "data/file_index"})
     names = F.format_string("chunk-%03d", F.col("`data/chunk_index`")), F.format_string("file-%03d", F.col("`data/file_index`"))
-    placed = rows.join(binned.select(EPISODE, names[0].alias("_chunk"), names[1].alias("_file")), EPISODE)
-    placed.drop("task").repartition("_chunk", "_file").sortWithinPartitions("_chunk", "_file", "index").write.mode("overwrite").partitionBy("_chunk", "_file").parquet(f"{root}/_data")
+    placed = rows.join(tasks, "task").select(*schema.names).join(binned.select(EPISODE, names[0].alias("_chunk"), names[1].alias("_file")), EPISODE)
+    placed.repartition("_chunk", "_file").sortWithinPartitions("_chunk", "_file", "index").write.mode("overwrite").options(**PLACED_BY_TASKS).partitionBy("_chunk", "_file").parquet(f"{root}/_data")
     _settle(spark, f"{root}/_data", f"{root}/data")
-    back = spark.read.schema(schema).parquet(f"{root}/data/*/*.parquet")
+    back = spark.read.schema(schema).parquet(f"{root}/data/*")
     counted = {k: f for k, f in features.items() if k not in ("index", "task_index")}
-    per_stats = feature_statistics(back, counted)
-    where = F.regexp_extract_all(F.input_file_name(), F.lit(r"-(\d+)"), 1)
-    files = back.select(EPISODE, "index", F.element_at(where, -2).cast("long").alias("_c"), F.element_at(where, -1).cast("long").alias("_f")).groupBy(EPISODE).agg(F.first("_c").alias("data/chunk_index"), F.first("_f").alias("data/file_index"))
+    per_stats = kept(feature_statistics(back, counted), f"{made}/stats")
     #: Episode rows go to files of EPISODES_PER_FILE episodes, by number.
     file = F.floor(F.col(EPISODE) / EPISODES_PER_FILE)
-    episodes = episode_ranges(back).join(files, EPISODE).join(episode_tasks(back, tasks), EPISODE).join(wide_statistics(per_stats, counted), EPISODE).withColumn("meta/episodes/chunk_index", F.floor(file / info.chunks_size)).withColumn("meta/episodes/file_index", file % info.chunks_size)
+    episodes = episode_ranges(back).join(binned, EPISODE).join(episode_tasks(back, tasks), EPISODE).join(wide_statistics(per_stats, counted), EPISODE).withColumn("meta/episodes/chunk_index", F.floor(file / info.chunks_size)).withColumn("meta/episodes/file_index", file % info.chunks_size)
     where = F.format_string("chunk-%03d", F.col("`meta/episodes/chunk_index`")), F.format_string("file-%03d", F.col("`meta/episodes/file_index`"))
     placed = episodes.withColumn("_chunk", where[0]).withColumn("_file", where[1])
-    placed.repartition("_chunk", "_file").sortWithinPartitions("_chunk", "_file", EPISODE).write.mode("overwrite").partitionBy("_chunk", "_file").parquet(f"{root}/meta/_episodes")
+    placed.repartition("_chunk", "_file").sortWithinPartitions("_chunk", "_file", EPISODE).write.mode("overwrite").options(**PLACED_BY_TASKS).partitionBy("_chunk", "_file").parquet(f"{root}/meta/_episodes")
     _settle(spark, f"{root}/meta/_episodes", f"{root}/meta/episodes")
     write_text(spark, f"{root}/meta/stats.json", json.dumps(statistics_tree(stats.pooled_stats(per_stats, ["feature", "dim"])), indent=4))
-    kept = spark.read.parquet(f"{root}/meta/episodes/*/*.parquet")
-    totals = kept.agg(F.count(F.lit(1)).alias("e"), F.coalesce(F.sum("length"), F.lit(0)).alias("n")).first()
+    written = spark.read.parquet(f"{root}/meta/episodes/*")
+    totals = written.agg(F.count(F.lit(1)).alias("e"), F.coalesce(F.sum("length"), F.lit(0)).alias("n")).first()
     done = replace(info, features=features, total_episodes=totals["e"], total_frames=totals["n"], total_tasks=tasks.count(), splits={"train": f"0:{totals['e']}"})
+    _drop(spark, made)
     write_text(spark, f"{root}/meta/info.json", done.to_json())
     return EpisodeDataset(spark, root, done)
 
 
+def _drop(spark: SparkSession, path: str) -> None:
+    p, fs = _path(spark, path)
+    fs.delete(p, True)
+
+
 def _settle(spark: SparkSession, made: str, to: str) -> None:
     """Spark's partition folders as <chunk>/<file>.parquet."""
-    src, fs = _path(spark, made)
-    new = lambda p: spark.sparkContext._jvm.org.apache.hadoop.fs.Path(p)
-    fs.delete(new(to), True)
-    for chunk in fs.listStatus(src):
-        name = chunk.getPath().getName()
-        if not name.startswith("_chunk="):
-            continue
-        for file in fs.listStatus(chunk.getPath()):
-            target = f"{to}/{name.split('=', 1)[1]}/{file.getPath().getName().split('=', 1)[1]}"
-            fs.mkdirs(new(to + "/" + name.split("=", 1)[1]))
-            parts = [p.getPath() for p in fs.listStatus(file.getPath()) if p.getPath().getName().startswith("part-")]
-            for i, p in enumerate(parts):
-                fs.rename(p, new(f"{target}{f'-{i}' if i else ''}.parquet"))
-    fs.delete(src, True)
+    _drop(spark, to)
+    pairs, before = [], None
+    for path, _ in listed(spark, made):
+        chunk, file = (x.split("=", 1)[1] for x in path.split("/")[-3:-1])
+        i = i + 1 if (chunk, file) == before else 0  # parts of one file follow each other
+        before = chunk, file
+        pairs.append((path, f"{to}/{chunk}/{file}{f'-{i}' if i else ''}.parquet"))
+    moved(spark, pairs)
+    _drop(spark, made)
 
 
 def read_legacy(spark: SparkSession, root: str) -> dict[str, DataFrame]:
@@ -435,7 +472,7 @@ def convert_legacy(spark: SparkSession, root: str, to: str) -> EpisodeDataset:
     raw = json.loads(read_text(spark, f"{root}/meta/info.json"))
     info = Info.from_json(json.dumps(raw | {"codebase_version": VERSION}))
     tasks = read_legacy(spark, root)["tasks"].select("task", F.col("task_index").cast("long").alias("task_index"))
-    frames = spark.read.parquet(f"{root}/data/*/*.parquet").join(tasks, "task_index").drop("task_index", "index", "timestamp")
+    frames = spark.read.parquet(f"{root}/data/*").join(tasks, "task_index").drop("task_index", "index", "timestamp")
     return write(frames, to, replace(info, features={k: f for k, f in info.features.items() if k not in DEFAULTS}))
 
 

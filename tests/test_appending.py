@@ -78,3 +78,20 @@ def test_episode_rows_are_rewritten_by_file(spark, tmp_path, info):
     #: The next append goes on from here; its episodes lack what only the others have.
     last = A.append(more, _frames(spark, 0, 1), 0.03, 0.21)
     assert last.episodes().count() == 10 and last.episodes().where("note is null").count() == 6
+
+
+def test_many_files_are_read_by_their_folders(spark, tmp_path, info, monkeypatch):
+    """Files that a commit removed, those of lost appends and those of later states are left out."""
+    monkeypatch.setattr(A, "FEW_FILES", 0)
+    first = A.append(A.create(spark, str(tmp_path / "d"), info), _frames(spark, 0, 5), 0.03, 0.21)
+
+    def lose():
+        raise RuntimeError("lost")
+
+    with pytest.raises(RuntimeError):
+        A.append(first, _frames(spark, 0, 3), 0.03, 0.21, before_commit=lose)
+    second = A.append(first, _frames(spark, 5, 8), 10.0 / 333, 0.21)
+    want = [(e, 10 * e + f, float(100 * e + f)) for e in range(8) for f in range(10)]
+    assert _values(second) == want and _values(A.LoggedDataset.load(spark, second.root, first.version)) == want[:50]
+    assert sorted(r[0] for r in second.episodes().select("episode_index").collect()) == list(range(8))
+    assert len(second.frames().inputFiles()) < len([*tmp_path.glob("d/data/*/*.parquet")])
