@@ -278,12 +278,20 @@ def _bin_rows(held: dict, kinds: pa.Schema) -> Iterator[pa.RecordBatch]:
 
 
 def growing_quantiles(histogram: DataFrame, by: Sequence[str] = (), quantiles: Sequence[float] = QUANTILES) -> DataFrame:
-    """Quantiles from a growing histogram, linear inside the bin: off by a bin's width at most."""
+    """Quantiles from a growing histogram: off by less than a bin's width from the exact ones, which are linear between ranks.
+
+    The two values beside q * (n - 1) are each placed in their own bin and joined by the rank's part: where few values lie far
+    apart, as in a tail, a quantile is between bins."""
     upto = Window.partitionBy(*by).orderBy("bin").rowsBetween(Window.unboundedPreceding, 0)
     cum = histogram.withColumn("_cum", F.sum("n").over(upto)).withColumn("_all", F.sum("n").over(Window.partitionBy(*by)))
     width = F.pow(F.lit(2.0), "k")
-    inside = lambda q: width * (F.col("bin") + F.greatest(F.lit(q) * F.col("_all") - (F.col("_cum") - F.col("n")), F.lit(0.0)) / F.col("n"))
-    return cum.groupBy(*by).agg(*[F.min_by(inside(q), F.when(F.col("_cum") >= F.lit(q) * F.col("_all"), F.col("bin"))).alias(quantile_name(q)) for q in quantiles], F.sum("n").alias("count"))
+    out = []
+    for q in quantiles:
+        rank = F.lit(q) * (F.col("_all") - 1)
+        at = lambda r: F.min_by(width * (F.col("bin") + (r - (F.col("_cum") - F.col("n")) + 0.5) / F.col("n")), F.when(F.col("_cum") > r, F.col("bin")))
+        first, last, part = at(F.floor(rank)), at(F.ceil(rank)), F.max(rank - F.floor(rank))
+        out.append((first + (last - first) * part).alias(quantile_name(q)))
+    return cum.groupBy(*by).agg(*out, F.sum("n").alias("count"))
 
 
 def episode_bounds(frames: DataFrame, index: str = "index") -> DataFrame:

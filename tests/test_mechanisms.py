@@ -53,6 +53,16 @@ def test_growing_histogram_is_the_same_however_rows_are_dealt(spark, values):
     assert q["count"] == len(values) and abs(q["q50"] - exact) <= 2.0**k
 
 
+def test_growing_quantiles_between_far_values(spark):
+    """The exact quantile is between two values that lie many bins apart."""
+    values = [i / 100 for i in range(186)] + [500.0, 1000.0]
+    h = S.growing_histogram(spark.createDataFrame([(v,) for v in values], "v double"), "v", (), 64)
+    got, width = S.growing_quantiles(h).first(), 2.0 ** h.first()["k"]
+    assert got["count"] == len(values)
+    for q in S.QUANTILES:
+        assert abs(got[S.quantile_name(q)] - float(np.quantile(values, q))) <= width
+
+
 def test_growing_histogram_merges_in_any_order():
     rng = random.Random(3)
     parts = []
