@@ -239,10 +239,12 @@ class SpanMemo:
 
     def keep(self, slots: np.ndarray) -> None:
         """Forget all but these slots, which rise; they are numbered anew in their order."""
-        size = np.where(self.sizes[slots] > 7, self.sizes[slots], 0)
+        held = np.where(self.sizes > 7, self.sizes, 0)
+        size = held[slots]
         ends = np.cumsum(size)
-        total = int(ends[-1]) if len(ends) else 0
-        self.body = self.body[np.arange(total) + np.repeat(self.at[slots] - (ends - size), size)]
+        chosen = np.zeros(len(self), bool)
+        chosen[slots] = True
+        self.body = self.body[np.repeat(chosen, held)]  # spans follow each other in the order of their slots
         number = np.full(len(self), -1, np.int32)
         number[slots] = np.arange(len(slots), dtype=np.int32)
         self.at, self.sizes = ends - size, self.sizes[slots]

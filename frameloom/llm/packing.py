@@ -34,6 +34,10 @@ LENGTH = 1024
 END = 0
 GAP = 0.002
 ROUNDS = 100
+#: So many stretches are tokenised at once.
+BLOCK = 2_000
+#: Texts are taken in runs of about so many bytes.
+RUN_BYTES = 1 << 20
 
 
 def tokenizer_path() -> str:
@@ -59,12 +63,13 @@ class Ids:
         self.flat = np.zeros(0, np.uint32)
 
     def thin_out(self):
-        keep = np.flatnonzero(self.used > 1)
+        often = self.used > 1
+        keep = np.flatnonzero(often)
         size = self.n[keep].astype(np.int64)
         if size.sum() > self.most // 2:
             return self.forget()
         ends = np.cumsum(size)
-        self.flat = self.flat[np.arange(int(size.sum())) + np.repeat(self.at[keep] - (ends - size), size)]
+        self.flat = self.flat[np.repeat(often, self.n)]  # the stretches' ids follow each other
         self.seen.keep(keep)
         self.at, self.n, self.used = (ends - size).astype(np.int32), self.n[keep], np.zeros(len(keep), np.int32)
 
@@ -85,13 +90,16 @@ class Ids:
         slot, new = self.seen.find(raw, starts, ends)
         if len(new):
             body = raw.tobytes()
-            found = []
-            for i in range(0, len(new), 5_000):
-                some = new[i : i + 5_000]
-                found += [e.ids for e in self.tokenizer.encode_batch([body[s:e].decode("utf-8", "replace") for s, e in zip(starts[some].tolist(), ends[some].tolist())], add_special_tokens=False)]
-            sizes = np.fromiter(map(len, found), np.int64, len(found))
+            #: Lists of ids take ten times the room of arrays, so they are kept for a block of stretches only.
+            size, flat = [], [self.flat]
+            for i in range(0, len(new), BLOCK):
+                some = new[i : i + BLOCK]
+                found = [e.ids for e in self.tokenizer.encode_batch_fast([body[s:e].decode("utf-8", "replace") for s, e in zip(starts[some].tolist(), ends[some].tolist())], add_special_tokens=False)]
+                size.append(np.fromiter(map(len, found), np.int64, len(found)))
+                flat.append(np.fromiter(chain.from_iterable(found), np.uint32, int(size[-1].sum())))
+            sizes = np.concatenate(size)
             at = len(self.flat) + np.concatenate([[0], np.cumsum(sizes)[:-1]])
-            self.flat = np.concatenate([self.flat, np.fromiter(chain.from_iterable(found), np.uint32, int(sizes.sum()))])
+            self.flat = np.concatenate(flat)
             self.at, self.n, self.used = (np.concatenate([old, own.astype(np.int32)]) for old, own in ((self.at, at), (self.n, sizes), (self.used, np.zeros(len(new)))))
         self.used[np.unique(slot)] += 1
         at, size = self.at[slot].astype(np.int64), self.n[slot].astype(np.int64)
@@ -120,7 +128,7 @@ def pieces(df: DataFrame, key: str = "doc_id", text: str = "text", path: str | N
         ids_of = _ids(path)
         for batch in batches:
             raw, off = text_buffers(batch.column(1))
-            for i, j in slices(off):
+            for i, j in slices(off, RUN_BYTES):
                 ids, first = ids_of.texts(raw[off[i] : off[j]], off[i : j + 1] - off[i])
                 row, start, size, crc, total = [], [], [], [], []
                 for k in range(j - i):
@@ -133,7 +141,8 @@ def pieces(df: DataFrame, key: str = "doc_id", text: str = "text", path: str | N
                         crc.append(zlib.crc32(part.tobytes()))
                         total.append(len(own_ids))
                 yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row, pa.int64())), *[pa.array(x, pa.int64()) for x in (start, size, crc, total)]], names=schema.names)
-        release()
+            del ids, first, raw, off
+            release()
 
     return own.mapInArrow(run, schema)
 

@@ -6,6 +6,7 @@ import math
 import random
 import re
 import time
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -13,7 +14,7 @@ import pytest
 import regex
 from pyspark.sql import functions as F
 
-from frameloom.llm import html_consensus, language_id, lm_scoring, lsh_forest, pii_surrogates, spotsigs
+from frameloom.llm import html_consensus, language_id, lm_scoring, lsh_forest, packing, pii_surrogates, spotsigs
 from frameloom.llm import _text
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -332,3 +333,18 @@ def test_spotsigs_brute_force_over_all_documents(spark):
         own = got[r["doc_id"]]
         assert len(spotsigs.decode(own["fingerprint"])) == len(sets[i]) and len(spotsigs.decode(own["edited_fingerprint"])) == len(changed)
         assert own["near_edited"] == pytest.approx(like(sets[i], changed)) and own["near_next"] == pytest.approx(like(sets[i], sets[j]))
+
+
+def test_packing_keeps_no_lists_of_ids():
+    """Stretches that a worker has not met are tokenised a block at a time: beside them there are arrays only."""
+    rng = random.Random(5)
+    text = " ".join("".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=8)) for _ in range(100_000)).encode()
+    raw, ids = np.frombuffer(text, np.uint8), packing.Ids(packing.tokenizer_path())
+    tracemalloc.start()
+    try:
+        got, first = ids.texts(raw, np.array([0, len(raw)]))
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert first.tolist() == [0, len(got)] and got.tolist() == ids.tokenizer.encode(text.decode(), add_special_tokens=False).ids
+    assert peak < 40 * len(text)
