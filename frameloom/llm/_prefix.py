@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ._frames import checkpointed
@@ -11,25 +13,47 @@ from ._frames import checkpointed
 BLOCK = 512
 
 
-def prefix_pairs(sets: DataFrame, percent: int, alike=None) -> DataFrame:
-    """sets: id, l (its component), n (its size), all (array of its values), and columns that ``alike`` reads. Returns distinct
-    pairs id_x, id_y of sets in two components, among which every pair with 100 * common >= percent * union is.
+def _shared(df: DataFrame) -> DataFrame:
+    """The values that sets of two components hold, and how many sets do."""
+    return df.groupBy("s").agg(F.count(F.lit(1)).alias("held"), F.min("l").alias("l0"), F.max("l").alias("l1")).where("l0 <> l1").select("s", "held")
+
+
+def prefixes(sets: DataFrame, percent: int) -> DataFrame:
+    """sets: id, l (its component), n (its size), all (array of its values). Returns their prefixes: id, l, n, s, place.
 
     Sets of n and more values that are alike share one of the first n - ceil(percent * n / 100) + 1 of each, in any order that is
     the same for all. The order here: values of one component only, then the others from rare to common. So values that tell a
-    component from the rest fill the prefixes, and they make no pair. ``alike(x, y)``, if given, is a column over a pair's
-    columns with _x and _y behind them, tested where the pair meets."""
-    more = [c for c in sets.columns if c not in ("id", "l", "n", "all")]
+    component from the rest fill the prefixes, and they make no pair. Components may be joined afterwards (l is then another):
+    sets that are still in two were so before."""
     rows = sets.select("id", "l", F.explode("all").alias("s"))
-    shared = lambda df: df.groupBy("s").agg(F.count(F.lit(1)).alias("held"), F.min("l").alias("l0"), F.max("l").alias("l1")).where("l0 <> l1").select("s", "held")
     of_set = Window.partitionBy("id")
-    placed = rows.select("id", "s").join(shared(rows), "s").join(sets.select("id", "l", "n"), "id").withColumn("place", F.row_number().over(of_set.orderBy("held", "s")) + F.col("n") - F.count(F.lit(1)).over(of_set))
-    first = checkpointed(placed.where(f"place <= n - (n * {percent} + 99) div 100 + 1").select("id", "l", "n", "s", "place"))
+    placed = rows.select("id", "s").join(_shared(rows), "s").join(sets.select("id", "l", "n"), "id").withColumn("place", F.row_number().over(of_set.orderBy("held", "s")) + F.col("n") - F.count(F.lit(1)).over(of_set))
+    return checkpointed(placed.where(f"place <= n - (n * {percent} + 99) div 100 + 1").select("id", "l", "n", "s", "place"))
+
+
+def pivot_pairs(first: DataFrame, marks: DataFrame, percent: int, turn: int, apart: Callable[[], Column], most: int = 3) -> DataFrame:
+    """Of the pairs of pairs_of ``most`` for each set at most: id_x, id_y. first: prefixes; marks: id, n and what ``apart``
+    reads (with _x and _y behind it). Every list has two pivots, which each turn draws anew; a set meets those of another component, the
+    nearest by ``apart`` first, and none for which that is above 0."""
+    drawn = F.struct(F.xxhash64(F.lit(turn), "id"), F.struct("id", "l").alias("p"))
+    ends = first.groupBy("s").agg(F.min(drawn)["p"].alias("p0"), F.max(drawn)["p"].alias("p1"), F.min("l").alias("l0"), F.max("l").alias("l1")).where("l0 <> l1").select("s", "p0", "p1")
+    pivot = F.when(F.col("p0.l") != F.col("l"), F.col("p0.id")).when(F.col("p1.l") != F.col("l"), F.col("p1.id"))
+    met = first.join(ends, "s").select(F.col("id").alias("id_x"), pivot.alias("id_y")).where("id_y is not null").distinct()
+    side = lambda end: marks.select(*[F.col(c).alias(f"{c}_{end}") for c in marks.columns])
+    near = met.join(side("x"), "id_x").join(side("y"), "id_y").where(f"100 * least(n_x, n_y) >= {percent} * greatest(n_x, n_y)").withColumn("apart", apart()).where("apart <= 0")
+    place = F.row_number().over(Window.partitionBy("id_x").orderBy("apart", F.xxhash64(F.lit(turn), "id_y"), "id_y"))
+    return near.withColumn("place", place).where(F.col("place") <= most).select(F.least("id_x", "id_y").alias("id_x"), F.greatest("id_x", "id_y").alias("id_y")).distinct()
+
+
+def pairs_of(first: DataFrame, marks: DataFrame, percent: int, apart: Callable[[], Column]) -> DataFrame:
+    """Distinct pairs of sets in two components that share a value of both prefixes, among which every pair with
+    100 * common >= percent * union is: id_x, id_y, apart. ``apart()``, above 0 for pairs that can't be alike, is tested where the pair meets."""
+    more = [c for c in marks.columns if c not in ("id", "n")]
     #: One side of a long list is cut in blocks, the other is in all of them; lists are counted by aggregation.
-    lists = shared(first).select("s", F.ceil(F.col("held") / BLOCK).cast("int").alias("blocks"))
+    lists = _shared(first).select("s", F.ceil(F.col("held") / BLOCK).cast("int").alias("blocks"))
     dealt = first.join(lists, "s")
     if more:
-        dealt = dealt.join(sets.select("id", *more), "id")
+        dealt = dealt.join(marks.select("id", *more), "id")
     cells = ["id", "l", "n", "place", *more]
     x = dealt.select("s", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int").alias("block"), *[F.col(c).alias(f"{c}_x") for c in cells])
     y = dealt.select("s", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), *[F.col(c).alias(f"{c}_y") for c in cells])
@@ -37,6 +61,11 @@ def prefix_pairs(sets: DataFrame, percent: int, alike=None) -> DataFrame:
     need = f"{percent} * (n_x + n_y)"
     met = x.join(y, ["s", "block"]).where("l_x < l_y").where(f"{100 + percent} * (n_x - place_x + 1) >= {need} and {100 + percent} * (n_y - place_y + 1) >= {need}")
     met = met.where(f"100 * least(n_x, n_y) >= {percent} * greatest(n_x, n_y)")
-    if alike is not None:
-        met = met.where(alike())
-    return met.select("id_x", "id_y").distinct()
+    return met.withColumn("apart", apart()).where("apart <= 0").select("id_x", "id_y", "apart").distinct()
+
+
+def nearest(pairs: DataFrame, most: int = 3) -> DataFrame:
+    """The pairs that are among the ``most`` nearest of one of their sets: id_x, id_y."""
+    ends = pairs.select("id_x", "id_y", "apart", F.explode(F.array("id_x", "id_y")).alias("of"))
+    place = F.row_number().over(Window.partitionBy("of").orderBy("apart", F.xxhash64("id_x", "id_y"), "id_x", "id_y"))
+    return ends.withColumn("place", place).where(F.col("place") <= most).select("id_x", "id_y").distinct()

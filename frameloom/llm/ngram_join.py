@@ -12,9 +12,12 @@
    with other pivots, each of another component.
 4. Lists are then read for values that sets of two components hold. In a slice of the hash range (below ``SLICE`` percent), a set whose own component alone holds as many
    values as its prefix has (n - ceil(percent * n / 100) + 1) can have no link outside: any partner must share a value of
-   any such prefix. The sets left, with all their values, meet in lists of their prefixes (``_prefix.prefix_pairs``), rare values
+   any such prefix. The sets left, with all their values, meet in lists of their prefixes (``_prefix``), rare values
    first and no component with itself. Where two meet, the parity maps of their sets bound how many values they differ
-   in; pairs that differ in too many go no further. The others are confirmed on full sets.
+   in; pairs that differ in too many go no further. The others are confirmed on full sets, in turns: before all pairs of a list meet, its
+   sets meet pivots of it (``LIST_TURNS``), and of all pairs first the nearest few of each set are confirmed (``PAIR_TURNS``).
+   A turn joins components, and pairs inside one are not needed any more: so a crowd that is one component is confirmed by a few
+   pairs a set, and only pairs between components are all confirmed.
 5. Connected components of all links.
 
 So a crowd of near copies costs a pair for each member in 3 and pairs between components in 4, and no link is lost.
@@ -36,7 +39,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ._frames import checkpointed, map_text
-from ._prefix import prefix_pairs
+from ._prefix import nearest, pairs_of, pivot_pairs, prefixes
 from ._text import mix64, slices, text_buffers
 from .components import components
 from .lsh_forest import _joined, confirmed, own_texts, shingle_sets
@@ -48,7 +51,9 @@ SLICE = 20
 #: Sets up to this size may be light.
 LIGHT = 20
 #: So often are pivots drawn; it only makes the lists of 4 shorter.
-TURNS = 4
+TURNS = 3
+#: So often are pivots drawn from the lists, and the nearest pairs of each set confirmed before others; it only makes the rest fewer.
+LIST_TURNS, PAIR_TURNS = 1, 2
 #: So many classes' keys (about 20 MB) are broadcast to look texts up; more are joined by shuffle.
 LOOKUP = 300_000
 
@@ -214,12 +219,13 @@ def parity_map(values: np.ndarray) -> np.ndarray:
     return np.packbits(odd.astype(np.uint8), bitorder="little").view("<i8")
 
 
-def _near_enough(percent: int) -> Column:
-    """Two sets' parity maps differ in no more bits than the sets do in values; so pairs that can't link are told, and none that can."""
+def _apart(percent: int) -> Column:
+    """How many more bits two sets' parity maps differ in than values may in linked sets of their sizes. Maps differ in no more bits than the sets
+    do in values; so above 0 pairs that can't link are told, and none that can."""
     differ = F.lit(0)
     for k in range(BITS // 64):
         differ = differ + F.bit_count(F.col("map_x")[k].bitwiseXOR(F.col("map_y")[k]))
-    return differ <= F.expr(f"n_x + n_y - 2 * (((n_x + n_y) * {percent} + {99 + percent}) div {100 + percent})")
+    return differ - F.expr(f"n_x + n_y - 2 * (((n_x + n_y) * {percent} + {99 + percent}) div {100 + percent})")
 
 
 def _all_values(n: int):
@@ -261,12 +267,41 @@ def links(own: DataFrame, digest: DataFrame, percent: int = PERCENT, n: int = SH
     if open_.isEmpty():
         return label
     bodies = texts(open_)
-    ids = checkpointed(bodies.select("cls").join(_by_key(label, "node").select(F.col("node").alias("cls"), "label"), "cls", "left").select("cls", F.xxhash64(F.coalesce("label", "cls")).alias("l"), F.monotonically_increasing_id().alias("id")))
+    ids = checkpointed(bodies.select("cls", F.monotonically_increasing_id().alias("id")))
+
+    def named(label: DataFrame) -> DataFrame:
+        """id, l: the open sets' components."""
+        return ids.join(_by_key(label, "node").select(F.col("node").alias("cls"), "label"), "cls", "left").select("id", F.xxhash64(F.coalesce("label", "cls")).alias("l"))
+
+    def found(met: DataFrame) -> DataFrame:
+        """The links among pairs id_x, id_y."""
+        pairs = met.join(ids.select(F.col("id").alias("id_x"), F.col("cls").alias("a")), "id_x").join(ids.select(F.col("id").alias("id_y"), F.col("cls").alias("b")), "id_y").select("a", "b")
+        return checkpointed(confirmed(pairs, bodies, percent, n))
+
     #: The sets are built anew wherever they are read: their values take more room than the texts.
-    sets = map_text(bodies.join(_by_key(ids, "cls"), "cls").select("id", "l", "text"), _all_values(n), [T.StructField("all", T.ArrayType(T.LongType())), T.StructField("map", T.ArrayType(T.LongType()))], drop=["text"]).withColumn("n", F.size("all").cast("long"))
-    met = prefix_pairs(sets, percent, lambda: _near_enough(percent)).join(ids.select(F.col("id").alias("id_x"), F.col("cls").alias("a")), "id_x").join(ids.select(F.col("id").alias("id_y"), F.col("cls").alias("b")), "id_y").select("a", "b")
-    more = checkpointed(confirmed(met, bodies, percent, n))
-    return _joined(label, more)
+    sets = map_text(bodies.join(_by_key(ids, "cls"), "cls").select("id", "text"), _all_values(n), [T.StructField("all", T.ArrayType(T.LongType())), T.StructField("map", T.ArrayType(T.LongType()))], drop=["text"]).withColumn("n", F.size("all").cast("long"))
+    marks = checkpointed(sets.select("id", "n", "map"))
+    first = prefixes(sets.drop("map").join(named(label), "id"), percent)
+    apart = lambda: _apart(percent)
+    for turn in range(LIST_TURNS):
+        more = found(pivot_pairs(first, marks, percent, turn, apart))
+        if more.isEmpty():
+            break
+        label = _joined(label, more)
+        first = checkpointed(first.drop("l").join(_by_key(named(label), "id"), "id"))
+    left = checkpointed(pairs_of(first, marks, percent, apart))
+    for _ in range(PAIR_TURNS):
+        few = checkpointed(nearest(left))
+        more = found(few)
+        if more.isEmpty():
+            break
+        label = _joined(label, more)
+        of = _by_key(named(label), "id")
+        left = left.join(few, ["id_x", "id_y"], "left_anti").join(of.select(F.col("id").alias("id_x"), F.col("l").alias("l_x")), "id_x").join(of.select(F.col("id").alias("id_y"), F.col("l").alias("l_y")), "id_y")
+        left = checkpointed(left.where("l_x <> l_y").select("id_x", "id_y", "apart"))
+        if left.isEmpty():
+            return label
+    return _joined(label, found(left.select("id_x", "id_y")))
 
 
 def similar(df: DataFrame, key: str = "doc_id", text: str = "text", percent: int = PERCENT, n: int = SHINGLE) -> DataFrame:

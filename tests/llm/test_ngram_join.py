@@ -92,6 +92,38 @@ def test_every_link_without_the_first_round(docs, rows, monkeypatch):
     assert sorted(map(tuple, ngram_join.similar(docs).collect()), key=str) == _truth(rows, 85)
 
 
+@pytest.mark.parametrize("lists,pairs", [(0, 0), (3, 1)])
+def test_every_link_in_other_turns(docs, rows, lists, pairs, monkeypatch):
+    for name, n in (("TURNS", 0), ("LIST_TURNS", lists), ("PAIR_TURNS", pairs)):
+        monkeypatch.setattr(ngram_join, name, n)
+    assert sorted(map(tuple, ngram_join.similar(docs).collect()), key=str) == _truth(rows, 85)
+
+
+def test_a_crowd_is_confirmed_by_a_few_pairs_a_set(spark, monkeypatch):
+    """A crowd that no pivot has joined has as many pairs as the square of its sets; a few for each set are confirmed."""
+    rng = random.Random(8)
+    vocab = [f"w{i}" for i in range(500)]
+    crowd = [rng.choice(vocab) for _ in range(150)]
+    rows = []
+    for i in range(120):
+        w = list(crowd)
+        for _ in range(rng.randint(1, 2)):
+            w[rng.randrange(len(w))] = rng.choice(vocab)
+        rows.append((i, " ".join(w)))
+    seen, real = [], ngram_join.confirmed
+
+    def counted(pairs, *more):
+        seen.append(pairs.count())
+        return real(pairs, *more)
+
+    monkeypatch.setattr(ngram_join, "confirmed", counted)
+    monkeypatch.setattr(ngram_join, "TURNS", 0)
+    monkeypatch.setattr(ngram_join, "LIST_TURNS", 0, raising=False)
+    got = ngram_join.similar(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(map(tuple, got), key=str) == _truth(rows, 85) and {r[2] for r in got} == {0}
+    assert sum(seen) <= 6 * len(rows)
+
+
 def test_parity_maps_bound_the_difference():
     rng = random.Random(3)
     values = [rng.getrandbits(64) for _ in range(400)]
