@@ -31,20 +31,6 @@ def prefixes(sets: DataFrame, percent: int) -> DataFrame:
     return checkpointed(placed.where(f"place <= n - (n * {percent} + 99) div 100 + 1").select("id", "l", "n", "s", "place"))
 
 
-def pivot_pairs(first: DataFrame, marks: DataFrame, percent: int, turn: int, apart: Callable[[], Column], most: int = 3) -> DataFrame:
-    """Of the pairs of pairs_of ``most`` for each set at most: id_x, id_y. first: prefixes; marks: id, n and what ``apart``
-    reads (with _x and _y behind it). Every list has two pivots, which each turn draws anew; a set meets those of another component, the
-    nearest by ``apart`` first, and none for which that is above 0."""
-    drawn = F.struct(F.xxhash64(F.lit(turn), "id"), F.struct("id", "l").alias("p"))
-    ends = first.groupBy("s").agg(F.min(drawn)["p"].alias("p0"), F.max(drawn)["p"].alias("p1"), F.min("l").alias("l0"), F.max("l").alias("l1")).where("l0 <> l1").select("s", "p0", "p1")
-    pivot = F.when(F.col("p0.l") != F.col("l"), F.col("p0.id")).when(F.col("p1.l") != F.col("l"), F.col("p1.id"))
-    met = first.join(ends, "s").select(F.col("id").alias("id_x"), pivot.alias("id_y")).where("id_y is not null").distinct()
-    side = lambda end: marks.select(*[F.col(c).alias(f"{c}_{end}") for c in marks.columns])
-    near = met.join(side("x"), "id_x").join(side("y"), "id_y").where(f"100 * least(n_x, n_y) >= {percent} * greatest(n_x, n_y)").withColumn("apart", apart()).where("apart <= 0")
-    place = F.row_number().over(Window.partitionBy("id_x").orderBy("apart", F.xxhash64(F.lit(turn), "id_y"), "id_y"))
-    return near.withColumn("place", place).where(F.col("place") <= most).select(F.least("id_x", "id_y").alias("id_x"), F.greatest("id_x", "id_y").alias("id_y")).distinct()
-
-
 def pairs_of(first: DataFrame, marks: DataFrame, percent: int, apart: Callable[[], Column]) -> DataFrame:
     """Distinct pairs of sets in two components that share a value of both prefixes, among which every pair with
     100 * common >= percent * union is: id_x, id_y, apart. ``apart()``, above 0 for pairs that can't be alike, is tested where the pair meets."""

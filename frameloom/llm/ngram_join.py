@@ -14,9 +14,8 @@
    values as its prefix has (n - ceil(percent * n / 100) + 1) can have no link outside: any partner must share a value of
    any such prefix. The sets left, with all their values, meet in lists of their prefixes (``_prefix``), rare values
    first and no component with itself. Where two meet, the parity maps of their sets bound how many values they differ
-   in; pairs that differ in too many go no further. The others are confirmed on full sets, in turns: before all pairs of a list meet, its
-   sets meet pivots of it (``LIST_TURNS``), and of all pairs first the nearest few of each set are confirmed (``PAIR_TURNS``).
-   A turn joins components, and pairs inside one are not needed any more: so a crowd that is one component is confirmed by a few
+   in; pairs that differ in too many go no further. The others are confirmed on full sets, in ``PAIR_TURNS`` turns:
+   of all pairs first the nearest few of each set. A turn joins components, and pairs inside one are not needed any more: so a crowd that is one component is confirmed by a few
    pairs a set, and only pairs between components are all confirmed.
 5. Connected components of all links.
 
@@ -39,7 +38,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ._frames import checkpointed, map_text
-from ._prefix import nearest, pairs_of, pivot_pairs, prefixes
+from ._prefix import nearest, pairs_of, prefixes
 from ._text import mix64, slices, text_buffers
 from .components import components
 from .lsh_forest import _joined, confirmed, own_texts, shingle_sets
@@ -51,9 +50,9 @@ SLICE = 20
 #: Sets up to this size may be light.
 LIGHT = 20
 #: So often are pivots drawn; it only makes the lists of 4 shorter.
-TURNS = 3
-#: So often are pivots drawn from the lists, and the nearest pairs of each set confirmed before others; it only makes the rest fewer.
-LIST_TURNS, PAIR_TURNS = 1, 2
+TURNS = 2
+#: So often are the nearest pairs of each set confirmed before others; it only makes the rest fewer.
+PAIR_TURNS = 2
 #: So many classes' keys (about 20 MB) are broadcast to look texts up; more are joined by shuffle.
 LOOKUP = 300_000
 
@@ -283,12 +282,6 @@ def links(own: DataFrame, digest: DataFrame, percent: int = PERCENT, n: int = SH
     marks = checkpointed(sets.select("id", "n", "map"))
     first = prefixes(sets.drop("map").join(named(label), "id"), percent)
     apart = lambda: _apart(percent)
-    for turn in range(LIST_TURNS):
-        more = found(pivot_pairs(first, marks, percent, turn, apart))
-        if more.isEmpty():
-            break
-        label = _joined(label, more)
-        first = checkpointed(first.drop("l").join(_by_key(named(label), "id"), "id"))
     left = checkpointed(pairs_of(first, marks, percent, apart))
     for _ in range(PAIR_TURNS):
         few = checkpointed(nearest(left))

@@ -92,10 +92,10 @@ def test_every_link_without_the_first_round(docs, rows, monkeypatch):
     assert sorted(map(tuple, ngram_join.similar(docs).collect()), key=str) == _truth(rows, 85)
 
 
-@pytest.mark.parametrize("lists,pairs", [(0, 0), (3, 1)])
-def test_every_link_in_other_turns(docs, rows, lists, pairs, monkeypatch):
-    for name, n in (("TURNS", 0), ("LIST_TURNS", lists), ("PAIR_TURNS", pairs)):
-        monkeypatch.setattr(ngram_join, name, n)
+@pytest.mark.parametrize("pairs", [0, 1])
+def test_every_link_in_other_turns(docs, rows, pairs, monkeypatch):
+    monkeypatch.setattr(ngram_join, "TURNS", 0)
+    monkeypatch.setattr(ngram_join, "PAIR_TURNS", pairs)
     assert sorted(map(tuple, ngram_join.similar(docs).collect()), key=str) == _truth(rows, 85)
 
 
@@ -118,7 +118,6 @@ def test_a_crowd_is_confirmed_by_a_few_pairs_a_set(spark, monkeypatch):
 
     monkeypatch.setattr(ngram_join, "confirmed", counted)
     monkeypatch.setattr(ngram_join, "TURNS", 0)
-    monkeypatch.setattr(ngram_join, "LIST_TURNS", 0, raising=False)
     got = ngram_join.similar(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert sorted(map(tuple, got), key=str) == _truth(rows, 85) and {r[2] for r in got} == {0}
     assert sum(seen) <= 6 * len(rows)
