@@ -21,7 +21,7 @@ def quantile_name(q: float) -> str:
     return f"q{int(q * 100):02d}"
 
 
-def _aggregates(value: Column, quantiles: Sequence[float]) -> list[Column]:
+def aggregates(value: Column, quantiles: Sequence[float]) -> list[Column]:
     exact = F.percentile(value, F.array(*[F.lit(q) for q in quantiles])) if quantiles else None
     out = [F.min(value).alias("min"), F.max(value).alias("max"), F.avg(value).alias("mean"), F.stddev_pop(value).alias("std"), F.count(value).alias("count")]
     if quantiles:
@@ -29,7 +29,7 @@ def _aggregates(value: Column, quantiles: Sequence[float]) -> list[Column]:
     return out
 
 
-def _split_quantiles(df: DataFrame, quantiles: Sequence[float]) -> DataFrame:
+def split_quantiles(df: DataFrame, quantiles: Sequence[float]) -> DataFrame:
     if not quantiles:
         return df
     few = F.col("count") < 2
@@ -90,8 +90,8 @@ def feature_stats(df: DataFrame, value: str, by: Sequence[str] = (), quantiles:
     if bounded is None:
         bounded = bool(quantiles) and EPISODE not in by and df.count() > FEW_VALUES
     if not quantiles or not bounded:
-        return _split_quantiles(df.groupBy(*by).agg(*_aggregates(F.col(value), quantiles)), quantiles)
-    own = df.groupBy(*by).agg(*_aggregates(F.col(value), ()))
+        return split_quantiles(df.groupBy(*by).agg(*aggregates(F.col(value), quantiles)), quantiles)
+    own = df.groupBy(*by).agg(*aggregates(F.col(value), ()))
     names = [quantile_name(q) for q in quantiles]
     picked = selected_quantiles(df, value, by, quantiles)
     if by:

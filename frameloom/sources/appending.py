@@ -184,11 +184,11 @@ def _binned(sizes: DataFrame, open_: dict | None, limit: float, per_chunk: int)
     return out.select(EPISODE, "mb", F.floor(at / per_chunk).alias("chunk"), (at % per_chunk).alias("file"))
 
 
-def _staged(rows: DataFrame, root: str, folder: str, tag: str, order: str) -> dict[tuple[int, int], tuple[str, float]]:
-    """Write rows (with chunk and file) as one file each below ``folder``; no reader sees them before a commit names them. Their paths and MB."""
+def _staged(rows: DataFrame, root: str, folder: str, tag: str, order: str, files: int) -> dict[tuple[int, int], tuple[str, float]]:
+    """Write rows (with chunk and file) as so many files below ``folder``; no reader sees them before a commit names them. Their paths and MB."""
     spark = rows.sparkSession
     made = f"{root}/_staged/{tag}/{folder}"
-    rows.repartition("chunk", "file").sortWithinPartitions("chunk", "file", order).write.options(**D.PLACED_BY_TASKS).partitionBy("chunk", "file").parquet(made)
+    D.dealt(rows, files, "chunk", "file", order).write.options(**D.PLACED_BY_TASKS).partitionBy("chunk", "file").parquet(made)
     out, pairs = {}, []
     for path, size in D.listed(spark, made):
         c, f = (int(x.split("=")[1]) for x in path.split("/")[-3:-1])
@@ -200,6 +200,10 @@ def _staged(rows: DataFrame, root: str, folder: str, tag: str, order: str) -> di
     return out
 
 
+def _files(binned: DataFrame) -> int:
+    return binned.select("chunk", "file").distinct().count()
+
+
 def _actions(kind: str, made: dict, counts: dict, open_: dict | None) -> list[dict]:
     lines = [{"action": "add", "kind": kind, "path": path, "chunk": c, "file": f, "episodes": counts[c, f], "mb": mb} for (c, f), (path, mb) in sorted(made.items())]
     if open_ and (open_["chunk"], open_["file"]) in made:
@@ -225,24 +229,24 @@ def append(ds: LoggedDataset, frames: DataFrame, mb_per_frame: float = 0.001, ep
     tasks_path = f"meta/tasks-{tag}.parquet"
     old_tasks.select("task", F.col("task_index").cast("long").alias("task_index")).unionByName(fresh).coalesce(1).sortWithinPartitions("task_index").write.parquet(f"{root}/{tasks_path}")
     tasks = spark.read.parquet(f"{root}/{tasks_path}")
-    rows = numbered.join(tasks, "task").select(*[F.col(f"`{f.name}`").cast(f.dataType).alias(f.name) for f in schema])
+    rows = numbered.join(tasks, "task").select("task", *[F.col(f"`{f.name}`").cast(f.dataType).alias(f.name) for f in schema])
 
     open_data = _last(ds.files("data"))
     per = numbered.groupBy(EPISODE).agg((F.count(F.lit(1)) * mb_per_frame).alias("mb"))
     binned = D.kept(_binned(per, open_data, info.data_files_size_in_mb, info.chunks_size), f"{root}/_staged/{tag}/bins")
-    placed = rows.join(binned.drop("mb"), EPISODE)
+    placed = rows.drop("task").join(binned.drop("mb"), EPISODE)
     #: The open file is read again only if an episode goes into it.
     goes_on = bool(open_data) and not binned.where((F.col("chunk") == open_data["chunk"]) & (F.col("file") == open_data["file"])).isEmpty()
     if goes_on:
         old = spark.read.schema(schema).parquet(*[f"{root}/{p}" for p in open_data["paths"]])
         placed = placed.unionByName(old.withColumns({"chunk": F.lit(open_data["chunk"]), "file": F.lit(open_data["file"])}))
-    made = _staged(placed, root, "data", tag, "index")
+    made = _staged(placed, root, "data", tag, "index", _files(binned))
 
+    #: Episodes and statistics are made from the staged rows, which are the new ones of the data files: those aren't opened again.
     new = F.col(EPISODE) >= info.total_episodes
-    back = _parquet(spark, root, [p for p, _ in made.values()], set(), schema).where(new) if made else spark.createDataFrame([], schema)
     counted = {k: f for k, f in info.features.items() if k not in ("index", "task_index")}
-    per_stats = D.kept(D.feature_statistics(back, counted), f"{root}/_staged/{tag}/stats")
-    episodes = D.episode_ranges(back).join(D.episode_tasks(back, tasks), EPISODE).join(D.wide_statistics(per_stats, counted), EPISODE)
+    per_stats = D.kept(D.feature_statistics(rows, counted), f"{root}/_staged/{tag}/stats")
+    episodes = D.episode_rows(rows).join(D.wide_statistics(per_stats, counted), EPISODE)
     episodes = episodes.join(binned.select(EPISODE, F.col("chunk").alias("data/chunk_index"), F.col("file").alias("data/file_index")), EPISODE)
 
     open_meta = _last(ds.files("episodes"))
@@ -253,7 +257,7 @@ def append(ds: LoggedDataset, frames: DataFrame, mb_per_frame: float = 0.001, ep
     if open_meta and not meta.where((F.col("chunk") == open_meta["chunk"]) & (F.col("file") == open_meta["file"])).isEmpty():
         old = spark.read.parquet(*[f"{root}/{p}" for p in open_meta["paths"]])
         listed = listed.unionByName(old.withColumns({"chunk": F.lit(open_meta["chunk"]), "file": F.lit(open_meta["file"])}), allowMissingColumns=True)
-    made_meta = _staged(listed, root, "meta/episodes", tag, EPISODE)
+    made_meta = _staged(listed, root, "meta/episodes", tag, EPISODE, _files(meta))
 
     held = _parquet(spark, root, [p for p, _ in made_meta.values()], set()) if made_meta else None
     of_data = {(r[0], r[1]): r[2] for r in held.groupBy("`data/chunk_index`", "`data/file_index`").agg(F.count(F.lit(1))).collect()} if held is not None else {}
@@ -281,7 +285,7 @@ def rewrite_episodes(ds: LoggedDataset, change: Callable[[DataFrame], DataFrame]
     if not hit:
         return ds
     rows = ds._read("episodes", merge=True) if len(hit) == len(files) else spark.read.option("mergeSchema", "true").parquet(*[f"{root}/{files[k]['path']}" for k in sorted(hit)])
-    made = _staged(change(rows).withColumns({"chunk": place[0], "file": place[1]}), root, "meta/episodes", tag, EPISODE)
+    made = _staged(change(rows).withColumns({"chunk": place[0], "file": place[1]}), root, "meta/episodes", tag, EPISODE, len(hit))
     lines = _actions("episodes", made, {k: files[k]["episodes"] for k in hit}, None) + [{"action": "remove", "kind": "episodes", "path": files[k]["path"]} for k in sorted(hit)]
     commit(spark, root, ds.version + 1, lines, ds.state | (state or {}))
     return LoggedDataset.load(spark, root)

@@ -174,15 +174,31 @@ def exists(spark: SparkSession, path: str) -> bool:
 
 
 def listed(spark: SparkSession, path: str) -> list[tuple[str, int]]:
-    """Paths and bytes of the part files two folders below, as partitioned writes by two columns leave them."""
-    p, fs = _path(spark, f"{path}/*/*/part-*")
-    return sorted((x.getPath().toString(), x.getLen()) for x in fs.globStatus(p) or [])
+    """Paths and bytes of the part files two folders below, as partitioned writes by two columns leave them; several folders at a time."""
+    p, fs = _path(spark, f"{path}/*")
+    new = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+
+    def below(folder: str) -> list[tuple[str, int]]:
+        return [(x.getPath().toString(), x.getLen()) for x in fs.globStatus(new(f"{folder}/*/part-*")) or []]
+
+    with ThreadPoolExecutor(16) as pool:
+        return sorted(x for part in pool.map(below, [x.getPath().toString() for x in fs.globStatus(p) or []]) for x in part)
 
 
 #: Tasks put their files in place themselves: the driver moves none, and nothing reads the folder before it is settled.
 PLACED_BY_TASKS = {"mapreduce.fileoutputcommitter.algorithm.version": "2"}
 
 
+#: A task writes about so many files, one after the other: most of a small file's time is making it, whatever it holds.
+FILES_PER_TASK = 64
+
+
+def dealt(rows: DataFrame, files: int, chunk: str, file: str, order: str) -> DataFrame:
+    """rows (with chunk and file) so that a file is one task's, in order; files: how many there are. The number of tasks follows theirs, not the
+    rows' size, by which few tasks would make many small files."""
+    return rows.repartition(-(-files // FILES_PER_TASK) or 1, chunk, file).sortWithinPartitions(chunk, file, order)
+
+
 def moved(spark: SparkSession, pairs: Sequence[tuple[str, str]]) -> None:
     """Rename files, several at a time; folders are made once."""
     if not pairs:
@@ -358,9 +374,21 @@ def feature_cells(frames: DataFrame, features: dict[str, Feature], by: Sequence[
 
 
 def feature_statistics(frames: DataFrame, features: dict[str, Feature], by: Sequence[str] = (EPISODE,), quantiles: Sequence[float] = stats.QUANTILES) -> DataFrame:
-    """Long statistics: by, feature, dim, and min .. q99; strings, images and videos are left out. All features are read in one scan."""
-    out = stats.feature_stats(feature_cells(frames, features, by), "value", [*by, "feature", "dim"], quantiles)
-    return out.select(*by, "feature", "dim", "min", "max", "mean", "std", "count", *[stats.quantile_name(q) for q in quantiles])
+    """Long statistics: by, feature, dim, and min .. q99; strings, images and videos are left out. All features are read in one scan; by
+    episode, scalar ones in one of their own, in which a frame stays one row."""
+    names = ["feature", "dim", "min", "max", "mean", "std", "count", *[stats.quantile_name(q) for q in quantiles]]
+    counted = _counted(features)
+    flat = [k for k in counted if features[k].shape == (1,)] if EPISODE in by else []
+    parts = []
+    if flat:
+        x = [F.col(f"`{k}`").cast("double") for k in flat]
+        wide = frames.groupBy(*by).agg(*[F.struct(*stats.aggregates(c, quantiles)).alias(f"_f{i}") for i, c in enumerate(x)])
+        cells = [F.struct(F.lit(k).alias("feature"), F.lit(0).alias("dim"), F.col(f"_f{i}").alias("of")) for i, k in enumerate(flat)]
+        long = wide.select(*by, F.inline(F.array(*cells))).select(*by, "feature", "dim", "of.*")
+        parts.append(stats.split_quantiles(long, quantiles).select(*by, *names))
+    if rest := {k: features[k] for k in counted if k not in flat}:
+        parts.append(stats.feature_stats(feature_cells(frames, rest, by), "value", [*by, "feature", "dim"], quantiles).select(*by, *names))
+    return reduce(DataFrame.unionByName, parts)
 
 
 def _in_order(stat: str):
@@ -371,14 +399,10 @@ def _in_order(stat: str):
 STATS = ("min", "max", "mean", "std", "count", "q01", "q10", "q50", "q90", "q99")
 
 
-def episode_ranges(rows: DataFrame) -> DataFrame:
-    """length, dataset_from_index, dataset_to_index and task numbers of each episode."""
-    return rows.groupBy(EPISODE).agg(F.count(F.lit(1)).alias("length"), F.min("index").alias("dataset_from_index"), (F.max("index") + 1).alias("dataset_to_index"))
-
-
-def episode_tasks(rows: DataFrame, tasks: DataFrame) -> DataFrame:
-    """The task texts of each episode, sorted."""
-    return rows.select(EPISODE, "task_index").distinct().join(tasks, "task_index").groupBy(EPISODE).agg(F.sort_array(F.collect_set("task")).alias("tasks"))
+def episode_rows(rows: DataFrame) -> DataFrame:
+    """length, dataset_from_index, dataset_to_index and the sorted task texts of each episode; one scan of rows with task."""
+    parts = rows.groupBy(EPISODE, "task").agg(F.count(F.lit(1)).alias("n"), F.min("index").alias("first"), F.max("index").alias("last"))
+    return parts.groupBy(EPISODE).agg(F.sum("n").alias("length"), F.min("first").alias("dataset_from_index"), (F.max("last") + 1).alias("dataset_to_index"), F.sort_array(F.collect_set("task")).alias("tasks"))
 
 
 def wide_statistics(per_stats: DataFrame, features: dict[str, Feature], names: Sequence[str] = STATS) -> DataFrame:
@@ -402,7 +426,8 @@ def statistics_tree(pooled: DataFrame) -> dict:
 
 def write(frames: DataFrame, root: str, info: Info, mb_per_frame: float = 0.001) -> EpisodeDataset:
     """Write recorded frames (episode_index, frame_index, task, features) as a dataset: files by size, episodes with
-    their ranges and statistics, tasks, info and pooled statistics. Everything after the frames is made from the written ones."""
+    their ranges and statistics, tasks, info and pooled statistics. Episodes and statistics are made from the staged rows, which are
+    the written ones in few files: the data files, many and small under a small cap, aren't opened again."""
     spark = frames.sparkSession
     features = info.features | DEFAULTS
     schema = schema_of(features)
@@ -417,15 +442,16 @@ def write(frames: DataFrame, root: str, info: Info, mb_per_frame: float = 0.001)
     per = rows.groupBy(EPISODE).agg(F.count(F.lit(1)).alias("length"))
     binned = kept(edits.file_bins(per.withColumn("_mb", F.col("length") * mb_per_frame), "_mb", info.data_files_size_in_mb, info.chunks_size).select(EPISODE, "chunk_index", "file_index"), f"{made}/bins").withColumnsRenamed({"chunk_index": "data/chunk_index", "file_index": "data/file_index"})
     names = F.format_string("chunk-%03d", F.col("`data/chunk_index`")), F.format_string("file-%03d", F.col("`data/file_index`"))
-    placed = rows.join(tasks, "task").select(*schema.names).join(binned.select(EPISODE, names[0].alias("_chunk"), names[1].alias("_file")), EPISODE)
-    placed.repartition("_chunk", "_file").sortWithinPartitions("_chunk", "_file", "index").write.mode("overwrite").options(**PLACED_BY_TASKS).partitionBy("_chunk", "_file").parquet(f"{root}/_data")
+    whole = rows.join(tasks, "task").select("task", *schema.names)
+    placed = whole.drop("task").join(binned.select(EPISODE, names[0].alias("_chunk"), names[1].alias("_file")), EPISODE)
+    files = binned.select("data/chunk_index", "data/file_index").distinct().count()
+    dealt(placed, files, "_chunk", "_file", "index").write.mode("overwrite").options(**PLACED_BY_TASKS).partitionBy("_chunk", "_file").parquet(f"{root}/_data")
     _settle(spark, f"{root}/_data", f"{root}/data")
-    back = spark.read.schema(schema).parquet(f"{root}/data/*")
     counted = {k: f for k, f in features.items() if k not in ("index", "task_index")}
-    per_stats = kept(feature_statistics(back, counted), f"{made}/stats")
+    per_stats = kept(feature_statistics(whole, counted), f"{made}/stats")
     #: Episode rows go to files of EPISODES_PER_FILE episodes, by number.
     file = F.floor(F.col(EPISODE) / EPISODES_PER_FILE)
-    episodes = episode_ranges(back).join(binned, EPISODE).join(episode_tasks(back, tasks), EPISODE).join(wide_statistics(per_stats, counted), EPISODE).withColumn("meta/episodes/chunk_index", F.floor(file / info.chunks_size)).withColumn("meta/episodes/file_index", file % info.chunks_size)
+    episodes = episode_rows(whole).join(binned, EPISODE).join(wide_statistics(per_stats, counted), EPISODE).withColumn("meta/episodes/chunk_index", F.floor(file / info.chunks_size)).withColumn("meta/episodes/file_index", file % info.chunks_size)
     where = F.format_string("chunk-%03d", F.col("`meta/episodes/chunk_index`")), F.format_string("file-%03d", F.col("`meta/episodes/file_index`"))
     placed = episodes.withColumn("_chunk", where[0]).withColumn("_file", where[1])
     placed.repartition("_chunk", "_file").sortWithinPartitions("_chunk", "_file", EPISODE).write.mode("overwrite").options(**PLACED_BY_TASKS).partitionBy("_chunk", "_file").parquet(f"{root}/meta/_episodes")
