@@ -38,8 +38,9 @@ def split_quantiles(df: DataFrame, quantiles: Sequence[float]) -> DataFrame:
     return df.drop("_q")
 
 
-#: A sketch's error in rank is at most a group's size by this; brackets are four times as wide on either side.
-_SHARP = 200_000
+#: A sketch's error in rank is at most a group's size by this; brackets are four times as wide on either side. A task holds a sketch of
+#: each group, up to a few times so many values: what a bracket holds is counted by a shuffle and costs no task memory.
+_SHARP = 10_000
 #: Datasets of no more values are quantiled in one pass, in which a group's distinct values are one task's.
 FEW_VALUES = 2_000_000
 

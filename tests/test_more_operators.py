@@ -105,6 +105,17 @@ def test_selected_quantiles_are_exact(spark, monkeypatch):
     assert whole["q50"] == pytest.approx(np.quantile([x for _, x in rows if x is not None], 0.5))
 
 
+def test_sketches_stay_small(spark, monkeypatch):
+    sharp, own = [], F.percentile_approx
+    monkeypatch.setattr(S.F, "percentile_approx", lambda c, p, accuracy: sharp.append(accuracy) or own(c, p, accuracy))
+    df = spark.range(60_000).select((F.col("id") % 2).alias("g"), F.pow(F.lit(1.0003), F.pmod(F.col("id") * 7919, F.lit(60_000))).alias("v"))
+    got = {r["g"]: r for r in S.feature_stats(df, "v", ["g"], bounded=True).collect()}
+    for g in (0, 1):
+        v = [1.0003 ** (i * 7919 % 60_000) for i in range(g, 60_000, 2)]
+        assert [got[g][S.quantile_name(q)] for q in S.QUANTILES] == pytest.approx(list(np.quantile(v, S.QUANTILES)))
+    assert sharp and max(sharp) <= 20_000  # a task may hold a sketch of each dimension
+
+
 def test_moments_merge_in_any_order(spark):
     rng = random.Random(3)
     rows = [(i % 4, rng.random()) for i in range(400)]
