@@ -18,8 +18,8 @@ def _shared(df: DataFrame) -> DataFrame:
     return df.groupBy("s").agg(F.count(F.lit(1)).alias("held"), F.min("l").alias("l0"), F.max("l").alias("l1")).where("l0 <> l1").select("s", "held")
 
 
-def prefixes(sets: DataFrame, percent: int) -> DataFrame:
-    """sets: id, l (its component), n (its size), all (array of its values). Returns their prefixes: id, l, n, s, place.
+def prefixes(sets: DataFrame, marks: DataFrame, percent: int) -> DataFrame:
+    """sets: id, l (its component), n (its size), all (array of its values). Returns their prefixes: id, l, n, s, place, and what else marks has of each id.
 
     Sets of n and more values that are alike share one of the first n - ceil(percent * n / 100) + 1 of each, in any order that is
     the same for all. The order here: values of one component only, then the others from rare to common. So values that tell a
@@ -28,19 +28,16 @@ def prefixes(sets: DataFrame, percent: int) -> DataFrame:
     rows = sets.select("id", "l", F.explode("all").alias("s"))
     of_set = Window.partitionBy("id")
     placed = rows.select("id", "s").join(_shared(rows), "s").join(sets.select("id", "l", "n"), "id").withColumn("place", F.row_number().over(of_set.orderBy("held", "s")) + F.col("n") - F.count(F.lit(1)).over(of_set))
-    return checkpointed(placed.where(f"place <= n - (n * {percent} + 99) div 100 + 1").select("id", "l", "n", "s", "place"))
+    return checkpointed(placed.where(f"place <= n - (n * {percent} + 99) div 100 + 1").select("id", "l", "n", "s", "place").join(marks.drop("n"), "id"))
 
 
-def pairs_of(first: DataFrame, marks: DataFrame, percent: int, apart: Callable[[], Column]) -> DataFrame:
+def pairs_of(first: DataFrame, percent: int, apart: Callable[[], Column]) -> DataFrame:
     """Distinct pairs of sets in two components that share a value of both prefixes, among which every pair with
     100 * common >= percent * union is: id_x, id_y, apart. ``apart()``, above 0 for pairs that can't be alike, is tested where the pair meets."""
-    more = [c for c in marks.columns if c not in ("id", "n")]
     #: One side of a long list is cut in blocks, the other is in all of them; lists are counted by aggregation.
     lists = _shared(first).select("s", F.ceil(F.col("held") / BLOCK).cast("int").alias("blocks"))
     dealt = first.join(lists, "s")
-    if more:
-        dealt = dealt.join(marks.select("id", *more), "id")
-    cells = ["id", "l", "n", "place", *more]
+    cells = [c for c in first.columns if c != "s"]
     x = dealt.select("s", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int").alias("block"), *[F.col(c).alias(f"{c}_x") for c in cells])
     y = dealt.select("s", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), *[F.col(c).alias(f"{c}_y") for c in cells])
     #: The first value that both have leaves room for the common ones that the pair needs.

@@ -14,7 +14,9 @@
    values as its prefix has (n - ceil(percent * n / 100) + 1) can have no link outside: any partner must share a value of
    any such prefix. The sets left, with all their values, meet in lists of their prefixes (``_prefix``), rare values
    first and no component with itself. Where two meet, the parity maps of their sets bound how many values they differ
-   in; pairs that differ in too many go no further. The others are confirmed on full sets, in ``PAIR_TURNS`` turns:
+   in; pairs that differ in too many go no further. First each list is sorted by a part of the maps, which near sets have
+   alike, and a set meets only the few before it (``LIST_TURNS`` times): its nearest few are confirmed and components are joined, so that
+   a crowd is nearly one component before all its pairs would meet. Then all pairs between components meet; they are confirmed on full sets, in ``PAIR_TURNS`` turns:
    of all pairs first the nearest few of each set. A turn joins components, and pairs inside one are not needed any more: so a crowd that is one component is confirmed by a few
    pairs a set, and only pairs between components are all confirmed.
 5. Connected components of all links.
@@ -37,7 +39,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._frames import checkpointed, map_text
+from ._frames import checkpointed, map_text, shuffle_partitions
 from ._prefix import nearest, pairs_of, prefixes
 from ._text import mix64, slices, text_buffers
 from .components import components
@@ -51,6 +53,9 @@ SLICE = 20
 LIGHT = 20
 #: So often are pivots drawn; it only makes the lists of 4 shorter.
 TURNS = 2
+#: So often do sets meet their neighbours in sorted lists, and this many of them; it only makes the pairs of 4 fewer.
+LIST_TURNS = 1
+REACH = 4
 #: So often are the nearest pairs of each set confirmed before others; it only makes the rest fewer.
 PAIR_TURNS = 2
 #: So many classes' keys (about 20 MB) are broadcast to look texts up; more are joined by shuffle.
@@ -227,6 +232,46 @@ def _apart(percent: int) -> Column:
     return differ - F.expr(f"n_x + n_y - 2 * (((n_x + n_y) * {percent} + {99 + percent}) div {100 + percent})")
 
 
+def _before(percent: int):
+    """Rows in the order of the lists: of each, the nearest of the ``REACH`` before it that are in its list and of another component."""
+
+    def run(batches):
+        kept = None
+        for batch in batches:
+            if batch.num_rows == 0:
+                continue
+            rows = [batch.column(c).to_numpy() for c in ("s", "l", "id", "n")]
+            rows.append(batch.column(4).flatten().to_numpy().view(np.uint64).reshape(batch.num_rows, BITS // 64))
+            new = 0 if kept is None else len(kept[0])
+            if new:
+                rows = [np.concatenate(both) for both in zip(kept, rows)]
+            kept = [r[-REACH:].copy() for r in rows]
+            s, l, key, n, maps = rows
+            least, at = np.ones(len(s), np.int64), np.zeros(len(s), np.int64)
+            for back in range(1, min(REACH, len(s) - 1) + 1):
+                i = np.flatnonzero((s[back:] == s[:-back]) & (l[back:] != l[:-back])) + back
+                both = n[i] + n[i - back]
+                apart = np.bitwise_count(maps[i] ^ maps[i - back]).sum(1, dtype=np.int64) - both + 2 * ((both * percent + 99 + percent) // (100 + percent))
+                nearer = apart < least[i]
+                least[i[nearer]], at[i[nearer]] = apart[nearer], i[nearer] - back
+            i = np.flatnonzero(least <= 0)
+            i = i[i >= new]
+            yield pa.RecordBatch.from_arrays([pa.array(key[i]), pa.array(key[at[i]]), pa.array(least[i])], names=["id_x", "id_y", "apart"])
+
+    return run
+
+
+def neighbours(first: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """first: id, l, n, s, map. Returns id_x, id_y, apart: pairs of sets of two components that lie near each other in a list and may
+    be alike. Lists are sorted by words of the maps, other ones in each list; they are dealt by range, so that a long list is cut."""
+    word, more, turn = F.expr(f"map[pmod(s, {BITS // 64})]"), F.expr(f"map[pmod(s + 1, {BITS // 64})]"), "cast(pmod(shiftright(s, 8), 64) as int)"
+    turned = F.expr(f"shiftleft(w, {turn}) | shiftrightunsigned(w, 64 - {turn})")
+    rows = first.select("s", "l", "id", "n", "map", word.alias("w"), more.alias("v")).withColumn("w", turned)
+    order = ["s", "w", "v", "id"]
+    met = rows.repartitionByRange(shuffle_partitions(first.sparkSession), *order).sortWithinPartitions(*order).select("s", "l", "id", "n", "map").mapInArrow(_before(percent), "id_x long, id_y long, apart long")
+    return met.select(F.least("id_x", "id_y").alias("id_x"), F.greatest("id_x", "id_y").alias("id_y"), "apart").distinct()
+
+
 def _all_values(n: int):
     def kernel(column: pa.Array) -> list[pa.Array]:
         raw, off = text_buffers(column)
@@ -274,15 +319,25 @@ def links(own: DataFrame, digest: DataFrame, percent: int = PERCENT, n: int = SH
 
     def found(met: DataFrame) -> DataFrame:
         """The links among pairs id_x, id_y."""
-        pairs = met.join(ids.select(F.col("id").alias("id_x"), F.col("cls").alias("a")), "id_x").join(ids.select(F.col("id").alias("id_y"), F.col("cls").alias("b")), "id_y").select("a", "b")
-        return checkpointed(confirmed(pairs, bodies, percent, n))
+        of = _by_key(ids, "id")
+        pairs = met.join(of.select(F.col("id").alias("id_x"), F.col("cls").alias("a")), "id_x").join(of.select(F.col("id").alias("id_y"), F.col("cls").alias("b")), "id_y").select("a", "b")
+        ends = pairs.select(F.col("a").alias("cls")).union(pairs.select("b"))
+        some = bodies.join(F.broadcast(ends), "cls", "left_semi") if met.count() <= LOOKUP // 2 else bodies
+        return checkpointed(confirmed(pairs, some, percent, n))
 
     #: The sets are built anew wherever they are read: their values take more room than the texts.
     sets = map_text(bodies.join(_by_key(ids, "cls"), "cls").select("id", "text"), _all_values(n), [T.StructField("all", T.ArrayType(T.LongType())), T.StructField("map", T.ArrayType(T.LongType()))], drop=["text"]).withColumn("n", F.size("all").cast("long"))
     marks = checkpointed(sets.select("id", "n", "map"))
-    first = prefixes(sets.drop("map").join(named(label), "id"), percent)
-    apart = lambda: _apart(percent)
-    left = checkpointed(pairs_of(first, marks, percent, apart))
+    first = prefixes(sets.drop("map").join(named(label), "id"), marks, percent)
+    for _ in range(LIST_TURNS):
+        more = found(checkpointed(nearest(neighbours(first, percent))))
+        if more.isEmpty():
+            break
+        label = _joined(label, more)
+        first = first.drop("l").join(_by_key(named(label), "id"), "id")
+    left = checkpointed(pairs_of(first, percent, lambda: _apart(percent)))
+    if left.isEmpty():
+        return label
     for _ in range(PAIR_TURNS):
         few = checkpointed(nearest(left))
         more = found(few)

@@ -5,6 +5,7 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from frameloom.llm import _prefix, lsh_forest, ngram_join
 
@@ -123,6 +124,61 @@ def test_a_crowd_is_confirmed_by_a_few_pairs_a_set(spark, monkeypatch):
     assert sum(seen) <= 6 * len(rows)
 
 
+def test_a_crowd_meets_few_pairs_in_lists(spark, monkeypatch):
+    """Neighbours in sorted lists join a crowd before all its pairs meet: the join of the lists doesn't grow with the square."""
+    rng = random.Random(9)
+    vocab = [f"w{i}" for i in range(500)]
+    crowd = [rng.choice(vocab) for _ in range(150)]
+    rows = []
+    for i in range(160):
+        w = list(crowd)
+        for _ in range(rng.randint(1, 2)):
+            w[rng.randrange(len(w))] = rng.choice(vocab)
+        rows.append((i, " ".join(w)))
+    seen, real = [], ngram_join.pairs_of
+
+    def counted(*given):
+        out = real(*given)
+        seen.append(out.count())
+        return out
+
+    monkeypatch.setattr(ngram_join, "pairs_of", counted)
+    monkeypatch.setattr(ngram_join, "TURNS", 0)
+    got = ngram_join.similar(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(map(tuple, got), key=str) == _truth(rows, 85) and {r[2] for r in got} == {0}
+    assert sum(seen) <= 2 * len(rows)
+
+
+@pytest.mark.parametrize("pairs", [0, 2])
+def test_every_link_without_neighbours(docs, rows, pairs, monkeypatch):
+    monkeypatch.setattr(ngram_join, "TURNS", 0)
+    monkeypatch.setattr(ngram_join, "LIST_TURNS", 0)
+    monkeypatch.setattr(ngram_join, "PAIR_TURNS", pairs)
+    assert sorted(map(tuple, ngram_join.similar(docs).collect()), key=str) == _truth(rows, 85)
+
+
+def test_neighbours_over_batches():
+    """However rows are cut in batches, a row meets those before it in its list, of other components and near enough."""
+    rng = random.Random(4)
+    base = [rng.getrandbits(64) for _ in range(100)]
+    sets = [sorted({*rng.sample(base, 100 - i % 12), *(rng.getrandbits(64) for _ in range(i % 5))}) for i in range(40)]
+    maps = [ngram_join.parity_map(np.array(s, np.uint64)).tolist() for s in sets]
+    rows = [(i // 9, i % 3, i, len(s), m) for i, (s, m) in enumerate(zip(sets, maps))]
+
+    def met(size):
+        fields = [("s", pa.int64()), ("l", pa.int64()), ("id", pa.int64()), ("n", pa.int64()), ("map", pa.list_(pa.int64()))]
+        batches = [pa.RecordBatch.from_arrays([pa.array(c, t) for c, (_, t) in zip(zip(*rows[at : at + size]), fields)], names=[f for f, _ in fields]) for at in range(0, len(rows), size)]
+        return [tuple(r.values()) for b in ngram_join._before(85)(batches) for r in b.to_pylist()]
+
+    whole = met(len(rows))
+    assert whole and all(met(size) == whole for size in (1, 3, 7))
+    bits = lambda i, j: sum(((a ^ b) & (2**64 - 1)).bit_count() for a, b in zip(maps[i], maps[j]))
+    for i, j, apart in whole:
+        assert i - ngram_join.REACH <= j < i and i // 9 == j // 9 and i % 3 != j % 3
+        both = len(sets[i]) + len(sets[j])
+        assert apart == bits(i, j) - (both - 2 * -(-85 * both // 185)) <= 0
+
+
 def test_parity_maps_bound_the_difference():
     rng = random.Random(3)
     values = [rng.getrandbits(64) for _ in range(400)]
