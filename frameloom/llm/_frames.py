@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 from collections.abc import Callable, Sequence
 from contextlib import contextmanager
@@ -51,6 +52,13 @@ def delete(spark: SparkSession, path: str) -> None:
     where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
+def let_go(spark: SparkSession) -> None:
+    """Have the driver collect what nothing refers to any more: only then does Spark remove the files of its shuffles
+    (by itself it waits for a full heap or half an hour)."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 @contextmanager
 def passing_checkpoints(spark: SparkSession):
     """Checkpoints that are made inside are deleted at the end; what reads them must be written by then."""

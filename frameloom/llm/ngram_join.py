@@ -39,7 +39,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._frames import checkpointed, map_text, shuffle_partitions
+from ._frames import checkpointed, let_go, map_text, shuffle_partitions
 from ._prefix import nearest, pairs_of, prefixes
 from ._text import mix64, slices, text_buffers
 from .components import components
@@ -307,10 +307,13 @@ def links(own: DataFrame, digest: DataFrame, percent: int = PERCENT, n: int = SH
             break
         bodies = texts(first.select(F.col("a").alias("cls")).union(first.select(F.col("b").alias("cls"))))
         label = _joined(label, checkpointed(confirmed(first, bodies, percent, n)))
+        bodies = None
+        let_go(own.sparkSession)
     open_ = checkpointed(open_sets(own, classes.where(heavy), label, percent, n))
     if open_.isEmpty():
         return label
     bodies = texts(open_)
+    let_go(own.sparkSession)
     ids = checkpointed(bodies.select("cls", F.monotonically_increasing_id().alias("id")))
 
     def named(label: DataFrame) -> DataFrame:
@@ -329,6 +332,7 @@ def links(own: DataFrame, digest: DataFrame, percent: int = PERCENT, n: int = SH
     sets = map_text(bodies.join(_by_key(ids, "cls"), "cls").select("id", "text"), _all_values(n), [T.StructField("all", T.ArrayType(T.LongType())), T.StructField("map", T.ArrayType(T.LongType()))], drop=["text"]).withColumn("n", F.size("all").cast("long"))
     marks = checkpointed(sets.select("id", "n", "map"))
     first = prefixes(sets.drop("map").join(named(label), "id"), marks, percent)
+    let_go(own.sparkSession)
     for _ in range(LIST_TURNS):
         more = found(checkpointed(nearest(neighbours(first, percent))))
         if more.isEmpty():
