@@ -89,10 +89,11 @@ def sample_count(n: int, least: int = 100, most: int = 10_000, power: float = 0.
 
 
 def sample_positions(length: Column) -> Column:
-    """Evenly spaced positions 0 .. length - 1, rounded half to even, as many as sample_count says."""
+    """Evenly spaced positions 0 .. length - 1, rounded half to even, as many as sample_count says; none of an empty length."""
     k = F.greatest(F.least(F.lit(100), length), F.least(F.floor(F.pow(length, F.lit(0.75))), F.lit(10_000))).cast("int")
     step = (length - 1) / F.nullif(k - 1, F.lit(0))
-    return F.transform(F.sequence(F.lit(0), k - 1), lambda i: F.rint(i * F.coalesce(step, F.lit(0.0))).cast("long"))
+    #: A sequence from 0 to -1 counts down, so the first k are taken; a condition around the positions would double their time.
+    return F.transform(F.slice(F.sequence(F.lit(0), k - 1), F.lit(1), k), lambda i: F.rint(i * F.coalesce(step, F.lit(0.0))).cast("long"))
 
 
 def shuffled(rows: DataFrame, key: str, seed: int) -> DataFrame:

@@ -50,6 +50,21 @@ def test_sample_count(n, k):
     assert P.sample_count(n) == k
 
 
+def test_sample_positions_equal_sql_at_odd_lengths(spark, tmp_path):
+    import duckdb
+
+    from frameloom.plans import catalog
+
+    con = duckdb.connect()
+    con.execute(f"COPY (SELECT unnest(range(9)) AS doc_id, unnest([0, NULL, 1, 2, 3, 101, 256, 9999, 128657]) AS n_chars) TO '{tmp_path}/documents.parquet'")
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet'")
+    ours = catalog.queries()["sample_positions"](spark, str(tmp_path)).select("doc_id", "k", "total", "last").collect()
+    theirs = con.execute(f"SELECT doc_id, k, total, last FROM ({catalog.oracle_sql()['sample_positions']})").fetchall()
+    assert sorted(map(tuple, ours)) == sorted(theirs)
+    assert 0 not in {r["doc_id"] for r in ours}
+    assert spark.range(1).select(P.sample_positions(F.lit(0)).alias("p")).first()["p"] == []
+
+
 def test_delta_indices():
     assert W.delta_indices([i / 30 for i in range(-10, 10)], 30) == list(range(-10, 10))
     W.delta_indices([1 / 30 + 0.9e-4], 30)
